@@ -16,10 +16,11 @@ def dround(c, scale: int) -> Column:
     """Publish a double rounded HALF_UP on its decimal value.
 
     ``F.round`` on a double and the oracle's ``round`` disagree on binary
-    ties; rounding through ``DECIMAL(28,10)`` gives the same digits in both
-    engines. Values must stay below 1e18.
+    ties; Spark casts a double to DECIMAL through its shortest decimal
+    string, so rounding that decimal is engine-independent. Values must stay
+    below 1e28.
     """
-    return F.round(col(c).cast("decimal(28,10)"), scale).cast("double")
+    return F.round(col(c).cast("decimal(38,10)"), scale).cast("double")
 
 
 def safe_div(num, den) -> Column:

@@ -7,6 +7,7 @@ import importlib
 # modules contributing (queries(), oracles()) pairs
 _MODULES = [
     ("verdigris.plans.catalog_core", "verdigris.plans.oracle_core"),
+    ("verdigris.plans.catalog_ops", "verdigris.plans.oracle_ops"),
 ]
 
 

@@ -43,8 +43,13 @@ def with_ctes(body: str, deps) -> str:
 
 
 def R(expr: str, scale: int) -> str:
-    """Round a double HALF_UP on its decimal value (same digits as ``exprs.dround``)."""
-    return f"CAST(ROUND(CAST(({expr}) AS DECIMAL(28,10)), {scale}) AS DOUBLE)"
+    """Round a double HALF_UP on its shortest decimal text (same digits as ``exprs.dround``).
+
+    Spark turns a double into a decimal through its shortest decimal string;
+    DuckDB's direct cast scales in binary and is inexact for large values, so
+    the oracle goes through VARCHAR explicitly.
+    """
+    return f"CAST(ROUND(CAST(CAST(({expr}) AS VARCHAR) AS DECIMAL(38,10)), {scale}) AS DOUBLE)"
 
 
 def D(v: float) -> str:
