@@ -8,6 +8,7 @@ import importlib
 _MODULES = [
     ("verdigris.plans.catalog_core", "verdigris.plans.oracle_core"),
     ("verdigris.plans.catalog_ops", "verdigris.plans.oracle_ops"),
+    ("verdigris.plans.catalog_text", "verdigris.plans.oracle_text"),
 ]
 
 
