@@ -94,10 +94,11 @@ def top_k(scores: DataFrame, qkey: str, dkey: str, k: int = TOP_K, score: str =
 
 
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = TOP_K, **kw) -> DataFrame:
-    s = bm25_scores(queries, docs, **kw)
+    # rank on the published (rounded) score: exact duplicates tie, and the id decides
+    s = bm25_scores(queries, docs, **kw).withColumn("score", dround("score", 6))
     qk = kw.get("qkey", "query_id")
     dk = kw.get("dkey", "doc_id")
-    return top_k(s, qk, dk, k).select(qk, dk, "rank", dround("score", 6).alias("score"))
+    return top_k(s, qk, dk, k).select(qk, dk, "rank", "score")
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -121,8 +122,8 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, label: s
                 key: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """KB-02 / KB-03: cosine top-k within the query's framework label (equi-join)."""
     v = vectors.select(key, F.col(label).alias("filter_label"), F.col(vec).cast("array<double>").alias("v"))
-    s = queries.join(v, "filter_label").withColumn("score", cosine(F.col("query_vec"), F.col("v")))
-    return top_k(s, "query_id", key, k).select("query_id", key, "rank", dround("score", 6).alias("score"))
+    s = queries.join(v, "filter_label").withColumn("score", dround(cosine(F.col("query_vec"), F.col("v")), 6))
+    return top_k(s, "query_id", key, k).select("query_id", key, "rank", "score")
 
 
 def with_fallback(scores: DataFrame, docs_meta: DataFrame, filter_expr: Column, threshold: float,
@@ -130,14 +131,14 @@ def with_fallback(scores: DataFrame, docs_meta: DataFrame, filter_expr: Column,
     """KB-05 / KB-06: top-k under the filter; queries with no hit at or above the
     threshold take the unfiltered top-k instead (``left_anti`` on the usable set).
     """
-    sm = scores.join(docs_meta, dkey)
+    sm = scores.withColumn("score", dround("score", 6)).join(docs_meta, dkey)
     filt = top_k(sm.filter(filter_expr), qkey, dkey, k).withColumn("fallback", F.lit(False))
     usable = filt.filter(F.col("score") >= threshold).select(qkey).distinct()
     unf = top_k(sm, qkey, dkey, k).join(usable, qkey, "left_anti").withColumn("fallback", F.lit(True))
     kept = filt.join(usable, qkey, "left_semi")
     return (kept.unionByName(unf)
                 .filter(F.col("score") >= threshold)
-                .select(qkey, dkey, "rank", dround("score", 6).alias("score"), "fallback"))
+                .select(qkey, dkey, "rank", "score", "fallback"))
 
 
 def pack(hits: DataFrame, passages: DataFrame, cap_tokens: int, qkey: str = "query_id", dkey: str = "doc_id",
