@@ -55,16 +55,17 @@ YOY_PATTERN = r"(?i)(-?\d+\.\d+)\s*%.*(?:year.over.year|YoY|change)"
 INTENSITY_PATTERN = r"(\d+\.\d{4,})\s*(?:tCO2e/IDR|per IDR|per FTE|tCO2e/FTE)"
 PLACEHOLDER_PATTERN = r"\{[a-z_]+\}"
 
-# (?U): Unicode classes and word boundaries, as the reference's Python patterns
+# Java's \b already treats letters of every script as word characters (as Python's
+# patterns do); (?U) is needed only where \w appears, and costs a lot of CPU elsewhere
 PROHIBITED = [
     # rule, severity, pattern
-    ("VAL-PRH-02", "error", r"(?iU)\b(calculated as|computed by|we estimate|approximately|roughly|"
+    ("VAL-PRH-02", "error", r"(?i)\b(calculated as|computed by|we estimate|approximately|roughly|"
                             r"we calculate|divided by|multiplied by)\b"),
     ("VAL-PRH-03", "error", r"https?://\S+"),
     ("VAL-PRH-03-CITE", "warning", r"(?i)according to\s+([^,.]+)"),
-    ("VAL-PRH-04", "error", r"(?iU)\b(we|our|us|my|ourselves)\b"),
+    ("VAL-PRH-04", "error", r"(?i)\b(we|our|us|my|ourselves)\b"),
     ("VAL-PRH-04-I", "error", r"(?U)(?<![A-Z])\bI\b(?!\w)"),
-    ("VAL-PRH-05", "error", r"(?iU)\b(industry.leading|best.in.class|world.class|cutting.edge|"
+    ("VAL-PRH-05", "error", r"(?i)\b(industry.leading|best.in.class|world.class|cutting.edge|"
                             r"pioneering|unparalleled|groundbreaking|revolutionary)\b"),
 ]
 
@@ -121,8 +122,21 @@ def _rule(cond: Column, rule: str, severity: str, detail: Column) -> Column:
                                  detail.cast("string").alias("detail")))
 
 
+def structure_findings(parsed: DataFrame) -> DataFrame:
+    """Adds ``findings`` (structural findings array) and ``struct_error`` to parsed sections."""
+    f = _structure_array()
+    return (parsed.withColumn("findings", f)
+                  .withColumn("struct_error", F.exists("findings", lambda x: x["severity"].isin("error", "retry"))))
+
+
 def section_structure(parsed: DataFrame) -> DataFrame:
     """VA-01..VA-08: structural findings, one row per (section, rule)."""
+    p = parsed if "findings" in parsed.columns else structure_findings(parsed)
+    return (p.select("section_key", F.explode("findings").alias("f"))
+             .select("section_key", "f.rule", "f.severity", "f.detail"))
+
+
+def _structure_array() -> Column:
     sec = F.col("sec")
     paras = F.coalesce(sec["paragraphs"], F.array())
     tables = F.coalesce(sec["tables"], F.array())
@@ -148,8 +162,7 @@ def section_structure(parsed: DataFrame) -> DataFrame:
         _rule(F.col("json_valid") & (F.size(F.coalesce(sec["advisory_recommendations"], F.array())) < 2),
               "VAL-STR-10", "warning", F.lit("advisory_recommendations < 2")),
     ))
-    return (parsed.select("section_key", F.explode(findings).alias("f"))
-                  .select("section_key", "f.rule", "f.severity", "f.detail"))
+    return findings
 
 
 # -------------------------------------------------------------------- claims
@@ -204,106 +217,144 @@ def match_tolerance(left: DataFrame, right: DataFrame, keys: list[str], left_val
     return lb.join(rb, cond, how).drop("_bucket")
 
 
-def _metric(metrics: DataFrame, name: str, alias: str) -> DataFrame:
-    return metrics.filter(F.col("metric") == name).groupBy("metrics_key").agg(F.max("value").alias(alias))
+def report_metrics(metrics: DataFrame, key: str = "metrics_key") -> DataFrame:
+    """One row per report: its allowed-value array (VA-11) and a metric -> value map.
+
+    A report carries a bounded set of published numbers, so the collected
+    arrays are bounded by the metric catalogue, not by the data.
+    """
+    v = F.col("value")
+    variants = F.array(v, F.abs(v), v * 1000, v / 1000, v * 100, F.round(v, 1), F.round(v, 2),
+                       F.round(v, 3), F.round(v, 4), F.round(v, 6))
+    wl = F.array(*[F.lit(float(x)) for x in WHITELISTED_VALUES])
+    g = metrics.groupBy(key).agg(
+        F.flatten(F.collect_list(F.when(v.isNotNull(), variants))).alias("_derived"),
+        F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("mmap"))
+    return g.select(key, F.array_distinct(F.concat(wl, F.coalesce("_derived", F.array().cast("array<double>"))))
+                    .alias("allowed"), "mmap")
+
+
+def _near_any(arr: Column, x: Column, tol: float) -> Column:
+    return F.exists(arr, lambda a: F.abs(a - x) <= F.lit(tol))
+
+
+def _is_whitelisted(x: Column) -> Column:
+    return x.isin(*[float(w) for w in WHITELISTED_VALUES])
+
+
+def _parsed_numbers(text: Column, pattern: str) -> Column:
+    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(pattern), 1),
+                                lambda r: F.regexp_replace(r, ",", "").try_cast("double")),
+                    lambda x: x.isNotNull())
+
+
+def _finding(rule: str, severity: str, detail: Column) -> Column:
+    return F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), detail.cast("string").alias("detail"))
+
+
+def content_findings(parsed: DataFrame, metrics: DataFrame, strict_reference: bool = True,
+                     prohibited: bool = True) -> DataFrame:
+    """VA-10..VA-20 as one projection per section: adds ``content`` (numeric and
+    prohibited findings) next to the structural ``findings``.
+
+    The report's allowed values and metrics arrive by an equi-join on
+    ``metrics_key`` with one row per report; every rule is a higher-order
+    function over the section's own claims, so the corpus is read once and
+    never shuffled. Sections with structural errors get no content findings
+    (the reference stops there).
+    """
+    p = parsed if "struct_error" in parsed.columns else structure_findings(parsed)
+    p = p.join(report_metrics(metrics), "metrics_key", "left")
+    text = F.col("all_text")
+    allowed = F.coalesce(F.col("allowed"), F.array(*[F.lit(float(x)) for x in WHITELISTED_VALUES]))
+    m = lambda k: F.col("mmap")[F.lit(k)]
+    pat = NUMERIC_PATTERN_STRICT if strict_reference else NUMERIC_PATTERN
+    raw_claims = F.arrays_zip(F.regexp_extract_all(text, F.lit(pat), 1).alias("v"),
+                              F.regexp_extract_all(text, F.lit(pat), 2).alias("u"))
+    # each regex pass is materialised once as its own column (referenced several times below)
+    p = (p.withColumn("_claims", F.filter(F.transform(raw_claims, lambda c: F.struct(
+            F.regexp_replace(c["v"], ",", "").try_cast("double").alias("value"), c["u"].alias("unit"))),
+            lambda c: c["value"].isNotNull()))
+          .withColumn("_pcts", _parsed_numbers(text, PCT_PATTERN))
+          .withColumn("_yoys", _parsed_numbers(text, YOY_PATTERN))
+          .withColumn("_ints", _parsed_numbers(text, INTENSITY_PATTERN))
+          .withColumn("_allowed", allowed))
+    allowed = F.col("_allowed")
+    claims = F.col("_claims")
+    claim_values = F.transform(claims, lambda c: c["value"])
+    num01 = F.transform(F.filter(claims, lambda c: ~_is_whitelisted(c["value"])
+                                 & ~_near_any(allowed, c["value"], TOLERANCE_TCO2E)),
+                        lambda c: _finding("VAL-NUM-01", "error", F.concat_ws(" ", c["value"].cast("string"), c["unit"])))
+    pct = F.transform(F.filter(F.col("_pcts"),
+                               lambda x: ~_is_whitelisted(x) & ~_near_any(allowed, x, TOLERANCE_PCT)
+                               & ~x.isin(0.0, 100.0)),
+                      lambda x: _finding("VAL-NUM-03", "warning", F.concat(x.cast("string"), F.lit("%"))))
+    yoy = m("yoy_change_pct")
+    num04 = F.when(yoy.isNotNull(), F.transform(
+        F.filter(F.col("_yoys"), lambda x: F.abs(x - yoy) > TOLERANCE_YOY),
+        lambda x: _finding("VAL-NUM-04", "error", F.concat(x.cast("string"), F.lit(" vs "), yoy.cast("string")))))
+    irev, ifte = m("intensity_tco2e_per_idr_bn"), m("intensity_tco2e_per_fte")
+    hit = lambda ref, x: F.coalesce((ref != 0) & (F.abs(x - ref) <= TOLERANCE_INTENSITY), F.lit(False))
+    num05 = F.transform(F.filter(F.col("_ints"),
+                                 lambda x: ~hit(irev, x) & ~hit(ifte, x) & ~_is_whitelisted(x)),
+                        lambda x: _finding("VAL-NUM-05", "error", x.cast("string")))
+    s1, s1n, s1d = m("scope1_tco2e"), m("scope1_natgas_tco2e"), m("scope1_diesel_tco2e")
+    gross, weighted = m("scope3_cat15_gross_tco2e"), m("scope3_cat15_weighted_tco2e")
+    num02 = F.when(F.abs(s1 - (s1n + s1d)) > TOLERANCE_TCO2E,
+                   F.array(_finding("VAL-NUM-02", "error", F.lit("natgas + diesel != scope1_tco2e"))))
+    num06 = F.when(weighted > gross, F.array(_finding(
+        "VAL-NUM-06", "no_retry", F.concat(F.lit("weighted "), weighted.cast("string"), F.lit(" > gross "),
+                                           gross.cast("string")))))
+    tvals = F.array_distinct(F.filter(F.transform(
+        F.coalesce(F.col("table_cells"), F.array().cast("array<string>")),
+        lambda c: F.regexp_replace(F.regexp_replace(c, ",", ""), "%", "").try_cast("double")),
+        lambda x: x.isNotNull()))
+    num07 = F.transform(F.filter(tvals, lambda t: ~_is_whitelisted(t) & ~_near_any(claim_values, t, TOLERANCE_TCO2E)),
+                        lambda t: _finding("VAL-NUM-07", "warning", t.cast("string")))
+    prh = []
+    for i, (rule, severity, ptn) in enumerate(PROHIBITED if prohibited else []):
+        p = p.withColumn(f"_prh{i}", F.regexp_extract_all(text, F.lit(ptn), 0))
+        hits = F.col(f"_prh{i}")
+        name = "VAL-PRH-04" if rule.startswith("VAL-PRH-04") else ("VAL-PRH-03" if rule == "VAL-PRH-03-CITE" else rule)
+        prh.append(F.when(F.size(hits) > 0, F.array(_finding(name, severity, F.try_element_at(hits, F.lit(1))))))
+    empty = F.array().cast("array<struct<rule:string,severity:string,detail:string>>")
+    parts = [num01, num02, pct, num04, num05, num06, num07] + prh
+    content = F.flatten(F.array(*[F.coalesce(x, empty) for x in parts]))
+    return (p.withColumn("content", F.when(F.col("struct_error"), empty).otherwise(content))
+             .drop("allowed", "mmap", "_claims", "_pcts", "_yoys", "_ints", "_allowed",
+                   *[f"_prh{i}" for i in range(len(PROHIBITED))]))
 
 
 def numeric_findings(parsed: DataFrame, metrics: DataFrame, strict_reference: bool = True) -> DataFrame:
     """VA-10..VA-19: numeric findings (section_key, rule, severity, detail).
 
-    Runs only for sections without structural errors (the reference stops
-    there). ``VAL-NUM-01`` rows are the unmatched claims; the outcome step
-    decides between RETRY and FAIL from their count.
+    ``VAL-NUM-01`` rows are the unmatched claims; the outcome step decides
+    between RETRY and FAIL from their count.
     """
-    ok = parsed.filter(F.col("json_valid")).join(
-        section_structure(parsed).filter(F.col("severity") == "error").select("section_key").distinct(),
-        "section_key", "left_anti")
-    base = ok.select("section_key", "metrics_key", "all_text", "table_cells")
-    allowed = allowed_values(metrics)
-    wl = F.col("value").isin(*[float(x) for x in WHITELISTED_VALUES])
-
-    claims = extract_claims(base, "section_key", "all_text", strict_reference) \
-        .filter(F.col("value").isNotNull()).join(base.select("section_key", "metrics_key"), "section_key")
-    num01 = match_tolerance(claims.filter(~wl), allowed, ["metrics_key"], "value", "allowed",
-                            TOLERANCE_TCO2E, "left_anti")
-    out = [num01.select("section_key", F.lit("VAL-NUM-01").alias("rule"), F.lit("error").alias("severity"),
-                        F.concat_ws(" ", F.col("value").cast("string"), "unit").alias("detail"))]
-
-    m = (base.select("section_key", "metrics_key")
-         .join(_metric(metrics, "scope1_tco2e", "s1"), "metrics_key", "left")
-         .join(_metric(metrics, "scope1_natgas_tco2e", "s1n"), "metrics_key", "left")
-         .join(_metric(metrics, "scope1_diesel_tco2e", "s1d"), "metrics_key", "left")
-         .join(_metric(metrics, "scope3_cat15_gross_tco2e", "gross"), "metrics_key", "left")
-         .join(_metric(metrics, "scope3_cat15_weighted_tco2e", "weighted"), "metrics_key", "left"))
-    out.append(m.filter(F.abs(F.col("s1") - (F.col("s1n") + F.col("s1d"))) > TOLERANCE_TCO2E)
-                .select("section_key", F.lit("VAL-NUM-02").alias("rule"), F.lit("error").alias("severity"),
-                        F.lit("natgas + diesel != scope1_tco2e").alias("detail")))
-    out.append(m.filter(F.col("weighted") > F.col("gross"))
-                .select("section_key", F.lit("VAL-NUM-06").alias("rule"), F.lit("no_retry").alias("severity"),
-                        F.concat(F.lit("weighted "), F.col("weighted").cast("string"), F.lit(" > gross "),
-                                 F.col("gross").cast("string")).alias("detail")))
-
-    # VAL-NUM-03: percentages (warning)
-    pct = extract_values(base, "section_key", "all_text", PCT_PATTERN) \
-        .join(base.select("section_key", "metrics_key"), "section_key").filter(~wl)
-    pct_bad = match_tolerance(pct, allowed, ["metrics_key"], "value", "allowed", TOLERANCE_PCT, "left_anti") \
-        .filter(~F.col("value").isin(0.0, 100.0))
-    out.append(pct_bad.select("section_key", F.lit("VAL-NUM-03").alias("rule"), F.lit("warning").alias("severity"),
-                              F.concat(F.col("value").cast("string"), F.lit("%")).alias("detail")))
-
-    # VAL-NUM-04: year-over-year claims against the source YoY
-    yoy = extract_values(base, "section_key", "all_text", YOY_PATTERN) \
-        .join(base.select("section_key", "metrics_key"), "section_key") \
-        .join(_metric(metrics, "yoy_change_pct", "yoy"), "metrics_key")
-    out.append(yoy.filter(F.abs(F.col("value") - F.col("yoy")) > TOLERANCE_YOY)
-                  .select("section_key", F.lit("VAL-NUM-04").alias("rule"), F.lit("error").alias("severity"),
-                          F.concat(F.col("value").cast("string"), F.lit(" vs "), F.col("yoy").cast("string"))
-                          .alias("detail")))
-
-    # VAL-NUM-05: intensity claims
-    inten = extract_values(base, "section_key", "all_text", INTENSITY_PATTERN) \
-        .join(base.select("section_key", "metrics_key"), "section_key") \
-        .join(_metric(metrics, "intensity_tco2e_per_idr_bn", "irev"), "metrics_key", "left") \
-        .join(_metric(metrics, "intensity_tco2e_per_fte", "ifte"), "metrics_key", "left")
-    hit = lambda c: F.coalesce((F.col(c) != 0) & (F.abs(F.col("value") - F.col(c)) <= TOLERANCE_INTENSITY),
-                               F.lit(False))
-    out.append(inten.filter(~hit("irev") & ~hit("ifte") & ~wl)
-                    .select("section_key", F.lit("VAL-NUM-05").alias("rule"), F.lit("error").alias("severity"),
-                            F.col("value").cast("string").alias("detail")))
-
-    # VAL-NUM-07: table values missing from the text's numbers (warning, one per distinct value)
-    tv = (base.select("section_key", F.explode("table_cells").alias("cell"))
-              .select("section_key", F.regexp_replace(F.regexp_replace("cell", ",", ""), "%", "")
-                      .try_cast("double").alias("value"))
-              .filter(F.col("value").isNotNull()).distinct().filter(~wl))
-    para = claims.select("section_key", F.col("value").alias("pv"))
-    out.append(match_tolerance(tv, para, ["section_key"], "value", "pv", TOLERANCE_TCO2E, "left_anti")
-               .select("section_key", F.lit("VAL-NUM-07").alias("rule"), F.lit("warning").alias("severity"),
-                       F.col("value").cast("string").alias("detail")))
-
-    res = out[0]
-    for o in out[1:]:
-        res = res.unionByName(o)
-    return res
+    c = content_findings(parsed, metrics, strict_reference, prohibited=False)
+    return (c.select("section_key", F.explode("content").alias("f"))
+             .filter(F.col("f.rule").startswith("VAL-NUM"))
+             .select("section_key", "f.rule", "f.severity", "f.detail"))
 
 
 def prohibited_hits(texts: DataFrame, key: str, text_col: str) -> DataFrame:
     """VA-20 / VA-25: per text and rule, the number of matches and the first one."""
-    items = []
-    for rule, severity, pat in PROHIBITED + [("VAL-PLACEHOLDER", "error", PLACEHOLDER_PATTERN)]:
-        arr = F.regexp_extract_all(F.col(text_col), F.lit(pat), 0)
-        items.append(F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"),
-                              F.size(arr).alias("hits"), F.try_element_at(arr, F.lit(1)).alias("sample")))
-    return (texts.select(key, F.explode(F.array(*items)).alias("h"))
+    rules = PROHIBITED + [("VAL-PLACEHOLDER", "error", PLACEHOLDER_PATTERN)]
+    # one regex pass per rule, materialised once and read twice (count and sample)
+    arrs = texts.select(key, *[F.regexp_extract_all(F.col(text_col), F.lit(pat), 0).alias(f"_h{i}")
+                               for i, (_, _, pat) in enumerate(rules)])
+    items = [F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"),
+                      F.size(f"_h{i}").alias("hits"), F.try_element_at(f"_h{i}", F.lit(1)).alias("sample"))
+             for i, (rule, severity, _) in enumerate(rules)]
+    return (arrs.select(key, F.explode(F.array(*items)).alias("h"))
                  .select(key, "h.rule", "h.severity", "h.hits", "h.sample")
                  .filter(F.col("hits") > 0))
 
 
-def prohibited_findings(parsed: DataFrame) -> DataFrame:
-    ok = parsed.filter(F.col("json_valid")).join(
-        section_structure(parsed).filter(F.col("severity") == "error").select("section_key").distinct(),
-        "section_key", "left_anti")
-    h = prohibited_hits(ok.select("section_key", "all_text"), "section_key", "all_text") \
+def prohibited_findings(parsed: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
+    """VA-20: prohibited-content findings of sections without structural errors."""
+    p = parsed if "struct_error" in parsed.columns else structure_findings(parsed)
+    h = prohibited_hits(p.filter(~F.col("struct_error")).select("section_key", "all_text"), "section_key", "all_text") \
         .filter(F.col("rule") != "VAL-PLACEHOLDER")
     rule = F.when(F.col("rule").startswith("VAL-PRH-04"), F.lit("VAL-PRH-04")) \
             .when(F.col("rule") == "VAL-PRH-03-CITE", F.lit("VAL-PRH-03")).otherwise(F.col("rule"))
@@ -315,40 +366,36 @@ OUTCOME_RANK = {"PASS": 0, "WARN": 1, "RETRY": 2, "FAIL": 3, "FAIL_NO_RETRY": 4}
 
 
 def audit(sections: DataFrame, metrics: DataFrame, strict_reference: bool = True) -> DataFrame:
-    """VA-13 / VA-21 / VA-23: outcome and inclusion status per section.
+    """VA-13 / VA-21 / VA-23: outcome and inclusion status per section, in one pass.
 
     RETRY when the JSON is unusable, or when exactly one claim is unmatched
     on the first attempt; otherwise FAIL_NO_RETRY > FAIL > WARN > PASS.
     """
-    p = parse_sections(sections)
-    findings = (section_structure(p)
-                .unionByName(numeric_findings(p, metrics, strict_reference))
-                .unionByName(prohibited_findings(p)))
-    per = findings.groupBy("section_key").agg(
-        F.count_if(F.col("severity") == "retry").alias("retry_flags"),
-        F.count_if(F.col("rule").startswith("VAL-STR") & (F.col("severity") == "error")).alias("structure_errors"),
-        F.count_if(F.col("rule") == "VAL-NUM-01").alias("unmatched_claims"),
-        F.count_if(F.col("severity") == "no_retry").alias("no_retry_errors"),
-        F.count_if(F.col("severity").isin("error", "no_retry") & (F.col("rule") != "VAL-NUM-01")).alias("_errors"),
-        F.count_if(F.col("severity") == "warning").alias("warnings"))
-    j = p.select("section_key", "section_id", "section_type", "retry_count").join(per, "section_key", "left")
-    z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    errors = z("_errors") + F.when(z("unmatched_claims") > 0, 1).otherwise(0)
-    outcome = (F.when(z("retry_flags") > 0, F.lit("RETRY"))
-                .when(z("structure_errors") > 0, F.lit("FAIL"))
-                .when((z("unmatched_claims") == 1) & (F.col("retry_count") == 0), F.lit("RETRY"))
-                .when(z("no_retry_errors") > 0, F.lit("FAIL_NO_RETRY"))
+    c = content_findings(structure_findings(parse_sections(sections)), metrics, strict_reference)
+    allf = F.concat(F.col("findings"), F.col("content"))
+    cnt = lambda pred: F.size(F.filter(allf, pred))
+    retry_flags = cnt(lambda f: f["severity"] == "retry")
+    struct_errors = cnt(lambda f: f["rule"].startswith("VAL-STR") & (f["severity"] == "error"))
+    unmatched = cnt(lambda f: f["rule"] == "VAL-NUM-01")
+    no_retry = cnt(lambda f: f["severity"] == "no_retry")
+    other_errors = cnt(lambda f: f["severity"].isin("error", "no_retry") & (f["rule"] != "VAL-NUM-01"))
+    warnings = cnt(lambda f: f["severity"] == "warning")
+    errors = other_errors + F.when(unmatched > 0, 1).otherwise(0)
+    outcome = (F.when(retry_flags > 0, F.lit("RETRY"))
+                .when(struct_errors > 0, F.lit("FAIL"))
+                .when((unmatched == 1) & (F.col("retry_count") == 0), F.lit("RETRY"))
+                .when(no_retry > 0, F.lit("FAIL_NO_RETRY"))
                 .when(errors > 0, F.lit("FAIL"))
-                .when(z("warnings") > 0, F.lit("WARN"))
+                .when(warnings > 0, F.lit("WARN"))
                 .otherwise(F.lit("PASS")))
     status = (F.when(F.col("outcome") == "PASS", F.lit("INCLUDED"))
                .when(F.col("outcome").isin("WARN", "FAIL"), F.lit("INCLUDED_WITH_WARNINGS"))
                .when(F.col("outcome") == "RETRY", F.lit("RETRY_PENDING"))
                .otherwise(F.lit("HUMAN_REVIEW")))
-    return (j.withColumn("outcome", outcome).withColumn("status", status)
+    return (c.withColumn("outcome", outcome).withColumn("status", status)
              .select("section_key", "section_id", "section_type", "retry_count", "outcome", "status",
-                     errors.cast("bigint").alias("errors"), z("warnings").cast("bigint").alias("warnings"),
-                     z("unmatched_claims").cast("bigint").alias("unmatched_claims")))
+                     errors.cast("bigint").alias("errors"), warnings.cast("bigint").alias("warnings"),
+                     unmatched.cast("bigint").alias("unmatched_claims")))
 
 
 def included_summary(outcomes: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import dround
+from .aggregate import bank_of, with_prior_year
 
 
 def total_kpi(summary: DataFrame) -> DataFrame:
@@ -37,8 +38,9 @@ def breakdown(summary: DataFrame) -> DataFrame:
 
 def year_pairs(summary: DataFrame) -> DataFrame:
     """DB-03: location vs market, current vs prior by scope, intensity current vs prior."""
-    p = summary.select(*[F.col(c).alias(f"p_{c}") for c in summary.columns])
-    j = summary.join(p, F.col("p_reporting_year") == F.col("reporting_year") - 1, "left")
+    cols = ["scope1_tco2e", "scope2_location_tco2e", "scope3_cat15_gross_tco2e", "intensity_tco2e_per_idr_bn",
+            "intensity_tco2e_per_fte"]
+    j = with_prior_year(summary.withColumn("bank_id", bank_of()), cols)
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     items = [
         ("scope2_basis", "Location", z("scope2_location_tco2e"), F.lit(None).cast("double")),
@@ -147,8 +149,10 @@ def waterfall(steps: DataFrame, key: str = "chart_id") -> DataFrame:
 
 def emissions_bridge_steps(summary: DataFrame) -> DataFrame:
     """Waterfall input from the summary: prior total, change per scope, current total."""
-    p = summary.select(*[F.col(c).alias(f"p_{c}") for c in summary.columns])
-    j = summary.join(p, F.col("p_reporting_year") == F.col("reporting_year") - 1, "inner")
+    cols = ["scope1_tco2e", "scope2_market_tco2e", "scope3_cat15_gross_tco2e"]
+    j = with_prior_year(summary.withColumn("bank_id", bank_of()), cols) \
+        .filter(F.col("p_scope1_tco2e").isNotNull() | F.col("p_scope2_market_tco2e").isNotNull()
+                | F.col("p_scope3_cat15_gross_tco2e").isNotNull())
     tot = lambda pre: (F.col(f"{pre}scope1_tco2e") + F.col(f"{pre}scope2_market_tco2e")
                        + F.col(f"{pre}scope3_cat15_gross_tco2e"))
     steps = [

@@ -85,9 +85,9 @@ def metrics_long(wide: DataFrame) -> DataFrame:
     """(year, metric, value, prior_value, change_pct) with the prior year exactly year-1."""
     long = wide.select("reporting_year", *[F.col(c).cast("double").alias(c) for c in METRIC_COLUMNS]) \
         .unpivot(["reporting_year"], METRIC_COLUMNS, "metric", "value")
-    p = long.select(F.col("reporting_year").alias("_py"), F.col("metric").alias("_pm"),
-                    F.col("value").alias("prior_value"))
-    j = long.join(p, (F.col("_pm") == F.col("metric")) & (F.col("_py") == F.col("reporting_year") - 1), "left")
+    # prior value of exactly year-1 by window (one metric's years per group), no self-join
+    w = Window.partitionBy("metric").orderBy("reporting_year").rangeBetween(-1, -1)
+    j = long.withColumn("prior_value", F.max("value").over(w))
     return j.select("reporting_year", "metric", "value", "prior_value",
                     dround(pct_change("value", "prior_value"), 2).alias("change_pct"))
 

@@ -96,9 +96,9 @@ def trend(summary: DataFrame, bank_id: str = C.BANK_ID) -> DataFrame:
             .orderBy("reporting_year"))
 
 
-def sum_check(summary: DataFrame, totals: DataFrame) -> DataFrame:
+def sum_check(summary_with_totals: DataFrame) -> DataFrame:
     """SRV-09: stored total against the sum of its rounded parts."""
-    j = summary.join(totals.select("metric_key", "total_tco2e"), "metric_key")
+    j = summary_with_totals
     computed = dround(F.col("scope1_tco2e") + F.col("scope2_market_tco2e") + F.col("scope3_cat15_gross_tco2e"), 3)
     return j.select("reporting_year", "total_tco2e", computed.alias("computed_total_tco2e"),
                     dround(F.col("total_tco2e") - computed, 6).alias("discrepancy"))

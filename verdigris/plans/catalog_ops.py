@@ -13,9 +13,7 @@ YEAR = C.CURRENT_YEAR
 
 
 def summary_with_totals(spark, d):
-    c = core(spark, d)
-    return c.summary().join(c.summary(keep_totals=True).select(
-        "metric_key", "total_tco2e", "total_location_based_tco2e", "revenue_idr_bn"), "metric_key")
+    return core(spark, d).summary(keep_totals="both")
 
 
 def _frames(spark, d):
@@ -124,7 +122,7 @@ def queries() -> dict:
         "hr_metrics": lambda s, d: serving.hr_metrics(inputs(s, d).hr, YEAR),
         "hr_yoy": lambda s, d: serving.hr_yoy(inputs(s, d).hr),
         "trend": lambda s, d: serving.trend(core(s, d).summary()),
-        "sum_check": lambda s, d: serving.sum_check(core(s, d).summary(), core(s, d).summary(keep_totals=True)),
+        "sum_check": lambda s, d: serving.sum_check(summary_with_totals(s, d)),
         "pcaf_consistency": lambda s, d: scope3.consistency(core(s, d).s3),
         "available_years": lambda s, d: serving.available_years(core(s, d).summary()),
         "typed_values": q_typed_values,
