@@ -411,6 +411,51 @@ def failure_detail(findings: DataFrame, cap: int = 10) -> DataFrame:
                     .filter(F.col("n") <= cap).drop("n"))
 
 
+# FIXED VALUES: section order per framework (unknown types last)
+SECTION_ORDER = {
+    "GRI_305": ["summary", "scope1", "scope2", "scope3_pcaf", "intensity", "reduction", "social"],
+    "IFRS_S2": ["summary", "governance", "scope1", "scope2", "scope3_pcaf", "intensity", "targets", "social"],
+    "CSRD_ESRS_E1": ["summary", "governance", "targets", "scope1", "scope2", "scope3_pcaf", "intensity",
+                     "reduction", "social", "double_materiality"],
+    "OJK_PSPK": ["summary", "governance", "scope1", "scope2", "scope3_pcaf", "intensity", "reduction", "social"],
+    "MULTI_FRAMEWORK": ["summary", "scope1", "scope2", "scope3_pcaf", "intensity", "reduction", "governance",
+                        "targets", "social", "double_materiality"],
+}
+UNKNOWN_POSITION = 999
+
+
+def section_order(parsed: DataFrame, framework_col: str = "framework") -> DataFrame:
+    """VA-27: each section's position in its framework's order (sort key, then section_key).
+
+    The order table is fixed and small (broadcast); no per-report window,
+    so a report with very many sections never lands in one task.
+    """
+    spark = parsed.sparkSession
+    rows = [(fw, t, i) for fw, types in SECTION_ORDER.items() for i, t in enumerate(types)]
+    order = spark.createDataFrame(rows, "framework string, section_type string, position int")
+    p = parsed.select("section_key", "metrics_key", "section_id", "section_type", F.col(framework_col).alias("framework"))
+    return (p.join(F.broadcast(order), ["framework", "section_type"], "left")
+             .select("metrics_key", "framework", "section_key", "section_id", "section_type",
+                     F.coalesce("position", F.lit(UNKNOWN_POSITION)).alias("position")))
+
+
+def framework_of(section_id) -> Column:
+    """Framework prefix of a section id: the known framework names it starts with."""
+    sid = F.col(section_id) if isinstance(section_id, str) else section_id
+    e = F.lit("MULTI_FRAMEWORK")
+    for fw in sorted(SECTION_ORDER, key=len):
+        e = F.when(sid.startswith(fw + "_"), F.lit(fw)).otherwise(e)
+    return e
+
+
+def summary_context(parsed: DataFrame, marker: str = "KEY INSIGHT") -> DataFrame:
+    """RP-13: sections per report and how many carry an insight marker in a paragraph."""
+    has = F.exists(F.coalesce(F.col("sec.paragraphs"), F.array()),
+                   lambda p: F.coalesce(p["text"].contains(marker), F.lit(False)))
+    return parsed.groupBy("metrics_key").agg(F.count(F.lit(1)).alias("total_sections"),
+                                             F.count_if(has).alias("sections_with_insights"))
+
+
 def recover_json(raw) -> Column:
     """VA-26: the object as is, else the fenced ```json block, else first '{' .. last '}'."""
     r = F.col(raw) if isinstance(raw, str) else raw

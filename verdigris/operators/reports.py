@@ -246,3 +246,82 @@ def imputation_note(s1: DataFrame) -> DataFrame:
         F.sum("imputed_months").cast("bigint").alias("imputed_months"),
         F.count_distinct("facility_id").alias("facilities"),
         F.max("data_quality_score").alias("worst_score"))
+
+
+# FIXED VALUES: peer figures from the original's advisory benchmark tables
+# (metric, peer, value, higher_is_better); peers are labelled neutrally
+PEERS = [
+    ("training_hours_per_fte", "peer_1", 62.4, True), ("training_hours_per_fte", "peer_2", 45.0, True),
+    ("training_hours_per_fte", "peer_3", 43.1, True), ("training_hours_per_fte", "peer_4", 52.0, True),
+    ("fte_female_pct", "peer_1", 58.0, True), ("fte_female_pct", "peer_2", 60.0, True),
+    ("fte_female_pct", "peer_3", 52.0, True), ("fte_female_pct", "peer_4", 55.0, True),
+    ("fte_management_female_pct", "peer_1", 35.0, True), ("fte_management_female_pct", "peer_3", 38.0, True),
+    ("fte_management_female_pct", "peer_4", 32.0, True),
+    ("voluntary_turnover_pct", "peer_1", 6.8, False), ("voluntary_turnover_pct", "peer_2", 4.5, False),
+    ("voluntary_turnover_pct", "peer_3", 12.3, False), ("voluntary_turnover_pct", "peer_4", 7.2, False),
+    ("scope1_tco2e", "peer_1", 12500.0, False), ("scope1_tco2e", "peer_2", 4800.0, False),
+    ("scope1_tco2e", "peer_3", 3421.0, False), ("scope1_tco2e", "peer_4", 8200.0, False),
+    ("scope2_location_tco2e", "peer_1", 85000.0, False), ("scope2_location_tco2e", "peer_2", 55000.0, False),
+    ("scope2_location_tco2e", "peer_3", 47582.0, False), ("scope2_location_tco2e", "peer_4", 62000.0, False),
+]
+
+
+def peer_gap(spark: SparkSession, long: DataFrame) -> DataFrame:
+    """RP-05: own value vs the peer table: best-in-class, gap to best, rank among own + peers.
+
+    Own rows meet the fixed peer table by an equi-join on the metric (at
+    most four peers each); rank = 1 + peers strictly better; a tie for best
+    goes to the peer.
+    """
+    peers = spark.createDataFrame(PEERS, "metric string, peer string, pvalue double, higher_is_better boolean")
+    sgn = lambda c: F.when(F.col("higher_is_better"), F.col(c)).otherwise(-F.col(c))
+    j = long.select("reporting_year", "metric", "value").join(F.broadcast(peers), "metric")
+    g = j.groupBy("reporting_year", "metric", "value", "higher_is_better").agg(
+        F.count_if(sgn("pvalue") > sgn("value")).alias("better"),
+        F.max(F.struct(sgn("pvalue").alias("s"), F.col("peer"), F.col("pvalue"))).alias("bp"),
+        F.count(F.lit(1)).alias("peers"))
+    own_best = sgn("value") > F.col("bp.s")
+    best_value = F.when(own_best, F.col("value")).otherwise(F.col("bp.pvalue"))
+    return g.select("reporting_year", "metric", F.col("value").alias("own_value"), best_value.alias("best_value"),
+                    F.when(own_best, F.lit("own")).otherwise(F.col("bp.peer")).alias("best_bank"),
+                    dround(F.col("value") - best_value, 4).alias("gap_to_best"),
+                    (F.col("better") + 1).cast("int").alias("rank"), (F.col("peers") + 1).alias("banks"))
+
+
+# FIXED VALUES: report section -> framework disclosure references
+FRAMEWORKS = ["GRI 305", "IFRS S2", "ESRS E1", "OJK PSPK"]
+DISCLOSURES = [
+    ("Scope 1 Emissions", "scope1", ["305-1 (a-g)", "Para 29(a)(i)", "DR E1-6 §44", "Lampiran II.A.1"]),
+    ("Scope 2 Emissions", "scope2", ["305-2 (a-e)", "Para 29(a)(ii)", "DR E1-6 §47-48", "Lampiran II.A.2"]),
+    ("Scope 3 / Financed", "scope3_pcaf", ["305-3 (a-f)", "Para 29(a)(iv)", "DR E1-6 §51-54", "Lampiran II.A.3"]),
+    ("Intensity", "intensity", ["305-4 (a-d)", "Para 29(b)", "DR E1-6 §55-56", "Lampiran II.B"]),
+    ("Reduction Targets", "targets", ["305-5 (a-e)", "Para 33-36", "DR E1-4 §34-42", "Lampiran II.C"]),
+    ("Governance", "governance", [None, "Para 5-9", "ESRS 2 GOV-1", "Lampiran I"]),
+    ("Transition Plan", "transition", [None, "Para 14-15", "DR E1-1 §14-19", "Lampiran III"]),
+    ("Social Metrics", "social", ["401/404/405/406", None, "ESRS S1", "Lampiran IV"]),
+]
+
+
+def disclosure_map(spark: SparkSession) -> DataFrame:
+    """RP-09: flat (requirement, section_type, framework, disclosure_id) mapping."""
+    rows = [(req, st, fw, ref) for req, st, refs in DISCLOSURES for fw, ref in zip(FRAMEWORKS, refs)]
+    return spark.createDataFrame(rows, "requirement string, section_type string, framework string, "
+                                       "disclosure_id string")
+
+
+def compliance_matrix(spark: SparkSession, outcomes: DataFrame) -> DataFrame:
+    """RP-09: requirement x framework status from the audited sections.
+
+    disclosed = some section of the type passed; partial = included with
+    warnings only; gap = no included section; n/a = the framework has no
+    such disclosure. Outcomes reduce to one row per section type first.
+    """
+    st = outcomes.groupBy("section_type").agg(
+        F.max(F.when(F.col("status") == "INCLUDED", 2)
+               .when(F.col("status") == "INCLUDED_WITH_WARNINGS", 1).otherwise(0)).alias("level"))
+    m = disclosure_map(spark).join(F.broadcast(st), "section_type", "left")
+    status = (F.when(F.col("disclosure_id").isNull(), F.lit("n/a"))
+               .when(F.col("level") == 2, F.lit("disclosed"))
+               .when(F.col("level") == 1, F.lit("partial")).otherwise(F.lit("gap")))
+    return (m.withColumn("status", status)
+             .groupBy("requirement").pivot("framework", FRAMEWORKS).agg(F.first("status")))

@@ -129,6 +129,12 @@ def queries() -> dict:
         "score_what_if": lambda s, d: reports.score_what_if(inputs(s, d).loans),
         "score_concentration": lambda s, d: reports.score_concentration(inputs(s, d).loans),
         "imputation_note": lambda s, d: reports.imputation_note(core(s, d).s1),
+        "peer_gap": lambda s, d: reports.peer_gap(s, _long(s, d)),
+        "compliance_matrix": lambda s, d: reports.compliance_matrix(
+            s, audit.audit(_sections(s, d), _metrics(s, d))),
+        "section_order": lambda s, d: audit.section_order(
+            _parsed(s, d).withColumn("framework", audit.framework_of("section_id"))),
+        "section_summary_context": lambda s, d: audit.summary_context(_parsed(s, d)),
         # sources
         "partition_presence": q_partition_presence,
         "table_fingerprint": q_table_fingerprint,

@@ -10,7 +10,8 @@ Python implementation of the rules on a small fixture.
 from __future__ import annotations
 
 from ..functions import constants as C
-from ..operators import reports
+from ..operators import audit, reports
+from ..sources import sections
 from . import oracle_core, oracle_ops  # noqa: F401  (register fragments)
 from .sqltext import D, R, fragment, with_ctes
 
@@ -240,6 +241,46 @@ FROM (SELECT reporting_year, pcaf_data_quality_score, SUM(CAST(outstanding_idr A
 SELECT reporting_year, CAST(SUM(imputed_months) AS BIGINT) AS imputed_months,
        COUNT(DISTINCT facility_id) AS facilities, MAX(data_quality_score) AS worst_score
 FROM ghg_scope1 WHERE data_quality_score >= 3 GROUP BY reporting_year""", ["ghg_scope1"])
+    peers = _values(reports.PEERS, ["metric", "peer", "pvalue", "hib"])
+    q["peer_gap"] = with_ctes(f"""
+SELECT reporting_year, metric, value AS own_value,
+       CASE WHEN own_s > bs THEN value ELSE bpv END AS best_value,
+       CASE WHEN own_s > bs THEN 'own' ELSE bpeer END AS best_bank,
+       {R('value - CASE WHEN own_s > bs THEN value ELSE bpv END', 4)} AS gap_to_best,
+       CAST(better + 1 AS INTEGER) AS rank, peers + 1 AS banks
+FROM (SELECT l.reporting_year, l.metric, l.value,
+             CASE WHEN p.hib THEN l.value ELSE -l.value END AS own_s,
+             COUNT(*) FILTER (WHERE (CASE WHEN p.hib THEN p.pvalue ELSE -p.pvalue END)
+                                    > (CASE WHEN p.hib THEN l.value ELSE -l.value END)) AS better,
+             MAX(CASE WHEN p.hib THEN p.pvalue ELSE -p.pvalue END) AS bs,
+             arg_max(p.peer, struct_pack(s := CASE WHEN p.hib THEN p.pvalue ELSE -p.pvalue END, peer := p.peer)) AS bpeer,
+             arg_max(p.pvalue, struct_pack(s := CASE WHEN p.hib THEN p.pvalue ELSE -p.pvalue END, peer := p.peer)) AS bpv,
+             COUNT(*) AS peers
+      FROM rp_long l JOIN {peers} p(metric, peer, pvalue, hib) ON p.metric = l.metric
+      GROUP BY l.reporting_year, l.metric, l.value, p.hib) x""", ["rp_long"])
+    case_ids = ", ".join(f"({i}, '{sec['section_id']}')" for i, (_, sec, _) in enumerate(sections.CASES))
+    order_rows = ", ".join(f"('{fw}', '{t}', {i})" for fw, ts in audit.SECTION_ORDER.items() for i, t in enumerate(ts))
+    stype = ("CASE WHEN contains(lower(sid), 'scope1') OR contains(lower(sid), '_s1_') THEN 'scope1' "
+             "WHEN contains(lower(sid), 'scope2') OR contains(lower(sid), '_s2_') THEN 'scope2' "
+             "WHEN contains(lower(sid), 'pcaf') OR contains(lower(sid), 'scope3') THEN 'scope3_pcaf' "
+             "WHEN contains(lower(sid), 'intensity') THEN 'intensity' "
+             "WHEN contains(lower(sid), 'summary') THEN 'summary' ELSE 'unknown' END")
+    fw = "CASE " + " ".join(f"WHEN starts_with(sid, '{f}_') THEN '{f}'"
+                            for f in sorted(audit.SECTION_ORDER, key=len, reverse=True)) + " ELSE 'MULTI_FRAMEWORK' END"
+    q["section_order"] = f"""
+WITH s AS (SELECT d.doc_id AS section_key, 'case_' || CAST(d.doc_id % 7 AS VARCHAR) AS metrics_key, c.sid
+           FROM documents d JOIN (VALUES {case_ids}) c(case_no, sid) ON c.case_no = d.doc_id % 7),
+t AS (SELECT section_key, metrics_key, sid, {stype} AS section_type, {fw} AS framework FROM s)
+SELECT t.metrics_key, t.framework, t.section_key, t.sid AS section_id, t.section_type,
+       COALESCE(o.position, {audit.UNKNOWN_POSITION}) AS position
+FROM t LEFT JOIN (VALUES {order_rows}) o(framework, section_type, position)
+  ON o.framework = t.framework AND o.section_type = t.section_type"""
+    no_para = [i for i, (_, sec, _) in enumerate(sections.CASES) if not sec.get("paragraphs")]
+    q["section_summary_context"] = f"""
+SELECT 'case_' || CAST(doc_id % 7 AS VARCHAR) AS metrics_key, COUNT(*) AS total_sections,
+       COUNT(*) FILTER (WHERE doc_id % 7 NOT IN ({", ".join(map(str, no_para)) or "-1"})
+                          AND contains(text, 'KEY INSIGHT')) AS sections_with_insights
+FROM documents GROUP BY 1"""
     # ------------------------------------------------------------ sources
     q["partition_presence"] = with_ctes(f"""
 SELECT t.table_name, CAST(y.reporting_year AS INTEGER) AS reporting_year, COALESCE(p.present, false) AS present
