@@ -47,6 +47,8 @@ def test_batch_refresh(spark, tmpdir_run):
     failed = g.filter((F.col("severity") == "fail") & ~F.col("passed")).count()
     assert failed == 0
     assert set(res["paths"]) >= {"ghg_scope1", "ghg_scope2", "ghg_scope3_financed", "pcaf_by_sector"}
+    cur = zones.read_zone(spark, tmpdir_run, "curated", "ghg_scope1").count()
+    assert res["observed"]["scope1_curated_rows"] == cur
 
 
 def test_presence_csv_json_listing(spark, tmpdir_run):

@@ -12,7 +12,7 @@ from __future__ import annotations
 import time
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
@@ -22,17 +22,26 @@ from ..sources import zones
 from ..sources.fixtures import Inputs
 
 
+OBSERVED: dict[str, int] = {}
+
+
 def curated_stage(inp: Inputs, root: str, impute_by: str = "month", rec_mode: str = "spec") -> dict[str, str]:
     paths: dict[str, str] = {}
     # scope 1: one annual frame feeds curated and rejects
     annual = scope1.annual_rollup(scope1.impute_fuel(inp.energy, impute_by, inp.facilities))
     annual = annual.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        cur = scope1._publish(annual.filter(F.col("data_quality_score") < 4))
+        # GOV-14: row counts observed during the writes themselves (no extra job)
+        obs_cur, obs_rej = Observation("scope1_curated"), Observation("scope1_rejects")
+        cur = scope1._publish(annual.filter(F.col("data_quality_score") < 4)).observe(
+            obs_cur, F.count(F.lit(1)).alias("rows"))
         rej = (scope1._publish(annual.filter(F.col("data_quality_score") == 4))
-               .withColumn("reject_reason", F.lit("imputed_months_gt_5")))
+               .withColumn("reject_reason", F.lit("imputed_months_gt_5"))
+               .observe(obs_rej, F.count(F.lit(1)).alias("rows")))
         paths["ghg_scope1"] = zones.write_zone(cur, root, "curated", "ghg_scope1")
         paths["ghg_scope1_rejects"] = zones.write_rejects(rej, root, "ghg_scope1")
+        OBSERVED["scope1_curated_rows"] = obs_cur.get["rows"]
+        OBSERVED["scope1_rejected_rows"] = obs_rej.get["rows"]
     finally:
         annual.unpersist()
     paths["ghg_scope2"] = zones.write_zone(scope2.scope2(inp.energy, inp.facilities, rec_mode),
@@ -93,5 +102,5 @@ def refresh(spark: SparkSession, sf_dir: str, root: str | None = None) -> dict[s
     zones.write_zone(g.withColumn("run_date", F.current_date()), root, "aggregated", "gate_results",
                      None, ("run_date",))
     t3 = time.time()
-    return {"root": root, "paths": paths,
+    return {"root": root, "paths": paths, "observed": dict(OBSERVED),
             "seconds": {"curated": t1 - t0, "aggregated": t2 - t1, "gates": t3 - t2}}

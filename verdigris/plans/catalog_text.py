@@ -94,6 +94,13 @@ def q_table_fingerprint(spark, d):
             .unionByName(zones.table_fingerprint(inp.hr, "hr_metrics")))
 
 
+def q_bundle_digest(spark, d):
+    from .catalog_ops import q_data_input_bundle
+    b = q_data_input_bundle(spark, d)
+    return b.select("reporting_year", "bank_id",
+                    zones.payload_digest(F.struct(*[c for c in b.columns if c.endswith("_json")])).alias("digest"))
+
+
 def queries() -> dict:
     return {
         # section audit over documents
@@ -137,6 +144,10 @@ def queries() -> dict:
         "section_summary_context": lambda s, d: audit.summary_context(_parsed(s, d)),
         # sources
         "partition_presence": q_partition_presence,
+        "data_freshness": lambda s, d: zones.freshness(inputs(s, d).raw("lineitem"), "lineitem").unionByName(
+            zones.freshness(inputs(s, d).raw("orders"), "orders")),
+        "object_listing": lambda s, d: zones.list_objects(s, d, exclude_prefixes=(), min_bytes=100),
+        "bundle_digest": q_bundle_digest,
         "table_fingerprint": q_table_fingerprint,
         "synthetic_energy": lambda s, d: synth.synthesize_energy(inputs(s, d).raw("supplier")),
         "synthetic_loans": lambda s, d: synth.synthesize_loans(inputs(s, d).raw("customer")),

@@ -281,6 +281,37 @@ SELECT 'case_' || CAST(doc_id % 7 AS VARCHAR) AS metrics_key, COUNT(*) AS total_
        COUNT(*) FILTER (WHERE doc_id % 7 NOT IN ({", ".join(map(str, no_para)) or "-1"})
                           AND contains(text, 'KEY INSIGHT')) AS sections_with_insights
 FROM documents GROUP BY 1"""
+    fragment("rwf", f"""
+WITH sm AS (SELECT s.query_id, s.doc_id, {R('s.score / MAX(s.score) OVER (PARTITION BY s.query_id)', 6)} AS score, d.lang
+            FROM bm25_scores s JOIN documents d ON d.doc_id = s.doc_id),
+filt AS (SELECT query_id, doc_id, score, rank FROM (
+           SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+           FROM sm WHERE lang = '{_q("en")}') a WHERE rank <= 5),
+usable AS (SELECT DISTINCT query_id FROM filt WHERE score >= 4e-1),
+unf AS (SELECT query_id, doc_id, score, rank FROM (
+          SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+          FROM sm) b WHERE rank <= 5 AND query_id NOT IN (SELECT query_id FROM usable))
+SELECT query_id, doc_id, rank, score, false AS fallback FROM filt WHERE query_id IN (SELECT query_id FROM usable)
+       AND score >= 4e-1
+UNION ALL
+SELECT query_id, doc_id, rank, score, true AS fallback FROM unf WHERE score >= 4e-1""", ["bm25_scores"])
+    q["retrieval_with_fallback"] = with_ctes("SELECT * FROM rwf", ["rwf"])
+    q["retrieval_stats"] = with_ctes("""
+SELECT h.query_id, h.hits, h.above_threshold, CAST(COALESCE(p.used, 0) AS BIGINT) AS used,
+       CAST(COALESCE(p.chars, 0) AS BIGINT) AS chars
+FROM (SELECT query_id, COUNT(*) AS hits, COUNT(*) FILTER (WHERE score >= 4e-1) AS above_threshold
+      FROM rwf GROUP BY query_id) h
+LEFT JOIN (
+  SELECT query_id, COUNT(*) AS used, SUM(length(used)) AS chars
+  FROM (SELECT *, CASE WHEN cum <= 2000 THEN passage
+                       WHEN prev < 2000 AND 2000 - prev > 100 THEN substring(passage, 1, CAST(2000 - prev AS INTEGER)) END AS used,
+               MIN(CASE WHEN cum > 2000 THEN rank END) OVER (PARTITION BY query_id) AS first_over
+        FROM (SELECT *, cum - len AS prev FROM (
+                SELECT h.query_id, h.doc_id, h.rank, d.text AS passage, length(d.text) AS len,
+                       SUM(length(d.text)) OVER (PARTITION BY h.query_id ORDER BY h.rank ROWS UNBOUNDED PRECEDING) AS cum
+                FROM rwf h JOIN documents d ON d.doc_id = h.doc_id WHERE length(d.text) > 0) a) b) c
+  WHERE used IS NOT NULL AND (first_over IS NULL OR rank <= first_over)
+  GROUP BY query_id) p ON p.query_id = h.query_id""", ["rwf"])
     # ------------------------------------------------------------ sources
     q["partition_presence"] = with_ctes(f"""
 SELECT t.table_name, CAST(y.reporting_year AS INTEGER) AS reporting_year, COALESCE(p.present, false) AS present
