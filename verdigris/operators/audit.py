@@ -456,6 +456,22 @@ def summary_context(parsed: DataFrame, marker: str = "KEY INSIGHT") -> DataFrame
                                              F.count_if(has).alias("sections_with_insights"))
 
 
+# FIXED VALUES: provenance block marker and its six fields
+PROVENANCE_MARK = "DATA PROVENANCE:"
+PROVENANCE_FIELDS = ("Source:", "EF:", "Methodology:", "Quality:", "Validated:", "Owner:")
+
+
+def provenance_check(parsed: DataFrame) -> DataFrame:
+    """VA-29: provenance footnote present (VAL-PROV-01) and complete (VAL-PROV-02), warnings."""
+    notes = F.coalesce(F.col("sec.footnotes"), F.array().cast("array<string>"))
+    block = F.try_element_at(F.filter(notes, lambda n: n.contains(PROVENANCE_MARK)), F.lit(1))
+    present = F.size(F.array_compact(F.array(*[F.when(block.contains(f), F.lit(f)) for f in PROVENANCE_FIELDS])))
+    return parsed.select("section_key", block.isNotNull().alias("has_provenance"),
+                         F.coalesce(present, F.lit(0)).alias("fields_present"),
+                         F.when(block.isNull(), F.lit("VAL-PROV-01"))
+                          .when(present < len(PROVENANCE_FIELDS), F.lit("VAL-PROV-02")).alias("warning"))
+
+
 def recover_json(raw) -> Column:
     """VA-26: the object as is, else the fenced ```json block, else first '{' .. last '}'."""
     r = F.col(raw) if isinstance(raw, str) else raw

@@ -139,5 +139,6 @@ def queries() -> dict:
         "waterfall": q_waterfall,
         "run_log_rollup": lambda s, d: dashboard.run_log_rollup(inputs(s, d).raw("events")),
         "run_log_latest": lambda s, d: dashboard.run_log_latest(inputs(s, d).raw("events"), 20),
+        "run_log_latest_errors": lambda s, d: dashboard.run_log_latest(inputs(s, d).raw("events"), 20, "error"),
         "documents_by_category": lambda s, d: dashboard.documents_by_category(inputs(s, d).raw("documents")),
     }

@@ -282,6 +282,18 @@ SELECT reporting_year, rank, facility_id, scope1_tco2e, scope1_natgas_tco2e, sco
 FROM (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY reporting_year
                                    ORDER BY scope1_tco2e DESC, facility_id) AS INTEGER) AS rank
       FROM ghg_scope1) r WHERE rank <= 10""", ["ghg_scope1"])
+    from ..operators import scope1 as _s1
+    fac = ", ".join(f"('{a}', '{u}', {D(f)}, '{c}')" for a, u, f, c in _s1.ACTIVITY_FACTORS)
+    qual = ", ".join(f"('{a}', {b})" for a, b in _s1.SOURCE_QUALITY)
+    q["scope1_by_source"] = with_ctes(f"""
+SELECT reporting_year, emission_source, source_type, unit, COUNT(*) AS records, {R('SUM(quantity)', 2)} AS quantity,
+       {R('SUM(quantity * factor)', 4)} AS emissions_tco2e, {R('AVG(COALESCE(quality_score, 4))', 4)} AS avg_quality_score
+FROM (SELECT reporting_year, data_source, 'natural_gas' AS source_type, natural_gas_gj AS quantity FROM s1_base
+      UNION ALL SELECT reporting_year, data_source, 'diesel_generator', diesel_liters FROM s1_base) a
+JOIN (VALUES {fac}) f(source_type, unit, factor, emission_source) USING (source_type)
+LEFT JOIN (VALUES {qual}) qs(data_source, quality_score) USING (data_source)
+WHERE quantity IS NOT NULL
+GROUP BY reporting_year, emission_source, source_type, unit""", ["s1_base"])
     q["scope2_monthly"] = with_ctes(f"""
 SELECT facility_id, reporting_year, reporting_month, electricity_kwh_clean,
        {R('scope2_location_month_kgco2e', 6)} AS scope2_location_month_kgco2e FROM s2_monthly""", ["s2_monthly"])

@@ -288,6 +288,11 @@ SELECT event_id AS run_id, event_type AS status, ts AS start_ts,
        ts + to_microseconds(CAST(CAST(value AS DECIMAL(18,6)) * 1000000 AS BIGINT)) AS stop_ts,
        {R('value', 3)} AS duration_s
 FROM events ORDER BY ts DESC, event_id DESC LIMIT 20"""
+    q["run_log_latest_errors"] = f"""
+SELECT event_id AS run_id, event_type AS status, ts AS start_ts,
+       ts + to_microseconds(CAST(CAST(value AS DECIMAL(18,6)) * 1000000 AS BIGINT)) AS stop_ts,
+       {R('value', 3)} AS duration_s
+FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 20"""
     q["documents_by_category"] = f"""
 SELECT source AS category, COUNT(*) AS documents, SUM(n_chars) AS total_chars,
        {R('AVG(n_chars) / 1024e0', 2)} AS avg_size_kb, COUNT(DISTINCT lang) AS languages

@@ -36,7 +36,7 @@ ENERGY_SCHEMA = T.StructType([
 def _refresh_years(spark: SparkSession, root: str, years: DataFrame, facilities: DataFrame | None) -> None:
     raw = zones.read_zone(spark, root, "raw", "energy_consumption", ENERGY_SCHEMA)
     # semi-join on the touched years; partition pruning applies as the join key is the partition column
-    touched = raw.join(years, "reporting_year", "left_semi")
+    touched = raw.join(F.broadcast(years), "reporting_year", "left_semi")   # a handful of years
     cur, rej = scope1.scope1(touched)
     zones.write_zone(cur, root, "curated", "ghg_scope1")
     zones.write_zone(rej, root, "curated", "errors/ghg_scope1", None, ("reporting_year",))
