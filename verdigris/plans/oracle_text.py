@@ -86,6 +86,53 @@ def _values(rows, cols) -> str:
     return f"(VALUES {body})"
 
 
+def _case_text_tail(sec: dict) -> tuple[bool, str]:
+    """(has_doc_prefix, text after the document) of a template's flattened text."""
+    paras = [p.get("text", "") for p in sec.get("paragraphs", [])]
+    cells = [c for t in sec.get("tables", []) for r in t.get("rows", []) for c in r]
+    if paras:
+        first = paras[0].replace(sections.MARK, "")
+        return True, " ".join([first] + paras[1:] + cells)
+    return False, " ".join(cells)
+
+
+def _case_structure(sec: dict) -> list[tuple[str, str, str]]:
+    """Structural findings of a template, restated in plain Python."""
+    import re as _re
+    out = []
+    req = ["section_id", "title", "paragraphs", "tables", "key_metrics", "footnotes", "framework_references"]
+    missing = sorted(k for k in req if k not in sec)
+    if missing:
+        out.append(("VAL-STR-02", "error", ",".join(missing)))
+    sid = sec.get("section_id", "")
+    if not _re.match(r"^[A-Z0-9_]+_[A-Z0-9]+_\d{4}$", sid):
+        out.append(("VAL-STR-03", "warning", sid))
+    paras = sec.get("paragraphs", [])
+    if not paras:
+        out.append(("VAL-STR-04", "warning", "empty paragraphs"))
+    bad = [p.get("paragraph_type", "") for p in paras
+           if p.get("paragraph_type", "") not in ("narrative", "methodology", "footnote", "forward_looking")]
+    if bad:
+        out.append(("VAL-STR-05", "error", ",".join(bad)))
+    low = sid.lower()
+    stype = ("scope1" if "scope1" in low or "_s1_" in low else "scope2" if "scope2" in low or "_s2_" in low
+             else "scope3_pcaf" if "pcaf" in low or "scope3" in low else "intensity" if "intensity" in low
+             else "summary" if "summary" in low else "unknown")
+    quant = stype in ("scope1", "scope2", "scope3_pcaf", "intensity", "summary")
+    tables = sec.get("tables", [])
+    if quant and not tables:
+        out.append(("VAL-STR-06", "error", "no tables"))
+    if any(len(r) != len(t.get("headers", [])) for t in tables for r in t.get("rows", [])):
+        out.append(("VAL-STR-07", "error", "row length differs from headers"))
+    if quant and not sec.get("key_metrics"):
+        out.append(("VAL-STR-08", "error", "no key_metrics"))
+    if not sec.get("data_sources_used"):
+        out.append(("VAL-STR-09", "warning", "data_sources_used empty"))
+    if len(sec.get("advisory_recommendations", []) or []) < 2:
+        out.append(("VAL-STR-10", "warning", "advisory_recommendations < 2"))
+    return out
+
+
 def _cmp(x: str) -> str:
     return (f"CASE op WHEN '<' THEN {x} < threshold WHEN '<=' THEN {x} <= threshold "
             f"WHEN '>' THEN {x} > threshold WHEN '>=' THEN {x} >= threshold END")
@@ -324,6 +371,24 @@ LEFT JOIN (
 SELECT d.doc_id AS section_key, p.has_provenance, CAST(p.fields_present AS INTEGER) AS fields_present, p.warning
 FROM documents d JOIN (VALUES {prov_rows}) p(case_no, has_provenance, fields_present, warning)
   ON p.case_no = d.doc_id % 7"""
+    tails = []
+    for i, (_, sec, _) in enumerate(sections.CASES):
+        has_doc, tail = _case_text_tail(sec)
+        tails.append(f"({i}, {'true' if has_doc else 'false'}, '{_q(tail)}')")
+    strict = audit.NUMERIC_PATTERN_STRICT
+    q["audit_claims"] = f"""
+WITH s AS (SELECT d.doc_id AS section_key,
+                  CASE WHEN c.has_doc THEN d.text || ' ' || c.tail ELSE c.tail END AS all_text
+           FROM documents d JOIN (VALUES {", ".join(tails)}) c(case_no, has_doc, tail) ON c.case_no = d.doc_id % 7)
+SELECT section_key, CAST(claim_no AS INTEGER) AS claim_no, raw, TRY_CAST(replace(raw, ',', '') AS DOUBLE) AS value, unit
+FROM (SELECT section_key, UNNEST(generate_series(0, len(v) - 1)) AS claim_no, UNNEST(v) AS raw, UNNEST(u) AS unit
+      FROM (SELECT section_key, regexp_extract_all(all_text, '{strict}', 1) AS v,
+                   regexp_extract_all(all_text, '{strict}', 2) AS u FROM s) a) b"""
+    srows = [f"({i}, '{r}', '{sv}', '{_q(dt)}')" for i, (_, sec, _) in enumerate(sections.CASES)
+             for r, sv, dt in _case_structure(sec)]
+    q["audit_structure"] = f"""
+SELECT d.doc_id AS section_key, f.rule, f.severity, f.detail
+FROM documents d JOIN (VALUES {", ".join(srows)}) f(case_no, rule, severity, detail) ON f.case_no = d.doc_id % 7"""
     # ------------------------------------------------------------ sources
     q["partition_presence"] = with_ctes(f"""
 SELECT t.table_name, CAST(y.reporting_year AS INTEGER) AS reporting_year, COALESCE(p.present, false) AS present
