@@ -64,3 +64,25 @@ def test_presence_csv_json_listing(spark, tmpdir_run):
     assert zones.read_bundle_json(spark, js, inp.hr.schema).count() == inp.hr.count()
     lst = zones.list_objects(spark, tmpdir_run, min_bytes=1).collect()
     assert any(r.category == "sample_csv" for r in lst)
+
+
+def test_ddl_tables_over_zones(spark, tmpdir_run):
+    from verdigris.sources import ddl
+    inp = inputs(spark, SF0001)
+    zones.write_zone(inp.energy, tmpdir_run, "raw", "energy_consumption", None, ("reporting_year", "reporting_month"))
+    zones.write_zone(inp.loans, tmpdir_run, "raw", "loan_portfolio")
+    zones.write_zone(inp.hr, tmpdir_run, "raw", "hr_metrics")
+    batch.refresh(spark, SF0001, tmpdir_run)
+    try:
+        names = ddl.create_all(spark, tmpdir_run)
+        assert len(names) == 9
+        assert spark.table("esg_raw.energy_consumption").count() == inp.energy.count()
+        assert spark.table("esg_curated.ghg_scope1").count() > 0
+        parts = spark.sql("SHOW PARTITIONS esg_aggregated.ghg_summary_annual").count()
+        assert parts == 7
+        r = ddl.summary_by_name(spark, 2000, "GENERIC_FI_001").collect()
+        assert len(r) == 1 and r[0].metric_key == "GENERIC_FI_001_2000"
+        comment = [c for c in spark.catalog.listColumns("esg_curated.ghg_scope1") if c.name == "scope1_tco2e"][0]
+        assert comment.description == "tCO2e, 4 dp"
+    finally:
+        ddl.drop_all(spark)

@@ -456,6 +456,33 @@ def summary_context(parsed: DataFrame, marker: str = "KEY INSIGHT") -> DataFrame
                                              F.count_if(has).alias("sections_with_insights"))
 
 
+# FIXED VALUES: metric labels recognised in text (label -> metric) for claim mapping
+CLAIM_LABELS = [("scope 1", "scope1_tco2e"), ("natural gas", "scope1_natgas_tco2e"),
+                ("diesel", "scope1_diesel_tco2e"), ("scope 2", "scope2_location_tco2e"),
+                ("gross financed", "scope3_cat15_gross_tco2e"),
+                ("confidence-weighted", "scope3_cat15_weighted_tco2e")]
+LABEL_WINDOW = 60
+LABEL_PATTERN = ("(?iu)(" + "|".join(lb for lb, _ in CLAIM_LABELS) + r")[^0-9]{0,%d}?" % LABEL_WINDOW
+                 + r"(\d{1,3}(?:,\d{3})*(?:\.\d+)?)\s*tCO2e")
+
+
+def claim_metric_mapping(parsed: DataFrame, metrics: DataFrame) -> DataFrame:
+    """VA-24: a number with a metric label within 60 characters before it is a claim about
+    that metric; compare it with the report's value (tolerance 0.001)."""
+    p = parsed.join(report_metrics(metrics), "metrics_key", "left")
+    labels = F.regexp_extract_all("all_text", F.lit(LABEL_PATTERN), 1)
+    nums = F.regexp_extract_all("all_text", F.lit(LABEL_PATTERN), 2)
+    lm = F.create_map(*[x for lb, m in CLAIM_LABELS for x in (F.lit(lb), F.lit(m))])
+    z = p.select("section_key", "mmap", F.posexplode(F.arrays_zip(labels.alias("l"), nums.alias("n")))
+                 .alias("claim_no", "c"))
+    metric = lm[F.lower(F.col("c.l"))]
+    claimed = F.regexp_replace("c.n", ",", "").try_cast("double")
+    source = F.col("mmap")[metric]
+    return z.select("section_key", "claim_no", F.lower(F.col("c.l")).alias("label"), metric.alias("metric"),
+                    claimed.alias("claimed_value"), source.alias("source_value"),
+                    (F.abs(claimed - source) <= TOLERANCE_TCO2E).alias("matches"))
+
+
 # FIXED VALUES: provenance block marker and its six fields
 PROVENANCE_MARK = "DATA PROVENANCE:"
 PROVENANCE_FIELDS = ("Source:", "EF:", "Methodology:", "Quality:", "Validated:", "Owner:")

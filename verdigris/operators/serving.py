@@ -36,6 +36,14 @@ def summary_for(summary: DataFrame, year: int, bank_id: str = C.BANK_ID) -> Data
     return summary.filter((F.col("reporting_year") == year) & _bank(bank_id)).select(*SUMMARY_FIELDS)
 
 
+def summary_for_sql(spark, summary: DataFrame, year: int, bank_id: str = C.BANK_ID) -> DataFrame:
+    """SRV-01 through the SQL API: named parameters instead of formatted strings (D-08)."""
+    return spark.sql(
+        "SELECT " + ", ".join(SUMMARY_FIELDS) + " FROM {summary} "
+        "WHERE reporting_year = :year AND startswith(metric_key, :prefix)",
+        args={"year": year, "prefix": bank_id + "_"}, summary=summary)
+
+
 def prior_summary(summary: DataFrame, year: int, bank_id: str = C.BANK_ID) -> DataFrame:
     """SRV-03: the year before ``year``."""
     return summary.filter((F.col("reporting_year") == year - 1) & _bank(bank_id)).select(*PRIOR_FIELDS)

@@ -116,6 +116,7 @@ def queries() -> dict:
         "dq_orphans": q_dq_orphans,
         # serving
         "summary_for_year": lambda s, d: serving.summary_for(core(s, d).summary(), YEAR),
+        "summary_for_year_sql": lambda s, d: serving.summary_for_sql(s, core(s, d).summary(), YEAR),
         "prior_year_summary": lambda s, d: serving.prior_summary(core(s, d).summary(), YEAR),
         "sector_top10": lambda s, d: serving.sector_top(core(s, d).sector, YEAR, 10),
         "facility_top10": lambda s, d: serving.facility_top(scope1.top_facilities(core(s, d).s1), YEAR, 10),

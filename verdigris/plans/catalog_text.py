@@ -143,6 +143,7 @@ def queries() -> dict:
             _parsed(s, d).withColumn("framework", audit.framework_of("section_id"))),
         "section_summary_context": lambda s, d: audit.summary_context(_parsed(s, d)),
         "audit_provenance": lambda s, d: audit.provenance_check(_parsed(s, d)),
+        "audit_claim_mapping": lambda s, d: audit.claim_metric_mapping(_parsed(s, d), _metrics(s, d)),
         # sources
         "partition_presence": q_partition_presence,
         "data_freshness": lambda s, d: zones.freshness(inputs(s, d).raw("lineitem"), "lineitem").unionByName(

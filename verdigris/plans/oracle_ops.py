@@ -160,6 +160,7 @@ FROM loan_portfolio l WHERE NOT EXISTS (SELECT 1 FROM borrower_dim b WHERE b.bor
     q["summary_for_year"] = with_ctes(
         f"SELECT {fields14}, yoy_change_pct, vs_base_year_change_pct, avg_pcaf_data_quality, assurance_level "
         f"FROM ghg_summary_annual WHERE reporting_year = {Y} AND {bank}", ["ghg_summary_annual"])
+    q["summary_for_year_sql"] = q["summary_for_year"]
     q["prior_year_summary"] = with_ctes(
         f"SELECT {fields14} FROM ghg_summary_annual WHERE reporting_year = {Y - 1} AND {bank}", ["ghg_summary_annual"])
     q["sector_top10"] = with_ctes(f"""

@@ -384,6 +384,21 @@ SELECT section_key, CAST(claim_no AS INTEGER) AS claim_no, raw, TRY_CAST(replace
 FROM (SELECT section_key, UNNEST(generate_series(0, len(v) - 1)) AS claim_no, UNNEST(v) AS raw, UNNEST(u) AS unit
       FROM (SELECT section_key, regexp_extract_all(all_text, '{strict}', 1) AS v,
                    regexp_extract_all(all_text, '{strict}', 2) AS u FROM s) a) b"""
+    mrows = ", ".join(f"({i}, '{k}', {D(float(v))})" for i, (_, _, m) in enumerate(sections.CASES) for k, v in m.items())
+    lmap = ", ".join(f"('{lb}', '{m}')" for lb, m in audit.CLAIM_LABELS)
+    lpat = audit.LABEL_PATTERN.replace("(?iu)", "(?i)")
+    q["audit_claim_mapping"] = f"""
+WITH s AS (SELECT d.doc_id AS section_key, d.doc_id % 7 AS case_no,
+                  CASE WHEN c.has_doc THEN d.text || ' ' || c.tail ELSE c.tail END AS all_text
+           FROM documents d JOIN (VALUES {", ".join(tails)}) c(case_no, has_doc, tail) ON c.case_no = d.doc_id % 7),
+x AS (SELECT section_key, case_no, UNNEST(generate_series(0, len(l) - 1)) AS claim_no, UNNEST(l) AS label_raw, UNNEST(n) AS num
+      FROM (SELECT section_key, case_no, regexp_extract_all(all_text, '{lpat}', 1) AS l,
+                   regexp_extract_all(all_text, '{lpat}', 2) AS n FROM s) a)
+SELECT x.section_key, CAST(x.claim_no AS INTEGER) AS claim_no, lower(x.label_raw) AS label, lm.metric,
+       TRY_CAST(replace(x.num, ',', '') AS DOUBLE) AS claimed_value, m.value AS source_value,
+       ABS(TRY_CAST(replace(x.num, ',', '') AS DOUBLE) - m.value) <= 1e-3 AS matches
+FROM x LEFT JOIN (VALUES {lmap}) lm(label, metric) ON lm.label = lower(x.label_raw)
+LEFT JOIN (VALUES {mrows}) m(case_no, metric, value) ON m.case_no = x.case_no AND m.metric = lm.metric"""
     srows = [f"({i}, '{r}', '{sv}', '{_q(dt)}')" for i, (_, sec, _) in enumerate(sections.CASES)
              for r, sv, dt in _case_structure(sec)]
     q["audit_structure"] = f"""
