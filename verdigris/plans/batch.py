@@ -26,9 +26,21 @@ OBSERVED: dict[str, int] = {}
 
 
 def curated_stage(inp: Inputs, root: str, impute_by: str = "month", rec_mode: str = "spec") -> dict[str, str]:
+    paths: dict[str, str] = {}
+    # the complete energy rows feed scope 1 (twice: means and main pass) and scope 2
+    energy = scope1.complete_rows(inp.energy).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        paths.update(_energy_scopes(inp, root, energy, impute_by, rec_mode))
+    finally:
+        energy.unpersist()
+    paths.update(_loan_scope(inp, root))
+    return paths
+
+
+def _energy_scopes(inp: Inputs, root: str, energy: DataFrame, impute_by: str, rec_mode: str) -> dict[str, str]:
     paths: dict[str, str] = {}
     # scope 1: one annual frame feeds curated and rejects
-    annual = scope1.annual_rollup(scope1.impute_fuel(inp.energy, impute_by, inp.facilities))
+    annual = scope1.annual_rollup(scope1.impute_fuel(energy, impute_by, inp.facilities))
     annual = annual.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         # GOV-14: row counts observed during the writes themselves (no extra job)
@@ -44,8 +56,13 @@ def curated_stage(inp: Inputs, root: str, impute_by: str = "month", rec_mode: st
         OBSERVED["scope1_rejected_rows"] = obs_rej.get["rows"]
     finally:
         annual.unpersist()
-    paths["ghg_scope2"] = zones.write_zone(scope2.scope2(inp.energy, inp.facilities, rec_mode),
+    paths["ghg_scope2"] = zones.write_zone(scope2.scope2(energy, inp.facilities, rec_mode),
                                            root, "curated", "ghg_scope2")
+    return paths
+
+
+def _loan_scope(inp: Inputs, root: str) -> dict[str, str]:
+    paths: dict[str, str] = {}
     # scope 3: loan level written once; sector table and rejects derive from it
     checked = scope3.with_reject_reason(inp.loans).persist(StorageLevel.MEMORY_AND_DISK)
     try:
