@@ -27,6 +27,9 @@ def test_pack_truncates_crossing_passage(spark):
     passages = spark.createDataFrame([(10, "a" * 300), (11, "b" * 400), (12, "c" * 50)], "doc_id int, text string")
     r = retrieval.pack(hits, passages, cap_tokens=125).orderBy("rank").collect()
     assert [(x.chars_used, x.truncated) for x in r] == [(300, False), (200, True)]
+    assert r[1].context == "b" * 200 + "..."
+    ctx = retrieval.context_text(retrieval.pack(hits, passages, cap_tokens=125)).first().context
+    assert ctx == "a" * 300 + "\n\n---\n\n" + "b" * 200 + "..."
 
 
 def test_chunks_cover_every_token(spark):

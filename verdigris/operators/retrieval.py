@@ -27,6 +27,8 @@ SCORE_THRESHOLD = 0.40
 BENCHMARK_THRESHOLD = 0.30
 CHARS_PER_TOKEN = 4
 MIN_TAIL_CHARS = 100
+TRUNCATION_MARK = "..."
+PASSAGE_SEPARATOR = "\n\n---\n\n"
 BM25_K1 = 1.2
 BM25_B = 0.75
 
@@ -163,7 +165,17 @@ def pack(hits: DataFrame, passages: DataFrame, cap_tokens: int, qkey: str = "que
     return (h.withColumn("used", used).withColumn("first_over", first_over)
              .filter(F.col("used").isNotNull() & (F.col("first_over").isNull() | (F.col("rank") <= F.col("first_over"))))
              .select(qkey, dkey, "rank", F.length("used").alias("chars_used"),
-                     (F.length("used") < F.col("len")).alias("truncated"), F.col("used").alias("context")))
+                     (F.length("used") < F.col("len")).alias("truncated"),
+                     F.when(F.length("used") < F.col("len"), F.concat("used", F.lit(TRUNCATION_MARK)))
+                      .otherwise(F.col("used")).alias("context")))
+
+
+def context_text(packed: DataFrame, qkey: str = "query_id") -> DataFrame:
+    """KB-07: the packed passages of a query joined in rank order (top-k: bounded per query)."""
+    parts = F.sort_array(F.collect_list(F.struct("rank", "context")))
+    return packed.groupBy(qkey).agg(
+        F.array_join(F.transform(parts, lambda x: x["context"]), PASSAGE_SEPARATOR).alias("context"),
+        F.sum("chars_used").alias("chars_used"))
 
 
 def retrieval_stats(scored: DataFrame, packed: DataFrame, threshold: float, qkey: str = "query_id") -> DataFrame:

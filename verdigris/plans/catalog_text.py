@@ -124,6 +124,7 @@ def queries() -> dict:
         "retrieval_with_fallback": q_retrieval_with_fallback,
         "context_pack": q_context_pack,
         "retrieval_stats": q_retrieval_stats,
+        "context_text": lambda s, d: retrieval.context_text(q_context_pack(s, d)),
         # report tables
         "indicator_table": lambda s, d: reports.indicator_table(s, _long(s, d)),
         "scorecard": lambda s, d: reports.scorecard(_wide(s, d)),

@@ -170,7 +170,7 @@ SELECT query_id, vec_id, rank, score FROM (
 WHERE rank <= 5"""
     q["context_pack"] = with_ctes("""
 SELECT query_id, doc_id, rank, CAST(length(used) AS INTEGER) AS chars_used, length(used) < len AS truncated,
-       used AS context
+       CASE WHEN length(used) < len THEN used || '...' ELSE used END AS context
 FROM (SELECT *, CASE WHEN cum <= 2000 THEN passage
                      WHEN prev < 2000 AND 2000 - prev > 100 THEN substring(passage, 1, CAST(2000 - prev AS INTEGER)) END AS used,
              MIN(CASE WHEN cum > 2000 THEN rank END) OVER (PARTITION BY query_id) AS first_over
@@ -179,6 +179,9 @@ FROM (SELECT *, CASE WHEN cum <= 2000 THEN passage
                      SUM(length(d.text)) OVER (PARTITION BY h.query_id ORDER BY h.rank ROWS UNBOUNDED PRECEDING) AS cum
               FROM bm25_top5 h JOIN documents d ON d.doc_id = h.doc_id WHERE length(d.text) > 0) a) b) c
 WHERE used IS NOT NULL AND (first_over IS NULL OR rank <= first_over)""", ["bm25_top5"])
+    q["context_text"] = (f"SELECT query_id, string_agg(context, chr(10) || chr(10) || '---' || chr(10) || chr(10) "
+                         f"ORDER BY rank) AS context, SUM(chars_used) AS chars_used FROM ({q['context_pack']}) p "
+                         f"GROUP BY query_id")
     # ------------------------------------------------------------ reports
     ind = _values(reports.INDICATORS, ["no", "indicator", "unit", "metric", "pred_metric", "basis", "op",
                                        "threshold", "target"])
