@@ -50,3 +50,16 @@ def test_humanize(spark):
     df = spark.createDataFrame([(0.0,), (None,), (1250000.0,), (3456.0,), (12.5,), (999.0,)], "v double")
     got = [r[0] for r in df.select(dashboard.humanize("v")).collect()]
     assert got == ["0", "0", "1.3M", "3.5K", "12.5", "999"]
+
+
+def test_bm25_pruned_equals_full(spark):
+    from conftest import SF0001
+    docs = spark.read.parquet(f"{SF0001}/documents.parquet")
+    b = spark.read.parquet(f"{SF0001}/benchmark.parquet")
+    q = b.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    extra = spark.createDataFrame([(10_000, "the and of in"), (10_001, "zzzz unknownterm")],
+                                  "query_id long, query_text string")
+    q = q.unionByName(extra)
+    full = sorted(map(tuple, retrieval.bm25_topk(q, docs, 5).collect()))
+    pruned = sorted(map(tuple, retrieval.bm25_topk_pruned(q, docs, 5).collect()))
+    assert full == pruned and len(full) > 0

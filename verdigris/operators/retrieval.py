@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import dround
+from ..session import shared_dir
 
 # FIXED VALUES: retrieval parameters of the reference
 CHUNK_TOKENS = 300
@@ -89,6 +90,82 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, qkey: str = "query_id", qte
     return s.groupBy(qkey, dkey).agg(F.sum("part").alias("score"))
 
 
+def _bm25_parts(queries: DataFrame, docs: DataFrame, qkey: str, qtext: str, dkey: str, dtext: str,
+                k1: float, b: float):
+    """Shared pieces: (query, term) list, postings of the query vocabulary, idf, weight expression."""
+    toks = docs.select(dkey, F.regexp_extract_all(F.lower(F.col(dtext)), F.lit(TOKEN), 0).alias("toks"))
+    stats = toks.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("toks")).alias("avgdl"))
+    qt = terms(queries, qkey, qtext).select(qkey, "term").distinct()
+    post = (toks.select(dkey, F.size("toks").alias("dl"), F.explode("toks").alias("term"))
+                .join(qt.select("term").distinct(), "term", "left_semi")
+                .groupBy(dkey, "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
+    # every use of the postings references the same aggregate columns (``tf > 0`` is always
+    # true), so all branches share one postings exchange instead of re-tokenising the corpus
+    post = post.filter(F.col("tf") > 0)
+    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n_docs = stats.select("n_docs").scalar()
+    avgdl = stats.select("avgdl").scalar()
+    idf = df.select("term", "df", F.log(F.lit(1.0) + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    weight = (F.col("idf") * F.col("tf") * (k1 + 1)
+              / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl)))
+    return qt, post, idf, weight
+
+
+def bm25_topk_pruned(queries: DataFrame, docs: DataFrame, k: int = TOP_K, qkey: str = "query_id",
+                     qtext: str = "query_text", dkey: str = "doc_id", dtext: str = "text",
+                     k1: float = BM25_K1, b: float = BM25_B, margin: float = 1e-5) -> DataFrame:
+    """KB-04 exact top-k with max-score pruning: no candidate pairs for common terms.
+
+    1. Seed: per query, its rarest terms (idf desc) until their document
+       frequencies reach k; the documents containing them are scored exactly,
+       and the k-th best score is a lower bound theta of the true k-th score.
+    2. A term contributes at most ub = idf * (k1 + 1). Terms are taken from
+       the lowest ub while the running sum stays below theta - margin; those
+       are non-essential, because a document holding only them cannot reach
+       theta. Candidates are the documents containing an essential term.
+    3. Candidates are scored exactly over all query terms and ranked.
+
+    Result: identical to scoring every (query, document) pair; the margin
+    keeps the bound strict after rounding to six decimals.
+    """
+    qt, post, _, _ = _bm25_parts(queries, docs, qkey, qtext, dkey, dtext, k1, b)
+    # the postings of the query vocabulary and the corpus statistics are the index: built
+    # once, written to the shared checkpoint folder (survives executor loss), then read by
+    # every stage below instead of re-tokenising the corpus
+    shared_dir(queries.sparkSession)
+    post = post.checkpoint(eager=True)
+    toks = docs.select(F.size(F.regexp_extract_all(F.lower(F.col(dtext)), F.lit(TOKEN), 0)).alias("n"))
+    stats = toks.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("avgdl")).checkpoint(eager=True)
+    n_docs, avgdl = stats.select("n_docs").scalar(), stats.select("avgdl").scalar()
+    idf = post.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select(
+        "term", "df", F.log(F.lit(1.0) + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    weight = (F.col("idf") * F.col("tf") * (k1 + 1)
+              / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl)))
+    qti = qt.join(idf, "term").withColumn("ub", F.col("idf") * (k1 + 1))
+    terms_of = qt.select(qkey, "term")
+    postings = post.select("term", dkey, "dl", "tf").select("term", dkey)
+
+    def exact(pairs: DataFrame) -> DataFrame:
+        trip = pairs.join(terms_of, qkey)                      # candidate x the query's terms
+        w = trip.join(post, ["term", dkey]).join(idf.select("term", "idf"), "term")
+        return w.groupBy(qkey, dkey).agg(F.sum(weight).alias("score"))
+
+    wq = Window.partitionBy(qkey).orderBy(F.desc("idf"), F.asc("term"))
+    seed = (qti.withColumn("df_before", F.sum("df").over(wq.rowsBetween(Window.unboundedPreceding, -1)))
+               .filter(F.coalesce(F.col("df_before"), F.lit(0)) < k).select(qkey, "term"))
+    s1 = exact(seed.join(postings, "term").select(qkey, dkey).distinct()).withColumn("score", dround("score", 6))
+    theta = (top_k(s1, qkey, dkey, k).groupBy(qkey)
+             .agg(F.min("score").alias("kth"), F.count(F.lit(1)).alias("n"))
+             .select(qkey, F.when(F.col("n") >= k, F.col("kth") - margin).otherwise(F.lit(0.0)).alias("theta")))
+    wa = Window.partitionBy(qkey).orderBy(F.asc("ub"), F.desc("term"))
+    essential = (qti.join(theta, qkey, "left")
+                    .withColumn("cum_ub", F.sum("ub").over(wa.rowsBetween(Window.unboundedPreceding, 0)))
+                    .filter(~(F.col("cum_ub") < F.coalesce(F.col("theta"), F.lit(0.0))))
+                    .select(qkey, "term"))
+    s2 = exact(essential.join(postings, "term").select(qkey, dkey).distinct()).withColumn("score", dround("score", 6))
+    return top_k(s2, qkey, dkey, k).select(qkey, dkey, "rank", "score")
+
+
 def top_k(scores: DataFrame, qkey: str, dkey: str, k: int = TOP_K, score: str = "score") -> DataFrame:
     """Top-k per query by score, ties by id; rank 1..k."""
     w = Window.partitionBy(qkey).orderBy(F.desc(score), F.asc(dkey))
