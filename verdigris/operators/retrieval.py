@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import dround
-from ..session import shared_dir
+from ..session import materialize
 
 # FIXED VALUES: retrieval parameters of the reference
 CHUNK_TOKENS = 300
@@ -130,12 +130,11 @@ def bm25_topk_pruned(queries: DataFrame, docs: DataFrame, k: int = TOP_K, qkey:
     """
     qt, post, _, _ = _bm25_parts(queries, docs, qkey, qtext, dkey, dtext, k1, b)
     # the postings of the query vocabulary and the corpus statistics are the index: built
-    # once, written to the shared checkpoint folder (survives executor loss), then read by
+    # once, written as a table in the shared folder (survives executor loss), then read by
     # every stage below instead of re-tokenising the corpus
-    shared_dir(queries.sparkSession)
-    post = post.checkpoint(eager=True)
+    post = materialize(post, "bm25_postings")
     toks = docs.select(F.size(F.regexp_extract_all(F.lower(F.col(dtext)), F.lit(TOKEN), 0)).alias("n"))
-    stats = toks.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("avgdl")).checkpoint(eager=True)
+    stats = materialize(toks.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("avgdl")), "bm25_stats")
     n_docs, avgdl = stats.select("n_docs").scalar(), stats.select("avgdl").scalar()
     idf = post.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select(
         "term", "df", F.log(F.lit(1.0) + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))

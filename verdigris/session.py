@@ -46,3 +46,18 @@ def shared_dir(spark: SparkSession) -> str:
         d = tempfile.mkdtemp(prefix="verdigris-ckpt-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def materialize(df, name: str):
+    """Write ``df`` as a parquet table in the shared folder and read it back.
+
+    Cuts lineage with one computation (an eager ``checkpoint()`` computes the
+    plan twice: once to count, once to write). The table lives in the shared
+    folder named by ``spark.checkpoint.dir``, so it survives executor loss.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/materialized/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
