@@ -264,7 +264,9 @@ def content_findings(parsed: DataFrame, metrics: DataFrame, strict_reference: bo
     (the reference stops there).
     """
     p = parsed if "struct_error" in parsed.columns else structure_findings(parsed)
-    p = p.join(report_metrics(metrics), "metrics_key", "left")
+    # one row per report (bank x year x framework): broadcast, so the sections are never
+    # shuffled by report key (a report may own a large share of all sections)
+    p = p.join(F.broadcast(report_metrics(metrics)), "metrics_key", "left")
     text = F.col("all_text")
     allowed = F.coalesce(F.col("allowed"), F.array(*[F.lit(float(x)) for x in WHITELISTED_VALUES]))
     m = lambda k: F.col("mmap")[F.lit(k)]
@@ -469,7 +471,7 @@ LABEL_PATTERN = ("(?iu)(" + "|".join(lb for lb, _ in CLAIM_LABELS) + r")[^0-9]{0
 def claim_metric_mapping(parsed: DataFrame, metrics: DataFrame) -> DataFrame:
     """VA-24: a number with a metric label within 60 characters before it is a claim about
     that metric; compare it with the report's value (tolerance 0.001)."""
-    p = parsed.join(report_metrics(metrics), "metrics_key", "left")
+    p = parsed.join(F.broadcast(report_metrics(metrics)), "metrics_key", "left")   # one row per report
     labels = F.regexp_extract_all("all_text", F.lit(LABEL_PATTERN), 1)
     nums = F.regexp_extract_all("all_text", F.lit(LABEL_PATTERN), 2)
     lm = F.create_map(*[x for lb, m in CLAIM_LABELS for x in (F.lit(lb), F.lit(m))])

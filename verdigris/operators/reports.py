@@ -103,7 +103,7 @@ def indicator_table(spark: SparkSession, long: DataFrame) -> DataFrame:
     shown = long.select("reporting_year", F.col("metric").alias("m"), "value", "prior_value", "change_pct")
     pred = long.select("reporting_year", F.col("metric").alias("pm"), F.col("value").alias("pv"),
                        F.col("change_pct").alias("pc"))
-    j = (ind.join(shown, F.col("m") == F.col("metric"))
+    j = (F.broadcast(ind).join(shown, F.col("m") == F.col("metric"))              # 12 fixed rows
             .join(pred, (F.col("pm") == F.col("pred_metric")) & (pred["reporting_year"] == shown["reporting_year"]),
                   "left"))
     x = F.when(F.col("basis") == "change", F.col("pc")).otherwise(F.col("pv"))
