@@ -200,7 +200,9 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, label: s
                 key: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """KB-02 / KB-03: cosine top-k within the query's framework label (equi-join)."""
     v = vectors.select(key, F.col(label).alias("filter_label"), F.col(vec).cast("array<double>").alias("v"))
-    s = queries.join(v, "filter_label").withColumn("score", dround(cosine(F.col("query_vec"), F.col("v")), 6))
+    # one query per framework label (a categorical domain): broadcast, so vectors are never
+    # shuffled by label, where one label may hold a large share of the corpus
+    s = v.join(F.broadcast(queries), "filter_label").withColumn("score", dround(cosine(F.col("query_vec"), F.col("v")), 6))
     return top_k(s, "query_id", key, k).select("query_id", key, "rank", "score")
 
 
