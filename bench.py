@@ -9,13 +9,13 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
 import time
+import uuid
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from verdigris.plans import batch, registry  # noqa: E402
-from verdigris.session import get_session  # noqa: E402
+from verdigris.session import get_session, shared_dir  # noqa: E402
 
 HEADLINE = [
     "ghg_scope1", "ghg_scope2", "ghg_scope3_financed", "ghg_summary_annual", "pcaf_by_sector",
@@ -44,7 +44,8 @@ def main() -> None:
         t0 = time.time()
         run(qs[n](spark, sf_dir))
         times[n] = round(time.time() - t0, 3)
-    root = tempfile.mkdtemp(prefix="verdigris-bench-", dir="/tmp")
+    # the shared folder named by spark.checkpoint.dir (a fresh /tmp folder only when unset)
+    root = f"{shared_dir(spark).rstrip('/')}/bench-{uuid.uuid4().hex}"
     t0 = time.time()
     res = batch.refresh(spark, sf_dir, root)
     times["batch_refresh"] = round(time.time() - t0, 3)
