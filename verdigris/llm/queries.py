@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import block_names
+from . import block_names, minhash
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -30,3 +30,9 @@ FROM t JOIN g ON t.norm = g.norm JOIN k ON t.norm = k.norm
 def op9_block_names(spark, sf_dir):
     groups = block_names.exact_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op1_minhash_bayes")
+def op1_minhash_bayes(spark, sf_dir):
+    groups = minhash.near_groups(table(spark, sf_dir, "documents"), size=3, percent=85)
+    return groups.select("doc_id", "n_shingles", "component_id", "kept")
