@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import block_names, minhash
+from . import block_names, line_crf, line_dedup, minhash
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -36,3 +36,33 @@ def op9_block_names(spark, sf_dir):
 def op1_minhash_bayes(spark, sf_dir):
     groups = minhash.near_groups(table(spark, sf_dir, "documents"), size=3, percent=85)
     return groups.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op2_line_crf")
+def op2_line_crf(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    field = line_crf.train(docs, table(spark, sf_dir, "labels"))
+    return line_crf.rule_table(docs, field).drop("line_labels")
+
+
+@query("op4_line_dedup", r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+u AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS unit FROM d),
+n AS (SELECT doc_id, unit, line,
+             sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit) - length(line) - 1 AS starts,
+             trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                 '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM u),
+q AS (SELECT *, len(regexp_extract_all(norm, '[^ ]+')) >= 8 AS counted FROM n),
+r AS (SELECT *, counted AND row_number() OVER (PARTITION BY norm, counted ORDER BY doc_id NULLS LAST, unit) > 1 AS gone FROM q)
+SELECT doc_id, CAST(count(*) FILTER (counted) AS BIGINT) AS n_units, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed,
+       CAST(coalesce(sum(length(line)) FILTER (gone), 0) AS BIGINT) AS removed_chars,
+       coalesce(string_agg(CAST(starts AS BIGINT) || ':' || CAST(starts + length(line) AS BIGINT), ',' ORDER BY unit) FILTER (gone), '') AS spans,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY unit) FILTER (NOT gone), '')) AS kept_sha256
+FROM r GROUP BY doc_id
+""")
+def op4_line_dedup(spark, sf_dir):
+    out = line_dedup.drop_repeats(table(spark, sf_dir, "documents"))
+    spans = F.transform("removed", lambda x: F.concat_ws(":", x["start"], x["end"]))
+    chars = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return out.select("doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"), chars.alias("removed_chars"),
+                      F.concat_ws(",", spans).alias("spans"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
