@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import block_names, line_crf, line_dedup, minhash
+from . import block_names, line_crf, line_dedup, minhash, mixing
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -66,3 +66,9 @@ def op4_line_dedup(spark, sf_dir):
     chars = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
     return out.select("doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"), chars.alias("removed_chars"),
                       F.concat_ws(",", spans).alias("spans"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op8_mixing")
+def op8_mixing(spark, sf_dir):
+    plan = mixing.plan(table(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
