@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import block_names, line_crf, line_dedup, minhash, mixing
+from . import block_names, line_crf, line_dedup, minhash, mixing, packing
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -72,3 +72,8 @@ def op4_line_dedup(spark, sf_dir):
 def op8_mixing(spark, sf_dir):
     plan = mixing.plan(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+
+
+@query("op10_packing")
+def op10_packing(spark, sf_dir):
+    return packing.packed_pieces(table(spark, sf_dir, "documents"))
