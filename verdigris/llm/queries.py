@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import block_names, line_crf, line_dedup, minhash, mixing, packing
+from . import block_names, line_crf, line_dedup, minhash, mixing, packing, pii, secret_scan
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -77,3 +77,22 @@ def op8_mixing(spark, sf_dir):
 @query("op10_packing")
 def op10_packing(spark, sf_dir):
     return packing.packed_pieces(table(spark, sf_dir, "documents"))
+
+
+def _span_columns(found, counted, base):
+    """n_<kind> for ``counted``, base_sha256 over the spans of ``base`` kinds, and all spans as text."""
+    join = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    of = lambda kinds: F.filter("spans", lambda x: x["kind"].isin(list(kinds)))
+    return found.select("doc_id", *(F.size(of([k])).cast("long").alias(f"n_{k}") for k in counted),
+                        F.sha2(join(of(base)), 256).alias("base_sha256"), join(F.col("spans")).alias("spans"))
+
+
+@query("op5_pii_anchors")
+def op5_pii_anchors(spark, sf_dir):
+    return _span_columns(pii.find_pii(table(spark, sf_dir, "documents")), pii.BASE, pii.BASE)
+
+
+@query("op6_secret_trigrams")
+def op6_secret_trigrams(spark, sf_dir):
+    base = [r.name for r in secret_scan.BASE]
+    return _span_columns(secret_scan.find_secrets(table(spark, sf_dir, "documents")), base, base)
