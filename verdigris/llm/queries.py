@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import block_names, line_crf, line_dedup, minhash, mixing, packing, pii, secret_scan
+from . import block_names, chat_format, line_crf, line_dedup, minhash, mixing, packing, pii, secret_scan, warc
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -96,3 +96,25 @@ def op5_pii_anchors(spark, sf_dir):
 def op6_secret_trigrams(spark, sf_dir):
     base = [r.name for r in secret_scan.BASE]
     return _span_columns(secret_scan.find_secrets(table(spark, sf_dir, "documents")), base, base)
+
+
+@query("op7_chat_masks")
+def op7_chat_masks(spark, sf_dir):
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                    F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                    F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return chat_format.read_back(chat_format.format_chats(chats.unionByName(control)))
+
+
+@query("op3_warc_bundles", r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+g AS (SELECT html, min(page_id) AS first_id, octet_length(encode(html)) >= 100 AS large FROM p GROUP BY html)
+SELECT p.page_id, CAST(octet_length(encode(p.html)) AS BIGINT) AS payload_bytes, sha256(p.html) AS payload_digest,
+       CASE WHEN g.large AND p.page_id <> g.first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN g.large AND p.page_id <> g.first_id THEN g.first_id END AS refers_to
+FROM p JOIN g ON p.html = g.html
+""")
+def op3_warc_bundles(spark, sf_dir):
+    index = warc.write_archives(table(spark, sf_dir, "pages"), warc.archive_folder(spark))
+    return warc.resolved(warc.read_archives(index.select("archive").distinct()))
