@@ -7,12 +7,16 @@ probability that its similarity reaches the threshold falls below the chosen
 miss probability (uniform prior, so after ``m`` of ``n`` equal hashes the
 posterior is Beta(m+1, n-m+1)). What survives is verified on the full sets.
 
-Candidates come in two rounds, so that no group emits all its pairs. Round one
-meets each member of a bucket with the bucket's first member only, and each
-document is verified against one of these. Round two takes the buckets whose
-members are not all connected yet and meets members of different components;
-pairs inside a component need no test, as they change nothing. Together every
-candidate pair is either tested or already connected.
+Candidates come in rounds, so that no group emits all its pairs. First each
+member of a bucket meets the bucket's first member only: each document is
+verified against one of these, then against those that it isn't connected with
+yet. What is left are buckets whose members are not all connected. In a group
+of copies edited apart these are many, and nearly all of their pairs fall short
+of the threshold. So a prefix filter goes first: with shingles ordered from rare
+to frequent, sets that reach the threshold share one of their first few, at
+places that leave room for the overlap needed. Only such pairs across
+components are compared and verified. Pairs inside a component need no test,
+as they change nothing; every other candidate pair is tested or can't be one.
 
 The chance that banding misses a pair at the threshold is at most
 ``MISS``; rows per band are as many as that allows, which keeps documents that
@@ -47,6 +51,8 @@ MOST_HASHES = 400
 #: Hashes that the sequential comparison reads, and how many at a time.
 COMPARED, BATCH = 128, 16
 SEED = 20240229
+#: Counters that order shingles by frequency, one array of 32-bit numbers (4 MB) whatever the input; any order is right.
+SLOTS = 1 << 20
 
 
 def banding(percent: int, miss: float = MISS, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -181,19 +187,18 @@ def _survivors(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
             .mapInArrow(run, "a long, b long"))
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs whose full shingle sets reach the threshold.
-
-    The texts of the classes in ``pairs`` are fetched once, as one table; a
-    text counts only if its set has the digest of its class.
-    """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+def _texts(wanted: DataFrame, classes: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """(class, text) of the classes ``wanted``, as a stored table."""
     ids = classes.join(wanted, "class").select("class", F.col("doc_id").alias("_d"), "text_key")
-    texts = materialize(docs.select("doc_id", "text")
-                        .join(ids.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_d")))
-                        .where(text_key() == F.col("text_key"))
-                        .select("class", F.col("text").cast("binary").alias("text")).dropDuplicates(["class"]),
-                        "minhash-texts")
+    return materialize(docs.select("doc_id", "text")
+                       .join(ids.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_d")))
+                       .where(text_key() == F.col("text_key"))
+                       .select("class", F.col("text").cast("binary").alias("text")).dropDuplicates(["class"]), name)
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs whose full shingle sets reach the threshold; the texts of their classes are fetched once."""
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), classes, docs, "minhash-texts")
 
     def run(batches):
         words, of, last = _Words(), None, None
@@ -214,6 +219,57 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
             .mapInArrow(run, "a long, b long"))
 
 
+def _frequencies(texts: DataFrame, size: int) -> np.ndarray:
+    """About how many of ``texts`` hold the shingles of each slot."""
+
+    def run(batches):
+        words = _Words()
+        for batch in batches:
+            found = [shingles(t.as_py(), size, words) >> np.uint64(44) for t in batch.column(0)]
+            slots, counts = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.int64),) * 2
+            yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int64)), pa.array(counts.astype(np.int64))], names=["slot", "n"])
+
+    out = np.zeros(SLOTS, np.uint32)
+    counted = texts.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    for slot, n in counted.toArrow().to_pandas().itertuples(index=False):  # SLOTS rows at most
+        out[slot] = min(n, 0xFFFFFFFF)
+    return out
+
+
+def _prefixes(texts: DataFrame, frequency: np.ndarray, size: int, percent: int) -> DataFrame:
+    """class, n, and the shingles that a partner of at most this size must share, from rare to frequent."""
+
+    def run(batches):
+        words = _Words()
+        for batch in batches:
+            ns, first = [], []
+            for value in batch.column(1):
+                s = shingles(value.as_py(), size, words)
+                s = s[np.lexsort((s, frequency[s >> np.uint64(44)]))]
+                ns.append(len(s))
+                first.append(s[: len(s) - -(-percent * len(s) // 100) + 1].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(first, pa.list_(pa.int64()))],
+                                             names=["class", "n", "first"])
+
+    return texts.mapInArrow(run, "class long, n long, first array<long>")
+
+
+def _across(members: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``members`` (class, root) with different roots that the prefix filter leaves."""
+    texts = _texts(members.select("class"), classes, docs, "minhash-mixed-texts")
+    found = _prefixes(texts, _frequencies(texts, size), size, percent).join(members, "class")
+    found = materialize(found.select("class", "n", "root", F.posexplode("first").alias("at", "shingle")), "minhash-prefixes")
+    x, y = found.alias("x"), found.alias("y")
+    # y is the smaller one; its shared shingle must lie in the shorter prefix for sizes from its own on
+    room = (100 + percent) * (F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")))
+    return (x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root"))
+                   & ((F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.class") < F.col("x.class"))))
+                   & (100 * F.col("y.n") >= percent * F.col("x.n"))
+                   & (F.col("y.at") <= F.col("y.n") - F.ceil(2 * percent * F.col("y.n") / (100 + percent)))
+                   & (room >= percent * (F.col("x.n") + F.col("y.n"))))
+            .select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct())
+
+
 def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Per row: doc_id, text_key, n_shingles, component_id, kept."""
     rows = materialize(sketch(docs, size, percent), "minhash-sketch")
@@ -242,27 +298,33 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     found = materialize(_verified(one, classes, docs, size, percent), "minhash-links")
     roots = materialize(components(found), "minhash-roots")
 
-    rooted = lambda df, c: (df.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
-                            .withColumn(f"root_{c}", F.coalesce(f"root_{c}", c)))
-    rest = star.join(one, ["a", "b"], "left_anti")
-    rest = rooted(rooted(rest, "a"), "b").where("root_a <> root_b").select("a", "b")
-    many = rooted(buckets.where("members > 2"), "class")
+    def rooted(df: DataFrame, *columns: str) -> DataFrame:
+        for c in columns:
+            df = (df.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
+                  .withColumn(f"root_{c}", F.coalesce(f"root_{c}", c)))
+        return df
+
+    def connected(pairs: DataFrame) -> DataFrame:
+        """The roots when links among ``pairs`` are added."""
+        links = rooted(_verified(pairs, classes, docs, size, percent), "a", "b")
+        links = materialize(links.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "minhash-links")
+        top = components(links).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))
+        return materialize(roots.unionByName(ends.join(roots, "node", "left_anti")).join(top, "root", "left")
+                           .select("node", F.coalesce("top", "root").alias("root")), "minhash-roots")
+
+    rest = rooted(star.join(one, ["a", "b"], "left_anti"), "a", "b").where("root_a <> root_b")
+    rest = materialize(rest.select("a", "b"), "minhash-rest")
+    if not rest.isEmpty():
+        roots = connected(rest)
+    many = rooted(buckets.where("members > 2").select("band", "class"), "class")
     mixed = many.groupBy("band").agg(F.min("root_class").alias("lo"), F.max("root_class").alias("hi")).where("lo <> hi")
-    many = materialize(many.join(mixed.select("band"), "band", "left_semi")
-                       .select("band", "class", "n", "root_class", F.col("first.class").alias("first")), "minhash-mixed")
-    x, y = many.alias("x"), many.alias("y")
-    across = (x.join(y, F.col("x.band") == F.col("y.band"))
-              .where("x.class < y.class AND x.class <> x.first AND x.root_class <> y.root_class")
-              .where(near(F.col("x.n"), F.col("y.n")))
-              .select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct())
-    more = materialize(rest.unionByName(_survivors(across, lean, percent)).distinct(), "minhash-across")
-    if not more.isEmpty():
-        late = rooted(rooted(_verified(more, classes, docs, size, percent), "a"), "b")
-        late = materialize(late.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")), "minhash-late")
-        top = components(late).select(F.col("node").alias("root"), F.col("root").alias("top"))
-        ends = late.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))
-        roots = materialize(roots.unionByName(ends.join(roots, "node", "left_anti")).join(top, "root", "left")
-                            .select("node", F.coalesce("top", "root").alias("root")), "minhash-roots")
+    members = materialize(many.join(mixed.select("band"), "band", "left_semi")
+                          .select("class", F.col("root_class").alias("root")).distinct(), "minhash-mixed")
+    if not members.isEmpty():
+        more = materialize(_survivors(_across(members, classes, docs, size, percent), lean, percent), "minhash-across")
+        if not more.isEmpty():
+            roots = connected(more)
 
     placed = classes.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     first = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
