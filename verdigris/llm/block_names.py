@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_rows, materialize, text_key, text_or_empty, without_white
+from .common import drop_rows, materialize, meet_rows, text_key, text_or_empty, unused, without_white
 
 #: Characters of the first block, of later blocks, and how many sorted runs the names are dealt over.
 FIRST_BLOCK = 128
@@ -113,11 +113,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without their copies, all columns as they came."""
     groups = materialize(exact_groups(docs), "names-groups")
     out = drop_rows(docs, groups.where(~F.col("kept")))
-    again = (groups.where("kept").groupBy("doc_id", "keep_id", "text_sha256").agg(F.count("*").alias("n"))
-             .where("n > 1").select(F.col("doc_id").alias("_d")))
+    again = groups.where("kept").groupBy("doc_id", "keep_id", "text_sha256").agg(
+        F.count("*").alias("n")).where("n > 1")
     if again.isEmpty():
         return out
     # rows repeated under one doc_id: one of each text stays
-    many = out.join(again, out["doc_id"].eqNullSafe(again["_d"]), "left_semi")
-    return (out.join(again, out["doc_id"].eqNullSafe(again["_d"]), "left_anti")
-            .unionByName(many.withColumn("_s", without_white(text_or_empty())).dropDuplicates(["doc_id", "_s"]).drop("_s")))
+    again = materialize(groups.join(again.select("doc_id", "text_sha256").distinct().withColumnsRenamed({"doc_id": "_d", "text_sha256": "_h"}),
+                                    F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_sha256") == F.col("_h")), "left_semi")
+                        .where("kept"), "names-again")
+    norm, = unused(docs, "_norm")
+    one = meet_rows(docs, again).withColumn(norm, without_white(text_or_empty())).dropDuplicates(["doc_id", norm])
+    return drop_rows(out, again).unionByName(one.drop(norm))

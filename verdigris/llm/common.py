@@ -31,16 +31,37 @@ def text_key(col: str = "text") -> Column:
     return F.xxhash64(text_or_empty(col))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores in front as it takes not to meet a column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    return [df[f"`{c}`"] for c in df.columns]
+
+
 def drop_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """``docs`` without the rows named by ``dropped`` (doc_id, text_key).
 
     The match is null-safe on doc_id and also holds the text's key, so rows
     that merely share a doc_id with a dropped one stay.
     """
-    d = dropped.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).distinct()
-    return docs.join(d, docs["doc_id"].eqNullSafe(d["_d"])
-                     & (text_key_of(docs) == d["_k"]), "left_anti")
+    return docs.join(*_by_row(docs, dropped), "left_anti")
+
+
+def meet_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``rows`` (doc_id, text_key) names."""
+    return docs.join(*_by_row(docs, rows), "left_semi")
 
 
-def text_key_of(docs: DataFrame) -> Column:
-    return F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+def _by_row(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, Column]:
+    i, k = unused(docs, "_id", "_key")
+    r = rows.select(F.col("doc_id").alias(i), F.col("text_key").alias(k)).distinct()
+    key = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    return r, docs["doc_id"].eqNullSafe(r[i]) & (key == r[k])

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, text_key, text_or_empty
+from .common import WORD, columns_of, materialize, text_key, text_or_empty, unused
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
@@ -149,7 +149,8 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = M
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each document as often as planned, all columns as they came."""
-    times = (plan(docs, **how).where("times > 0").groupBy("doc_id", "text_key").agg(F.max("times").alias("_t"))
-             .withColumnsRenamed({"doc_id": "_d", "text_key": "_k"}))
-    joined = docs.join(times, docs["doc_id"].eqNullSafe(times["_d"]) & (text_key() == times["_k"]))
-    return joined.withColumn("_t", F.explode(F.array_repeat(F.lit(0), F.col("_t").cast("int")))).select(*docs.columns)
+    i, k, n = unused(docs, "_id", "_key", "_times")
+    times = (plan(docs, **how).where("times > 0").groupBy("doc_id", "text_key").agg(F.max("times").cast("int").alias(n))
+             .withColumnsRenamed({"doc_id": i, "text_key": k}))
+    joined = docs.join(times, docs["doc_id"].eqNullSafe(times[i]) & (text_key() == times[k]))
+    return joined.select(*columns_of(docs), F.explode(F.array_repeat(F.lit(0), F.col(n))).alias(n)).drop(n)
