@@ -3,8 +3,7 @@
 Everything in this module is a FIXED VALUE that results depend on: emission
 factors, global warming potentials, enumerations, lookup tables and literal
 labels of the greenhouse-gas accounting method. They are stated once, in
-natural order, and every operator reads them from here (or from the small
-dimension DataFrames built from them in ``functions.dims``).
+natural order, and every operator reads them from here.
 """
 
 from __future__ import annotations
@@ -89,6 +88,7 @@ LOAN_OK_STATUS = "validated"
 MAX_IMPUTED_MONTHS = 5          # more than this -> data quality score 4 -> rejected
 USD_IDR_RATE = 15750.0          # reference rate, used only when converting USD rows
 FRESHNESS_MAX_AGE_HOURS = 720
+DQ_FIRST_YEAR, DQ_LAST_YEAR = 2020, 2035  # as published; test data lie before, so the rule reports them
 
 # --- FIXED VALUES: test parameters of the fixture tables ---------------------
 BANK_ID = "GENERIC_FI_001"
@@ -98,10 +98,3 @@ REVENUE_BASE_IDR_BN = 85000.0   # revenue(year) = 85000 + 1000 * (year - 1995),
 REVENUE_STEP_IDR_BN = 1000.0
 REVENUE_FIRST_YEAR = 1995
 REVENUE_LAST_YEAR = 2000
-
-# --- FIXED VALUES: facility archetypes of the test fixture -------------------
-# grid region by supplier key % 6; index 5 has no mapping (falls back to national)
-FACILITY_REGIONS = ("java_bali", "sumatra", "kalimantan", "sulawesi", "national", None)
-# facility type by supplier key % 10
-FACILITY_TYPES = ("branch", "branch", "branch", "branch", "branch", "branch",
-                  "regional_office", "regional_office", "data_centre", "headquarters")

@@ -52,21 +52,6 @@ def pcaf_confidence(score) -> Column:
     return e
 
 
-def natgas_kgco2e(gj) -> Column:
-    """Three gases x GWP, additions in fixed order."""
-    g = col(gj)
-    return (g * F.lit(C.EF_NATGAS_CO2_PER_GJ)
-            + g * F.lit(C.EF_NATGAS_CH4_PER_GJ) * F.lit(C.GWP_CH4)
-            + g * F.lit(C.EF_NATGAS_N2O_PER_GJ) * F.lit(C.GWP_N2O))
-
-
-def diesel_kgco2e(litres) -> Column:
-    d = col(litres)
-    return (d * F.lit(C.EF_DIESEL_CO2_PER_L)
-            + d * F.lit(C.EF_DIESEL_CH4_PER_L) * F.lit(C.GWP_CH4)
-            + d * F.lit(C.EF_DIESEL_N2O_PER_L) * F.lit(C.GWP_N2O))
-
-
 def trend_class(yoy, band: float = 0.0) -> Column:
     y = col(yoy)
     return (F.when(y.isNull(), F.lit("n/a"))

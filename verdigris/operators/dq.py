@@ -62,9 +62,9 @@ def _enum(col: str, vals) -> str:
 
 # FIXED VALUES: the reference's audit rules, thresholds as published
 ENERGY_RULES = [
-    Rule("ids", "facility_id_format", "violations", "NOT (facility_id RLIKE '^FAC-[0-9]{4}$')",
-         duck="NOT regexp_full_match(facility_id, 'FAC-[0-9]{4}')"),
-    Rule("ranges", "year_in_domain", "violations", "reporting_year NOT BETWEEN 1990 AND 2035"),
+    Rule("ids", "facility_id_format", "violations", "NOT (facility_id RLIKE '^FAC-[0-9]{4,}$')",
+         duck="NOT regexp_full_match(facility_id, 'FAC-[0-9]{4,}')"),
+    Rule("ranges", "year_in_domain", "violations", f"reporting_year NOT BETWEEN {C.DQ_FIRST_YEAR} AND {C.DQ_LAST_YEAR}"),
     Rule("ranges", "month_1_12", "violations", "reporting_month NOT BETWEEN 1 AND 12"),
     Rule("ranges", "electricity_nonnegative", "violations", "electricity_kwh < 0"),
     Rule("ranges", "natural_gas_nonnegative", "violations", "natural_gas_gj < 0"),
@@ -91,10 +91,10 @@ ENERGY_RULES = [
 ]
 
 LOAN_RULES = [
-    Rule("ids", "loan_id_format", "violations", "NOT (loan_id RLIKE '^LN-[0-9]{4}-[0-9]{7}$')",
-         duck="NOT regexp_full_match(loan_id, 'LN-[0-9]{4}-[0-9]{7}')"),
-    Rule("ids", "borrower_id_format", "violations", "NOT (borrower_id RLIKE '^BOR-[0-9]{6}$')",
-         duck="NOT regexp_full_match(borrower_id, 'BOR-[0-9]{6}')"),
+    Rule("ids", "loan_id_format", "violations", "NOT (loan_id RLIKE '^LN-[0-9]{4}-[0-9]{7,}$')",
+         duck="NOT regexp_full_match(loan_id, 'LN-[0-9]{4}-[0-9]{7,}')"),
+    Rule("ids", "borrower_id_format", "violations", "NOT (borrower_id RLIKE '^BOR-[0-9]{6,}$')",
+         duck="NOT regexp_full_match(borrower_id, 'BOR-[0-9]{6,}')"),
     Rule("enums", "sector_enum", "violations", _enum("sector_nace", C.SECTORS)),
     Rule("enums", "loan_type_enum", "violations", _enum("loan_type", C.LOAN_TYPES)),
     Rule("enums", "currency_enum", "violations", _enum("currency", C.CURRENCIES)),

@@ -56,10 +56,13 @@ def q_energy_clean(spark, d):
 
 
 def q_scope1_connection(spark, d):
-    e = scope1.connection_flags(scope1.complete_rows(inputs(spark, d).energy))
-    return (e.groupBy("facility_id", "reporting_year", "gas_nonnull_months", "diesel_nonnull_months")
-             .agg(F.sum("natgas_is_null").cast("bigint").alias("gas_gap_months"),
-                  F.sum("diesel_is_null").cast("bigint").alias("diesel_gap_months")))
+    m = scope1.fuel_months(inputs(spark, d).energy)
+    of = lambda fuel, x: F.coalesce(F.max(F.when(F.col("fuel") == fuel, x)), F.lit(0))
+    gaps = lambda fuel: F.count_if((F.col("fuel") == fuel) & F.col("is_gap"))
+    return (m.groupBy("facility_id", "reporting_year")
+             .agg(of("natgas", F.col("known_months")).alias("gas_nonnull_months"),
+                  of("diesel", F.col("known_months")).alias("diesel_nonnull_months"),
+                  gaps("natgas").alias("gas_gap_months"), gaps("diesel").alias("diesel_gap_months")))
 
 
 def q_scope1_monthly_mean(spark, d):
@@ -69,12 +72,13 @@ def q_scope1_monthly_mean(spark, d):
 
 
 def q_scope1_imputed_monthly(spark, d):
-    m = scope1.impute_fuel(inputs(spark, d).energy)
-    return m.select("facility_id", "reporting_year", "reporting_month", "natgas_is_null", "diesel_is_null",
-                    dround("natural_gas_gj_imputed", 6).alias("natural_gas_gj_imputed"),
-                    dround("diesel_liters_imputed", 6).alias("diesel_liters_imputed"),
-                    dround("scope1_natgas_month_kgco2e", 6).alias("scope1_natgas_month_kgco2e"),
-                    dround("scope1_diesel_month_kgco2e", 6).alias("scope1_diesel_month_kgco2e"))
+    m = scope1.fuel_months(inputs(spark, d).energy)
+    out = m.groupBy("facility_id", "reporting_year", "reporting_month").pivot("fuel", [f.short for f in scope1.FUELS]).agg(
+        F.first("is_gap").cast("int").alias("is_null"), dround(F.first("amount"), 6).alias("amount"),
+        dround(F.first("kgco2e"), 6).alias("kg"))
+    return out.select("facility_id", "reporting_year", "reporting_month", "natgas_is_null", "diesel_is_null",
+                      *[F.col(f"{f.short}_amount").alias(f"{f.column}_imputed") for f in scope1.FUELS],
+                      *[F.col(f"{f.short}_kg").alias(f"scope1_{f.short}_month_kgco2e") for f in scope1.FUELS])
 
 
 def q_scope1_by_type_imputed(spark, d):

@@ -2,39 +2,13 @@
 
 from __future__ import annotations
 
-import importlib
-
-# modules contributing (queries(), oracles()) pairs
-_MODULES = [
-    ("verdigris.plans.catalog_core", "verdigris.plans.oracle_core"),
-    ("verdigris.plans.catalog_ops", "verdigris.plans.oracle_ops"),
-    ("verdigris.plans.catalog_text", "verdigris.plans.oracle_text"),
-]
-
-
-def _optional(name: str):
-    try:
-        return importlib.import_module(name)
-    except ModuleNotFoundError as e:
-        if e.name == name:
-            return None
-        raise
+from . import catalog_core, catalog_ops, catalog_text, oracle_core, oracle_ops, oracle_text
 
 
 def queries() -> dict:
-    out: dict = {}
-    for qmod, _ in _MODULES:
-        m = _optional(qmod)
-        if m is not None:
-            out.update(m.queries())
-    return out
+    return catalog_core.queries() | catalog_ops.queries() | catalog_text.queries()
 
 
 def oracle_sql() -> dict:
-    out: dict = {}
-    for _, omod in _MODULES:
-        m = _optional(omod)
-        if m is not None:
-            out.update(m.oracles())
-    q = queries()
-    return {k: v for k, v in out.items() if k in q}
+    found = oracle_core.oracles() | oracle_ops.oracles() | oracle_text.oracles()
+    return {k: v for k, v in found.items() if k in queries()}

@@ -4,31 +4,41 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
+#: SQL settings that the library is tuned for; a value that the launcher or the session has stays.
+DEFAULTS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.sources.partitionOverwriteMode": "dynamic",
+}
 
-def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app: str = "verdigris") -> SparkSession:
-    """Local session with the settings the library is tuned for.
 
-    On a cluster the launcher owns master/memory; only SQL settings are set
-    here, and only when not already set by the cluster.
+def _launched() -> bool:
+    """Whether spark-submit, a shell or a running session owns master and memory."""
+    return ("PYSPARK_GATEWAY_PORT" in os.environ or "--master" in os.environ.get("PYSPARK_SUBMIT_ARGS", "")
+            or SparkSession.getActiveSession() is not None)
+
+
+def get_session(master: str | None = None, shuffle_partitions: int | None = None, app: str = "verdigris") -> SparkSession:
+    """A session with ``DEFAULTS`` where nothing else is set.
+
+    On a cluster the launcher owns master, memory and shuffle partitions.
+    Without a launcher this is a local run, as in tests and the bench:
+    ``local[$BENCH_CPUS]``, as many shuffle partitions, 8 GB for the driver.
     """
-    cpus = os.environ.get("BENCH_CPUS", "8")
-    b = (SparkSession.builder.appName(app)
-         .master(master or f"local[{cpus}]")
-         .config("spark.ui.enabled", "false")
-         .config("spark.ui.showConsoleProgress", "false")
-         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
-         .config("spark.sql.adaptive.enabled", "true")
-         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-         .config("spark.sql.session.timeZone", "UTC")
-         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
-         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g")))
+    b = SparkSession.builder.appName(app)
+    if master or not _launched():
+        cpus = os.environ.get("BENCH_CPUS", "8")
+        b = (b.master(master or f"local[{cpus}]").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+             .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g")).config("spark.sql.shuffle.partitions", cpus))
     spark = b.getOrCreate()
+    if shuffle_partitions:
+        spark.conf.set("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    for key, value in DEFAULTS.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -36,27 +46,26 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (tests, local runs) a fresh
-    folder under /tmp is created and registered.
+    Read from the session. Only a local master (tests, local runs) gets a
+    fresh folder under /tmp when it is unset; anywhere else executors would
+    write to different disks, so that is an error.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="verdigris-ckpt-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(d)
     return d
 
 
-def materialize(df, name: str):
+def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a parquet table in the shared folder and read it back.
 
     Cuts lineage with one computation (an eager ``checkpoint()`` computes the
     plan twice: once to count, once to write). The table lives in the shared
-    folder named by ``spark.checkpoint.dir``, so it survives executor loss.
+    folder, so it survives executor loss.
     """
-    import uuid
-
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/materialized/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)

@@ -17,20 +17,26 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 
-ENERGY_SQL = """
+def padded(number: str, digits: int) -> str:
+    """SQL text of a number in at least ``digits`` digits; longer numbers keep all of theirs."""
+    s = f"CAST({number} AS STRING)"
+    return f"lpad({s}, CAST(greatest({digits}, length({s})) AS INT), '0')"
+
+
+ENERGY_SQL = f"""
 WITH g AS (
   SELECT CAST(l_suppkey AS BIGINT) AS k,
          CAST(year(l_shipdate) AS INT) AS reporting_year,
          CAST(month(l_shipdate) AS INT) AS reporting_month,
          CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS p,
          CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS q
-  FROM {lineitem} GROUP BY 1, 2, 3
+  FROM {{lineitem}} GROUP BY 1, 2, 3
 ), e AS (
   SELECT g.*, k % 10 AS t,
          CASE WHEN (k*31 + reporting_month*7 + reporting_year) % 53 = 0 THEN NULL ELSE p / 10 END AS kwh
   FROM g
 )
-SELECT concat('FAC-', lpad(CAST(k + 1 AS STRING), 4, '0')) AS facility_id,
+SELECT concat('FAC-', {padded('k + 1', 4)}) AS facility_id,
        kwh AS electricity_kwh,
        CASE WHEN t IN (0,1,2,3,4,8) THEN NULL
             WHEN t = 5 THEN CASE WHEN reporting_month = 1 THEN q / 4 ELSE NULL END
@@ -55,20 +61,20 @@ SELECT concat('FAC-', lpad(CAST(k + 1 AS STRING), 4, '0')) AS facility_id,
 FROM e
 """
 
-LOANS_SQL = """
+LOANS_SQL = f"""
 WITH o AS (
   SELECT CAST(o_orderkey AS BIGINT) AS k, CAST(o_custkey AS BIGINT) AS c,
          CAST(year(o_orderdate) AS INT) AS reporting_year,
          CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 1000000 AS BIGINT) AS outstanding_idr
-  FROM {orders}
+  FROM {{orders}}
 ), v AS (
   SELECT o.*,
          CASE WHEN k % 211 = 0 THEN CAST(0 AS BIGINT) ELSE ((k*7919) % 100 + 1) * 10000000000 END AS total_equity_idr,
          CASE WHEN k % 211 = 0 THEN CAST(0 AS BIGINT) ELSE ((k*104729) % 80) * 10000000000 END AS total_debt_idr
   FROM o
 )
-SELECT concat('LN-', CAST(reporting_year AS STRING), '-', lpad(CAST(k AS STRING), 7, '0')) AS loan_id,
-       concat('BOR-', lpad(CAST(c AS STRING), 6, '0')) AS borrower_id,
+SELECT concat('LN-', CAST(reporting_year AS STRING), '-', {padded('k', 7)}) AS loan_id,
+       concat('BOR-', {padded('c', 6)}) AS borrower_id,
        CASE c % 10 WHEN 0 THEN 'manufacturing_cement' WHEN 1 THEN 'manufacturing_steel' WHEN 2 THEN 'manufacturing_food'
             WHEN 3 THEN 'real_estate_commercial' WHEN 4 THEN 'real_estate_residential' WHEN 5 THEN 'transportation_road'
             WHEN 6 THEN 'agriculture' WHEN 7 THEN 'energy_oil_gas' WHEN 8 THEN 'financial_services' ELSE 'retail_trade' END AS sector_nace,
@@ -107,20 +113,20 @@ FROM y
 # Small dimensions over the fixture's facilities (suppliers), as SQL so the
 # oracle uses the same definition. They grow with the supplier table, so they
 # are joined without a broadcast hint (AQE decides from the real size).
-FACILITY_DIM_SQL = """
-SELECT concat('FAC-', lpad(CAST(CAST(s_suppkey AS BIGINT) + 1 AS STRING), 4, '0')) AS facility_id,
+FACILITY_DIM_SQL = f"""
+SELECT concat('FAC-', {padded('CAST(s_suppkey AS BIGINT) + 1', 4)}) AS facility_id,
        CASE CAST(s_suppkey AS BIGINT) % 6 WHEN 0 THEN 'java_bali' WHEN 1 THEN 'sumatra' WHEN 2 THEN 'kalimantan'
             WHEN 3 THEN 'sulawesi' WHEN 4 THEN 'national' END AS grid_region,
        CASE WHEN CAST(s_suppkey AS BIGINT) % 10 <= 5 THEN 'branch'
             WHEN CAST(s_suppkey AS BIGINT) % 10 <= 7 THEN 'regional_office'
             WHEN CAST(s_suppkey AS BIGINT) % 10 = 8 THEN 'data_centre' ELSE 'headquarters' END AS facility_type
-FROM {supplier}
+FROM {{supplier}}
 """
 
-BORROWER_DIM_SQL = """
-SELECT concat('BOR-', lpad(CAST(CAST(c_custkey AS BIGINT) AS STRING), 6, '0')) AS borrower_id,
+BORROWER_DIM_SQL = f"""
+SELECT concat('BOR-', {padded('CAST(c_custkey AS BIGINT)', 6)}) AS borrower_id,
        c_mktsegment AS borrower_segment
-FROM {customer}
+FROM {{customer}}
 """
 
 RAW_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",

@@ -40,6 +40,12 @@ def normal(seed: int, *parts) -> Column:
     return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2 * math.pi) * u2)
 
 
+def _padded(number: Column, digits: int) -> Column:
+    """At least ``digits`` digits; longer numbers keep all of theirs."""
+    s = number.cast("string")
+    return F.lpad(s, F.greatest(F.lit(digits), F.length(s)), "0")
+
+
 def _archetype(u: Column, field: int) -> Column:
     e = None
     acc = 0.0
@@ -53,7 +59,7 @@ def _archetype(u: Column, field: int) -> Column:
 def synthesize_energy(supplier: DataFrame, years: tuple[int, ...] = (2023, 2024), seed: int = 42,
                       yoy_factor: float = 1.03) -> DataFrame:
     """facility x month energy rows: seasonality 1 + 0.15 sin, YoY factor, noise, gaps."""
-    f = supplier.select(F.concat(F.lit("FAC-"), F.lpad((F.col("s_suppkey") + 1).cast("string"), 4, "0"))
+    f = supplier.select(F.concat(F.lit("FAC-"), _padded(F.col("s_suppkey") + 1, 4))
                         .alias("facility_id"))
     f = f.withColumn("u_type", uniform(seed, F.col("facility_id"), F.lit("type")))
     months = F.explode(F.sequence(F.lit(0), F.lit(12 * len(years) - 1))).alias("m")
@@ -117,8 +123,8 @@ def synthesize_loans(customer: DataFrame, year: int = 2024, seed: int = 42) -> D
                   ltype.alias("loan_type"), score.alias("pcaf_data_quality_score"), u_st.alias("u_st"))
     b = b.withColumn("outstanding_idr", out)
     return b.select(
-        F.concat(F.lit(f"LN-{year}-"), F.lpad(F.col("c").cast("string"), 7, "0")).alias("loan_id"),
-        F.concat(F.lit("BOR-"), F.lpad(F.col("c").cast("string"), 6, "0")).alias("borrower_id"),
+        F.concat(F.lit(f"LN-{year}-"), _padded(F.col("c"), 7)).alias("loan_id"),
+        F.concat(F.lit("BOR-"), _padded(F.col("c"), 6)).alias("borrower_id"),
         "sector_nace", "loan_type",
         F.when(uniform(seed, *k, F.lit("ccy")) < 0.2, F.lit("USD")).otherwise(F.lit("IDR")).alias("currency"),
         "outstanding_idr", "total_equity_idr", "total_debt_idr",

@@ -2,7 +2,8 @@
 
 Tables are Hive-style partitioned parquet (``reporting_year[/reporting_month]``)
 with partition columns kept only in the path. Writes use dynamic partition
-overwrite, so re-running one year replaces that year and leaves the others.
+overwrite, so re-running one year replaces that year and leaves the others;
+whole-table writes and named values also remove what has no rows any more.
 """
 
 from __future__ import annotations
@@ -35,23 +36,44 @@ def read_zone(spark: SparkSession, root: str, zone: str, table: str,
 
 
 def write_zone(df: DataFrame, root: str, zone: str, table: str, columns: list[str] | None = None,
-               partition_by: tuple[str, ...] = ("reporting_year",)) -> str:
-    """SRC-05 / GOV-15: ordered projection to the contract, dynamic partition overwrite.
-
-    ``sortWithinPartitions`` on the partition columns keeps one open file per
-    task and partition value, without adding a shuffle.
+               partition_by: tuple[str, ...] = ("reporting_year",), replace: str | list | None = None) -> str:
+    """SRC-05 / GOV-15: ordered projection to the contract, partition overwrite.
+
+    The REBALANCE hint brings the rows of a partition value together, so each
+    is written by few tasks, and splits a value that is too large for one.
+    ``replace``: None overwrites the partitions that ``df`` has rows for;
+    ``"table"`` replaces the whole table; a list of values of the first
+    partition column removes those values first, so that partitions that have
+    no rows any more don't stay.
     """
     path = table_path(root, zone, table)
     out = df.select(*columns) if columns else df
-    (out.sortWithinPartitions(*partition_by)
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    if isinstance(replace, list):
+        drop_partitions(df.sparkSession, path, partition_by[0], replace)
+    (out.hint("rebalance", *partition_by)
+        .write.mode("overwrite").option("partitionOverwriteMode", "static" if replace == "table" else "dynamic")
         .partitionBy(*partition_by).parquet(path))
     return path
 
 
-def write_rejects(df: DataFrame, root: str, table: str) -> str:
-    """SRC-08: rejected rows with their ``reject_reason``, one folder per reason."""
-    return write_zone(df, root, "curated", f"errors/{table}", None, ("reject_reason",))
+def drop_partitions(spark: SparkSession, path: str, column: str, values: list) -> None:
+    """Remove ``column=value`` folders of a table, in whatever store it is."""
+    jvm = spark._jvm
+    for v in values:
+        p = jvm.org.apache.hadoop.fs.Path(f"{path}/{column}={v}")
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+REJECT_PARTITIONS = ("reporting_year", "reject_reason")
+
+
+def write_rejects(df: DataFrame, root: str, table: str, replace: str | list | None = None) -> str:
+    """SRC-08: rejected rows by year and ``reject_reason``, the one layout of every writer."""
+    return write_zone(df, root, "curated", f"errors/{table}", None, REJECT_PARTITIONS, replace)
+
+
+def read_rejects(spark: SparkSession, root: str, table: str, schema: T.StructType | str | None = None) -> DataFrame:
+    return read_zone(spark, root, "curated", f"errors/{table}", schema)
 
 
 def partition_presence(spark: SparkSession, present: DataFrame, tables: list[str], first_year: int,
@@ -77,12 +99,20 @@ def freshness(df: DataFrame, table: str, now_col=None, max_age_hours: float = 72
                          F.round(age, 2).alias("age_hours"), (age > max_age_hours).alias("stale"))
 
 
+def row_text(df: DataFrame) -> "F.Column":
+    """One text per row, the same in any engine: doubles as 6-digit decimals, NULL as ``~``."""
+    def one(f):
+        c = F.col(f.name)
+        c = c.cast("decimal(38,6)") if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else c
+        return F.coalesce(c.cast("string"), F.lit("~"))
+    return F.concat_ws("|", *[one(f) for f in df.schema.fields])
+
+
 def table_fingerprint(df: DataFrame, name: str) -> DataFrame:
-    """SRC-12: order-insensitive fingerprint: row count and xor of row hashes."""
-    h = F.xxhash64(*[F.col(c) for c in df.columns])
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(h).alias("fingerprint"),
-                  F.sum(h.cast("decimal(38,0)")).cast("string").alias("hash_sum")) \
-             .select(F.lit(name).alias("table_name"), "rows", "fingerprint", "hash_sum")
+    """SRC-12: order-insensitive SHA-256 fingerprint: row count, and the sum of the rows' first 15 hex digits."""
+    h = F.conv(F.substring(F.sha2(row_text(df), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.select(h.alias("h")).agg(F.count(F.lit(1)).alias("rows"), F.sum("h").cast("string").alias("hash_sum")) \
+             .select(F.lit(name).alias("table_name"), "rows", F.sha2(F.coalesce("hash_sum", F.lit("0")), 256).alias("fingerprint"), "hash_sum")
 
 
 def payload_digest(col) -> "F.Column":

@@ -5,12 +5,14 @@ Streaming query watches the raw landing folder (parquet file source with the
 raw schema). For each micro-batch, ``foreachBatch`` finds the reporting years
 the batch touches and recomputes those years of ``ghg_scope1`` and
 ``ghg_scope2`` from the full raw zone. Imputation needs the whole year of a
-facility, so a year is the unit of recomputation. The result is written with
-dynamic partition overwrite, and untouched years are left alone.
+facility, so a year is the unit of recomputation. The touched years are
+replaced as a whole, and the others are left alone.
 
-The stream keeps no state of its own; the raw zone is the state, and the
-checkpoint (in the shared folder) records which files were processed, so a
-restarted query resumes where it stopped.
+``foreachBatch`` may run a batch again after a failure. Raw rows are therefore
+written to a partition named by the batch, which a replay overwrites, and the
+raw zone is read as one row per facility and month, the one of the latest
+batch. The raw zone is the only state; the checkpoint (in the shared folder)
+records which files were processed.
 """
 
 from __future__ import annotations
@@ -33,14 +35,42 @@ ENERGY_SCHEMA = T.StructType([
 ])
 
 
-def _refresh_years(spark: SparkSession, root: str, years: DataFrame, facilities: DataFrame | None) -> None:
-    raw = zones.read_zone(spark, root, "raw", "energy_consumption", ENERGY_SCHEMA)
-    # semi-join on the touched years; partition pruning applies as the join key is the partition column
-    touched = raw.join(F.broadcast(years), "reporting_year", "left_semi")   # a handful of years
-    cur, rej = scope1.scope1(touched)
-    zones.write_zone(cur, root, "curated", "ghg_scope1")
-    zones.write_zone(rej, root, "curated", "errors/ghg_scope1", None, ("reporting_year",))
-    zones.write_zone(scope2.scope2(touched, facilities), root, "curated", "ghg_scope2")
+RAW_PARTITIONS = ("reporting_year", "reporting_month", "batch_id")
+RAW_SCHEMA = T.StructType([*ENERGY_SCHEMA.fields, T.StructField("batch_id", T.LongType())])
+
+
+def raw_energy(spark: SparkSession, root: str, years: list[int] | None = None) -> DataFrame:
+    """The raw zone's rows: of a facility and month the one that arrived last.
+
+    ``years`` go into the filter as literals (as many as the calendar has), so
+    the scan lists only their folders.
+    """
+    raw = zones.read_zone(spark, root, "raw", "energy_consumption", RAW_SCHEMA)
+    if years is not None:
+        raw = raw.where(F.col("reporting_year").isin(years))
+    key = ["facility_id", "reporting_year", "reporting_month"]
+    rest = [f.name for f in ENERGY_SCHEMA.fields if f.name not in key]
+    last = F.max(F.struct("batch_id", *rest)).alias("last")
+    return raw.groupBy(*key).agg(last).select(*[f"last.{f.name}" if f.name in rest else f.name for f in ENERGY_SCHEMA.fields])
+
+
+def refresh_years(spark: SparkSession, root: str, years: list[int], facilities: DataFrame | None) -> None:
+    """Recompute the curated tables of ``years`` from the raw zone; what they no longer hold goes."""
+    touched = raw_energy(spark, root, years)
+    curated, rejects = scope1.scope1(touched)
+    zones.write_zone(curated, root, "curated", "ghg_scope1", replace=years)
+    zones.write_rejects(rejects, root, "ghg_scope1", years)
+    zones.write_zone(scope2.scope2(touched, facilities), root, "curated", "ghg_scope2", replace=years)
+
+
+def on_batch(batch: DataFrame, batch_id: int, root: str, facilities: DataFrame | None = None) -> None:
+    """One micro-batch; a replay writes the same partitions again and changes nothing."""
+    spark = batch.sparkSession
+    zones.write_zone(batch.withColumn("batch_id", F.lit(batch_id).cast("long")), root, "raw", "energy_consumption", None, RAW_PARTITIONS)
+    # the years of one batch: bounded by the calendar
+    years = sorted(r[0] for r in batch.where("reporting_year IS NOT NULL").select("reporting_year").distinct().collect())
+    if years:
+        refresh_years(spark, root, years, facilities)
 
 
 def start(spark: SparkSession, landing: str, root: str, facilities: DataFrame | None = None,
@@ -48,14 +78,6 @@ def start(spark: SparkSession, landing: str, root: str, facilities: DataFrame |
     """Start the refresh stream: landing parquet files -> raw zone -> affected curated years."""
     ckpt = checkpoint or f"{shared_dir(spark).rstrip('/')}/streams/energy_refresh"
     src = spark.readStream.schema(ENERGY_SCHEMA).parquet(landing)
-
-    def on_batch(batch: DataFrame, batch_id: int) -> None:
-        # append the new rows to the raw zone (partitioned like the original raw table)
-        (batch.write.mode("append").partitionBy("reporting_year", "reporting_month")
-              .parquet(zones.table_path(root, "raw", "energy_consumption")))
-        years = batch.select("reporting_year").distinct()
-        _refresh_years(batch.sparkSession, root, years, facilities)
-
-    w = src.writeStream.foreachBatch(on_batch).option("checkpointLocation", ckpt)
+    w = src.writeStream.foreachBatch(lambda b, i: on_batch(b, i, root, facilities)).option("checkpointLocation", ckpt)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()
