@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import constants as C
@@ -52,6 +52,16 @@ def pcaf_confidence(score) -> Column:
     return e
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows; what ``df`` computes is computed here, once per row.
+
+    A generator over one struct. Filters and projections above it can't be
+    rewritten in terms of the expressions below, which otherwise are copied
+    into every filter that mentions them.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def trend_class(yoy, band: float = 0.0) -> Column:
     y = col(yoy)
     return (F.when(y.isNull(), F.lit("n/a"))

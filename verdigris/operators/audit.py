@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.exprs import settled
+
 # --------------------------------------------------------------------------
 # FIXED VALUES: audit constants, patterns and word lists (reference rules)
 # --------------------------------------------------------------------------
@@ -94,27 +96,33 @@ def parse_sections(sections: DataFrame) -> DataFrame:
     keys = F.json_object_keys("content_json")
     s = (sections.withColumn("keys", keys)
          .withColumn("json_valid", F.col("keys").isNotNull())
-         .withColumn("sec", F.from_json("content_json", SECTION_SCHEMA)))
+         .withColumn("sec", F.when(F.col("json_valid"), F.from_json("content_json", SECTION_SCHEMA))))
     paras = F.coalesce(F.col("sec.paragraphs"), F.array())
     tables = F.coalesce(F.col("sec.tables"), F.array())
     cells = F.flatten(F.transform(tables, lambda t: F.flatten(F.coalesce(t["rows"], F.array()))))
     texts = F.transform(paras, lambda p: F.coalesce(p["text"], F.lit("")))
     sid = F.coalesce(F.col("sec.section_id"), F.lit(""))
-    return (s.withColumn("section_id", sid)
-             .withColumn("section_type", section_type(sid))
-             .withColumn("all_text", F.array_join(F.concat(texts, F.coalesce(cells, F.array())), " "))
-             .withColumn("table_cells", cells))
+    return settled(s.withColumn("section_id", sid)
+                   .withColumn("section_type", section_type(sid))
+                   .withColumn("all_text", F.array_join(F.concat(texts, F.coalesce(cells, F.array())), " "))
+                   .withColumn("table_cells", cells))
+
+
+# FIXED VALUES: section type by the parts its id holds, first match wins; ids of unified reports look at the
+# first list before the second
+UNIFIED_MARKS = [("scope1", ["scope1"]), ("scope2", ["scope2"]), ("scope3_pcaf", ["pcaf", "scope3"]), ("intensity", ["intensity"]),
+                 ("reduction", ["reduction"]), ("social", ["social"]), ("governance", ["governance"]), ("targets", ["targets"])]
+SECTION_MARKS = [("scope1", ["scope1", "_s1_"]), ("scope2", ["scope2", "_s2_"]), ("scope3_pcaf", ["pcaf", "scope3", "_s3_"]),
+                 ("intensity", ["intensity"]), ("social", ["social"]), ("reduction", ["reduction", "305-5"]), ("summary", ["summary"]),
+                 ("governance", ["gov"]), ("targets", ["target"]), ("double_materiality", ["materiality"])]
 
 
 def section_type(sid) -> Column:
-    """VA-22: section type from its id (substring cases, first match wins)."""
+    """VA-22: section type from its id, by the tables above."""
     s = F.lower(sid)
-    return (F.when(s.contains("scope1") | s.contains("_s1_"), F.lit("scope1"))
-             .when(s.contains("scope2") | s.contains("_s2_"), F.lit("scope2"))
-             .when(s.contains("pcaf") | s.contains("scope3"), F.lit("scope3_pcaf"))
-             .when(s.contains("intensity"), F.lit("intensity"))
-             .when(s.contains("summary"), F.lit("summary"))
-             .otherwise(F.lit("unknown")))
+    cases = [(F.instr(s, "unified") > 0, UNIFIED_MARKS), (F.lit(True), SECTION_MARKS)]
+    hits = [F.when(given & (F.instr(s, mark) > 0), F.lit(kind)) for given, marks in cases for kind, parts in marks for mark in parts]
+    return F.coalesce(*hits, F.lit("unknown"))
 
 
 def _rule(cond: Column, rule: str, severity: str, detail: Column) -> Column:
@@ -125,7 +133,7 @@ def _rule(cond: Column, rule: str, severity: str, detail: Column) -> Column:
 def structure_findings(parsed: DataFrame) -> DataFrame:
     """Adds ``findings`` (structural findings array) and ``struct_error`` to parsed sections."""
     f = _structure_array()
-    return (parsed.withColumn("findings", f)
+    return (settled(parsed.withColumn("findings", f))
                   .withColumn("struct_error", F.exists("findings", lambda x: x["severity"].isin("error", "retry"))))
 
 
@@ -252,7 +260,12 @@ def _finding(rule: str, severity: str, detail: Column) -> Column:
     return F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), detail.cast("string").alias("detail"))
 
 
-def content_findings(parsed: DataFrame, metrics: DataFrame, strict_reference: bool = True,
+def _text(x: Column) -> Column:
+    """A number as text, the same in any engine."""
+    return F.coalesce(x.try_cast("decimal(38,6)").cast("string"), F.lit("large"))
+
+
+def content_findings(parsed: DataFrame, metrics: DataFrame, strict_reference: bool = False,
                      prohibited: bool = True) -> DataFrame:
     """VA-10..VA-20 as one projection per section: adds ``content`` (numeric and
     prohibited findings) next to the structural ``findings``.
@@ -264,9 +277,9 @@ def content_findings(parsed: DataFrame, metrics: DataFrame, strict_reference: bo
     (the reference stops there).
     """
     p = parsed if "struct_error" in parsed.columns else structure_findings(parsed)
-    # one row per report (bank x year x framework): broadcast, so the sections are never
-    # shuffled by report key (a report may own a large share of all sections)
-    p = p.join(F.broadcast(report_metrics(metrics)), "metrics_key", "left")
+    # one row per report: Spark broadcasts it while its measured size allows, and then splits
+    # reports that own a large share of all sections
+    p = p.join(report_metrics(metrics), "metrics_key", "left")
     text = F.col("all_text")
     allowed = F.coalesce(F.col("allowed"), F.array(*[F.lit(float(x)) for x in WHITELISTED_VALUES]))
     m = lambda k: F.col("mmap")[F.lit(k)]
@@ -286,33 +299,32 @@ def content_findings(parsed: DataFrame, metrics: DataFrame, strict_reference: bo
     claim_values = F.transform(claims, lambda c: c["value"])
     num01 = F.transform(F.filter(claims, lambda c: ~_is_whitelisted(c["value"])
                                  & ~_near_any(allowed, c["value"], TOLERANCE_TCO2E)),
-                        lambda c: _finding("VAL-NUM-01", "error", F.concat_ws(" ", c["value"].cast("string"), c["unit"])))
+                        lambda c: _finding("VAL-NUM-01", "error", F.concat_ws(" ", _text(c["value"]), c["unit"])))
     pct = F.transform(F.filter(F.col("_pcts"),
                                lambda x: ~_is_whitelisted(x) & ~_near_any(allowed, x, TOLERANCE_PCT)
                                & ~x.isin(0.0, 100.0)),
-                      lambda x: _finding("VAL-NUM-03", "warning", F.concat(x.cast("string"), F.lit("%"))))
+                      lambda x: _finding("VAL-NUM-03", "warning", F.concat(_text(x), F.lit("%"))))
     yoy = m("yoy_change_pct")
     num04 = F.when(yoy.isNotNull(), F.transform(
         F.filter(F.col("_yoys"), lambda x: F.abs(x - yoy) > TOLERANCE_YOY),
-        lambda x: _finding("VAL-NUM-04", "error", F.concat(x.cast("string"), F.lit(" vs "), yoy.cast("string")))))
+        lambda x: _finding("VAL-NUM-04", "error", F.concat(_text(x), F.lit(" vs "), _text(yoy)))))
     irev, ifte = m("intensity_tco2e_per_idr_bn"), m("intensity_tco2e_per_fte")
     hit = lambda ref, x: F.coalesce((ref != 0) & (F.abs(x - ref) <= TOLERANCE_INTENSITY), F.lit(False))
     num05 = F.transform(F.filter(F.col("_ints"),
                                  lambda x: ~hit(irev, x) & ~hit(ifte, x) & ~_is_whitelisted(x)),
-                        lambda x: _finding("VAL-NUM-05", "error", x.cast("string")))
+                        lambda x: _finding("VAL-NUM-05", "error", _text(x)))
     s1, s1n, s1d = m("scope1_tco2e"), m("scope1_natgas_tco2e"), m("scope1_diesel_tco2e")
     gross, weighted = m("scope3_cat15_gross_tco2e"), m("scope3_cat15_weighted_tco2e")
     num02 = F.when(F.abs(s1 - (s1n + s1d)) > TOLERANCE_TCO2E,
                    F.array(_finding("VAL-NUM-02", "error", F.lit("natgas + diesel != scope1_tco2e"))))
     num06 = F.when(weighted > gross, F.array(_finding(
-        "VAL-NUM-06", "no_retry", F.concat(F.lit("weighted "), weighted.cast("string"), F.lit(" > gross "),
-                                           gross.cast("string")))))
+        "VAL-NUM-06", "no_retry", F.concat(F.lit("weighted "), _text(weighted), F.lit(" > gross "), _text(gross)))))
     tvals = F.array_distinct(F.filter(F.transform(
         F.coalesce(F.col("table_cells"), F.array().cast("array<string>")),
         lambda c: F.regexp_replace(F.regexp_replace(c, ",", ""), "%", "").try_cast("double")),
         lambda x: x.isNotNull()))
     num07 = F.transform(F.filter(tvals, lambda t: ~_is_whitelisted(t) & ~_near_any(claim_values, t, TOLERANCE_TCO2E)),
-                        lambda t: _finding("VAL-NUM-07", "warning", t.cast("string")))
+                        lambda t: _finding("VAL-NUM-07", "warning", _text(t)))
     prh = []
     for i, (rule, severity, ptn) in enumerate(PROHIBITED if prohibited else []):
         p = p.withColumn(f"_prh{i}", F.regexp_extract_all(text, F.lit(ptn), 0))
@@ -327,7 +339,7 @@ def content_findings(parsed: DataFrame, metrics: DataFrame, strict_reference: bo
                    *[f"_prh{i}" for i in range(len(PROHIBITED))]))
 
 
-def numeric_findings(parsed: DataFrame, metrics: DataFrame, strict_reference: bool = True) -> DataFrame:
+def numeric_findings(parsed: DataFrame, metrics: DataFrame, strict_reference: bool = False) -> DataFrame:
     """VA-10..VA-19: numeric findings (section_key, rule, severity, detail).
 
     ``VAL-NUM-01`` rows are the unmatched claims; the outcome step decides
@@ -367,7 +379,7 @@ def prohibited_findings(parsed: DataFrame, metrics: DataFrame | None = None) ->
 OUTCOME_RANK = {"PASS": 0, "WARN": 1, "RETRY": 2, "FAIL": 3, "FAIL_NO_RETRY": 4}
 
 
-def audit(sections: DataFrame, metrics: DataFrame, strict_reference: bool = True) -> DataFrame:
+def audit(sections: DataFrame, metrics: DataFrame, strict_reference: bool = False) -> DataFrame:
     """VA-13 / VA-21 / VA-23: outcome and inclusion status per section, in one pass.
 
     RETRY when the JSON is unusable, or when exactly one claim is unmatched
@@ -390,7 +402,8 @@ def audit(sections: DataFrame, metrics: DataFrame, strict_reference: bool = True
                 .when(errors > 0, F.lit("FAIL"))
                 .when(warnings > 0, F.lit("WARN"))
                 .otherwise(F.lit("PASS")))
-    status = (F.when(F.col("outcome") == "PASS", F.lit("INCLUDED"))
+    status = (F.when(~F.col("json_valid") & (F.col("retry_count") > 0), F.lit("ERROR"))   # unusable again
+               .when(F.col("outcome") == "PASS", F.lit("INCLUDED"))
                .when(F.col("outcome").isin("WARN", "FAIL"), F.lit("INCLUDED_WITH_WARNINGS"))
                .when(F.col("outcome") == "RETRY", F.lit("RETRY_PENDING"))
                .otherwise(F.lit("HUMAN_REVIEW")))
@@ -406,11 +419,13 @@ def included_summary(outcomes: DataFrame) -> DataFrame:
         .withColumn("included", F.col("status").isin("INCLUDED", "INCLUDED_WITH_WARNINGS"))
 
 
-def failure_detail(findings: DataFrame, cap: int = 10) -> DataFrame:
-    """VA-13: the first ``cap`` unmatched claims per section (window rank, no unbounded collect)."""
+def failure_detail(findings: DataFrame, cap: int | None = None) -> DataFrame:
+    """VA-13: the unmatched claims of each section, all or the first ``cap`` of each (the report's list)."""
+    found = findings.filter(F.col("rule") == "VAL-NUM-01")
+    if cap is None:
+        return found
     w = Window.partitionBy("section_key").orderBy("detail")
-    return (findings.filter(F.col("rule") == "VAL-NUM-01").withColumn("n", F.row_number().over(w))
-                    .filter(F.col("n") <= cap).drop("n"))
+    return found.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= cap).drop("n")
 
 
 # FIXED VALUES: section order per framework (unknown types last)
@@ -464,14 +479,15 @@ CLAIM_LABELS = [("scope 1", "scope1_tco2e"), ("natural gas", "scope1_natgas_tco2
                 ("gross financed", "scope3_cat15_gross_tco2e"),
                 ("confidence-weighted", "scope3_cat15_weighted_tco2e")]
 LABEL_WINDOW = 60
-LABEL_PATTERN = ("(?iu)(" + "|".join(lb for lb, _ in CLAIM_LABELS) + r")[^0-9]{0,%d}?" % LABEL_WINDOW
-                 + r"(\d{1,3}(?:,\d{3})*(?:\.\d+)?)\s*tCO2e")
+# the number may follow other digits (a year), but doesn't begin inside one
+LABEL_PATTERN = ("(?iu)(" + "|".join(lb for lb, _ in CLAIM_LABELS) + r")[^\n]{0,%d}?[^\n\d,.](\d+(?:,\d{3})*(?:\.\d+)?)\s*tCO2e"
+                 % LABEL_WINDOW)
 
 
 def claim_metric_mapping(parsed: DataFrame, metrics: DataFrame) -> DataFrame:
     """VA-24: a number with a metric label within 60 characters before it is a claim about
     that metric; compare it with the report's value (tolerance 0.001)."""
-    p = parsed.join(F.broadcast(report_metrics(metrics)), "metrics_key", "left")   # one row per report
+    p = parsed.join(report_metrics(metrics), "metrics_key", "left")
     labels = F.regexp_extract_all("all_text", F.lit(LABEL_PATTERN), 1)
     nums = F.regexp_extract_all("all_text", F.lit(LABEL_PATTERN), 2)
     lm = F.create_map(*[x for lb, m in CLAIM_LABELS for x in (F.lit(lb), F.lit(m))])
@@ -512,11 +528,37 @@ def recover_json(raw) -> Column:
              .when(valid(braces), braces))
 
 
+#: Footnotes of a report are ranked in this many ranges of their hash's first places.
+FOOTNOTE_RANGES = 64
+
+
 def footnote_index(sections: DataFrame, report_key: str = "metrics_key") -> DataFrame:
-    """VA-28: footnotes de-duplicated across a report's sections and numbered in first-seen order."""
+    """VA-28: footnotes de-duplicated across a report's sections and numbered in first-seen order.
+
+    A report may own most sections: first places come from a partial aggregate
+    over (report, footnote), and ranks from ranges of section keys, each
+    counted first and then ranked alone, so no report is ranked in one task.
+    """
     p = parse_sections(sections)
     f = p.select(report_key, "section_key", F.posexplode(F.coalesce(F.col("sec.footnotes"), F.array()))
                  .alias("pos", "footnote"))
     first = f.groupBy(report_key, "footnote").agg(F.min(F.struct("section_key", "pos")).alias("first"))
-    w = Window.partitionBy(report_key).orderBy("first.section_key", "first.pos")
-    return first.withColumn("footnote_no", F.row_number().over(w)).select(report_key, "footnote_no", "footnote")
+    last = first.agg(F.max("first.section_key").alias("hi"), F.min("first.section_key").alias("lo"))
+    span = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo") + 1) / FOOTNOTE_RANGES))
+    placed = (first.crossJoin(F.broadcast(last.select("lo", span.alias("span"))))   # one row
+              .withColumn("range", F.floor((F.col("first.section_key") - F.col("lo")) / F.col("span"))))
+    ahead = Window.partitionBy(report_key).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(report_key, "range").agg(F.count("*").alias("c"))
+    counts = counts.select(report_key, "range", F.coalesce(F.sum("c").over(ahead), F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy(report_key, "range").orderBy("first.section_key", "first.pos"))
+    return placed.join(counts, [report_key, "range"]).select(report_key, (F.col("before") + rank).cast("int").alias("footnote_no"), "footnote")
+
+
+def footnote_places(sections: DataFrame, report_key: str = "metrics_key") -> DataFrame:
+    """VA-28: the footnote numbers that each section's content refers to, in the order of the section."""
+    p = parse_sections(sections).select(report_key, "section_key", F.posexplode(F.coalesce(F.col("sec.footnotes"), F.array()))
+                                        .alias("pos", "footnote"))
+    return (p.join(footnote_index(sections, report_key), [report_key, "footnote"])
+            .groupBy(report_key, "section_key")   # a section's own footnotes
+            .agg(F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.struct("pos", "footnote_no"))), lambda x: x["footnote_no"]))
+                 .alias("footnote_nos")))

@@ -15,7 +15,8 @@ FALLBACK_LANG = "en"
 
 
 def _sections(spark, d):
-    return sections.sections_from_documents(inputs(spark, d).raw("documents"))
+    c = core(spark, d)
+    return sections.sections_from_documents(c.inp.raw("documents"), c.summary())
 
 
 def _parsed(spark, d):
@@ -23,7 +24,7 @@ def _parsed(spark, d):
 
 
 def _metrics(spark, d):
-    return sections.case_metrics(spark)
+    return sections.report_metrics(core(spark, d).summary())
 
 
 def _benchmark_queries(spark, d):
@@ -106,12 +107,15 @@ def queries() -> dict:
     return {
         # section audit over documents
         "audit_structure": lambda s, d: audit.section_structure(_parsed(s, d)),
-        "audit_claims": lambda s, d: audit.extract_claims(_parsed(s, d), "section_key", "all_text", True),
+        "audit_claims": lambda s, d: audit.extract_claims(_parsed(s, d), "section_key", "all_text"),
+        "audit_claims_strict": lambda s, d: audit.extract_claims(_parsed(s, d), "section_key", "all_text", True),
         "audit_numeric": lambda s, d: audit.numeric_findings(_parsed(s, d), _metrics(s, d)),
         "audit_prohibited": lambda s, d: audit.prohibited_findings(_parsed(s, d)),
         "audit_outcome": lambda s, d: audit.audit(_sections(s, d), _metrics(s, d)),
         "audit_included": lambda s, d: audit.included_summary(audit.audit(_sections(s, d), _metrics(s, d))),
+        "audit_unmatched": lambda s, d: audit.failure_detail(audit.numeric_findings(_parsed(s, d), _metrics(s, d))),
         "audit_footnotes": lambda s, d: audit.footnote_index(_sections(s, d)),
+        "audit_footnote_places": lambda s, d: audit.footnote_places(_sections(s, d)),
         # text rules on whole documents and conversations
         "doc_numeric_claims": lambda s, d: audit.extract_claims(inputs(s, d).raw("documents"), "doc_id", "text"),
         "doc_prohibited_hits": lambda s, d: audit.prohibited_hits(inputs(s, d).raw("documents"), "doc_id", "text"),

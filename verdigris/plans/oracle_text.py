@@ -3,15 +3,13 @@
 Regexes are restated for RE2 where Java needs a lookbehind: the claim
 pattern's ``(?<![\\d,.])`` becomes a consumed ``(?:^|[^\\d,.])`` prefix, which
 finds the same numbers wherever two claims are not glued together.
-The section audit has no oracle here; tests/ check it against a plain
-Python implementation of the rules on a small fixture.
+The section audit's oracles are in ``oracle_audit``.
 """
 
 from __future__ import annotations
 
 from ..functions import constants as C
-from ..operators import audit, reports
-from ..sources import sections
+from ..operators import reports
 from . import oracle_core, oracle_ops  # noqa: F401  (register fragments)
 from .sqltext import D, R, fragment, with_ctes
 
@@ -86,53 +84,6 @@ def _values(rows, cols) -> str:
     return f"(VALUES {body})"
 
 
-def _case_text_tail(sec: dict) -> tuple[bool, str]:
-    """(has_doc_prefix, text after the document) of a template's flattened text."""
-    paras = [p.get("text", "") for p in sec.get("paragraphs", [])]
-    cells = [c for t in sec.get("tables", []) for r in t.get("rows", []) for c in r]
-    if paras:
-        first = paras[0].replace(sections.MARK, "")
-        return True, " ".join([first] + paras[1:] + cells)
-    return False, " ".join(cells)
-
-
-def _case_structure(sec: dict) -> list[tuple[str, str, str]]:
-    """Structural findings of a template, restated in plain Python."""
-    import re as _re
-    out = []
-    req = ["section_id", "title", "paragraphs", "tables", "key_metrics", "footnotes", "framework_references"]
-    missing = sorted(k for k in req if k not in sec)
-    if missing:
-        out.append(("VAL-STR-02", "error", ",".join(missing)))
-    sid = sec.get("section_id", "")
-    if not _re.match(r"^[A-Z0-9_]+_[A-Z0-9]+_\d{4}$", sid):
-        out.append(("VAL-STR-03", "warning", sid))
-    paras = sec.get("paragraphs", [])
-    if not paras:
-        out.append(("VAL-STR-04", "warning", "empty paragraphs"))
-    bad = [p.get("paragraph_type", "") for p in paras
-           if p.get("paragraph_type", "") not in ("narrative", "methodology", "footnote", "forward_looking")]
-    if bad:
-        out.append(("VAL-STR-05", "error", ",".join(bad)))
-    low = sid.lower()
-    stype = ("scope1" if "scope1" in low or "_s1_" in low else "scope2" if "scope2" in low or "_s2_" in low
-             else "scope3_pcaf" if "pcaf" in low or "scope3" in low else "intensity" if "intensity" in low
-             else "summary" if "summary" in low else "unknown")
-    quant = stype in ("scope1", "scope2", "scope3_pcaf", "intensity", "summary")
-    tables = sec.get("tables", [])
-    if quant and not tables:
-        out.append(("VAL-STR-06", "error", "no tables"))
-    if any(len(r) != len(t.get("headers", [])) for t in tables for r in t.get("rows", [])):
-        out.append(("VAL-STR-07", "error", "row length differs from headers"))
-    if quant and not sec.get("key_metrics"):
-        out.append(("VAL-STR-08", "error", "no key_metrics"))
-    if not sec.get("data_sources_used"):
-        out.append(("VAL-STR-09", "warning", "data_sources_used empty"))
-    if len(sec.get("advisory_recommendations", []) or []) < 2:
-        out.append(("VAL-STR-10", "warning", "advisory_recommendations < 2"))
-    return out
-
-
 def _cmp(x: str) -> str:
     return (f"CASE op WHEN '<' THEN {x} < threshold WHEN '<=' THEN {x} <= threshold "
             f"WHEN '>' THEN {x} > threshold WHEN '>=' THEN {x} >= threshold END")
@@ -308,29 +259,6 @@ FROM (SELECT l.reporting_year, l.metric, l.value,
              COUNT(*) AS peers
       FROM rp_long l JOIN {peers} p(metric, peer, pvalue, hib) ON p.metric = l.metric
       GROUP BY l.reporting_year, l.metric, l.value, p.hib) x""", ["rp_long"])
-    case_ids = ", ".join(f"({i}, '{sec['section_id']}')" for i, (_, sec, _) in enumerate(sections.CASES))
-    order_rows = ", ".join(f"('{fw}', '{t}', {i})" for fw, ts in audit.SECTION_ORDER.items() for i, t in enumerate(ts))
-    stype = ("CASE WHEN contains(lower(sid), 'scope1') OR contains(lower(sid), '_s1_') THEN 'scope1' "
-             "WHEN contains(lower(sid), 'scope2') OR contains(lower(sid), '_s2_') THEN 'scope2' "
-             "WHEN contains(lower(sid), 'pcaf') OR contains(lower(sid), 'scope3') THEN 'scope3_pcaf' "
-             "WHEN contains(lower(sid), 'intensity') THEN 'intensity' "
-             "WHEN contains(lower(sid), 'summary') THEN 'summary' ELSE 'unknown' END")
-    fw = "CASE " + " ".join(f"WHEN starts_with(sid, '{f}_') THEN '{f}'"
-                            for f in sorted(audit.SECTION_ORDER, key=len, reverse=True)) + " ELSE 'MULTI_FRAMEWORK' END"
-    q["section_order"] = f"""
-WITH s AS (SELECT d.doc_id AS section_key, 'case_' || CAST(d.doc_id % 7 AS VARCHAR) AS metrics_key, c.sid
-           FROM documents d JOIN (VALUES {case_ids}) c(case_no, sid) ON c.case_no = d.doc_id % 7),
-t AS (SELECT section_key, metrics_key, sid, {stype} AS section_type, {fw} AS framework FROM s)
-SELECT t.metrics_key, t.framework, t.section_key, t.sid AS section_id, t.section_type,
-       COALESCE(o.position, {audit.UNKNOWN_POSITION}) AS position
-FROM t LEFT JOIN (VALUES {order_rows}) o(framework, section_type, position)
-  ON o.framework = t.framework AND o.section_type = t.section_type"""
-    no_para = [i for i, (_, sec, _) in enumerate(sections.CASES) if not sec.get("paragraphs")]
-    q["section_summary_context"] = f"""
-SELECT 'case_' || CAST(doc_id % 7 AS VARCHAR) AS metrics_key, COUNT(*) AS total_sections,
-       COUNT(*) FILTER (WHERE doc_id % 7 NOT IN ({", ".join(map(str, no_para)) or "-1"})
-                          AND contains(text, 'KEY INSIGHT')) AS sections_with_insights
-FROM documents GROUP BY 1"""
     fragment("rwf", f"""
 WITH sm AS (SELECT s.query_id, s.doc_id, {R('s.score / MAX(s.score) OVER (PARTITION BY s.query_id)', 6)} AS score, d.lang
             FROM bm25_scores s JOIN documents d ON d.doc_id = s.doc_id),
@@ -362,51 +290,6 @@ LEFT JOIN (
                 FROM rwf h JOIN documents d ON d.doc_id = h.doc_id WHERE length(d.text) > 0) a) b) c
   WHERE used IS NOT NULL AND (first_over IS NULL OR rank <= first_over)
   GROUP BY query_id) p ON p.query_id = h.query_id""", ["rwf"])
-    notes = {i: sec.get("footnotes") for i, (_, sec, _) in enumerate(sections.CASES)}
-    marker = audit.PROVENANCE_MARK
-    def prov(fn):
-        block = next((n for n in (fn or []) if marker in n), None)
-        present = 0 if block is None else sum(1 for f in audit.PROVENANCE_FIELDS if f in block)
-        warn = "'VAL-PROV-01'" if block is None else ("'VAL-PROV-02'" if present < 6 else "NULL")
-        return f"{'true' if block is not None else 'false'}, {present}, {warn}"
-    prov_rows = ", ".join(f"({i}, {prov(fn)})" for i, fn in notes.items())
-    q["audit_provenance"] = f"""
-SELECT d.doc_id AS section_key, p.has_provenance, CAST(p.fields_present AS INTEGER) AS fields_present, p.warning
-FROM documents d JOIN (VALUES {prov_rows}) p(case_no, has_provenance, fields_present, warning)
-  ON p.case_no = d.doc_id % 7"""
-    tails = []
-    for i, (_, sec, _) in enumerate(sections.CASES):
-        has_doc, tail = _case_text_tail(sec)
-        tails.append(f"({i}, {'true' if has_doc else 'false'}, '{_q(tail)}')")
-    strict = audit.NUMERIC_PATTERN_STRICT
-    q["audit_claims"] = f"""
-WITH s AS (SELECT d.doc_id AS section_key,
-                  CASE WHEN c.has_doc THEN d.text || ' ' || c.tail ELSE c.tail END AS all_text
-           FROM documents d JOIN (VALUES {", ".join(tails)}) c(case_no, has_doc, tail) ON c.case_no = d.doc_id % 7)
-SELECT section_key, CAST(claim_no AS INTEGER) AS claim_no, raw, TRY_CAST(replace(raw, ',', '') AS DOUBLE) AS value, unit
-FROM (SELECT section_key, UNNEST(generate_series(0, len(v) - 1)) AS claim_no, UNNEST(v) AS raw, UNNEST(u) AS unit
-      FROM (SELECT section_key, regexp_extract_all(all_text, '{strict}', 1) AS v,
-                   regexp_extract_all(all_text, '{strict}', 2) AS u FROM s) a) b"""
-    mrows = ", ".join(f"({i}, '{k}', {D(float(v))})" for i, (_, _, m) in enumerate(sections.CASES) for k, v in m.items())
-    lmap = ", ".join(f"('{lb}', '{m}')" for lb, m in audit.CLAIM_LABELS)
-    lpat = audit.LABEL_PATTERN.replace("(?iu)", "(?i)")
-    q["audit_claim_mapping"] = f"""
-WITH s AS (SELECT d.doc_id AS section_key, d.doc_id % 7 AS case_no,
-                  CASE WHEN c.has_doc THEN d.text || ' ' || c.tail ELSE c.tail END AS all_text
-           FROM documents d JOIN (VALUES {", ".join(tails)}) c(case_no, has_doc, tail) ON c.case_no = d.doc_id % 7),
-x AS (SELECT section_key, case_no, UNNEST(generate_series(0, len(l) - 1)) AS claim_no, UNNEST(l) AS label_raw, UNNEST(n) AS num
-      FROM (SELECT section_key, case_no, regexp_extract_all(all_text, '{lpat}', 1) AS l,
-                   regexp_extract_all(all_text, '{lpat}', 2) AS n FROM s) a)
-SELECT x.section_key, CAST(x.claim_no AS INTEGER) AS claim_no, lower(x.label_raw) AS label, lm.metric,
-       TRY_CAST(replace(x.num, ',', '') AS DOUBLE) AS claimed_value, m.value AS source_value,
-       ABS(TRY_CAST(replace(x.num, ',', '') AS DOUBLE) - m.value) <= 1e-3 AS matches
-FROM x LEFT JOIN (VALUES {lmap}) lm(label, metric) ON lm.label = lower(x.label_raw)
-LEFT JOIN (VALUES {mrows}) m(case_no, metric, value) ON m.case_no = x.case_no AND m.metric = lm.metric"""
-    srows = [f"({i}, '{r}', '{sv}', '{_q(dt)}')" for i, (_, sec, _) in enumerate(sections.CASES)
-             for r, sv, dt in _case_structure(sec)]
-    q["audit_structure"] = f"""
-SELECT d.doc_id AS section_key, f.rule, f.severity, f.detail
-FROM documents d JOIN (VALUES {", ".join(srows)}) f(case_no, rule, severity, detail) ON f.case_no = d.doc_id % 7"""
     # ------------------------------------------------------------ sources
     q["partition_presence"] = with_ctes(f"""
 SELECT t.table_name, CAST(y.reporting_year AS INTEGER) AS reporting_year, COALESCE(p.present, false) AS present

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog_core, catalog_ops, catalog_text, oracle_core, oracle_ops, oracle_text
+from . import catalog_core, catalog_ops, catalog_text, oracle_audit, oracle_core, oracle_ops, oracle_text
 
 
 def queries() -> dict:
@@ -10,5 +10,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    found = oracle_core.oracles() | oracle_ops.oracles() | oracle_text.oracles()
+    found = oracle_core.oracles() | oracle_ops.oracles() | oracle_text.oracles() | oracle_audit.oracles()
     return {k: v for k, v in found.items() if k in queries()}

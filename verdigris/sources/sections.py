@@ -1,124 +1,148 @@
-"""Report sections to audit, derived from ``documents``.
-
-Seven section templates cover the audit paths (clean-with-warnings,
-fabricated numbers, first person and marketing, weighted > gross, missing
-keys, calculation phrases, a fabricated number on a retry). At scale every
-document becomes one section: template ``doc_id % 7`` with the document's
-whole text put in front of the first paragraph, so the audit reads every
-document in full. The metrics behind each template form a small table
-keyed by ``metrics_key``.
+"""Report sections to audit: one per document, written from the computed summary.
+
+A section belongs to a bank-year, a framework and a section type, all given by
+its document's id. Its text is the whole document followed by sentences that
+state figures of ``ghg_summary_annual``; its table, key metrics, footnotes and
+references follow from the same figures. Thirteen variants by document id
+plant the faults that the audit looks for: a figure off by a tenth, a changed
+percentage, a wrong intensity, a table figure the text doesn't have, banned
+wording, missing keys, a ragged table, broken JSON, and drafts whose own
+metrics contradict each other; variants 0 and 1 have none.
+
+The generator is SQL text that runs in Spark and in DuckDB alike (the one
+difference is how a string becomes JSON), so both start from the same JSON.
 """
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MARK = "@DOC@"
-
-
-def _section(sid, paragraphs, tables=None, key_metrics=None, footnotes=None, refs=None, sources=None,
-             advisory=None, drop=()):
-    s = {"section_id": sid, "title": sid.replace("_", " ").title(),
-         "paragraphs": [{"paragraph_type": t, "text": x} for t, x in paragraphs],
-         "tables": tables or [], "key_metrics": key_metrics or [], "footnotes": footnotes or [],
-         "framework_references": refs or [], "data_sources_used": sources or []}
-    if advisory is not None:
-        s["advisory_recommendations"] = advisory
-    for k in drop:
-        s.pop(k, None)
-    return s
-
-
-S1_METRICS = {"scope1_tco2e": 812.45, "scope1_natgas_tco2e": 602.11, "scope1_diesel_tco2e": 210.34,
-              "yoy_change_pct": -3.1, "intensity_tco2e_per_idr_bn": 0.0091}
-SUMMARY_SRC = ["aggregated.ghg_summary_annual"]
-
-CASES = [
-    # 0: numbers all sourced, table shares not in the text, no advisory list -> WARN
-    (0, _section("GRI_305_SCOPE1_2000", [
-        ("narrative", MARK + "Direct emissions for the year came to 812.45 tCO2e, 3.1% below the previous "
-                             "year. Natural gas made up 602.11 tCO2e and diesel 210.34 tCO2e."),
-        ("methodology", "Figures follow the operational control approach with DEFRA 2025 factors and "
-                        "IPCC AR6 warming potentials.")],
-        tables=[{"caption": "Scope 1 by source", "headers": ["Source", "tCO2e", "Share (%)"],
-                 "rows": [["Natural Gas", "602.11", "74.1"], ["Diesel", "210.34", "25.9"],
-                          ["Total", "812.45", "100.0"]]}],
-        key_metrics=[{"metric": "scope1_total", "value": 812.45, "unit": "tCO2e"}],
-        footnotes=["GWP100: CH4 29.8, N2O 273.0"], refs=["GRI 305-1a"], sources=SUMMARY_SRC), S1_METRICS),
-    # 1: two fabricated claims -> FAIL
-    (0, _section("GRI_305_SCOPE1_2000", [
-        ("narrative", MARK + "Emissions rose to 1,450.00 tCO2e, up 12.8% year-over-year.")],
-        tables=[{"caption": "Total", "headers": ["Metric", "Value"], "rows": [["Total", "1450.00"]]}],
-        key_metrics=[{"metric": "total", "value": 1450.0, "unit": "tCO2e"}],
-        refs=["GRI 305-1a"], sources=SUMMARY_SRC), S1_METRICS),
-    # 2: first person, marketing words, YoY sign wrong -> FAIL
-    (0, _section("GRI_305_SCOPE1_2000", [
-        ("narrative", MARK + "We report that our industry-leading programme held emissions at 812.45 tCO2e, "
-                             "a 3.1% change year-over-year thanks to a groundbreaking plan.")],
-        tables=[{"caption": "Total", "headers": ["Source", "tCO2e"], "rows": [["Total", "812.45"]]}],
-        key_metrics=[{"metric": "total", "value": 812.45, "unit": "tCO2e"}],
-        refs=["GRI 305-1a"], sources=SUMMARY_SRC), {"scope1_tco2e": 812.45, "yoy_change_pct": -3.1}),
-    # 3: weighted above gross -> FAIL_NO_RETRY
-    (0, _section("GRI_305_SCOPE3_PCAF_2000", [
-        ("narrative", MARK + "Gross financed emissions were 420,000.00 tCO2e and confidence-weighted "
-                             "emissions 480,000.00 tCO2e.")],
-        tables=[{"caption": "PCAF", "headers": ["Metric", "Value"],
-                 "rows": [["Gross", "420000"], ["Weighted", "480000"]]}],
-        key_metrics=[{"metric": "gross", "value": 420000, "unit": "tCO2e"}],
-        refs=["GRI 305-3"], sources=["aggregated.pcaf_by_sector"]),
-     {"scope3_cat15_gross_tco2e": 420000.0, "scope3_cat15_weighted_tco2e": 480000.0}),
-    # 4: required keys missing -> FAIL (structure)
-    (0, _section("GRI_305_SCOPE1_2000", [], drop=("tables", "key_metrics", "footnotes",
-                                                  "framework_references", "data_sources_used")),
-     {"scope1_tco2e": 812.45}),
-    # 5: calculation phrases -> FAIL
-    (0, _section("GRI_305_SCOPE1_2000", [
-        ("narrative", MARK + "Emissions were calculated as 812.45 tCO2e and computed by applying factors "
-                             "to fuel use, multiplying volumes by factors.")],
-        tables=[{"caption": "Total", "headers": ["Metric", "Value"], "rows": [["Total", "812.45"]]}],
-        key_metrics=[{"metric": "total", "value": 812.45, "unit": "tCO2e"}],
-        refs=["GRI 305-1a"], sources=SUMMARY_SRC), {"scope1_tco2e": 812.45}),
-    # 6: one fabricated claim on the second attempt -> FAIL
-    (1, _section("GRI_305_SCOPE1_2000", [
-        ("narrative", MARK + "Emissions for the year were 1,450.00 tCO2e.")],
-        tables=[{"caption": "Total", "headers": ["Metric", "Value"], "rows": [["Total", "1450.00"]]}],
-        key_metrics=[{"metric": "total", "value": 1450.0, "unit": "tCO2e"}],
-        refs=["GRI 305-1a"], sources=SUMMARY_SRC), {"scope1_tco2e": 812.45}),
-]
-EXPECTED_OUTCOMES = ["WARN", "FAIL", "FAIL", "FAIL_NO_RETRY", "FAIL", "FAIL", "FAIL"]
-
-
-def case_templates(spark: SparkSession) -> DataFrame:
-    rows = [(i, retry, json.dumps(sec)) for i, (retry, sec, _) in enumerate(CASES)]
-    return spark.createDataFrame(rows, "case_no int, retry_count int, template string")
-
-
-def case_metrics(spark: SparkSession) -> DataFrame:
-    rows = [(f"case_{i}", k, float(v)) for i, (_, _, m) in enumerate(CASES) for k, v in m.items()]
-    return spark.createDataFrame(rows, "metrics_key string, metric string, value double")
-
-
-def golden_sections(spark: SparkSession) -> DataFrame:
-    """The seven templates alone (no document text)."""
-    t = case_templates(spark)
-    return t.select(F.col("case_no").cast("bigint").alias("section_key"),
-                    F.concat(F.lit("case_"), F.col("case_no")).alias("metrics_key"), "retry_count",
-                    F.replace("template", F.lit(MARK), F.lit("")).alias("content_json"))
-
-
-def sections_from_documents(docs: DataFrame) -> DataFrame:
-    """One section per document: template ``doc_id % 7`` with the whole text in front.
-
-    The seven-row template table is joined by broadcast (fixed size).
+from ..functions.exprs import settled
+
+#: (framework, as written in a section's id)
+FRAMEWORKS = ("GRI_305", "IFRS_S2", "CSRD_ESRS_E1", "OJK_PSPK", "UNIFIED")
+#: Id part of each section type, in the order in which documents take them.
+TYPE_PARTS = ("SCOPE1", "SUMMARY", "SCOPE2", "SCOPE3_PCAF", "INTENSITY", "REDUCTION", "S3_SUPPLY", "SOCIAL", "GOVERNANCE",
+              "TARGETS", "MATERIALITY", "ANNEX")
+VARIANTS = 13
+SLOTS = 420
+
+#: Metrics that a section may be asked about.
+METRICS = ("scope1_tco2e", "scope1_natgas_tco2e", "scope1_diesel_tco2e", "scope2_location_tco2e", "scope2_market_tco2e",
+           "scope3_cat15_gross_tco2e", "scope3_cat15_weighted_tco2e", "intensity_tco2e_per_idr_bn", "intensity_tco2e_per_fte",
+           "yoy_change_pct", "avg_pcaf_data_quality")
+
+
+def _fixed(x: str, digits: int) -> str:
+    return f"CAST(CAST(CAST({x} AS STRING) AS DECIMAL(38,{digits})) AS STRING)"
+
+
+def _pick(expr: str, values) -> str:
+    return f"CASE {expr} " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)) + " END"
+
+
+# The figures as a report prints them, one row per document.
+_FACTS = f"""
+SELECT d.doc_id AS k, d.text AS doc_text, s.reporting_year AS y, s.metric_key,
+       CAST(d.doc_id % {VARIANTS} AS INT) AS v,
+       {_pick(f"CAST(d.doc_id % {len(FRAMEWORKS)} AS INT)", FRAMEWORKS)} AS fw,
+       {_pick(f"CAST(floor(d.doc_id / 5) % {len(TYPE_PARTS)} AS INT)", TYPE_PARTS)} AS part,
+       {_fixed('s.scope1_tco2e', 3)} AS s1, {_fixed('s.scope1_natgas_tco2e', 4)} AS gas, {_fixed('s.scope1_diesel_tco2e', 4)} AS diesel,
+       {_fixed('s.scope2_location_tco2e', 3)} AS s2l, {_fixed('s.scope2_market_tco2e', 3)} AS s2m,
+       {_fixed('s.scope3_cat15_gross_tco2e', 2)} AS gross, {_fixed('s.scope3_cat15_weighted_tco2e', 2)} AS weighted,
+       {_fixed('s.intensity_tco2e_per_idr_bn', 6)} AS per_idr, {_fixed('s.intensity_tco2e_per_fte', 4)} AS per_fte,
+       coalesce({_fixed('s.yoy_change_pct', 2)}, '') AS yoy,
+       {_fixed('(s.scope1_tco2e * 1.1e0)', 3)} AS s1_off,
+       {_fixed('(s.intensity_tco2e_per_idr_bn + 1e0)', 6)} AS per_idr_off
+FROM {{documents}} d JOIN {{slots}} s ON s.slot = CAST(d.doc_id % {SLOTS} AS INT)
+"""
+
+_SENTENCES = """
+SELECT f.*,
+  CASE WHEN part = 'SCOPE1' THEN 'Scope 1 emissions for ' || y || ' came to ' || CASE WHEN v = 2 THEN s1_off ELSE s1 END || ' tCO2e; natural gas gave '
+            || gas || ' tCO2e and diesel ' || diesel || ' tCO2e.' || CASE WHEN yoy <> '' THEN ' Total emissions moved by '
+            || CASE WHEN v = 4 THEN '77.7' ELSE yoy END || '% as the yearly change.' ELSE '' END
+       WHEN part = 'SUMMARY' THEN 'In ' || y || ' scope 1 stood at ' || CASE WHEN v = 2 THEN s1_off ELSE s1 END || ' tCO2e, scope 2 at ' || s2l
+            || ' tCO2e and gross financed emissions at ' || gross || ' tCO2e.'
+       WHEN part = 'SCOPE2' THEN 'Scope 2 emissions for ' || y || ' were ' || s2l || ' tCO2e by location and '
+            || CASE WHEN v = 2 THEN s1_off ELSE s2m END || ' tCO2e by market.'
+       WHEN part IN ('SCOPE3_PCAF', 'S3_SUPPLY') THEN 'Gross financed emissions reached ' || gross || ' tCO2e, the confidence-weighted figure '
+            || CASE WHEN v = 2 THEN s1_off ELSE weighted END || ' tCO2e in ' || y || '.'
+       WHEN part = 'INTENSITY' THEN 'Intensity in ' || y || ' was ' || coalesce(CASE WHEN v = 10 THEN per_idr_off ELSE per_idr END, 'n/a') || ' tCO2e/IDR bn and '
+            || coalesce(per_fte, 'n/a') || ' per FTE.'
+       ELSE 'This chapter covers the year ' || y || '.' END
+  || CASE v WHEN 3 THEN ' We present our results as a world-class effort.'
+            WHEN 6 THEN ' The total was calculated as a sum, divided by sites.'
+            WHEN 11 THEN ' According to the registry, see https://example.org/data for more.'
+            WHEN 12 THEN ' Some 61.37 % of sites took part.'
+            WHEN 0 THEN ' KEY INSIGHT: the figures above are final.' ELSE '' END AS said,
+  CASE WHEN part IN ('SCOPE1', 'SUMMARY') THEN CASE WHEN v = 2 THEN s1_off ELSE s1 END WHEN part = 'SCOPE2' THEN s2l
+       WHEN part IN ('SCOPE3_PCAF', 'S3_SUPPLY') THEN gross WHEN part = 'INTENSITY' THEN per_fte END AS headline
+FROM ({facts}) f
+"""
+
+_JSON = """
+SELECT k AS section_key, metric_key || CASE WHEN v = 7 THEN '_draft' ELSE '' END AS metrics_key,
+       CAST(k % 2 AS INT) AS retry_count, fw || '_' || part || '_' || y AS section_id,
+  CASE WHEN v = 8 THEN '{{"section_id": "' || fw || '", "paragraphs": [' ELSE
+  '{{"section_id": "' || fw || '_' || part || '_' || y || '", "title": "' || part || ' ' || y || '"'
+  || CASE WHEN v = 5 THEN '' ELSE
+     ', "paragraphs": [{{"paragraph_type": "' || CASE WHEN v = 9 THEN 'story' ELSE 'narrative' END || '", "text": ' || {quoted}
+     || '}}, {{"paragraph_type": "methodology", "text": "Figures follow the operational control approach."}}]'
+     || ', "tables": [' || CASE WHEN headline IS NULL THEN '' ELSE
+        '{{"caption": "Figures of ' || y || '", "headers": ["Measure", "Value"], "rows": [["Total", "' || headline || '"'
+        || CASE WHEN v = 9 THEN ', "extra"' ELSE '' END || ']' || CASE WHEN v = 12 THEN ', ["Estimate", "31415.9265"]' ELSE '' END || ']}}' END || ']'
+     || ', "key_metrics": [' || CASE WHEN headline IS NULL THEN '' ELSE '{{"metric": "total", "value": ' || headline || ', "unit": "tCO2e"}}' END || ']'
+     || ', "footnotes": ["Figures of ' || y || ' are rounded."' || CASE k % 3 WHEN 0 THEN
+        ', "DATA PROVENANCE: Source: summary EF: national Methodology: GHG Protocol Quality: 2 Validated: yes Owner: risk"'
+        WHEN 1 THEN ', "DATA PROVENANCE: Source: summary EF: national Methodology: GHG Protocol Quality: 2 Validated: no"' ELSE '' END || ']'
+     || ', "framework_references": ["' || fw || '"]' END
+  || CASE WHEN v = 1 THEN ', "data_sources_used": []' ELSE ', "data_sources_used": ["aggregated.ghg_summary_annual"]' END
+  || CASE WHEN v = 1 THEN '' ELSE ', "advisory_recommendations": ["Meter all sites.", "Ask borrowers for data."]' END
+  || '}}' END AS content_json
+FROM ({sentences}) s
+"""
+
+
+def sections_sql(documents: str, slots: str, quoted: str) -> str:
+    """The generator over named tables; ``quoted`` makes a JSON string of {text}."""
+    facts = _FACTS.format(documents=documents, slots=slots)
+    return _JSON.format(sentences=_SENTENCES.format(facts=facts), quoted=quoted.format(text="coalesce(doc_text, '') || ' ' || said"))
+
+
+def slots_sql(summary: str, numbers: str) -> str:
+    """One row per document slot: each bank-year takes every n-th. ``numbers``: a table of slot 0..SLOTS-1."""
+    return (f"SELECT n.slot, s.* FROM (SELECT *, row_number() OVER (ORDER BY metric_key) - 1 AS i, count(*) OVER () AS n FROM {summary}) s "
+            f"JOIN {numbers} n ON n.slot % s.n = s.i")
+
+
+def sections_from_documents(docs: DataFrame, summary: DataFrame) -> DataFrame:
+    """section_key, metrics_key, retry_count, section_id, content_json of every document.
+
+    The slot table (``SLOTS`` rows, however many bank-years there are) is joined by broadcast.
     """
     spark = docs.sparkSession
-    t = case_templates(spark)
-    escaped = F.expr("substring(to_json(array(text)), 3, length(to_json(array(text))) - 4)")
-    d = docs.select("doc_id", "text", (F.col("doc_id") % 7).cast("int").alias("case_no"))
-    j = d.join(F.broadcast(t), "case_no")
-    return j.select(F.col("doc_id").alias("section_key"),
-                    F.concat(F.lit("case_"), F.col("case_no")).alias("metrics_key"), "retry_count",
-                    F.replace("template", F.lit(MARK), F.concat(escaped, F.lit(" "))).alias("content_json"))
+    order = Window.partitionBy(F.lit(0)).orderBy("metric_key")   # one row per bank and year
+    years = summary.withColumns({"i": F.row_number().over(order) - 1, "n": F.count("*").over(Window.partitionBy(F.lit(0)))})
+    slots = (years.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1)))).where("slot % n = i")
+             .withColumn("slot", F.col("slot").cast("int")))
+    sql = sections_sql("@docs", "@slots", "substr(to_json(array({text})), 2, length(to_json(array({text}))) - 2)")
+    for plain, named in (("{", "{{"), ("}", "}}"), ("@docs", "{docs}"), ("@slots", "{slots}")):
+        sql = sql.replace(plain, named)
+    return settled(spark.sql(sql, docs=docs.select("doc_id", "text"), slots=F.broadcast(slots)))
+
+
+METRICS_SQL = """
+SELECT metrics_key, metric, CASE WHEN draft AND metric IN ('scope3_cat15_weighted_tco2e', 'scope1_natgas_tco2e') THEN value * 3e0 ELSE value END AS value
+FROM (SELECT metric_key || d.suffix AS metrics_key, d.draft, m.metric, m.value
+      FROM {long} m JOIN (SELECT '' AS suffix, false AS draft UNION ALL SELECT '_draft', true) d ON true) x
+"""
+
+
+def report_metrics(summary: DataFrame) -> DataFrame:
+    """metrics_key, metric, value: the summary unpivoted; a draft's own figures contradict each other."""
+    long = summary.select("metric_key", *[F.col(m).cast("double").alias(m) for m in METRICS]).unpivot(["metric_key"], list(METRICS), "metric", "value")
+    draft = F.when(F.col("metric").isin("scope3_cat15_weighted_tco2e", "scope1_natgas_tco2e"), F.col("value") * 3.0).otherwise(F.col("value"))
+    return (long.select(F.col("metric_key").alias("metrics_key"), "metric", "value")
+            .unionByName(long.select(F.concat("metric_key", F.lit("_draft")).alias("metrics_key"), "metric", draft.alias("value"))))
