@@ -52,14 +52,63 @@ def test_humanize(spark):
     assert got == ["0", "0", "1.3M", "3.5K", "12.5", "999"]
 
 
-def test_bm25_pruned_equals_full(spark):
+def _plain_bm25(queries, docs):
+    """(query, doc) -> score by the formula, in plain Python"""
+    import collections
+    import math
+    import re
+    token = re.compile(r"[^\W_]+")
+    tf = {i: collections.Counter(token.findall(t.lower())) for i, t in docs}
+    df = collections.Counter(w for c in tf.values() for w in c)
+    mean = sum(sum(c.values()) for c in tf.values()) / len(tf)
+    out = {}
+    for q, text in queries:
+        for i, c in tf.items():
+            held = [w for w in set(token.findall(text.lower())) if c[w]]
+            if held:
+                out[q, i] = sum(math.log(1 + (len(tf) - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2
+                                / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) for w in held)
+    return out
+
+
+def test_bm25_index_equals_plain_scoring(spark, tmpdir_run):
+    from conftest import SF0001
+    docs = spark.read.parquet(f"{SF0001}/documents.parquet").select("doc_id", "lang", F.substring("text", 1, 400).alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(9_000, "en", ""), (9_001, "xx", "the the of")], docs.schema))
+    q = [(1, "the and of in"), (2, "zzzz unknownterm"), (3, "license version 2"), (4, "der die ungheit los que"), (5, "")]
+    queries = spark.createDataFrame(q, "query_id long, query_text string")
+    retrieval.write_index(docs, f"{tmpdir_run}/index")
+    index = retrieval.read_index(spark, f"{tmpdir_run}/index")
+    rows = docs.collect()
+    scores = _plain_bm25(q, [(r.doc_id, r.text) for r in rows])
+    lang = {r.doc_id: r.lang for r in rows}
+
+    def top(visible):
+        out = []
+        for i, _ in q:
+            hits = sorted((-round(s, 6), d) for (a, d), s in scores.items() if a == i and visible(lang[d]))[:5]
+            out += [(i, d, n + 1) for n, (_, d) in enumerate(hits)]
+        return out
+
+    for visible, column in ((lambda x: True, None), (lambda x: x in ("en", "es"), F.col("lang").isin("en", "es")), (lambda x: x == "xx", F.col("lang") == "xx")):
+        got = retrieval.bm25_topk(queries, index, 5, visible=column).select("query_id", "doc_id", "rank").collect()
+        assert sorted(map(tuple, got)) == top(visible)
+
+
+def test_index_is_written_once(spark):
     from conftest import SF0001
     docs = spark.read.parquet(f"{SF0001}/documents.parquet")
-    b = spark.read.parquet(f"{SF0001}/benchmark.parquet")
-    q = b.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
-    extra = spark.createDataFrame([(10_000, "the and of in"), (10_001, "zzzz unknownterm")],
-                                  "query_id long, query_text string")
-    q = q.unionByName(extra)
-    full = sorted(map(tuple, retrieval.bm25_topk(q, docs, 5).collect()))
-    pruned = sorted(map(tuple, retrieval.bm25_topk_pruned(q, docs, 5).collect()))
-    assert full == pruned and len(full) > 0
+    path = retrieval.index_path(docs)
+    files = lambda: sorted(retrieval.index_of(docs).postings.inputFiles())
+    assert files() == files() and path == retrieval.index_path(spark.read.parquet(f"{SF0001}/documents.parquet"))
+
+
+def test_fusion_and_routes(spark):
+    rank = lambda rows: spark.createDataFrame(rows, "query_id int, doc_id int, rank int")
+    got = retrieval.fuse(rank([(1, 7, 1), (1, 8, 2)]), rank([(1, 9, 1), (1, 8, 2)]))
+    assert [(r.doc_id, r.rank) for r in got.orderBy("rank").collect()] == [(8, 1), (7, 2), (9, 3)]
+    routes = spark.createDataFrame([("scope1", "A", "q1", 3), ("scope1", None, "q2", 5), ("social", None, "q3", 1)],
+                                   "section_type string, framework string, query_text string, cap int")
+    sections = spark.createDataFrame([(1, "scope1", "A"), (2, "scope1", "B"), (3, "social", "A"), (4, "x", "A")],
+                                     "section_key int, section_type string, framework string")
+    assert {(r.section_key, r.query_text, r.cap) for r in retrieval.route(routes, sections).collect()} == {(1, "q1", 3), (2, "q2", 5), (3, "q3", 1)}

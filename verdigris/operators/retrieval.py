@@ -2,11 +2,11 @@
 
 * Chunks are token windows cut with array functions (``sequence`` + ``slice``),
   one row per chunk, whole texts.
-* BM25 joins the query terms to the postings of those terms only; document
-  frequencies and the average length come from partial aggregates. Top-k
-  per query is ``row_number() <= k``, which Catalyst plans with a partial
-  WindowGroupLimit before the shuffle, so a query matching a third of the
-  corpus never sends all its candidates to one task.
+* BM25 reads a stored index, written once per table, and prunes: only documents
+  that can reach a query's top k are scored. Top-k per query is
+  ``row_number() <= k``, which Catalyst plans with a partial WindowGroupLimit
+  before the shuffle, so a query matching a third of the corpus never sends
+  all its candidates to one task.
 * Vector search is filtered by the framework label (equi-join on the label),
   cosine computed JVM-side with ``zip_with``/``aggregate``.
 * Packing is a running sum over each query's ranked hits (a top-k group).
@@ -14,11 +14,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import dround
-from ..session import materialize
+from ..session import shared_dir
 
 # FIXED VALUES: retrieval parameters of the reference
 CHUNK_TOKENS = 300
@@ -58,111 +61,118 @@ def chunk(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     return c.select(key, "chunk_no", F.size(body).alias("n_tokens"), F.array_join(body, " ").alias("chunk_text"))
 
 
-def terms(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf): lower-cased letter/digit runs counted per text."""
-    t = df.select(key, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TOKEN), 0)).alias("term"))
-    return t.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+@dataclass(frozen=True)
+class Index:
+    """Stored postings of a corpus: who holds a term and how often, how many hold it, and the corpus's size.
+
+    postings: bucket, term, key, dl, tf and the metadata columns; terms: bucket,
+    term, metadata, df; stats: n_docs, avgdl. Postings and terms are laid out by
+    ``bucket``, a hash of the term, so a query reads its terms' buckets only; a
+    term that very many documents hold is spread over files like any other rows.
+    """
 
+    postings: DataFrame
+    terms: DataFrame
+    stats: DataFrame
+    key: str
+    meta: tuple[str, ...]
 
-def bm25_scores(queries: DataFrame, docs: DataFrame, qkey: str = "query_id", qtext: str = "query_text",
-                dkey: str = "doc_id", dtext: str = "text", k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
-    """KB-04: BM25 score of every (query, document) sharing at least one term.
 
-    Two passes over the corpus: one for the corpus statistics (document
-    count, mean length), one for the postings, which are cut down to the
-    query vocabulary (semi-join) before they are aggregated.
-    """
-    toks = docs.select(dkey, F.regexp_extract_all(F.lower(F.col(dtext)), F.lit(TOKEN), 0).alias("toks"))
-    stats = toks.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("toks")).alias("avgdl"))
-    qt = terms(queries, qkey, qtext).select(qkey, "term").distinct()
-    qterms = qt.select("term").distinct()
-    post = (toks.select(dkey, F.size("toks").alias("dl"), F.explode("toks").alias("term"))
-                .join(qterms, "term", "left_semi")
-                .groupBy(dkey, "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    # corpus size and mean length are one-row aggregates, used as scalar subqueries
-    n_docs = stats.select("n_docs").scalar()
-    avgdl = stats.select("avgdl").scalar()
-    idf = df.select("term", F.log(F.lit(1.0) + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    s = (qt.join(post, "term").join(idf, "term")
-           .withColumn("part", F.col("idf") * F.col("tf") * (k1 + 1)
-                       / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))))
-    return s.groupBy(qkey, dkey).agg(F.sum("part").alias("score"))
-
-
-def _bm25_parts(queries: DataFrame, docs: DataFrame, qkey: str, qtext: str, dkey: str, dtext: str,
-                k1: float, b: float):
-    """Shared pieces: (query, term) list, postings of the query vocabulary, idf, weight expression."""
-    toks = docs.select(dkey, F.regexp_extract_all(F.lower(F.col(dtext)), F.lit(TOKEN), 0).alias("toks"))
-    stats = toks.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("toks")).alias("avgdl"))
-    qt = terms(queries, qkey, qtext).select(qkey, "term").distinct()
-    post = (toks.select(dkey, F.size("toks").alias("dl"), F.explode("toks").alias("term"))
-                .join(qt.select("term").distinct(), "term", "left_semi")
-                .groupBy(dkey, "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
-    # every use of the postings references the same aggregate columns (``tf > 0`` is always
-    # true), so all branches share one postings exchange instead of re-tokenising the corpus
-    post = post.filter(F.col("tf") > 0)
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n_docs = stats.select("n_docs").scalar()
-    avgdl = stats.select("avgdl").scalar()
-    idf = df.select("term", "df", F.log(F.lit(1.0) + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    weight = (F.col("idf") * F.col("tf") * (k1 + 1)
-              / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl)))
-    return qt, post, idf, weight
-
-
-def bm25_topk_pruned(queries: DataFrame, docs: DataFrame, k: int = TOP_K, qkey: str = "query_id",
-                     qtext: str = "query_text", dkey: str = "doc_id", dtext: str = "text",
-                     k1: float = BM25_K1, b: float = BM25_B, margin: float = 1e-5) -> DataFrame:
-    """KB-04 exact top-k with max-score pruning: no candidate pairs for common terms.
-
-    1. Seed: per query, its rarest terms (idf desc) until their document
-       frequencies reach k; the documents containing them are scored exactly,
-       and the k-th best score is a lower bound theta of the true k-th score.
-    2. A term contributes at most ub = idf * (k1 + 1). Terms are taken from
-       the lowest ub while the running sum stays below theta - margin; those
-       are non-essential, because a document holding only them cannot reach
-       theta. Candidates are the documents containing an essential term.
-    3. Candidates are scored exactly over all query terms and ranked.
-
-    Result: identical to scoring every (query, document) pair; the margin
-    keeps the bound strict after rounding to six decimals.
+INDEX_BUCKETS = 64
+
+
+def _bucket(term) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(INDEX_BUCKETS)).cast("int")
+
+
+def write_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", meta: tuple[str, ...] = ("lang",)) -> None:
+    """KB-04: write the index of ``docs`` to ``path`` (one tokenising pass; df and size come from the postings)."""
+    toks = docs.select(key, *meta, F.regexp_extract_all(F.lower(F.col(text)), F.lit(TOKEN), 0).alias("toks"))
+    post = (toks.select(key, *meta, F.size("toks").alias("dl"), F.explode_outer("toks").alias("term"))
+            .groupBy(key, *meta, "dl", "term").agg(F.count(F.lit(1)).alias("tf")).withColumn("bucket", _bucket("term")))
+    # documents without a term keep one row (bucket NULL), for the corpus's size
+    post.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    post = docs.sparkSession.read.parquet(f"{path}/postings")
+    (post.where("term IS NOT NULL").groupBy("bucket", "term", *meta).agg(F.count(F.lit(1)).alias("df"))
+     .hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms"))
+    # one row per document and length is enough for both figures
+    per_doc = post.groupBy(key, *meta).agg(F.max("dl").alias("dl"))
+    (per_doc.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.greatest("dl", F.lit(0))).alias("avgdl"))
+     .write.mode("overwrite").parquet(f"{path}/stats"))
+
+
+def read_index(spark: SparkSession, path: str, key: str = "doc_id", meta: tuple[str, ...] = ("lang",)) -> Index:
+    post, terms_, stats = (spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "stats"))
+    return Index(post.where("term IS NOT NULL"), terms_, stats, key, meta)
+
+
+def index_path(docs: DataFrame) -> str:
+    """Where the index of a stored table is kept: a folder of the shared one, named by the table's files."""
+    names = hashlib.sha256("\n".join(sorted(docs.inputFiles())).encode()).hexdigest()[:16]
+    return f"{shared_dir(docs.sparkSession).rstrip('/')}/indexes/bm25-{names}"
+
+
+def index_of(docs: DataFrame) -> Index:
+    """The index of a stored table: read where the batch has written it, else written once, now."""
+    spark, path = docs.sparkSession, index_path(docs)
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/stats/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        write_index(docs, path)
+    return read_index(spark, path)
+
+
+def bm25_candidates(queries: DataFrame, index: Index, k: int = TOP_K, keys: tuple[str, ...] = ("query_id",), text: str = "query_text",
+                    visible: Column | None = None, margin: float = 1e-5, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+    """Exact BM25 scores of every document within ``margin`` of a query's true top k, and of few others.
+
+    1. Seed: per query, its rarest terms until as many documents as wanted hold
+       one; these are scored exactly, and the k-th best score bounds the true
+       k-th score from below (theta).
+    2. A term adds idf * (k1 + 1) at most. Terms whose bounds together stay
+       below theta - margin are not essential: a document holding only those
+       can't reach theta. Candidates hold an essential term.
+    3. Candidates are scored over all terms.
+
+    ``keys`` names a query; ``visible`` (of query and metadata columns) hides
+    documents from it, so one pass serves a query under several filters.
     """
-    qt, post, _, _ = _bm25_parts(queries, docs, qkey, qtext, dkey, dtext, k1, b)
-    # the postings of the query vocabulary and the corpus statistics are the index: built
-    # once, written as a table in the shared folder (survives executor loss), then read by
-    # every stage below instead of re-tokenising the corpus
-    post = materialize(post, "bm25_postings")
-    toks = docs.select(F.size(F.regexp_extract_all(F.lower(F.col(dtext)), F.lit(TOKEN), 0)).alias("n"))
-    stats = materialize(toks.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("avgdl")), "bm25_stats")
-    n_docs, avgdl = stats.select("n_docs").scalar(), stats.select("avgdl").scalar()
-    idf = post.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select(
-        "term", "df", F.log(F.lit(1.0) + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    weight = (F.col("idf") * F.col("tf") * (k1 + 1)
-              / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl)))
-    qti = qt.join(idf, "term").withColumn("ub", F.col("idf") * (k1 + 1))
-    terms_of = qt.select(qkey, "term")
-    postings = post.select("term", dkey, "dl", "tf").select("term", dkey)
+    key, seen = index.key, F.lit(True) if visible is None else visible
+    keys = list(keys)
+    shown = [c for c in queries.columns if c not in (*keys, text)]
+    qt = queries.select(*keys, *shown, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TOKEN), 0))).alias("term"))
+    qt = qt.withColumn("bucket", _bucket("term"))
+    n_docs, avgdl = index.stats.select("n_docs").scalar(), index.stats.select("avgdl").scalar()
+    met = qt.join(index.terms, ["bucket", "term"])
+    weighed = (met.groupBy(*keys, *shown, "bucket", "term")
+               .agg(F.sum("df").alias("df"), F.sum(F.when(seen, F.col("df")).otherwise(0)).alias("df_seen"))
+               .withColumn("idf", F.log(F.lit(1.0) + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+               .withColumn("ub", F.col("idf") * (k1 + 1)))
+
+    def holders(chosen: DataFrame) -> DataFrame:
+        return (chosen.join(index.postings.select("bucket", "term", key, *index.meta), ["bucket", "term"]).where(seen)
+                .select(*keys, key).distinct())
 
     def exact(pairs: DataFrame) -> DataFrame:
-        trip = pairs.join(terms_of, qkey)                      # candidate x the query's terms
-        w = trip.join(post, ["term", dkey]).join(idf.select("term", "idf"), "term")
-        return w.groupBy(qkey, dkey).agg(F.sum(weight).alias("score"))
-
-    wq = Window.partitionBy(qkey).orderBy(F.desc("idf"), F.asc("term"))
-    seed = (qti.withColumn("df_before", F.sum("df").over(wq.rowsBetween(Window.unboundedPreceding, -1)))
-               .filter(F.coalesce(F.col("df_before"), F.lit(0)) < k).select(qkey, "term"))
-    s1 = exact(seed.join(postings, "term").select(qkey, dkey).distinct()).withColumn("score", dround("score", 6))
-    theta = (top_k(s1, qkey, dkey, k).groupBy(qkey)
-             .agg(F.min("score").alias("kth"), F.count(F.lit(1)).alias("n"))
-             .select(qkey, F.when(F.col("n") >= k, F.col("kth") - margin).otherwise(F.lit(0.0)).alias("theta")))
-    wa = Window.partitionBy(qkey).orderBy(F.asc("ub"), F.desc("term"))
-    essential = (qti.join(theta, qkey, "left")
-                    .withColumn("cum_ub", F.sum("ub").over(wa.rowsBetween(Window.unboundedPreceding, 0)))
-                    .filter(~(F.col("cum_ub") < F.coalesce(F.col("theta"), F.lit(0.0))))
-                    .select(qkey, "term"))
-    s2 = exact(essential.join(postings, "term").select(qkey, dkey).distinct()).withColumn("score", dround("score", 6))
-    return top_k(s2, qkey, dkey, k).select(qkey, dkey, "rank", "score")
+        part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
+        held = index.postings.select("bucket", "term", key, "dl", "tf")
+        return (pairs.join(weighed.select(*keys, "bucket", "term", "idf"), keys).join(held, ["bucket", "term", key])
+                .groupBy(*keys, key).agg(F.sum(part).alias("score")))
+
+    rare = Window.partitionBy(*keys).orderBy(F.desc("idf"), F.asc("term")).rowsBetween(Window.unboundedPreceding, -1)
+    seed = weighed.withColumn("before", F.coalesce(F.sum("df_seen").over(rare), F.lit(0))).where((F.col("before") < k) & (F.col("df_seen") > 0))
+    best = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc(key))
+    theta = (exact(holders(seed)).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).groupBy(*keys)
+             .agg(F.when(F.count(F.lit(1)) >= k, F.min("score") - margin).otherwise(F.lit(0.0)).alias("theta")))
+    low = Window.partitionBy(*keys).orderBy(F.asc("ub"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
+    essential = (weighed.join(theta, keys, "left").withColumn("reach", F.sum("ub").over(low))
+                 .where((F.col("reach") >= F.coalesce("theta", F.lit(0.0))) & (F.col("df_seen") > 0)))
+    return exact(holders(essential.drop("theta", "reach")))
+
+
+def bm25_topk(queries: DataFrame, index: Index, k: int = TOP_K, **how) -> DataFrame:
+    """KB-04: exact top k; ranks go by the published (rounded) score, the id decides ties."""
+    s = bm25_candidates(queries, index, k, **how).withColumn("score", dround("score", 6))
+    return top_k(s, "query_id", index.key, k).select("query_id", index.key, "rank", "score")
 
 
 def top_k(scores: DataFrame, qkey: str, dkey: str, k: int = TOP_K, score: str = "score") -> DataFrame:
@@ -171,14 +181,6 @@ def top_k(scores: DataFrame, qkey: str, dkey: str, k: int = TOP_K, score: str =
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = TOP_K, **kw) -> DataFrame:
-    # rank on the published (rounded) score: exact duplicates tie, and the id decides
-    s = bm25_scores(queries, docs, **kw).withColumn("score", dround("score", 6))
-    qk = kw.get("qkey", "query_id")
-    dk = kw.get("dkey", "doc_id")
-    return top_k(s, qk, dk, k).select(qk, dk, "rank", "score")
-
-
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
@@ -200,25 +202,63 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, label: s
                 key: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """KB-02 / KB-03: cosine top-k within the query's framework label (equi-join)."""
     v = vectors.select(key, F.col(label).alias("filter_label"), F.col(vec).cast("array<double>").alias("v"))
-    # one query per framework label (a categorical domain): broadcast, so vectors are never
-    # shuffled by label, where one label may hold a large share of the corpus
-    s = v.join(F.broadcast(queries), "filter_label").withColumn("score", dround(cosine(F.col("query_vec"), F.col("v")), 6))
+    # Spark broadcasts the queries while their measured size allows, and else splits a label
+    # that holds a large share of the vectors
+    s = v.join(queries, "filter_label").withColumn("score", dround(cosine(F.col("query_vec"), F.col("v")), 6))
     return top_k(s, "query_id", key, k).select("query_id", key, "rank", "score")
 
 
-def with_fallback(scores: DataFrame, docs_meta: DataFrame, filter_expr: Column, threshold: float,
-                  qkey: str = "query_id", dkey: str = "doc_id", k: int = TOP_K) -> DataFrame:
-    """KB-05 / KB-06: top-k under the filter; queries with no hit at or above the
-    threshold take the unfiltered top-k instead (``left_anti`` on the usable set).
+def with_fallback(queries: DataFrame, index: Index, filter_expr: Column, threshold: float, k: int = TOP_K) -> DataFrame:
+    """KB-02 / KB-05 / KB-06: top k under the filter; queries without a hit at or above the threshold take the
+    unfiltered top k instead.
+
+    A score is a share of the query's best one in the whole corpus. Filtered
+    and unfiltered search are one pass, as two scopes of each query.
+    """
+    key = index.key
+    scopes = queries.withColumn("filtered", F.explode(F.array(F.lit(False), F.lit(True))))
+    s = bm25_candidates(scopes, index, k, ("query_id", "filtered"), visible=~F.col("filtered") | filter_expr, margin=1e-3)
+    best = F.max("score").over(Window.partitionBy("query_id"))   # candidates only
+    s = s.withColumn("score", dround(F.col("score") / best, 6))
+    w = Window.partitionBy("query_id", "filtered").orderBy(F.desc("score"), F.asc(key))
+    top = s.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= k) & (F.col("score") >= threshold))
+    usable = F.max(F.col("filtered")).over(Window.partitionBy("query_id"))   # 2k hits
+    return (top.withColumn("usable", usable).where(F.col("filtered") == F.col("usable"))
+            .select("query_id", key, "rank", "score", (~F.col("filtered")).alias("fallback")))
+
+
+# FIXED VALUE: rank constant of reciprocal rank fusion
+FUSION_K = 60
+
+
+def fuse(*rankings: DataFrame, key: str = "doc_id", k: int = TOP_K) -> DataFrame:
+    """KB-04: hybrid search: each ranking (query_id, key, rank) gives 1 / (60 + rank), the sums are ranked."""
+    each = None
+    for r in rankings:
+        part = r.select("query_id", key, (F.lit(1.0) / (FUSION_K + F.col("rank"))).alias("part"))
+        each = part if each is None else each.unionByName(part)
+    s = each.groupBy("query_id", key).agg(dround(F.sum("part"), 8).alias("score"))
+    return top_k(s, "query_id", key, k).select("query_id", key, "rank", "score")
+
+
+def vectors_of_best(hits: DataFrame, vectors: DataFrame, label: str = "label", key: str = "vec_id", vec: str = "embedding") -> DataFrame:
+    """Query vectors for text queries: the vector of each query's best hit that has one, within its label."""
+    v = vectors.select(F.col(key).alias("doc_id"), F.col(label).alias("filter_label"), F.col(vec).cast("array<double>").alias("query_vec"))
+    best = hits.join(v, "doc_id").groupBy("query_id").agg(F.min_by(F.struct("filter_label", "query_vec"), "rank").alias("v"))
+    return best.select("query_id", "v.filter_label", "v.query_vec")
+
+
+def route(routes: DataFrame, sections: DataFrame) -> DataFrame:
+    """KB-09: the queries that sections ask for: ``routes`` (section_type, framework, query_text, cap) is an input table.
+
+    A route for the section's own framework goes before a general one (NULL);
+    ``cap`` is how many hits the section's context takes.
     """
-    sm = scores.withColumn("score", dround("score", 6)).join(docs_meta, dkey)
-    filt = top_k(sm.filter(filter_expr), qkey, dkey, k).withColumn("fallback", F.lit(False))
-    usable = filt.filter(F.col("score") >= threshold).select(qkey).distinct()
-    unf = top_k(sm, qkey, dkey, k).join(usable, qkey, "left_anti").withColumn("fallback", F.lit(True))
-    kept = filt.join(usable, qkey, "left_semi")
-    return (kept.unionByName(unf)
-                .filter(F.col("score") >= threshold)
-                .select(qkey, dkey, "rank", "score", "fallback"))
+    s = sections.select("section_key", "section_type", "framework")
+    own = s.join(routes, ["section_type", "framework"])
+    general = s.join(own.select("section_key").distinct(), "section_key", "left_anti").join(
+        routes.where("framework IS NULL").drop("framework"), "section_type")
+    return own.unionByName(general.select(*own.columns))
 
 
 def pack(hits: DataFrame, passages: DataFrame, cap_tokens: int, qkey: str = "query_id", dkey: str = "doc_id",
@@ -259,8 +299,9 @@ def context_text(packed: DataFrame, qkey: str = "query_id") -> DataFrame:
 def retrieval_stats(scored: DataFrame, packed: DataFrame, threshold: float, qkey: str = "query_id") -> DataFrame:
     """KB-08: per query hits, hits above threshold, passages used and characters."""
     a = scored.groupBy(qkey).agg(F.count(F.lit(1)).alias("hits"),
-                                 F.count_if(F.col("score") >= threshold).alias("above_threshold"))
+                                 F.count_if(F.col("score") >= threshold).alias("above_threshold"),
+                                 F.max("fallback").alias("used_fallback"))
     p = packed.groupBy(qkey).agg(F.count(F.lit(1)).alias("used"), F.sum("chars_used").alias("chars"))
     return (a.join(p, qkey, "left")
-             .select(qkey, "hits", "above_threshold", F.coalesce("used", F.lit(0)).cast("bigint").alias("used"),
+             .select(qkey, "hits", "above_threshold", "used_fallback", F.coalesce("used", F.lit(0)).cast("bigint").alias("used"),
                      F.coalesce("chars", F.lit(0)).cast("bigint").alias("chars")))

@@ -32,28 +32,57 @@ def _benchmark_queries(spark, d):
     return b.select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
 
 
+def _index(spark, d):
+    return retrieval.index_of(inputs(spark, d).raw("documents"))
+
+
 def q_bm25_top5(spark, d):
-    # exact top-5 with max-score pruning (identical to scoring all pairs, see tests)
-    return retrieval.bm25_topk_pruned(_benchmark_queries(spark, d), inputs(spark, d).raw("documents"), 5)
+    return retrieval.bm25_topk(_benchmark_queries(spark, d), _index(spark, d), 5)
 
 
-def q_vector_top5(spark, d):
+def q_bm25_two_languages(spark, d):
+    either = F.col("lang").isin("en", "de")   # KB-02: a filter of alternatives
+    return retrieval.bm25_topk(_benchmark_queries(spark, d), _index(spark, d), 5, visible=either)
+
+
+def q_hybrid_top5(spark, d):
+    words = q_bm25_top5(spark, d)
     emb = inputs(spark, d).raw("embeddings")
-    return retrieval.vector_topk(retrieval.label_centroids(emb), emb, 5)
+    near = retrieval.vector_topk(retrieval.vectors_of_best(words, emb), emb, 5).withColumnRenamed("vec_id", "doc_id")
+    return retrieval.fuse(words, near)
+
+
+def _routes(spark, d):
+    """A route for each benchmark text: its number gives section type and framework, every third is for any framework."""
+    frameworks = list(audit.SECTION_ORDER)
+    kinds = [k for k, _ in audit.SECTION_MARKS]
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
+    q = _benchmark_queries(spark, d)
+    return q.select("query_id", pick(kinds, F.col("query_id")).alias("section_type"),
+                    F.when(F.col("query_id") % 3 > 0, pick(frameworks, F.col("query_id"))).alias("framework"),
+                    (F.col("query_id") % 5 + 1).cast("int").alias("cap"))
 
 
-def _normalised_scores(spark, d):
-    s = retrieval.bm25_scores(_benchmark_queries(spark, d), inputs(spark, d).raw("documents"))
-    mx = s.groupBy("query_id").agg(F.max("score").alias("mx"))
-    return s.join(mx, "query_id").select("query_id", "doc_id", (F.col("score") / F.col("mx")).alias("score"))
+def q_routed_queries(spark, d):
+    s = _parsed(spark, d).withColumn("framework", audit.framework_of("section_id"))
+    return retrieval.route(_routes(spark, d), s)
+
+
+def q_vector_top5(spark, d):
+    emb = inputs(spark, d).raw("embeddings")
+    return retrieval.vector_topk(retrieval.label_centroids(emb), emb, 5)
 
 
 def q_retrieval_with_fallback(spark, d):
-    docs = inputs(spark, d).raw("documents").select("doc_id", "lang")
-    return retrieval.with_fallback(_normalised_scores(spark, d), docs, F.col("lang") == FALLBACK_LANG,
+    return retrieval.with_fallback(_benchmark_queries(spark, d), _index(spark, d), F.col("lang") == FALLBACK_LANG,
                                    retrieval.SCORE_THRESHOLD)
 
 
+def q_peer_retrieval(spark, d):
+    return retrieval.with_fallback(_benchmark_queries(spark, d), _index(spark, d), F.col("lang") == FALLBACK_LANG,
+                                   retrieval.BENCHMARK_THRESHOLD)
+
+
 def q_context_pack(spark, d):
     hits = q_bm25_top5(spark, d)
     return retrieval.pack(hits, inputs(spark, d).raw("documents"), PACK_CAP_TOKENS)
@@ -125,7 +154,11 @@ def queries() -> dict:
         # retrieval
         "doc_chunks": lambda s, d: retrieval.chunk(inputs(s, d).raw("documents")),
         "bm25_top5": q_bm25_top5,
+        "bm25_two_languages": q_bm25_two_languages,
+        "hybrid_top5": q_hybrid_top5,
         "vector_top5": q_vector_top5,
+        "peer_retrieval": q_peer_retrieval,
+        "routed_queries": q_routed_queries,
         "retrieval_with_fallback": q_retrieval_with_fallback,
         "context_pack": q_context_pack,
         "retrieval_stats": q_retrieval_stats,

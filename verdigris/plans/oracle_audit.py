@@ -205,6 +205,21 @@ FROM (SELECT section_key, metrics_key, unnest(generate_series(0, len(l) - 1)) AS
                    regexp_extract_all(all_text, '{_LABEL_RE}', 2) AS n FROM sec_parsed) a) x
 JOIN (VALUES {labels}) lm(label, metric) ON lm.label = lower(x.lab)
 LEFT JOIN sec_metrics m ON m.metrics_key = x.metrics_key AND m.metric = lm.metric""", ["sec_parsed", "sec_metrics"])
+    kinds = ["scope1", "scope2", "scope3_pcaf", "intensity", "social", "reduction", "summary", "governance", "targets", "double_materiality"]
+    pick = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+    fragment("rq_routes", f"""
+SELECT item_id AS query_id, {pick(kinds)}[item_id % {len(kinds)} + 1] AS section_type,
+       CASE WHEN item_id % 3 > 0 THEN {pick(_ORDER)}[item_id % {len(_ORDER)} + 1] END AS framework,
+       CAST(item_id % 5 + 1 AS INTEGER) AS cap FROM benchmark""")
+    fragment("rq_sections", f"SELECT section_key, section_type, {framework} AS framework FROM sec_parsed", ["sec_parsed"])
+    fragment("rq_own", """
+SELECT s.section_type, s.framework, s.section_key, r.query_id, r.cap
+FROM rq_sections s JOIN rq_routes r ON r.section_type = s.section_type AND r.framework = s.framework""", ["rq_sections", "rq_routes"])
+    q["routed_queries"] = with_ctes("""
+SELECT * FROM rq_own UNION ALL
+SELECT s.section_type, s.framework, s.section_key, r.query_id, r.cap
+FROM rq_sections s JOIN rq_routes r ON r.section_type = s.section_type AND r.framework IS NULL
+WHERE s.section_key NOT IN (SELECT section_key FROM rq_own)""", ["rq_sections", "rq_routes", "rq_own"])
     rows = ", ".join(f"('{r}', '{t}', " + ", ".join("true" if f == "1" else "false" for f in has) + ")" for r, t, has in _DISCLOSED)
     cell = lambda i: (f"CASE WHEN NOT d.f{i} THEN 'n/a' WHEN s.level = 2 THEN 'disclosed' WHEN s.level = 1 THEN 'partial' ELSE 'gap' END "
                       f"AS \"{_COLUMNS[i]}\"")

@@ -259,25 +259,44 @@ FROM (SELECT l.reporting_year, l.metric, l.value,
              COUNT(*) AS peers
       FROM rp_long l JOIN {peers} p(metric, peer, pvalue, hib) ON p.metric = l.metric
       GROUP BY l.reporting_year, l.metric, l.value, p.hib) x""", ["rp_long"])
-    fragment("rwf", f"""
+    for name, least in (("rwf", "4e-1"), ("rwf_peer", "3e-1")):
+        fragment(name, f"""
 WITH sm AS (SELECT s.query_id, s.doc_id, {R('s.score / MAX(s.score) OVER (PARTITION BY s.query_id)', 6)} AS score, d.lang
             FROM bm25_scores s JOIN documents d ON d.doc_id = s.doc_id),
 filt AS (SELECT query_id, doc_id, score, rank FROM (
            SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
-           FROM sm WHERE lang = '{_q("en")}') a WHERE rank <= 5),
-usable AS (SELECT DISTINCT query_id FROM filt WHERE score >= 4e-1),
+           FROM sm WHERE lang = 'en') a WHERE rank <= 5),
+usable AS (SELECT DISTINCT query_id FROM filt WHERE score >= {least}),
 unf AS (SELECT query_id, doc_id, score, rank FROM (
           SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
           FROM sm) b WHERE rank <= 5 AND query_id NOT IN (SELECT query_id FROM usable))
 SELECT query_id, doc_id, rank, score, false AS fallback FROM filt WHERE query_id IN (SELECT query_id FROM usable)
-       AND score >= 4e-1
+       AND score >= {least}
 UNION ALL
-SELECT query_id, doc_id, rank, score, true AS fallback FROM unf WHERE score >= 4e-1""", ["bm25_scores"])
+SELECT query_id, doc_id, rank, score, true AS fallback FROM unf WHERE score >= {least}""", ["bm25_scores"])
+    q["peer_retrieval"] = with_ctes("SELECT * FROM rwf_peer", ["rwf_peer"])
+    q["bm25_two_languages"] = with_ctes(f"""
+SELECT query_id, doc_id, rank, score FROM (
+  SELECT query_id, doc_id, score, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+  FROM (SELECT s.query_id, s.doc_id, {R('s.score', 6)} AS score FROM bm25_scores s JOIN documents d ON d.doc_id = s.doc_id
+        WHERE d.lang = 'en' OR d.lang = 'de') x) r WHERE rank <= 5""", ["bm25_scores"])
+    q["hybrid_top5"] = with_ctes(f"""
+SELECT query_id, doc_id, rank, score FROM (
+  SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+  FROM (SELECT query_id, doc_id, {R('SUM(1e0 / (60 + rank))', 8)} AS score FROM (
+          SELECT query_id, doc_id, rank FROM bm25_top5
+          UNION ALL
+          SELECT query_id, vec_id, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+          FROM (SELECT b.query_id, e.vec_id, {R("list_dot_product(b.v, CAST(e.embedding AS DOUBLE[])) / (sqrt(list_dot_product(b.v, b.v)) * sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))))", 6)} AS score
+                FROM (SELECT query_id, arg_min(label, rank) AS label, arg_min(CAST(embedding AS DOUBLE[]), rank) AS v
+                      FROM bm25_top5 h JOIN embeddings x ON x.vec_id = h.doc_id GROUP BY query_id) b
+                JOIN embeddings e ON e.label = b.label) s
+          QUALIFY rank <= 5) u GROUP BY query_id, doc_id) f) r WHERE rank <= 5""", ["bm25_top5"])
     q["retrieval_with_fallback"] = with_ctes("SELECT * FROM rwf", ["rwf"])
     q["retrieval_stats"] = with_ctes("""
-SELECT h.query_id, h.hits, h.above_threshold, CAST(COALESCE(p.used, 0) AS BIGINT) AS used,
+SELECT h.query_id, h.hits, h.above_threshold, h.used_fallback, CAST(COALESCE(p.used, 0) AS BIGINT) AS used,
        CAST(COALESCE(p.chars, 0) AS BIGINT) AS chars
-FROM (SELECT query_id, COUNT(*) AS hits, COUNT(*) FILTER (WHERE score >= 4e-1) AS above_threshold
+FROM (SELECT query_id, COUNT(*) AS hits, COUNT(*) FILTER (WHERE score >= 4e-1) AS above_threshold, bool_or(fallback) AS used_fallback
       FROM rwf GROUP BY query_id) h
 LEFT JOIN (
   SELECT query_id, COUNT(*) AS used, SUM(length(used)) AS chars
