@@ -92,7 +92,7 @@ def test_bm25_index_equals_plain_scoring(spark, tmpdir_run):
 
     for visible, column in ((lambda x: True, None), (lambda x: x in ("en", "es"), F.col("lang").isin("en", "es")), (lambda x: x == "xx", F.col("lang") == "xx")):
         got = retrieval.bm25_topk(queries, index, 5, visible=column).select("query_id", "doc_id", "rank").collect()
-        assert sorted(map(tuple, got)) == top(visible)
+        assert sorted(map(tuple, got)) == sorted(top(visible))
 
 
 def test_index_is_written_once(spark):
