@@ -1,6 +1,7 @@
 """Report tables the original leaves to prompt text or hard-codes, computed from data.
 
-Inputs are the yearly aggregates (a few rows per year) except the portfolio
+Inputs are the yearly aggregates (a few rows per year) and the tables that a
+bank keeps by hand (governance facts, peer figures, playbook rules), except the portfolio
 tables, which read the loan book with partial aggregates and a per-year
 top-k window (WindowGroupLimit before the shuffle).
 """
@@ -14,39 +15,24 @@ from ..functions import constants as C
 from ..functions.exprs import dround, pct_change, trend_class
 from .scope3 import validated, with_reject_reason
 
-# FIXED VALUES: regulator indicator rows (number, indicator, unit, shown key,
-# predicate key, predicate basis, operator, threshold, target)
+# FIXED VALUES: regulator indicator rows (number, indicator, unit, shown metric, metric judged, its change or value,
+# condition, target, state when the condition holds)
 INDICATORS = [
-    (1, "Total GHG emissions (scope 1+2+3)", "tCO2e", "total_tco2e", "total_tco2e", "change", "<", 0.0, "Annual reduction"),
-    (2, "Direct GHG emissions (scope 1)", "tCO2e", "scope1_tco2e", "scope1_tco2e", "change", "<", 0.0, "Reduce diesel dependency"),
-    (3, "Energy indirect emissions (scope 2)", "tCO2e", "scope2_location_tco2e", "renewable_pct", "value", ">", 0.0, "Procure renewable energy"),
-    (4, "Financed emissions (scope 3 cat. 15)", "tCO2e", "scope3_cat15_gross_tco2e", "avg_pcaf_data_quality", "value", "<", 3.0, "Improve PCAF score <3.0"),
-    (5, "Emission intensity", "tCO2e/IDR bn", "intensity_tco2e_per_idr_bn", "intensity_tco2e_per_idr_bn", "change", "<", 0.0, "Annual intensity reduction"),
-    (6, "Energy consumption", "MWh", "total_energy_mwh", "total_energy_mwh", "change", "<", -5.0, "Reduce 5% annually"),
-    (7, "Renewable energy share", "%", "renewable_pct", "renewable_pct", "value", ">=", 10.0, ">=10%"),
-    (8, "Total employees", "FTE", "fte_total", None, None, None, None, "N/A"),
-    (9, "Female workforce share", "%", "fte_female_pct", "fte_female_pct", "value", ">=", 40.0, ">=40%"),
-    (10, "Women in management", "%", "fte_management_female_pct", "fte_management_female_pct", "value", ">=", 30.0, ">=30%"),
-    (11, "Average training hours", "hours/FTE", "training_hours_per_fte", "training_hours_per_fte", "value", ">=", 40.0, ">=40 hours"),
-    (12, "Voluntary turnover rate", "%", "voluntary_turnover_pct", "voluntary_turnover_pct", "value", "<", 10.0, "<10%"),
-]
-INDICATOR_SCHEMA = ("no int, indicator string, unit string, metric string, pred_metric string, basis string, "
-                    "op string, threshold double, target string")
-
-# FIXED VALUES: playbook triggers (metric, basis, operator, threshold) and action lists
-PLAYBOOK = [
-    ("PB-E1", "scope1_tco2e", "change", ">", 2.0,
-     ["switch generators to biodiesel", "install rooftop solar at branches", "convert fleet to EVs"]),
-    ("PB-E2", "scope2_location_tco2e", "change", ">", 2.0,
-     ["automatic equipment shutdown", "LED retrofit and lift scheduling", "green building certification",
-      "renewable power purchase agreement"]),
-    ("PB-E3", "scope3_cat15_gross_tco2e", "change", ">", 2.0,
-     ["environmental and social risk screening for new loans", "sector credit policy",
-      "engagement with the top 20 emitting clients", "science-based target submission"]),
-    ("PB-S1", "training_hours_per_fte", "value", "<", 40.0,
-     ["structured learning paths", "ESG training for relationship managers"]),
-    ("PB-S2", "fte_management_female_pct", "value", "<", 30.0,
-     ["women leadership programme", "diverse shortlists for management roles"]),
+    (1, "Total GHG emissions (scope 1+2+3)", "tCO2e", "total_tco2e", "total_tco2e", "change", "< 0", "Annual reduction", "achieved"),
+    (2, "Direct GHG emissions (scope 1)", "tCO2e", "scope1_tco2e", "scope1_tco2e", "change", "< 0", "Reduce diesel dependency", "achieved"),
+    (3, "Energy indirect emissions (scope 2)", "tCO2e", "scope2_location_tco2e", "renewable_pct", "value", "> 0", "Procure renewable energy", "in progress"),
+    (4, "Financed emissions (scope 3 cat. 15)", "tCO2e", "scope3_cat15_gross_tco2e", "avg_pcaf_data_quality", "value", "< 3.0", "Improve PCAF score <3.0", "achieved"),
+    (5, "Emission intensity", "tCO2e/IDR bn", "intensity_tco2e_per_idr_bn", "intensity_tco2e_per_idr_bn", "change", "< 0", "Annual intensity reduction", "achieved"),
+    (6, "Energy consumption", "MWh", "total_energy_mwh", "total_energy_mwh", "change", "< -5", "Reduce 5% annually", "achieved"),
+    (7, "Renewable energy share", "%", "renewable_pct", "renewable_pct", "value", ">= 10", ">=10%", "achieved"),
+    (8, "Total employees", "FTE", "fte_total", None, None, None, "N/A", None),
+    (9, "Female workforce share", "%", "fte_female_pct", "fte_female_pct", "value", ">= 40", ">=40%", "achieved"),
+    (10, "Women in management", "%", "fte_management_female_pct", "fte_management_female_pct", "value", ">= 30", ">=30%", "achieved"),
+    (11, "Average training hours", "hours/FTE", "training_hours_per_fte", "training_hours_per_fte", "value", ">= 40", ">=40 hours", "achieved"),
+    (12, "Voluntary turnover rate", "%", "voluntary_turnover_pct", "voluntary_turnover_pct", "value", "< 10", "<10%", "achieved"),
+    (13, "ESG board committee", "yes/no", "has_esg_committee", "has_esg_committee", "fact", "= 'yes'", "Established", "achieved"),
+    (14, "Climate policy", "yes/no", "has_climate_policy", "has_climate_policy", "fact", "= 'yes'", "Approved", "achieved"),
+    (15, "SBTi commitment", "status", "sbti_status", "sbti_status", "fact", "= 'Committed'", "Committed", "achieved"),
 ]
 
 # FIXED VALUES: PCAF improvement path and target pathway
@@ -97,39 +83,60 @@ def _compare(x, op, thr):
              .when(op == ">=", x >= thr))
 
 
-def indicator_table(spark: SparkSession, long: DataFrame) -> DataFrame:
-    """RP-01: indicator, current, prior, change, target and whether it is achieved."""
-    ind = spark.createDataFrame(INDICATORS, INDICATOR_SCHEMA)
-    shown = long.select("reporting_year", F.col("metric").alias("m"), "value", "prior_value", "change_pct")
-    pred = long.select("reporting_year", F.col("metric").alias("pm"), F.col("value").alias("pv"),
-                       F.col("change_pct").alias("pc"))
-    j = (F.broadcast(ind).join(shown, F.col("m") == F.col("metric"))              # 12 fixed rows
-            .join(pred, (F.col("pm") == F.col("pred_metric")) & (pred["reporting_year"] == shown["reporting_year"]),
-                  "left"))
-    x = F.when(F.col("basis") == "change", F.col("pc")).otherwise(F.col("pv"))
-    ok = _compare(x, F.col("op"), F.col("threshold"))
-    achieved = (F.when(F.col("pred_metric").isNull(), F.lit("n/a"))
-                 .when(F.coalesce(ok, F.lit(False)), F.lit("achieved")).otherwise(F.lit("not achieved")))
-    return j.select(shown["reporting_year"], "no", "indicator", "unit", F.col("value").alias("current_value"),
-                    "prior_value", "change_pct", "target", achieved.alias("achievement"))
-
-
-def scorecard(wide: DataFrame) -> DataFrame:
-    """RP-02: environmental rating by YoY +-3 %, social by female share and training hours."""
+def governance_facts(governance: DataFrame) -> DataFrame:
+    """The governance table's facts as text: yes, no, or the status."""
+    yes = lambda c: F.when(F.col(c), "yes").when(~F.col(c), "no")
+    return governance.select("reporting_year", yes("has_esg_committee").alias("has_esg_committee"),
+                             yes("has_climate_policy").alias("has_climate_policy"), "sbti_status")
+
+
+def indicator_table(wide: DataFrame, governance: DataFrame) -> DataFrame:
+    """RP-01: indicator, current, prior, change, target and state of every year.
+
+    All fifteen rows are read off one row per year that holds every metric
+    beside its value of exactly the year before.
+    """
+    before = Window.partitionBy(F.lit(0)).orderBy("reporting_year").rangeBetween(-1, -1)   # one row per year
+    known = wide.select("reporting_year", *[F.col(c).cast("double").alias(c) for c in METRIC_COLUMNS])
+    known = known.select("*", *[F.max(c).over(before).alias(f"prior_{c}") for c in METRIC_COLUMNS])
+    known = known.select("*", *[dround(pct_change(c, f"prior_{c}"), 2).alias(f"change_{c}") for c in METRIC_COLUMNS])
+    known = known.join(governance_facts(governance), "reporting_year", "left")
+    rows = []
+    for no, indicator, unit, shown, judged, basis, condition, target, good in INDICATORS:
+        numeric = shown in METRIC_COLUMNS
+        subject = judged and (f"change_{judged}" if basis == "change" else judged)
+        state = F.lit("n/a") if judged is None else F.when(F.expr(f"{subject} {condition}"), F.lit(good)).otherwise(F.lit("not achieved"))
+        none = F.lit(None).cast("double")
+        rows.append(F.struct(
+            F.lit(no).alias("no"), F.lit(indicator).alias("indicator"), F.lit(unit).alias("unit"),
+            (F.col(shown) if numeric else none).alias("current_value"),
+            (F.lit(None).cast("string") if numeric else F.col(shown)).alias("current_text"),
+            (F.col(f"prior_{shown}") if numeric else none).alias("prior_value"),
+            (F.col(f"change_{shown}") if numeric else none).alias("change_pct"), F.lit(target).alias("target"), state.alias("achievement")))
+    return known.select("reporting_year", F.inline(F.array(*rows)))
+
+
+def scorecard(wide: DataFrame, governance: DataFrame) -> DataFrame:
+    """RP-02: environmental rating by YoY +-3 %, social by female share and training hours, governance by its three facts."""
+    wide = wide.join(governance_facts(governance), "reporting_year", "left")
     y = F.col("yoy_change_pct")
     env = F.when(y.isNull(), F.lit("n/a")).when(y < -3, F.lit("green")).when(y > 3, F.lit("red")) \
            .otherwise(F.lit("amber"))
     a = F.coalesce(F.col("fte_female_pct") >= 40, F.lit(False))
     b = F.coalesce(F.col("training_hours_per_fte") >= 30, F.lit(False))
     soc = F.when(a & b, F.lit("green")).when(a | b, F.lit("amber")).otherwise(F.lit("red"))
+    facts = [F.coalesce(c, F.lit(False)).cast("int") for c in (F.col("has_esg_committee") == "yes", F.col("has_climate_policy") == "yes",
+                                                               F.col("sbti_status") == "Committed")]
+    held = facts[0] + facts[1] + facts[2]
+    gov = F.when(F.col("sbti_status").isNull(), F.lit("n/a")).when(held == 3, F.lit("green")).when(held > 0, F.lit("amber")).otherwise(F.lit("red"))
     return wide.select("reporting_year", F.explode(F.array(
         F.struct(F.lit("Environmental").alias("dimension"), env.alias("rating"),
                  F.concat(F.lit("total YoY "), F.coalesce(y.cast("string"), F.lit("n/a")), F.lit("%")).alias("driver")),
         F.struct(F.lit("Social").alias("dimension"), soc.alias("rating"),
                  F.concat(F.lit("female "), F.col("fte_female_pct").cast("string"), F.lit("%, training "),
                           F.col("training_hours_per_fte").cast("string"), F.lit(" h")).alias("driver")),
-        F.struct(F.lit("Governance").alias("dimension"), F.lit("n/a").alias("rating"),
-                 F.lit("no governance data in the lake").alias("driver")),
+        F.struct(F.lit("Governance").alias("dimension"), gov.alias("rating"),
+                 F.concat(held.cast("string"), F.lit(" of 3 in place")).alias("driver")),
     )).alias("r")).select("reporting_year", "r.*")
 
 
@@ -148,16 +155,25 @@ def disclosure_flags(summary: DataFrame, s1: DataFrame, s2: DataFrame) -> DataFr
     return j.select("reporting_year", F.explode(flags).alias("disclosure"))
 
 
-def playbook_actions(spark: SparkSession, long: DataFrame) -> DataFrame:
-    """RP-04: rules joined to the metrics on the metric name, fired rules exploded to actions."""
-    rules = spark.createDataFrame([(r, m, b, o, t, a) for r, m, b, o, t, a in PLAYBOOK],
-                                  "rule_id string, metric string, basis string, op string, threshold double, "
-                                  "actions array<string>")
-    j = long.join(F.broadcast(rules), "metric")
-    x = F.when(F.col("basis") == "change", F.col("change_pct")).otherwise(F.col("value"))
-    fired = j.filter(F.coalesce(_compare(x, F.col("op"), F.col("threshold")), F.lit(False)))
-    return fired.select("reporting_year", "rule_id", "metric", x.alias("observed"),
-                        F.posexplode("actions").alias("action_no", "action"))
+def playbook_actions(long: DataFrame, rules: DataFrame, gaps: DataFrame) -> DataFrame:
+    """RP-04: the actions of ``rules`` (rule_id, metric, basis, op, threshold, action) that fire.
+
+    A rule looks at a metric's change, its value, or its gap to the best peer
+    (``gaps``: reporting_year, metric, gap_to_best).
+    """
+    known = long.join(gaps.select("reporting_year", "metric", "gap_to_best"), ["reporting_year", "metric"], "left")
+    x = F.when(F.col("basis") == "change", F.col("change_pct")).when(F.col("basis") == "gap", F.col("gap_to_best")).otherwise(F.col("value"))
+    fired = known.join(rules, "metric").filter(F.coalesce(_compare(x, F.col("op"), F.col("threshold")), F.lit(False)))
+    return fired.select("reporting_year", "rule_id", "metric", "basis", x.alias("observed"), "action")
+
+
+def confidence_at(score: "F.Column") -> "F.Column":
+    """The PCAF confidence factor at any score, on straight lines between the published ones."""
+    points = sorted(C.PCAF_CONFIDENCE.items())
+    out = F.lit(points[-1][1])
+    for (x0, y0), (x1, y1) in reversed(list(zip(points, points[1:]))):
+        out = F.when(score <= x1, F.lit(y0) + (score - F.lit(x0)) * F.lit((y1 - y0) / (x1 - x0))).otherwise(out)
+    return out
 
 
 def pcaf_improvement(wide: DataFrame) -> DataFrame:
@@ -172,7 +188,8 @@ def pcaf_improvement(wide: DataFrame) -> DataFrame:
                        F.least(F.lit(PCAF_PATH_FINAL), F.col("avg_pcaf_data_quality")).alias("target_score"))]
     return wide.select("reporting_year", gap.alias("confidence_gap_pct"), F.explode(F.array(*steps)).alias("s")) \
         .select("reporting_year", (F.col("reporting_year") + F.col("s.step")).alias("target_year"),
-                "s.step", "s.target_score", "confidence_gap_pct")
+                "s.step", "s.target_score", "confidence_gap_pct",
+                dround((F.lit(1.0) - confidence_at(F.col("s.target_score"))) * 100, 2).alias("projected_gap_pct"))
 
 
 def target_pathway(wide: DataFrame, reduction_pct: float = TARGET_REDUCTION_PCT,
@@ -200,13 +217,14 @@ def portfolio_composition(loans: DataFrame) -> DataFrame:
     g = r.groupBy("reporting_year", "loan_type").agg(
         F.count(F.lit(1)).alias("loans"), F.sum(out).alias("_out"),
         F.sum(F.when(F.col("reject_reason").isNull(), out).otherwise(F.lit(0).cast("decimal(38,0)"))).alias("_inc"),
-        F.count_if(F.col("reject_reason").isNotNull()).alias("excluded_loans"))
+        F.count_if(F.col("reject_reason").isNotNull()).alias("excluded_loans"),
+        F.array_join(F.array_sort(F.collect_set("reject_reason")), ",").alias("exclusion_reasons"))   # four reasons
     tot = F.sum("_out").over(Window.partitionBy("reporting_year"))   # six loan types per year
     return g.select("reporting_year", "loan_type", "loans", "excluded_loans",
                     dround(F.col("_out").cast("double") / 1e12, 6).alias("outstanding_idr_trillion"),
                     dround(F.col("_out").cast("double") / tot.cast("double") * 100, 2).alias("pct_of_portfolio"),
                     dround(F.col("_inc").cast("double") / F.col("_out").cast("double") * 100, 2)
-                    .alias("pct_included"))
+                    .alias("pct_included"), (F.col("excluded_loans") == 0).alias("fully_included"), "exclusion_reasons")
 
 
 def score_what_if(loans: DataFrame, k: int = 50, from_score: float = 4.0, to_score: float = 3.0) -> DataFrame:
@@ -249,34 +267,14 @@ def imputation_note(s1: DataFrame) -> DataFrame:
         F.max("data_quality_score").alias("worst_score"))
 
 
-# FIXED VALUES: peer figures from the original's advisory benchmark tables
-# (metric, peer, value, higher_is_better); peers are labelled neutrally
-PEERS = [
-    ("training_hours_per_fte", "peer_1", 62.4, True), ("training_hours_per_fte", "peer_2", 45.0, True),
-    ("training_hours_per_fte", "peer_3", 43.1, True), ("training_hours_per_fte", "peer_4", 52.0, True),
-    ("fte_female_pct", "peer_1", 58.0, True), ("fte_female_pct", "peer_2", 60.0, True),
-    ("fte_female_pct", "peer_3", 52.0, True), ("fte_female_pct", "peer_4", 55.0, True),
-    ("fte_management_female_pct", "peer_1", 35.0, True), ("fte_management_female_pct", "peer_3", 38.0, True),
-    ("fte_management_female_pct", "peer_4", 32.0, True),
-    ("voluntary_turnover_pct", "peer_1", 6.8, False), ("voluntary_turnover_pct", "peer_2", 4.5, False),
-    ("voluntary_turnover_pct", "peer_3", 12.3, False), ("voluntary_turnover_pct", "peer_4", 7.2, False),
-    ("scope1_tco2e", "peer_1", 12500.0, False), ("scope1_tco2e", "peer_2", 4800.0, False),
-    ("scope1_tco2e", "peer_3", 3421.0, False), ("scope1_tco2e", "peer_4", 8200.0, False),
-    ("scope2_location_tco2e", "peer_1", 85000.0, False), ("scope2_location_tco2e", "peer_2", 55000.0, False),
-    ("scope2_location_tco2e", "peer_3", 47582.0, False), ("scope2_location_tco2e", "peer_4", 62000.0, False),
-]
-
-
-def peer_gap(spark: SparkSession, long: DataFrame) -> DataFrame:
-    """RP-05: own value vs the peer table: best-in-class, gap to best, rank among own + peers.
+def peer_gap(long: DataFrame, peers: DataFrame) -> DataFrame:
+    """RP-05: own value vs ``peers`` (metric, peer, pvalue, higher_is_better): best in class, gap to best, rank among own + peers.
 
-    Own rows meet the fixed peer table by an equi-join on the metric (at
-    most four peers each); rank = 1 + peers strictly better; a tie for best
-    goes to the peer.
+    Own rows (one per year and metric) meet the peers by an equi-join on the
+    metric; rank = 1 + peers strictly better; a tie for best goes to the peer.
     """
-    peers = spark.createDataFrame(PEERS, "metric string, peer string, pvalue double, higher_is_better boolean")
     sgn = lambda c: F.when(F.col("higher_is_better"), F.col(c)).otherwise(-F.col(c))
-    j = long.select("reporting_year", "metric", "value").join(F.broadcast(peers), "metric")
+    j = long.select("reporting_year", "metric", "value").join(peers, "metric")
     g = j.groupBy("reporting_year", "metric", "value", "higher_is_better").agg(
         F.count_if(sgn("pvalue") > sgn("value")).alias("better"),
         F.max(F.struct(sgn("pvalue").alias("s"), F.col("peer"), F.col("pvalue"))).alias("bp"),

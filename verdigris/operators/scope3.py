@@ -48,6 +48,16 @@ def with_reject_reason(loans: DataFrame, usd_rate: float | None = None) -> DataF
     return v.withColumn("enterprise_value", ev).withColumn("reject_reason", reason)
 
 
+def with_reported_emissions(loans: DataFrame, emissions: DataFrame) -> DataFrame:
+    """S3-12: the loan book with borrower emissions from a table of its own (borrower_id, reporting_year, reported_emissions_tco2e).
+
+    A borrower without a row, or with NULL, has no emissions and is rejected
+    later. A borrower with very many loans is split by the adaptive skew join.
+    """
+    return (loans.drop("borrower_emissions_tco2e").join(emissions, ["borrower_id", "reporting_year"], "left")
+            .withColumnRenamed("reported_emissions_tco2e", "borrower_emissions_tco2e"))
+
+
 def loan_emissions(loans: DataFrame, usd_rate: float | None = None) -> tuple[DataFrame, DataFrame]:
     """S3-01..S3-07 -> (loan-level financed emissions, rejects)."""
     r = with_reject_reason(loans, usd_rate)

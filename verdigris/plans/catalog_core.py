@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import constants as C
 from ..functions.exprs import dround
 from ..operators import aggregate, scope1, scope2, scope3
 from ..sources.fixtures import Inputs, inputs
@@ -191,6 +192,9 @@ def queries() -> dict:
         "scope3_loan_level": q_scope3_loan_level,
         "scope3_rejects": q_scope3_rejects,
         "ghg_scope3_financed": q_ghg_scope3_financed,
+        "scope3_reported_emissions": lambda s, d: scope3.scope3(scope3.with_reported_emissions(inputs(s, d).loans, inputs(s, d).reported_emissions)),
+        "scope3_usd_converted": lambda s, d: scope3.sector_rollup(scope3.loan_emissions(inputs(s, d).loans, C.USD_IDR_RATE)[0]),
+        "scope2_ppa": lambda s, d: scope2.regional_ef(inputs(s, d).energy, inputs(s, d).facilities, inputs(s, d).grid_ef, inputs(s, d).ppa),
         "pcaf_weighted_score": q_pcaf_weighted_score,
         "portfolio_coverage": q_portfolio_coverage,
         "af_recompute_check": q_af_recompute_check,

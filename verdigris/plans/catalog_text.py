@@ -109,6 +109,11 @@ def _long(spark, d):
     return reports.metrics_long(_wide(spark, d))
 
 
+def q_playbook_actions(spark, d):
+    long, inp = _long(spark, d), inputs(spark, d)
+    return reports.playbook_actions(long, inp.playbook, reports.peer_gap(long, inp.peers))
+
+
 def q_partition_presence(spark, d):
     inp = inputs(spark, d)
     present = (inp.energy.select(F.lit("energy_consumption").alias("table_name"), "reporting_year")
@@ -164,10 +169,10 @@ def queries() -> dict:
         "retrieval_stats": q_retrieval_stats,
         "context_text": lambda s, d: retrieval.context_text(q_context_pack(s, d)),
         # report tables
-        "indicator_table": lambda s, d: reports.indicator_table(s, _long(s, d)),
-        "scorecard": lambda s, d: reports.scorecard(_wide(s, d)),
+        "indicator_table": lambda s, d: reports.indicator_table(_wide(s, d), inputs(s, d).governance),
+        "scorecard": lambda s, d: reports.scorecard(_wide(s, d), inputs(s, d).governance),
         "disclosure_flags": lambda s, d: reports.disclosure_flags(core(s, d).summary(), core(s, d).s1, core(s, d).s2),
-        "playbook_actions": lambda s, d: reports.playbook_actions(s, _long(s, d)),
+        "playbook_actions": q_playbook_actions,
         "pcaf_improvement": lambda s, d: reports.pcaf_improvement(_wide(s, d)),
         "target_pathway": lambda s, d: reports.target_pathway(_wide(s, d)),
         "kpi_cards": lambda s, d: reports.kpi_cards(_long(s, d)),
@@ -175,7 +180,7 @@ def queries() -> dict:
         "score_what_if": lambda s, d: reports.score_what_if(inputs(s, d).loans),
         "score_concentration": lambda s, d: reports.score_concentration(inputs(s, d).loans),
         "imputation_note": lambda s, d: reports.imputation_note(core(s, d).s1),
-        "peer_gap": lambda s, d: reports.peer_gap(s, _long(s, d)),
+        "peer_gap": lambda s, d: reports.peer_gap(_long(s, d), inputs(s, d).peers),
         "compliance_matrix": lambda s, d: reports.compliance_matrix(
             s, audit.audit(_sections(s, d), _metrics(s, d))),
         "section_order": lambda s, d: audit.section_order(

@@ -173,6 +173,22 @@ SELECT sector_nace, reporting_year, CAST(COUNT(*) AS INTEGER) AS loan_count,
        {R('CAST(SUM(CASE WHEN pcaf_data_quality_score <= 2e0 THEN 1 ELSE 0 END) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE) * 100e0', 4)} AS high_quality_data_pct
 FROM s3_loan GROUP BY sector_nace, reporting_year""", ["s3_loan"])
 
+
+
+def _sectors_of(name: str, loans: str, deps: list[str]) -> str:
+    """The sector table over another loan book."""
+    from .sqltext import _FRAGMENTS
+    fragment(f"loans_{name}", loans, deps)
+    names = {"loan_portfolio": f"loans_{name}"}
+    for part in ("s3_checked", "s3_loan", "ghg_scope3"):
+        sql, parts = _FRAGMENTS[part]
+        for old, new in names.items():
+            sql = sql.replace(f"FROM {old} ", f"FROM {new} ").replace(f"FROM {old}\n", f"FROM {new}\n")
+        names[part] = f"{part}_{name}"
+        fragment(names[part], sql, [names.get(x, x) for x in parts])
+    return with_ctes(f"SELECT * FROM {names['ghg_scope3']}", [names["ghg_scope3"]])
+
+
 # ---------------------------------------------------------------- aggregation
 fragment("agg_totals", """
 SELECT a1.reporting_year, a1.scope1_tco2e, a1.scope1_natgas_tco2e, a1.scope1_diesel_tco2e,
@@ -299,6 +315,21 @@ SELECT facility_id, reporting_year, reporting_month, electricity_kwh_clean,
        {R('scope2_location_month_kgco2e', 6)} AS scope2_location_month_kgco2e FROM s2_monthly""", ["s2_monthly"])
     q["ghg_scope2"] = with_ctes("SELECT * FROM ghg_scope2", ["ghg_scope2"])
     q["ghg_scope2_code_rec"] = with_ctes("SELECT * FROM ghg_scope2_code", ["ghg_scope2_code"])
+    q["scope2_ppa"] = with_ctes(f"""
+SELECT a.facility_id, a.reporting_year, COALESCE(f.grid_region, 'national') AS grid_region,
+       {R('COALESCE(g.grid_ef, 7.886e-1)', 4)} AS regional_ef, {R('a.mwh', 3)} AS total_consumption_mwh,
+       {R('greatest(a.mwh - COALESCE(p.ppa_mwh, 0e0), 0e0) * COALESCE(g.grid_ef, 7.886e-1)', 3)} AS scope2_location_regional_tco2e,
+       {R('a.loc', 3)} AS scope2_location_row_ef_tco2e, COALESCE(p.ppa_mwh, 0e0) > 0 AS has_ppa
+FROM s2_annual a LEFT JOIN facility_dim f ON a.facility_id = f.facility_id
+LEFT JOIN grid_ef_dim g ON g.grid_region = COALESCE(f.grid_region, 'national')
+LEFT JOIN ppa p ON p.facility_id = a.facility_id AND p.reporting_year = a.reporting_year""", ["s2_annual", "facility_dim", "grid_ef_dim", "ppa"])
+    q["scope3_reported_emissions"] = _sectors_of("reported", """
+SELECT l.* EXCLUDE (borrower_emissions_tco2e), e.reported_emissions_tco2e AS borrower_emissions_tco2e
+FROM loan_portfolio l LEFT JOIN reported_emissions e ON e.borrower_id = l.borrower_id AND e.reporting_year = l.reporting_year""",
+                                                  ["loan_portfolio", "reported_emissions"])
+    q["scope3_usd_converted"] = _sectors_of("usd", """
+SELECT * REPLACE (CASE WHEN currency = 'USD' THEN CAST(outstanding_idr * 15750e0 AS BIGINT) ELSE outstanding_idr END AS outstanding_idr)
+FROM loan_portfolio""", ["loan_portfolio"])
     q["scope2_regional_ef"] = with_ctes(f"""
 SELECT a.facility_id, a.reporting_year, COALESCE(f.grid_region, 'national') AS grid_region,
        {R('COALESCE(g.grid_ef, 7.886e-1)', 4)} AS regional_ef, {R('a.mwh', 3)} AS total_consumption_mwh,

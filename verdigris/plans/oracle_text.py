@@ -11,7 +11,7 @@ from __future__ import annotations
 from ..functions import constants as C
 from ..operators import reports
 from . import oracle_core, oracle_ops  # noqa: F401  (register fragments)
-from .sqltext import D, R, fragment, with_ctes
+from .sqltext import R, fragment, with_ctes
 
 CLAIM_RE2 = (r"(?:^|[^\d,.])(\d+(?:,\d{3})*(?:\.\d+)?)\s*"
              r"(tCO2e/IDR|per IDR billion|per employee|per FTE|tCO2e|MWh|IDR|GJ|%)")
@@ -71,22 +71,67 @@ FROM rp_long_base c LEFT JOIN rp_long_base p ON p.metric = c.metric AND p.report
          ["rp_long_base"])
 
 
-def _values(rows, cols) -> str:
-    def lit(v):
-        if v is None:
-            return "NULL"
-        if isinstance(v, str):
-            return "'" + _q(v) + "'"
-        if isinstance(v, float):
-            return D(v)
-        return str(v)
-    body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
-    return f"(VALUES {body})"
+def _indicator(no, indicator, unit, shown, state, target) -> str:
+    """One indicator of every year; ``shown`` is a metric, or a fact's SQL text."""
+    if shown in reports.METRIC_COLUMNS:
+        src = (f"SELECT w.reporting_year, l.value AS v, NULL AS t, l.prior_value AS p, l.change_pct AS c FROM rp_wide w "
+               f"LEFT JOIN rp_long l ON l.reporting_year = w.reporting_year AND l.metric = '{shown}'")
+    else:
+        src = (f"SELECT w.reporting_year, CAST(NULL AS DOUBLE) AS v, {shown} AS t, CAST(NULL AS DOUBLE) AS p, CAST(NULL AS DOUBLE) AS c "
+               f"FROM rp_wide w LEFT JOIN governance g ON g.reporting_year = w.reporting_year")
+    ch = lambda m: f"(SELECT change_pct FROM rp_long x WHERE x.metric = '{m}' AND x.reporting_year = s.reporting_year)"
+    val = lambda m: f"(SELECT value FROM rp_long x WHERE x.metric = '{m}' AND x.reporting_year = s.reporting_year)"
+    return (f"SELECT s.reporting_year, {no} AS no, '{indicator}' AS indicator, '{unit}' AS unit, v AS current_value, CAST(t AS VARCHAR) AS current_text, "
+            f"p AS prior_value, c AS change_pct, '{target}' AS target, {state(ch, val)} AS achievement FROM ({src}) s")
+
+
+def _indicators() -> str:
+    def good(cond, word="achieved"):
+        return lambda ch, val: f"CASE WHEN {cond(ch, val)} THEN '{word}' ELSE 'not achieved' END"
+    drop = lambda m, by="0": good(lambda ch, val: f"{ch(m)} < {by}")
+    least = lambda m, x: good(lambda ch, val: f"{val(m)} >= {x}")
+    yes = lambda c: f"CASE WHEN g.{c} THEN 'yes' WHEN NOT g.{c} THEN 'no' END"
+    held = lambda word: good(lambda ch, val: f"t = '{word}'")
+    rows = [
+        (1, "Total GHG emissions (scope 1+2+3)", "tCO2e", "total_tco2e", drop("total_tco2e"), "Annual reduction"),
+        (2, "Direct GHG emissions (scope 1)", "tCO2e", "scope1_tco2e", drop("scope1_tco2e"), "Reduce diesel dependency"),
+        (3, "Energy indirect emissions (scope 2)", "tCO2e", "scope2_location_tco2e", good(lambda ch, val: f"{val('renewable_pct')} > 0", "in progress"),
+         "Procure renewable energy"),
+        (4, "Financed emissions (scope 3 cat. 15)", "tCO2e", "scope3_cat15_gross_tco2e", good(lambda ch, val: f"{val('avg_pcaf_data_quality')} < 3"),
+         "Improve PCAF score <3.0"),
+        (5, "Emission intensity", "tCO2e/IDR bn", "intensity_tco2e_per_idr_bn", drop("intensity_tco2e_per_idr_bn"), "Annual intensity reduction"),
+        (6, "Energy consumption", "MWh", "total_energy_mwh", drop("total_energy_mwh", "-5"), "Reduce 5% annually"),
+        (7, "Renewable energy share", "%", "renewable_pct", least("renewable_pct", 10), ">=10%"),
+        (8, "Total employees", "FTE", "fte_total", lambda ch, val: "'n/a'", "N/A"),
+        (9, "Female workforce share", "%", "fte_female_pct", least("fte_female_pct", 40), ">=40%"),
+        (10, "Women in management", "%", "fte_management_female_pct", least("fte_management_female_pct", 30), ">=30%"),
+        (11, "Average training hours", "hours/FTE", "training_hours_per_fte", least("training_hours_per_fte", 40), ">=40 hours"),
+        (12, "Voluntary turnover rate", "%", "voluntary_turnover_pct", good(lambda ch, val: f"{val('voluntary_turnover_pct')} < 10"), "<10%"),
+        (13, "ESG board committee", "yes/no", yes("has_esg_committee"), held("yes"), "Established"),
+        (14, "Climate policy", "yes/no", yes("has_climate_policy"), held("yes"), "Approved"),
+        (15, "SBTi commitment", "status", "g.sbti_status", held("Committed"), "Committed"),
+    ]
+    return "\nUNION ALL\n".join(_indicator(*r) for r in rows)
 
 
 def _cmp(x: str) -> str:
-    return (f"CASE op WHEN '<' THEN {x} < threshold WHEN '<=' THEN {x} <= threshold "
-            f"WHEN '>' THEN {x} > threshold WHEN '>=' THEN {x} >= threshold END")
+    return (f"CASE r.op WHEN '<' THEN {x} < r.threshold WHEN '<=' THEN {x} <= r.threshold "
+            f"WHEN '>' THEN {x} > r.threshold WHEN '>=' THEN {x} >= r.threshold END")
+
+
+_SIGNED = "CASE WHEN p.higher_is_better THEN {0} ELSE -{0} END"
+fragment("rp_peer_gap", f"""
+SELECT reporting_year, metric, value AS own_value,
+       CASE WHEN own_s > bs THEN value ELSE bpv END AS best_value,
+       CASE WHEN own_s > bs THEN 'own' ELSE bpeer END AS best_bank,
+       {R('value - CASE WHEN own_s > bs THEN value ELSE bpv END', 4)} AS gap_to_best,
+       CAST(better + 1 AS INTEGER) AS rank, peers + 1 AS banks
+FROM (SELECT l.reporting_year, l.metric, l.value, {_SIGNED.format('l.value')} AS own_s,
+             COUNT(*) FILTER (WHERE {_SIGNED.format('p.pvalue')} > {_SIGNED.format('l.value')}) AS better,
+             MAX({_SIGNED.format('p.pvalue')}) AS bs,
+             arg_max(p.peer, struct_pack(s := {_SIGNED.format('p.pvalue')}, peer := p.peer)) AS bpeer,
+             arg_max(p.pvalue, struct_pack(s := {_SIGNED.format('p.pvalue')}, peer := p.peer)) AS bpv, COUNT(*) AS peers
+      FROM rp_long l JOIN peers p ON p.metric = l.metric GROUP BY l.reporting_year, l.metric, l.value, p.higher_is_better) x""", ["rp_long", "peers"])
 
 
 def oracles() -> dict[str, str]:
@@ -134,18 +179,7 @@ WHERE used IS NOT NULL AND (first_over IS NULL OR rank <= first_over)""", ["bm25
                          f"ORDER BY rank) AS context, SUM(chars_used) AS chars_used FROM ({q['context_pack']}) p "
                          f"GROUP BY query_id")
     # ------------------------------------------------------------ reports
-    ind = _values(reports.INDICATORS, ["no", "indicator", "unit", "metric", "pred_metric", "basis", "op",
-                                       "threshold", "target"])
-    q["indicator_table"] = with_ctes(f"""
-SELECT l.reporting_year, i.no, i.indicator, i.unit, l.value AS current_value, l.prior_value, l.change_pct, i.target,
-       CASE WHEN i.pred_metric IS NULL THEN 'n/a'
-            WHEN COALESCE({_cmp("CASE WHEN i.basis = 'change' THEN p.change_pct ELSE p.value END")}, false)
-            THEN 'achieved' ELSE 'not achieved' END AS achievement
-FROM {ind} i(no, indicator, unit, metric, pred_metric, basis, op, threshold, target)
-JOIN rp_long l ON l.metric = i.metric
-LEFT JOIN rp_long p ON p.metric = i.pred_metric AND p.reporting_year = l.reporting_year""".replace(
-        "CASE op WHEN", "CASE i.op WHEN").replace("threshold WHEN", "i.threshold WHEN").replace(
-        "threshold END", "i.threshold END"), ["rp_long"])
+    q["indicator_table"] = with_ctes(_indicators(), ["rp_wide", "rp_long", "governance"])
     q["scorecard"] = with_ctes("""
 SELECT reporting_year, 'Environmental' AS dimension,
        CASE WHEN yoy_change_pct IS NULL THEN 'n/a' WHEN yoy_change_pct < -3 THEN 'green'
@@ -159,7 +193,12 @@ SELECT reporting_year, 'Social',
        'female ' || CAST(fte_female_pct AS VARCHAR) || '%, training ' || CAST(training_hours_per_fte AS VARCHAR) || ' h'
 FROM rp_wide
 UNION ALL
-SELECT reporting_year, 'Governance', 'n/a', 'no governance data in the lake' FROM rp_wide""", ["rp_wide"])
+SELECT w.reporting_year, 'Governance',
+       CASE WHEN g.sbti_status IS NULL THEN 'n/a' WHEN h = 3 THEN 'green' WHEN h > 0 THEN 'amber' ELSE 'red' END, CAST(h AS VARCHAR) || ' of 3 in place'
+FROM (SELECT w.*, COALESCE(CAST(g.has_esg_committee AS INTEGER), 0) + COALESCE(CAST(g.has_climate_policy AS INTEGER), 0)
+             + CASE WHEN g.sbti_status = 'Committed' THEN 1 ELSE 0 END AS h
+      FROM rp_wide w LEFT JOIN governance g ON g.reporting_year = w.reporting_year) w
+LEFT JOIN governance g ON g.reporting_year = w.reporting_year""", ["rp_wide", "governance"])
     q["disclosure_flags"] = with_ctes("""
 SELECT reporting_year, disclosure FROM (
   SELECT s.reporting_year, CASE WHEN q1.max_score >= 3 THEN 'imputation_footnote' END AS f1,
@@ -173,18 +212,15 @@ SELECT reporting_year, disclosure FROM (
   LEFT JOIN (SELECT reporting_year, MAX(rec_applied_pct) AS max_rec_pct FROM ghg_scope2 GROUP BY 1) q2
          ON q2.reporting_year = s.reporting_year) x
 UNPIVOT (disclosure FOR k IN (f1, f2, f3, f4, f5))""", ["ghg_summary_annual", "ghg_scope1", "ghg_scope2"])
-    pb_rows = [(r, m, b, o, t, i, a) for r, m, b, o, t, acts in reports.PLAYBOOK for i, a in enumerate(acts)]
-    pb = _values(pb_rows, ["rule_id", "metric", "basis", "op", "threshold", "action_no", "action"])
+    seen = "CASE r.basis WHEN 'change' THEN l.change_pct WHEN 'gap' THEN g.gap_to_best ELSE l.value END"
     q["playbook_actions"] = with_ctes(f"""
-SELECT l.reporting_year, r.rule_id, l.metric,
-       CASE WHEN r.basis = 'change' THEN l.change_pct ELSE l.value END AS observed,
-       CAST(r.action_no AS INTEGER) AS action_no, r.action
-FROM rp_long l JOIN {pb} r(rule_id, metric, basis, op, threshold, action_no, action) ON r.metric = l.metric
-WHERE COALESCE({_cmp("CASE WHEN r.basis = 'change' THEN l.change_pct ELSE l.value END")}, false)""".replace(
-        "CASE op WHEN", "CASE r.op WHEN").replace("threshold WHEN", "r.threshold WHEN").replace(
-        "threshold END", "r.threshold END"), ["rp_long"])
+SELECT l.reporting_year, r.rule_id, l.metric, r.basis, {seen} AS observed, r.action
+FROM rp_long l JOIN playbook r ON r.metric = l.metric
+LEFT JOIN rp_peer_gap g ON g.reporting_year = l.reporting_year AND g.metric = l.metric
+WHERE COALESCE({_cmp(seen)}, false)""", ["rp_long", "playbook", "rp_peer_gap"])
     q["pcaf_improvement"] = with_ctes(f"""
-SELECT reporting_year, reporting_year + step AS target_year, step, target_score, confidence_gap_pct FROM (
+SELECT reporting_year, reporting_year + step AS target_year, step, target_score, confidence_gap_pct,
+       {R("(1e0 - CASE WHEN target_score <= 2 THEN CASE WHEN target_score <= 1.5e0 THEN 1e0 + (target_score - 1) * (-1e-1) ELSE 9.5e-1 + (target_score - 1.5e0) * (-1e-1) END WHEN target_score <= 3 THEN 9e-1 + (target_score - 2) * (-1.5e-1) WHEN target_score <= 4 THEN 7.5e-1 + (target_score - 3) * (-1.5e-1) WHEN target_score <= 5 THEN 6e-1 + (target_score - 4) * (-1.5e-1) ELSE 4.5e-1 END) * 100", 2)} AS projected_gap_pct FROM (
   SELECT reporting_year, {R('CASE WHEN scope3_cat15_gross_tco2e > 0 THEN (scope3_cat15_gross_tco2e - scope3_cat15_weighted_tco2e) / scope3_cat15_gross_tco2e * 100 END', 2)} AS confidence_gap_pct,
          0 AS step, avg_pcaf_data_quality AS target_score FROM rp_wide
   UNION ALL SELECT reporting_year, {R('CASE WHEN scope3_cat15_gross_tco2e > 0 THEN (scope3_cat15_gross_tco2e - scope3_cat15_weighted_tco2e) / scope3_cat15_gross_tco2e * 100 END', 2)},
@@ -209,11 +245,12 @@ FROM rp_long WHERE metric IN ('total_tco2e', 'scope1_tco2e', 'scope2_location_tc
 SELECT reporting_year, loan_type, loans, excluded_loans,
        {R('CAST(o AS DOUBLE) / 1e12', 6)} AS outstanding_idr_trillion,
        {R('CAST(o AS DOUBLE) / CAST(SUM(o) OVER (PARTITION BY reporting_year) AS DOUBLE) * 100', 2)} AS pct_of_portfolio,
-       {R('CAST(inc AS DOUBLE) / CAST(o AS DOUBLE) * 100', 2)} AS pct_included
+       {R('CAST(inc AS DOUBLE) / CAST(o AS DOUBLE) * 100', 2)} AS pct_included, excluded_loans = 0 AS fully_included, exclusion_reasons
 FROM (SELECT reporting_year, loan_type, COUNT(*) AS loans,
              SUM(CAST(outstanding_idr AS DECIMAL(38,0))) AS o,
              SUM(CASE WHEN reject_reason IS NULL THEN CAST(outstanding_idr AS DECIMAL(38,0)) ELSE 0 END) AS inc,
-             COUNT(*) FILTER (WHERE reject_reason IS NOT NULL) AS excluded_loans
+             COUNT(*) FILTER (WHERE reject_reason IS NOT NULL) AS excluded_loans,
+             COALESCE(string_agg(DISTINCT reject_reason, ',' ORDER BY reject_reason), '') AS exclusion_reasons
       FROM s3_checked GROUP BY 1, 2) g""", ["s3_checked"])
     q["score_what_if"] = with_ctes(f"""
 SELECT reporting_year,
@@ -242,23 +279,7 @@ FROM (SELECT reporting_year, pcaf_data_quality_score, SUM(CAST(outstanding_idr A
 SELECT reporting_year, CAST(SUM(imputed_months) AS BIGINT) AS imputed_months,
        COUNT(DISTINCT facility_id) AS facilities, MAX(data_quality_score) AS worst_score
 FROM ghg_scope1 WHERE data_quality_score >= 3 GROUP BY reporting_year""", ["ghg_scope1"])
-    peers = _values(reports.PEERS, ["metric", "peer", "pvalue", "hib"])
-    q["peer_gap"] = with_ctes(f"""
-SELECT reporting_year, metric, value AS own_value,
-       CASE WHEN own_s > bs THEN value ELSE bpv END AS best_value,
-       CASE WHEN own_s > bs THEN 'own' ELSE bpeer END AS best_bank,
-       {R('value - CASE WHEN own_s > bs THEN value ELSE bpv END', 4)} AS gap_to_best,
-       CAST(better + 1 AS INTEGER) AS rank, peers + 1 AS banks
-FROM (SELECT l.reporting_year, l.metric, l.value,
-             CASE WHEN p.hib THEN l.value ELSE -l.value END AS own_s,
-             COUNT(*) FILTER (WHERE (CASE WHEN p.hib THEN p.pvalue ELSE -p.pvalue END)
-                                    > (CASE WHEN p.hib THEN l.value ELSE -l.value END)) AS better,
-             MAX(CASE WHEN p.hib THEN p.pvalue ELSE -p.pvalue END) AS bs,
-             arg_max(p.peer, struct_pack(s := CASE WHEN p.hib THEN p.pvalue ELSE -p.pvalue END, peer := p.peer)) AS bpeer,
-             arg_max(p.pvalue, struct_pack(s := CASE WHEN p.hib THEN p.pvalue ELSE -p.pvalue END, peer := p.peer)) AS bpv,
-             COUNT(*) AS peers
-      FROM rp_long l JOIN {peers} p(metric, peer, pvalue, hib) ON p.metric = l.metric
-      GROUP BY l.reporting_year, l.metric, l.value, p.hib) x""", ["rp_long"])
+    q["peer_gap"] = with_ctes("SELECT * FROM rp_peer_gap", ["rp_peer_gap"])
     for name, least in (("rwf", "4e-1"), ("rwf_peer", "3e-1")):
         fragment(name, f"""
 WITH sm AS (SELECT s.query_id, s.doc_id, {R('s.score / MAX(s.score) OVER (PARTITION BY s.query_id)', 6)} AS score, d.lang

@@ -129,6 +129,49 @@ SELECT concat('BOR-', {padded('CAST(c_custkey AS BIGINT)', 6)}) AS borrower_id,
 FROM {{customer}}
 """
 
+# Input tables that a bank keeps by hand, derived so that they grow with the given ones: governance facts, peer
+# figures, the playbook's rules, reported borrower emissions, power purchase agreements.
+GOVERNANCE_SQL = """
+SELECT CAST(year(o_orderdate) AS INT) AS reporting_year, COUNT(*) % 2 = 0 AS has_esg_committee, COUNT(*) % 3 > 0 AS has_climate_policy,
+       CASE COUNT(DISTINCT o_custkey) % 3 WHEN 0 THEN 'Committed' WHEN 1 THEN 'Submitted' ELSE 'None' END AS sbti_status
+FROM {orders} GROUP BY 1
+"""
+
+PEERS_SQL = """
+SELECT concat('bank_', CAST(n.n_nationkey AS STRING)) AS peer, m.metric, m.higher_is_better,
+       CAST(m.base + m.step * (COUNT(c.c_custkey) % 17) AS DOUBLE) AS pvalue
+FROM {nation} n JOIN (SELECT 'training_hours_per_fte' AS metric, true AS higher_is_better, 2e1 AS base, 2.5e0 AS step
+                      UNION ALL SELECT 'fte_female_pct', true, 3e1, 1.5e0 UNION ALL SELECT 'fte_management_female_pct', true, 1.5e1, 1.25e0
+                      UNION ALL SELECT 'voluntary_turnover_pct', false, 4e0, 5e-1 UNION ALL SELECT 'scope1_tco2e', false, 1e2, 4e1
+                      UNION ALL SELECT 'scope2_location_tco2e', false, 1e3, 2.5e2) m ON true
+LEFT JOIN {customer} c ON c.c_nationkey = n.n_nationkey
+GROUP BY n.n_nationkey, m.metric, m.higher_is_better, m.base, m.step
+"""
+
+PLAYBOOK_SQL = """
+SELECT concat('PB-', CAST(n_nationkey AS STRING)) AS rule_id,
+       CASE n_nationkey % 6 WHEN 0 THEN 'scope1_tco2e' WHEN 1 THEN 'scope2_location_tco2e' WHEN 2 THEN 'scope3_cat15_gross_tco2e'
+            WHEN 3 THEN 'training_hours_per_fte' WHEN 4 THEN 'fte_management_female_pct' ELSE 'voluntary_turnover_pct' END AS metric,
+       CASE CAST(floor(n_nationkey / 6) AS INT) % 3 WHEN 0 THEN 'change' WHEN 1 THEN 'value' ELSE 'gap' END AS basis,
+       CASE WHEN n_nationkey % 2 = 0 THEN '>' ELSE '<' END AS op,
+       CAST(n_nationkey % 5 * 10 - 10 AS DOUBLE) AS threshold,
+       concat('review ', lower(n_name)) AS action
+FROM {nation}
+"""
+
+EMISSIONS_SQL = f"""
+SELECT concat('BOR-', {padded('CAST(o_custkey AS BIGINT)', 6)}) AS borrower_id, CAST(year(o_orderdate) AS INT) AS reporting_year,
+       CASE WHEN COUNT(*) % 11 = 0 THEN NULL ELSE CAST(400 + (o_custkey * 53) % 7000 + COUNT(*) AS DOUBLE) END AS reported_emissions_tco2e
+FROM {{orders}} WHERE o_custkey % 17 <> 0 GROUP BY o_custkey, year(o_orderdate)
+"""
+
+PPA_SQL = f"""
+SELECT concat('FAC-', {padded('CAST(s_suppkey AS BIGINT) + 1', 4)}) AS facility_id, CAST(y.reporting_year AS INT) AS reporting_year,
+       CAST(((s_suppkey * 7 + y.reporting_year) % 5) * 25 AS DOUBLE) AS ppa_mwh
+FROM {{supplier}} JOIN (SELECT DISTINCT year(o_orderdate) AS reporting_year FROM {{orders}}) y ON true
+WHERE s_suppkey % 3 = 0
+"""
+
 RAW_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
               "events", "documents", "embeddings", "pages", "benchmark", "labels",
               "conversations")
@@ -168,6 +211,30 @@ class Inputs:
     def borrowers(self) -> DataFrame:
         return self.spark.sql(BORROWER_DIM_SQL, customer=self.raw("customer"))
 
+    def _table(self, sql: str) -> DataFrame:
+        named = {t: self.raw(t) for t in RAW_TABLES if "{" + t + "}" in sql}
+        return self.spark.sql(sql, **named)
+
+    @cached_property
+    def governance(self) -> DataFrame:
+        return self._table(GOVERNANCE_SQL)
+
+    @cached_property
+    def peers(self) -> DataFrame:
+        return self._table(PEERS_SQL)
+
+    @cached_property
+    def playbook(self) -> DataFrame:
+        return self._table(PLAYBOOK_SQL)
+
+    @cached_property
+    def reported_emissions(self) -> DataFrame:
+        return self._table(EMISSIONS_SQL)
+
+    @cached_property
+    def ppa(self) -> DataFrame:
+        return self._table(PPA_SQL)
+
     # -- fixed-size dimensions (row count bounded by the constants) ----------
     @cached_property
     def revenue(self) -> DataFrame:
@@ -213,8 +280,9 @@ def dim_values_sql(name: str) -> str:
 
 
 def _oracle_text(sql: str) -> str:
-    return sql.replace("{lineitem}", "lineitem").replace("{orders}", "orders") \
-              .replace("{supplier}", "supplier").replace("{customer}", "customer")
+    for t in RAW_TABLES:
+        sql = sql.replace("{" + t + "}", t)
+    return sql
 
 
 ORACLE_INPUT_CTES = {
@@ -223,4 +291,9 @@ ORACLE_INPUT_CTES = {
     "hr_metrics": _oracle_text(HR_SQL),
     "facility_dim": _oracle_text(FACILITY_DIM_SQL),
     "borrower_dim": _oracle_text(BORROWER_DIM_SQL),
+    "governance": _oracle_text(GOVERNANCE_SQL),
+    "peers": _oracle_text(PEERS_SQL),
+    "playbook": _oracle_text(PLAYBOOK_SQL),
+    "reported_emissions": _oracle_text(EMISSIONS_SQL),
+    "ppa": _oracle_text(PPA_SQL),
 }
