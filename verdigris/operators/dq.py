@@ -160,6 +160,10 @@ def pcaf_distribution(loans: DataFrame, tolerance_points: float = 5.0) -> DataFr
                                 F.lit(False)).alias("within_tolerance")))
 
 
+#: Ranks of the median are right to one part in so many; below as many rows it is exact.
+MEDIAN_ACCURACY = 1_000_000
+
+
 def profile(df: DataFrame, numeric: list[str], table: str, approx_median: bool = False) -> DataFrame:
     """DQ-13: count, nulls, mean, min, max per numeric column, one pass.
 
@@ -175,7 +179,7 @@ def profile(df: DataFrame, numeric: list[str], table: str, approx_median: bool =
         aggs += [F.count(c).alias(f"{c}__n"), F.try_divide(total, F.count(c)).alias(f"{c}__mean"),
                  F.min(c).cast("double").alias(f"{c}__min"), F.max(c).cast("double").alias(f"{c}__max")]
         if approx_median:
-            aggs.append(F.percentile_approx(c, 0.5, 10000).cast("double").alias(f"{c}__med"))
+            aggs.append(F.percentile_approx(c, 0.5, MEDIAN_ACCURACY).cast("double").alias(f"{c}__med"))
     a = df.agg(*aggs)
     items = []
     for c in numeric:
@@ -184,7 +188,7 @@ def profile(df: DataFrame, numeric: list[str], table: str, approx_median: bool =
                   dround(f"{c}__mean", 4).alias("mean"), F.col(f"{c}__min").alias("min_value"),
                   F.col(f"{c}__max").alias("max_value")]
         if approx_median:
-            fields.append(F.col(f"{c}__med").alias("median_approx"))
+            fields.append(F.col(f"{c}__med").alias("median"))
         items.append(F.struct(*fields))
     return a.select(F.explode(F.array(*items)).alias("r")).select("r.*")
 

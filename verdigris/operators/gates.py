@@ -127,24 +127,33 @@ def _type_name(dt: T.DataType) -> str:
     return _TYPE_NAMES.get(type(dt), dt.simpleString())
 
 
-def schema_gate(spark: SparkSession, df: DataFrame, contract: dict[str, str], table: str) -> DataFrame:
-    """GOV-01: missing column -> fail; unexpected -> warn; type mismatch -> warn.
+def schema_gate(df: DataFrame, contract: dict[str, str], table: str) -> DataFrame:
+    """GOV-01: each column's state: ok, missing (fail), type_mismatch or unexpected (warn), with its rows and NULLs.
 
-    Reads only the schema (no job); the result is a DataFrame like every gate.
+    One pass counts every column that is there; the state comes from the schema.
     """
     actual = {f.name: _type_name(f.dataType) for f in df.schema.fields}
-    rows = []
-    for c, t in contract.items():
+
+    def state(c: str) -> tuple[str, str]:
         if c not in actual:
-            rows.append((table, c, "missing", "fail", t, None))
-        elif actual[c] != t:
-            rows.append((table, c, "type_mismatch", "warn", t, actual[c]))
-    for c, t in actual.items():
+            return "missing", "fail"
         if c not in contract:
-            rows.append((table, c, "unexpected", "warn", None, t))
-    return spark.createDataFrame(
-        rows, "table_name string, column_name string, kind string, severity string, "
-              "expected_type string, actual_type string")
+            return "unexpected", "warn"
+        return ("ok", "none") if actual[c] == contract[c] else ("type_mismatch", "warn")
+
+    text = lambda v: F.lit(v).cast("string")
+    counts = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(f"n_{c}") for c in actual])
+    rows = [F.struct(F.lit(table).alias("table_name"), F.lit(c).alias("column_name"), F.lit(state(c)[0]).alias("kind"), F.lit(state(c)[1]).alias("severity"),
+                     text(contract.get(c)).alias("expected_type"), text(actual.get(c)).alias("actual_type"), F.col("rows").alias("rows"),
+                     (F.col("rows") - F.col(f"n_{c}") if c in actual else F.col("rows")).alias("nulls"))
+            for c in [*contract, *(x for x in actual if x not in contract)]]
+    return counts.select(F.inline(F.array(*rows)))
+
+
+def null_month_gate(energy: DataFrame, most: int = 6) -> DataFrame:
+    """GOV-13: facility-years with more than ``most`` months without an electricity reading."""
+    return (energy.groupBy("facility_id", "reporting_year").agg(F.count_if(F.col("electricity_kwh").isNull()).alias("null_months"))
+            .filter(F.col("null_months") > most))
 
 
 def enum_gate(df: DataFrame, allowed: dict[str, tuple], table: str) -> DataFrame:

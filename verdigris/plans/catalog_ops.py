@@ -33,8 +33,8 @@ LOAN_NUMERIC = ["outstanding_idr", "total_equity_idr", "total_debt_idr", "pcaf_a
 
 def q_dq_profile(spark, d):
     inp = inputs(spark, d)
-    return dq.profile(inp.energy, ENERGY_NUMERIC, "energy_consumption").unionByName(
-        dq.profile(inp.loans, LOAN_NUMERIC, "loan_portfolio"))
+    return dq.profile(inp.energy, ENERGY_NUMERIC, "energy_consumption", True).unionByName(
+        dq.profile(inp.loans, LOAN_NUMERIC, "loan_portfolio", True))
 
 
 def q_dq_category_shares(spark, d):
@@ -59,9 +59,9 @@ def q_enum_violations(spark, d):
 
 def q_schema_check(spark, d):
     inp = inputs(spark, d)
-    return (gates.schema_gate(spark, inp.energy, gates.ENERGY_CONTRACT, "energy_consumption")
-            .unionByName(gates.schema_gate(spark, inp.loans, gates.LOAN_CONTRACT, "loan_portfolio"))
-            .unionByName(gates.schema_gate(spark, inp.hr, gates.HR_CONTRACT, "hr_metrics")))
+    return (gates.schema_gate(inp.energy, gates.ENERGY_CONTRACT, "energy_consumption")
+            .unionByName(gates.schema_gate(inp.loans, gates.LOAN_CONTRACT, "loan_portfolio"))
+            .unionByName(gates.schema_gate(inp.hr, gates.HR_CONTRACT, "hr_metrics")))
 
 
 def q_summary_long(spark, d):

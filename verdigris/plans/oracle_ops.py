@@ -70,7 +70,7 @@ def _profile_sql(table: str, cols: list[str], integral=()) -> str:
         return R(f"CAST({s} AS DOUBLE) / NULLIF(COUNT({c}), 0)", 4)
     return " UNION ALL ".join(
         f"SELECT '{table}' AS table_name, '{c}' AS column_name, COUNT(*) AS rows, COUNT(*) - COUNT({c}) AS nulls, "
-        f"{mean(c)} AS mean, CAST(MIN({c}) AS DOUBLE) AS min_value, CAST(MAX({c}) AS DOUBLE) AS max_value "
+        f"{mean(c)} AS mean, CAST(MIN({c}) AS DOUBLE) AS min_value, CAST(MAX({c}) AS DOUBLE) AS max_value, CAST(quantile_disc({c}, 0.5) AS DOUBLE) AS median "
         f"FROM {table}" for c in cols)
 
 

@@ -87,12 +87,14 @@ def _q(s: str) -> str:
     return s.replace("'", "\\'")
 
 
-def create_all(spark: SparkSession, root: str) -> list[str]:
-    """CREATE DATABASE / CREATE TABLE ... USING parquet PARTITIONED BY ... LOCATION for every zone table."""
+def create_all(spark: SparkSession, root: str, only: set[str] | None = None) -> list[str]:
+    """CREATE DATABASE / CREATE TABLE ... USING parquet PARTITIONED BY ... LOCATION for every zone table, or those of ``only``."""
     names = []
     for db in DATABASES.values():
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {db}")
     for zone, table, cols, parts in TABLES:
+        if only is not None and table not in only:
+            continue
         full = f"{DATABASES[zone]}.{table}"
         body = ",\n  ".join(f"`{c}` {t} COMMENT '{_q(cm)}'" for c, t, cm in cols)
         pcols = ",\n  ".join(f"`{c}` {t}" for c, t in parts)
