@@ -49,10 +49,11 @@ def q_zone_by_name(spark: SparkSession, d: str) -> DataFrame:
     root = zone_root(spark, d)
     zones.write_zone(core(spark, d).summary(), root, "aggregated", "ghg_summary_annual", replace="table")
     ddl.create_all(spark, root, {"ghg_summary_annual"})
-    try:
-        return ddl.summary_by_name(spark, C.CURRENT_YEAR, C.BANK_ID)
+    try:  # what the names gave is kept, as they are gone when the result is read
+        ddl.summary_by_name(spark, C.CURRENT_YEAR, C.BANK_ID).write.mode("overwrite").parquet(f"{root}/by_name")
     finally:
         ddl.drop_all(spark)
+    return spark.read.parquet(f"{root}/by_name")
 
 
 def q_zone_rejects(spark: SparkSession, d: str) -> DataFrame:
