@@ -87,3 +87,21 @@ def test_ddl_tables_over_zones(spark, tmpdir_run):
         assert comment.description == "tCO2e, 4 dp"
     finally:
         ddl.drop_all(spark)
+
+
+def test_queries_serve_from_zones(spark, tmpdir_run):
+    from verdigris.plans import catalog_core, registry
+    batch.refresh(spark, SF0001, tmpdir_run)
+    names = ["summary_for_year", "prior_year_summary", "sector_top10", "facility_top10", "scope1_rejects", "ghg_scope3_financed", "sum_check"]
+    def rows(name):
+        df = registry.queries()[name](spark, SF0001)
+        return sorted(str([r[c] for c in sorted(df.columns)]) for r in df.collect())
+
+    fresh = {n: rows(n) for n in names}
+    spark.conf.set(catalog_core.ZONES, tmpdir_run)
+    try:
+        assert {n: rows(n) for n in names} == fresh
+        plan = registry.queries()["summary_for_year"](spark, SF0001)._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(reporting_year" in plan and "lineitem" not in plan
+    finally:
+        spark.conf.unset(catalog_core.ZONES)

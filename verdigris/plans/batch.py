@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..operators import aggregate, gates, scope1, scope2, scope3
+from ..operators import aggregate, gates, retrieval, scope1, scope2, scope3
 from ..session import shared_dir
 from ..sources import zones
 from ..sources.fixtures import Inputs
@@ -93,8 +93,11 @@ def gate_stage(inp: Inputs, root: str) -> DataFrame:
             .unionByName(gates.scope3_gates(s3)))
 
 
-def refresh(spark: SparkSession, sf_dir: str, root: str | None = None) -> dict[str, object]:
-    """Run the whole refresh; returns table paths, rows written, and stage seconds."""
+def refresh(spark: SparkSession, sf_dir: str, root: str | None = None, index_documents: bool = False) -> dict[str, object]:
+    """Run the whole refresh; returns table paths, rows written, and stage seconds.
+
+    ``index_documents`` also writes the retrieval index of the documents anew.
+    """
     root = root or f"{shared_dir(spark).rstrip('/')}/lake"
     inp, out = Inputs(spark, sf_dir), _Writer(spark, root)
     t0 = time.time()
@@ -105,5 +108,10 @@ def refresh(spark: SparkSession, sf_dir: str, root: str | None = None) -> dict[s
     zones.write_zone(gate_stage(inp, root).withColumn("run_date", F.current_date()), root, "aggregated", "gate_results",
                      None, ("run_date",))
     t3 = time.time()
-    return {"root": root, "paths": out.paths, "observed": out.rows,
-            "seconds": {"curated": t1 - t0, "aggregated": t2 - t1, "gates": t3 - t2}}
+    seconds = {"curated": t1 - t0, "aggregated": t2 - t1, "gates": t3 - t2}
+    if index_documents:
+        docs = inp.raw("documents")
+        out.paths["bm25_index"] = retrieval.index_path(docs)
+        retrieval.write_index(docs, out.paths["bm25_index"])
+        seconds["index"] = time.time() - t3
+    return {"root": root, "paths": out.paths, "observed": out.rows, "seconds": seconds}

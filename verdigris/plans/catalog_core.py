@@ -8,42 +8,59 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions.exprs import dround
 from ..operators import aggregate, scope1, scope2, scope3
+from ..sources import zones
 from ..sources.fixtures import Inputs, inputs
 
 
+#: Session setting that names a zone root: queries then read the tables that the batch refresh has written there.
+ZONES = "spark.verdigris.zones"
+
+
+def _first(kept: DataFrame | None, derived) -> DataFrame:
+    return derived() if kept is None else kept
+
+
 class Core:
-    """Lazily derived core tables for one input folder (nothing is cached)."""
+    """The core tables of one input folder: derived from raw, or read from the zones that the session names."""
 
     def __init__(self, inp: Inputs):
         self.inp = inp
+        self.root = inp.spark.conf.get(ZONES, None)
+
+    def _zone(self, zone: str, table: str) -> DataFrame | None:
+        return zones.read_zone(self.inp.spark, self.root, zone, table) if self.root else None
 
     @property
     def s1(self) -> DataFrame:
-        return scope1.scope1(self.inp.energy)[0]
+        return _first(self._zone("curated", "ghg_scope1"), lambda: scope1.scope1(self.inp.energy)[0])
 
     @property
     def s1_rejects(self) -> DataFrame:
-        return scope1.scope1(self.inp.energy)[1]
+        return _first(self._zone("curated", "errors/ghg_scope1"), lambda: scope1.scope1(self.inp.energy)[1])
 
     @property
     def s2(self) -> DataFrame:
-        return scope2.scope2(self.inp.energy, self.inp.facilities, "spec")
+        return _first(self._zone("curated", "ghg_scope2"), lambda: scope2.scope2(self.inp.energy, self.inp.facilities, "spec"))
 
     @property
     def loan(self) -> DataFrame:
-        return scope3.loan_emissions(self.inp.loans)[0]
+        return _first(self._zone("curated", "loan_financed"), lambda: scope3.loan_emissions(self.inp.loans)[0])
 
     @property
     def s3(self) -> DataFrame:
-        return scope3.sector_rollup(self.loan)
+        return _first(self._zone("curated", "ghg_scope3_financed"), lambda: scope3.sector_rollup(self.loan))
 
-    def summary(self, keep_totals: bool = False) -> DataFrame:
-        return aggregate.annual_summary(self.s1, self.s2, self.s3, self.inp.hr, self.inp.loans,
-                                        self.inp.revenue, keep_totals=keep_totals)
+    def summary(self, keep_totals: bool | str = False) -> DataFrame:
+        kept = None if keep_totals else self._zone("aggregated", "ghg_summary_annual")
+        if kept is not None:
+            return kept.select(*aggregate.SUMMARY_COLUMNS)
+        loans = _first(self._zone("raw", "loan_portfolio"), lambda: self.inp.loans)
+        return aggregate.annual_summary(self.s1, self.s2, self.s3, self.inp.hr, loans, self.inp.revenue, keep_totals=keep_totals)
 
     @property
     def sector(self) -> DataFrame:
-        return aggregate.sector_table(self.s3, self.inp.sector_display)
+        kept = self._zone("aggregated", "pcaf_by_sector")
+        return aggregate.sector_table(self.s3, self.inp.sector_display) if kept is None else kept.select(*aggregate.SECTOR_COLUMNS)
 
 
 def core(spark: SparkSession, sf_dir: str) -> Core:
