@@ -2,8 +2,8 @@
 
 * Chunks are token windows cut with array functions (``sequence`` + ``slice``),
   one row per chunk, whole texts.
-* BM25 reads a stored index, written once per table, and prunes: only documents
-  that can reach a query's top k are scored. Top-k per query is
+* BM25 reads a stored index, written once per table, and prunes: common terms
+  are looked up only for documents that can still reach a query's top k. Top-k per query is
   ``row_number() <= k``, which Catalyst plans with a partial WindowGroupLimit
   before the shuffle, so a query matching a third of the corpus never sends
   all its candidates to one task.
@@ -121,17 +121,23 @@ def index_of(docs: DataFrame) -> Index:
     return read_index(spark, path)
 
 
+#: Terms in more than this share of the documents are looked up only for documents that can still reach the top k.
+COMMON_SHARE = 0.1
+
+
 def bm25_candidates(queries: DataFrame, index: Index, k: int = TOP_K, keys: tuple[str, ...] = ("query_id",), text: str = "query_text",
                     visible: Column | None = None, margin: float = 1e-5, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
     """Exact BM25 scores of every document within ``margin`` of a query's true top k, and of few others.
 
-    1. Seed: per query, its rarest terms until as many documents as wanted hold
-       one; these are scored exactly, and the k-th best score bounds the true
-       k-th score from below (theta).
-    2. A term adds idf * (k1 + 1) at most. Terms whose bounds together stay
-       below theta - margin are not essential: a document holding only those
-       can't reach theta. Candidates hold an essential term.
-    3. Candidates are scored over all terms.
+    1. Documents are scored over the query's rarer terms: one join with their
+       postings and a partial aggregate. The k-th best of these sums bounds the
+       true k-th score from below (theta).
+    2. A common term adds idf * (k1 + 1) at most. Where the common terms'
+       bounds together stay below theta - margin, a document needs a rarer term
+       to be in the top k, and only those whose sum could still reach theta
+       are looked up among the common terms.
+    3. Other queries (few hits, or none but common words) are scored over all
+       their terms.
 
     ``keys`` names a query; ``visible`` (of query and metadata columns) hides
     documents from it, so one pass serves a query under several filters.
@@ -142,31 +148,29 @@ def bm25_candidates(queries: DataFrame, index: Index, k: int = TOP_K, keys: tupl
     qt = queries.select(*keys, *shown, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TOKEN), 0))).alias("term"))
     qt = qt.withColumn("bucket", _bucket("term"))
     n_docs, avgdl = index.stats.select("n_docs").scalar(), index.stats.select("avgdl").scalar()
-    met = qt.join(index.terms, ["bucket", "term"])
-    weighed = (met.groupBy(*keys, *shown, "bucket", "term")
-               .agg(F.sum("df").alias("df"), F.sum(F.when(seen, F.col("df")).otherwise(0)).alias("df_seen"))
+    weighed = (qt.join(index.terms, ["bucket", "term"]).groupBy(*keys, *shown, "bucket", "term").agg(F.sum("df").alias("df"))
                .withColumn("idf", F.log(F.lit(1.0) + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-               .withColumn("ub", F.col("idf") * (k1 + 1)))
-
-    def holders(chosen: DataFrame) -> DataFrame:
-        return (chosen.join(index.postings.select("bucket", "term", key, *index.meta), ["bucket", "term"]).where(seen)
-                .select(*keys, key).distinct())
+               .withColumn("common", F.col("df") > n_docs * COMMON_SHARE))
 
-    def exact(pairs: DataFrame) -> DataFrame:
+    def scored(terms_: DataFrame, among: DataFrame | None = None) -> DataFrame:
         part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-        held = index.postings.select("bucket", "term", key, "dl", "tf")
-        return (pairs.join(weighed.select(*keys, "bucket", "term", "idf"), keys).join(held, ["bucket", "term", key])
-                .groupBy(*keys, key).agg(F.sum(part).alias("score")))
+        if among is None:
+            held = terms_.join(index.postings, ["bucket", "term"])
+        else:
+            held = among.select(*keys, key).join(terms_, keys).join(index.postings, ["bucket", "term", key])
+        return held.where(seen).groupBy(*keys, key).agg(F.sum(part).alias("score"))
 
-    rare = Window.partitionBy(*keys).orderBy(F.desc("idf"), F.asc("term")).rowsBetween(Window.unboundedPreceding, -1)
-    seed = weighed.withColumn("before", F.coalesce(F.sum("df_seen").over(rare), F.lit(0))).where((F.col("before") < k) & (F.col("df_seen") > 0))
+    rare = scored(weighed.where("NOT common"))
     best = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc(key))
-    theta = (exact(holders(seed)).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).groupBy(*keys)
-             .agg(F.when(F.count(F.lit(1)) >= k, F.min("score") - margin).otherwise(F.lit(0.0)).alias("theta")))
-    low = Window.partitionBy(*keys).orderBy(F.asc("ub"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
-    essential = (weighed.join(theta, keys, "left").withColumn("reach", F.sum("ub").over(low))
-                 .where((F.col("reach") >= F.coalesce("theta", F.lit(0.0))) & (F.col("df_seen") > 0)))
-    return exact(holders(essential.drop("theta", "reach")))
+    theta = (rare.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).groupBy(*keys)
+             .agg(F.when(F.count(F.lit(1)) >= k, F.min("score") - margin).alias("theta")))
+    bounds = weighed.groupBy(*keys).agg(F.sum(F.when(F.col("common"), F.col("idf") * (k1 + 1)).otherwise(F.lit(0.0))).alias("more"))
+    bounds = bounds.join(theta, keys, "left")
+    split, whole = bounds.where("more < theta"), bounds.where("theta IS NULL OR more >= theta")
+    able = rare.join(split, keys).where(F.col("score") + F.col("more") >= F.col("theta")).select(*keys, key, "score")
+    added = scored(weighed.where("common"), able).withColumnRenamed("score", "added")
+    able = able.join(added, [*keys, key], "left").select(*keys, key, (F.col("score") + F.coalesce("added", F.lit(0.0))).alias("score"))
+    return able.unionByName(scored(weighed.join(whole.select(*keys), keys, "left_semi")).select(*able.columns))
 
 
 def bm25_topk(queries: DataFrame, index: Index, k: int = TOP_K, **how) -> DataFrame:
