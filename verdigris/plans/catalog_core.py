@@ -201,7 +201,9 @@ def queries() -> dict:
         "scope1_rejects": q_scope1_rejects,
         "scope1_reconciliation": q_scope1_reconciliation,
         "scope1_top_facilities": q_scope1_top_facilities,
-        "scope1_by_source": lambda s, d: scope1.by_source(inputs(s, d).energy),
+        "scope1_by_source": lambda s, d: scope1.by_source(
+            scope1.fuel_activity(inputs(s, d).energy).unionByName(inputs(s, d).activity)),
+        "scope1_source_check": lambda s, d: scope1.source_total_check(inputs(s, d).energy),
         "scope2_monthly": q_scope2_monthly,
         "ghg_scope2": q_ghg_scope2,
         "ghg_scope2_code_rec": q_ghg_scope2_code_rec,

@@ -94,6 +94,16 @@ def q_retrieval_stats(spark, d):
     return retrieval.retrieval_stats(hits, packed, retrieval.SCORE_THRESHOLD)
 
 
+def q_section_json_recovery(spark, d):
+    """VA-26: sections as a model may hand them over - plain, fenced, inside prose, cut off - and what is recovered."""
+    s, j = _sections(spark, d), F.col("content_json")
+    fence = F.concat(F.lit("Here it is:\n```json\n"), j, F.lit("\n```\nDone."))
+    raw = (F.when(F.col("section_key") % 4 == 0, j).when(F.col("section_key") % 4 == 1, fence)
+            .when(F.col("section_key") % 4 == 2, F.concat(F.lit("Result: "), j, F.lit(" (end)"))).otherwise(F.substring(j, 1, 40)))
+    return s.select("section_key", audit.recover_json(raw).alias("json")).select(
+        "section_key", F.col("json").isNotNull().alias("recovered"), F.get_json_object("json", "$.section_id").alias("section_id"))
+
+
 def _conv_texts(spark, d):
     c = inputs(spark, d).raw("conversations")
     return c.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
@@ -156,6 +166,7 @@ def queries() -> dict:
         "conversation_prohibited_hits": lambda s, d: audit.prohibited_hits(_conv_texts(s, d), "turn_key", "text"),
         "conversation_json_recovery": lambda s, d: _conv_texts(s, d).select(
             "turn_key", audit.recover_json("text").isNotNull().alias("has_json")),
+        "section_json_recovery": q_section_json_recovery,
         # retrieval
         "doc_chunks": lambda s, d: retrieval.chunk(inputs(s, d).raw("documents")),
         "bm25_top5": q_bm25_top5,

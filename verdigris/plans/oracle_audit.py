@@ -195,6 +195,10 @@ SELECT section_key, block IS NOT NULL AS has_provenance, CASE WHEN block IS NULL
        CASE WHEN block IS NULL THEN 'VAL-PROV-01' WHEN {held} < 6 THEN 'VAL-PROV-02' END AS warning
 FROM (SELECT section_key, list_filter(coalesce(j->>'$.footnotes[*]', CAST([] AS VARCHAR[])), lambda n: contains(n, 'DATA PROVENANCE:'))[1] AS block
       FROM sec_json) x""", ["sec_json"])
+    q["section_json_recovery"] = with_ctes("""
+SELECT section_key, json IS NOT NULL AS recovered, json->>'$.section_id' AS section_id
+FROM (SELECT section_key, CASE WHEN section_key % 4 < 3 AND json_valid(content_json) THEN CAST(content_json AS JSON) END AS json FROM sec_raw) x""",
+                                           ["sec_raw"])
     labels = ", ".join(f"('{a}', '{b}')" for a, b in _LABELS)
     q["audit_claim_mapping"] = with_ctes(f"""
 SELECT x.section_key, CAST(x.claim_no AS INTEGER) AS claim_no, lower(x.lab) AS label, lm.metric,

@@ -305,11 +305,19 @@ FROM (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY reporting_year
 SELECT reporting_year, emission_source, source_type, unit, COUNT(*) AS records, {R('SUM(quantity)', 2)} AS quantity,
        {R('SUM(quantity * factor)', 4)} AS emissions_tco2e, {R('AVG(COALESCE(quality_score, 4))', 4)} AS avg_quality_score
 FROM (SELECT reporting_year, data_source, 'natural_gas' AS source_type, natural_gas_gj AS quantity FROM s1_base
-      UNION ALL SELECT reporting_year, data_source, 'diesel_generator', diesel_liters FROM s1_base) a
+      UNION ALL SELECT reporting_year, data_source, 'diesel_generator', diesel_liters FROM s1_base
+      UNION ALL SELECT reporting_year, data_source, source_type, quantity FROM activity) a
 JOIN (VALUES {fac}) f(source_type, unit, factor, emission_source) USING (source_type)
 LEFT JOIN (VALUES {qual}) qs(data_source, quality_score) USING (data_source)
 WHERE quantity IS NOT NULL
-GROUP BY reporting_year, emission_source, source_type, unit""", ["s1_base"])
+GROUP BY reporting_year, emission_source, source_type, unit""", ["s1_base", "activity"])
+    gas = "(56.1e0 + 0.001e0 * 29.8e0 + 0.0001e0 * 273e0)"
+    diesel = "(2.53763e0 + 0.0000097e0 * 29.8e0 + 0.000121e0 * 273e0)"
+    q["scope1_source_check"] = with_ctes(f"""
+SELECT reporting_year, {R('s', 3)} AS by_source_tco2e, {R('g', 3)} AS by_gas_tco2e, abs(s - g) * 100 <= 0.01e0 * g AS within_tolerance
+FROM (SELECT reporting_year, {R(f'SUM(natural_gas_gj) * {gas} / 1000', 4)} + {R(f'SUM(diesel_liters) * {diesel} / 1000', 4)} AS s,
+             SUM(coalesce(natural_gas_gj * {gas}, 0) + coalesce(diesel_liters * {diesel}, 0)) / 1000 AS g
+      FROM s1_base GROUP BY reporting_year) x""", ["s1_base"])
     q["scope2_monthly"] = with_ctes(f"""
 SELECT facility_id, reporting_year, reporting_month, electricity_kwh_clean,
        {R('scope2_location_month_kgco2e', 6)} AS scope2_location_month_kgco2e FROM s2_monthly""", ["s2_monthly"])

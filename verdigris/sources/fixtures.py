@@ -172,6 +172,15 @@ FROM {{supplier}} JOIN (SELECT DISTINCT year(o_orderdate) AS reporting_year FROM
 WHERE s_suppkey % 3 = 0
 """
 
+# Fleet and gas-bottle activity as logged: one row per event of three kinds.
+ACTIVITY_SQL = """
+SELECT CAST(1995 + event_id % 6 AS INT) AS reporting_year,
+       CASE event_type WHEN 'view' THEN 'diesel_fleet' WHEN 'click' THEN 'petrol_fleet' ELSE 'lpg' END AS source_type,
+       CASE WHEN event_id % 4 = 0 THEN 'smart_meter_api' WHEN event_id % 4 = 1 THEN 'estimate' ELSE 'manual_entry' END AS data_source,
+       value AS quantity
+FROM {events} WHERE event_type IN ('view', 'click', 'error')
+"""
+
 RAW_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
               "events", "documents", "embeddings", "pages", "benchmark", "labels",
               "conversations")
@@ -219,6 +228,10 @@ class Inputs:
     def governance(self) -> DataFrame:
         return self._table(GOVERNANCE_SQL)
 
+    @cached_property
+    def activity(self) -> DataFrame:
+        return self._table(ACTIVITY_SQL)
+
     @cached_property
     def peers(self) -> DataFrame:
         return self._table(PEERS_SQL)
@@ -292,6 +305,7 @@ ORACLE_INPUT_CTES = {
     "facility_dim": _oracle_text(FACILITY_DIM_SQL),
     "borrower_dim": _oracle_text(BORROWER_DIM_SQL),
     "governance": _oracle_text(GOVERNANCE_SQL),
+    "activity": _oracle_text(ACTIVITY_SQL),
     "peers": _oracle_text(PEERS_SQL),
     "playbook": _oracle_text(PLAYBOOK_SQL),
     "reported_emissions": _oracle_text(EMISSIONS_SQL),
