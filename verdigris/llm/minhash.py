@@ -14,8 +14,8 @@ yet. What is left are buckets whose members are not all connected. In a group
 of copies edited apart these are many, and nearly all of their pairs fall short
 of the threshold. So a prefix filter goes first: with shingles ordered from rare
 to frequent, sets that reach the threshold share one of their first few, at
-places that leave room for the overlap needed. Only such pairs across
-components are compared and verified. Pairs inside a component need no test,
+places that leave room for the overlap needed, and their parity sketches
+differ in few bits. Only such pairs across components are compared and verified. Pairs inside a component need no test,
 as they change nothing; every other candidate pair is tested or can't be one.
 
 The chance that banding misses a pair at the threshold is at most
@@ -53,6 +53,8 @@ COMPARED, BATCH = 128, 16
 SEED = 20240229
 #: Counters that order shingles by frequency, one array of 32-bit numbers (4 MB) whatever the input; any order is right.
 SLOTS = 1 << 20
+#: Bits of a set's parity sketch, as 64-bit words.
+PARITY = 512
 
 
 def banding(percent: int, miss: float = MISS, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -236,37 +238,54 @@ def _frequencies(texts: DataFrame, size: int) -> np.ndarray:
     return out
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """``PARITY`` bits, each the parity of the hashes that fall on it.
+
+    The exclusive or of two sketches is the sketch of the sets' difference, so
+    it has at most as many bits set as shingles are in one set alone.
+    """
+    on = np.bincount((hashes >> np.uint64(16)).astype(np.int64) % PARITY, minlength=PARITY) & 1
+    return np.packbits(on.astype(np.uint8)).view(np.int64)
+
+
 def _prefixes(texts: DataFrame, frequency: np.ndarray, size: int, percent: int) -> DataFrame:
-    """class, n, and the shingles that a partner of at most this size must share, from rare to frequent."""
+    """class, n, parity sketch, and the shingles of which a partner of at most this size must share one, from rare to frequent."""
 
     def run(batches):
         words = _Words()
         for batch in batches:
-            ns, first = [], []
+            ns, first, bits = [], [], []
             for value in batch.column(1):
                 s = shingles(value.as_py(), size, words)
+                bits.append(parity(s))
                 s = s[np.lexsort((s, frequency[s >> np.uint64(44)]))]
                 ns.append(len(s))
                 first.append(s[: len(s) - -(-percent * len(s) // 100) + 1].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(first, pa.list_(pa.int64()))],
-                                             names=["class", "n", "first"])
+            lists = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(bits, lists), pa.array(first, lists)],
+                                             names=["class", "n", "bits", "first"])
 
-    return texts.mapInArrow(run, "class long, n long, first array<long>")
+    return texts.mapInArrow(run, "class long, n long, bits array<long>, first array<long>")
 
 
 def _across(members: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs (a, b) of ``members`` (class, root) with different roots that the prefix filter leaves."""
     texts = _texts(members.select("class"), classes, docs, "minhash-mixed-texts")
     found = _prefixes(texts, _frequencies(texts, size), size, percent).join(members, "class")
-    found = materialize(found.select("class", "n", "root", F.posexplode("first").alias("at", "shingle")), "minhash-prefixes")
+    words = range(PARITY // 64)
+    found = materialize(found.select("class", "n", "root", *[F.col("bits")[i].alias(f"b{i}") for i in words],
+                                     F.posexplode("first").alias("at", "shingle")), "minhash-prefixes")
     x, y = found.alias("x"), found.alias("y")
     # y is the smaller one; its shared shingle must lie in the shorter prefix for sizes from its own on
     room = (100 + percent) * (F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")))
+    # sets that reach the threshold differ in few shingles, which bounds the bits in which their sketches differ
+    differ = sum(F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in words)
     return (x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root"))
                    & ((F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.class") < F.col("x.class"))))
                    & (100 * F.col("y.n") >= percent * F.col("x.n"))
                    & (F.col("y.at") <= F.col("y.n") - F.ceil(2 * percent * F.col("y.n") / (100 + percent)))
-                   & (room >= percent * (F.col("x.n") + F.col("y.n"))))
+                   & (room >= percent * (F.col("x.n") + F.col("y.n")))
+                   & ((100 + percent) * differ <= (100 - percent) * (F.col("x.n") + F.col("y.n"))))
             .select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct())
 
 
