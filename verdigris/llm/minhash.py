@@ -307,6 +307,7 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     banded = sigs.select("class", "n", F.explode("bands").alias("band"))
     shared = (banded.groupBy("band").agg(F.min(F.struct("class", "n")).alias("first"), F.count("*").alias("members"))
               .where("members > 1"))
+    shared = materialize(shared, "minhash-shared")   # the join below splits a bucket that very many classes share
     near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  as |A| / |B| bounds the similarity
     buckets = materialize(banded.join(shared, "band").select("band", "class", "n", "first", "members"), "minhash-buckets")
     star = (buckets.where((F.col("class") != F.col("first.class")) & near(F.col("n"), F.col("first.n")))
@@ -338,6 +339,7 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         roots = connected(rest)
     many = rooted(buckets.where("members > 2").select("band", "class"), "class")
     mixed = many.groupBy("band").agg(F.min("root_class").alias("lo"), F.max("root_class").alias("hi")).where("lo <> hi")
+    mixed = materialize(mixed, "minhash-mixed-bands")
     members = materialize(many.join(mixed.select("band"), "band", "left_semi")
                           .select("class", F.col("root_class").alias("root")).distinct(), "minhash-mixed")
     if not members.isEmpty():
