@@ -543,10 +543,10 @@ def footnote_index(sections: DataFrame, report_key: str = "metrics_key") -> Data
     f = p.select(report_key, "section_key", F.posexplode(F.coalesce(F.col("sec.footnotes"), F.array()))
                  .alias("pos", "footnote"))
     first = f.groupBy(report_key, "footnote").agg(F.min(F.struct("section_key", "pos")).alias("first"))
-    last = first.agg(F.max("first.section_key").alias("hi"), F.min("first.section_key").alias("lo"))
-    span = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo") + 1) / FOOTNOTE_RANGES))
-    placed = (first.crossJoin(F.broadcast(last.select("lo", span.alias("span"))))   # one row
-              .withColumn("range", F.floor((F.col("first.section_key") - F.col("lo")) / F.col("span"))))
+    keys = p.agg(F.min("section_key").alias("lo"), F.max("section_key").alias("hi"))
+    lo = keys.select("lo").scalar()
+    span = keys.select(F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo") + 1) / FOOTNOTE_RANGES))).scalar()
+    placed = first.withColumn("range", F.floor((F.col("first.section_key") - lo) / span))
     ahead = Window.partitionBy(report_key).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     counts = placed.groupBy(report_key, "range").agg(F.count("*").alias("c"))
     counts = counts.select(report_key, "range", F.coalesce(F.sum("c").over(ahead), F.lit(0)).alias("before"))

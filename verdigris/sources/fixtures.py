@@ -137,16 +137,13 @@ SELECT CAST(year(o_orderdate) AS INT) AS reporting_year, COUNT(*) % 2 = 0 AS has
 FROM {orders} GROUP BY 1
 """
 
-PEERS_SQL = """
-SELECT concat('bank_', CAST(n.n_nationkey AS STRING)) AS peer, m.metric, m.higher_is_better,
-       CAST(m.base + m.step * (COUNT(c.c_custkey) % 17) AS DOUBLE) AS pvalue
-FROM {nation} n JOIN (SELECT 'training_hours_per_fte' AS metric, true AS higher_is_better, 2e1 AS base, 2.5e0 AS step
-                      UNION ALL SELECT 'fte_female_pct', true, 3e1, 1.5e0 UNION ALL SELECT 'fte_management_female_pct', true, 1.5e1, 1.25e0
-                      UNION ALL SELECT 'voluntary_turnover_pct', false, 4e0, 5e-1 UNION ALL SELECT 'scope1_tco2e', false, 1e2, 4e1
-                      UNION ALL SELECT 'scope2_location_tco2e', false, 1e3, 2.5e2) m ON true
-LEFT JOIN {customer} c ON c.c_nationkey = n.n_nationkey
-GROUP BY n.n_nationkey, m.metric, m.higher_is_better, m.base, m.step
-"""
+_PEER_METRICS = [("training_hours_per_fte", "true", "2e1", "2.5e0"), ("fte_female_pct", "true", "3e1", "1.5e0"),
+                 ("fte_management_female_pct", "true", "1.5e1", "1.25e0"), ("voluntary_turnover_pct", "false", "4e0", "5e-1"),
+                 ("scope1_tco2e", "false", "1e2", "4e1"), ("scope2_location_tco2e", "false", "1e3", "2.5e2")]
+PEERS_SQL = "\nUNION ALL\n".join(f"""
+SELECT concat('bank_', CAST(n.n_nationkey AS STRING)) AS peer, '{metric}' AS metric, {higher} AS higher_is_better,
+       CAST({base} + {step} * (COUNT(c.c_custkey) % 17) AS DOUBLE) AS pvalue
+FROM {{nation}} n LEFT JOIN {{customer}} c ON c.c_nationkey = n.n_nationkey GROUP BY n.n_nationkey""" for metric, higher, base, step in _PEER_METRICS)
 
 PLAYBOOK_SQL = """
 SELECT concat('PB-', CAST(n_nationkey AS STRING)) AS rule_id,
@@ -166,10 +163,9 @@ FROM {{orders}} WHERE o_custkey % 17 <> 0 GROUP BY o_custkey, year(o_orderdate)
 """
 
 PPA_SQL = f"""
-SELECT concat('FAC-', {padded('CAST(s_suppkey AS BIGINT) + 1', 4)}) AS facility_id, CAST(y.reporting_year AS INT) AS reporting_year,
-       CAST(((s_suppkey * 7 + y.reporting_year) % 5) * 25 AS DOUBLE) AS ppa_mwh
-FROM {{supplier}} JOIN (SELECT DISTINCT year(o_orderdate) AS reporting_year FROM {{orders}}) y ON true
-WHERE s_suppkey % 3 = 0
+SELECT DISTINCT concat('FAC-', {padded('CAST(l_suppkey AS BIGINT) + 1', 4)}) AS facility_id, CAST(year(l_shipdate) AS INT) AS reporting_year,
+       CAST(((l_suppkey * 7 + year(l_shipdate)) % 5) * 25 AS DOUBLE) AS ppa_mwh
+FROM {{lineitem}} WHERE l_suppkey % 3 = 0
 """
 
 # Fleet and gas-bottle activity as logged: one row per event of three kinds.
