@@ -57,7 +57,7 @@ def text_names(docs: DataFrame, first_block: int = FIRST_BLOCK, block: int = BLO
                                F.sha2("_n", 256).alias("text_sha256")), "names-base")
     heads = base.groupBy("size", "head").agg(F.count("*").alias("sharing"))
     named = name_values(heads, ["size", "head"], "first")
-    heads = heads.join(named, ["size", "head"])
+    heads = materialize(heads.join(named, ["size", "head"]), "names-heads")   # the join below splits what very many rows share
     base = base.join(heads, ["size", "head"]).drop("head")
 
     open_rows = materialize(base.where((F.col("sharing") > 1) & (F.col("size") > first_block))
@@ -100,8 +100,8 @@ def exact_groups(docs: DataFrame, first_block: int = FIRST_BLOCK, block: int = B
     """
     rows = materialize(text_names(docs, first_block, block), "names-rows")
     best = F.max(F.struct("chars", F.negate("doc_id").alias("minus"))).alias("best")
-    groups = rows.groupBy("first", "rest").agg(F.count("*").alias("group_size"), best)
-    # copies of one text meet again at their group's row, hot groups are split by the adaptive skew join
+    groups = materialize(rows.groupBy("first", "rest").agg(F.count("*").alias("group_size"), best), "names-sizes")
+    # copies of one text meet their group's row here: two plain tables, so a hot group is split by the adaptive skew join
     out = rows.join(groups, ["first", "rest"])
     keep = F.negate("best.minus")
     return out.select("doc_id", "text_key", keep.alias("keep_id"), F.col("group_size").cast("long").alias("group_size"),
