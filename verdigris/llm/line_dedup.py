@@ -62,6 +62,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     found = materialize(units(docs, min_words), "lines")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "unit")
     first = found.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first <> last")
+    first = materialize(first, "lines-first")   # a table of its own: the join then splits a line that very many documents hold
     return (found.join(first, ["d1", "d2"]).where(rank != F.col("first"))
             .select("doc_id", "text_key", "unit", "start", "end").distinct())
 
