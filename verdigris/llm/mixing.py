@@ -148,7 +148,10 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = M
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each document as often as planned, all columns as they came."""
+    """The mix itself: each document as often as planned, all columns as they came.
+
+    Rows repeated under one doc_id and text all take the largest plan among them.
+    """
     i, k, n = unused(docs, "_id", "_key", "_times")
     times = (plan(docs, **how).where("times > 0").groupBy("doc_id", "text_key").agg(F.max("times").cast("int").alias(n))
              .withColumnsRenamed({"doc_id": i, "text_key": k}))
