@@ -16,7 +16,7 @@ from verdigris.session import get_session  # noqa: E402
 
 HEADLINE = ["ghg_scope1", "ghg_scope2", "ghg_scope3_financed", "ghg_summary_annual", "pcaf_by_sector",
             "scope1_top_facilities", "gates_agg", "dq_ranges", "sector_top10", "audit_outcome",
-            "doc_prohibited_hits", "bm25_top5", "vector_top5", "context_pack", "score_what_if", "indicator_table"]
+            "doc_prohibited_hits", "bm25_top5", "retrieval_with_fallback", "vector_top5", "score_what_if", "indicator_table"]
 
 
 def shape(plan: str) -> dict:

@@ -147,7 +147,8 @@ def bm25_candidates(queries: DataFrame, index: Index, k: int = TOP_K, keys: tupl
     shown = [c for c in queries.columns if c not in (*keys, text)]
     qt = queries.select(*keys, *shown, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TOKEN), 0))).alias("term"))
     qt = qt.withColumn("bucket", _bucket("term"))
-    n_docs, avgdl = index.stats.select("n_docs").scalar(), index.stats.select("avgdl").scalar()
+    size = index.stats.first()   # one stored row of two numbers
+    n_docs, avgdl = F.lit(size.n_docs), F.lit(size.avgdl)
     weighed = (qt.join(index.terms, ["bucket", "term"]).groupBy(*keys, *shown, "bucket", "term").agg(F.sum("df").alias("df"))
                .withColumn("idf", F.log(F.lit(1.0) + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)))
                .withColumn("common", F.col("df") > n_docs * COMMON_SHARE))
