@@ -168,3 +168,52 @@ def test_empty(empty, run):
 def test_exact_query_is_native(spark):
     plan = queries.QUERIES["op9_block_names"](spark, SF0001)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|CartesianProduct", plan)
+
+
+def passages_expected(rows, least, size):
+    """(doc_id, text) -> words left, by a dictionary of all runs of the words that the lines' removal leaves."""
+    seen, out, lines = {}, {}, lines_expected(rows, least)
+    for i, t in sorted({(i, t) for i, t, _ in rows}, key=lambda x: (x[0] is None, x[0] or 0, x[1] is None)):
+        words = (lines[i, t][1] or "").encode().lower().split()
+        gone = set()
+        for p in range(len(words) - size + 1):
+            doc, first = seen.setdefault(tuple(words[p : p + size]), ((i, t), p))
+            if (doc, first) != ((i, t), p):
+                gone |= set(range(max(p, first + size) if doc == (i, t) else p, p + size))
+        out[i, t] = [w for n, w in enumerate(words) if n not in gone]
+    return out
+
+
+def test_passages_inside_and_across_lines(spark):
+    passage = prose(70, 60, per_line=60).lower().rstrip(".")
+    w = passage.split()
+    wrapped = "\n".join(" ".join(w[i : i + 6]) for i in range(0, 60, 6))
+    inside = prose(71, 40, per_line=40) + " " + passage + " " + prose(72, 48, per_line=48)
+    rows = [(1, prose(73, 20) + "\n" + passage + "\n" + prose(74, 20), "s"), (2, inside, "s"),
+            (3, prose(75, 5) + "\n" + wrapped + "\n" + prose(76, 7), "s"), (4, " ".join(w[:49]) + " other", "s")]
+    got = {r.doc_id: r for r in line_dedup.drop_passages(frame(spark, rows)).collect()}
+    assert got[1].text == rows[0][1] and got[1].passages == [] and got[4].text == rows[3][1]
+    assert got[2].text == prose(71, 40, per_line=40) + " " + prose(72, 48, per_line=48)
+    assert got[3].text == prose(75, 5) + "\n" + prose(76, 7)
+    a, b = got[2].passages[0]
+    assert inside[a:b] == passage + " " and all(rows[2][1][a:b] in wrapped for a, b in got[3].passages)
+
+
+@pytest.mark.parametrize("size", [4, 50])
+def test_passages_equal_brute_force(spark, size):
+    r = random.Random(size)
+    rows = [(i, t, s) for i, t, s in odd_rows() if i not in (1, 11, 12) or s == "s1" and i == 1]
+    rows += [(100 + n, " ".join(r.choice("abc") for _ in range(r.randrange(30))) + "\n" + prose(r.randrange(6), 90, per_line=7), "s") for n in range(40)]
+    rows += [(200, "x " * 300, "s"), (201, "a b C " * 60 + "\n" + "\u00a0d " * 70, "s"), (None, prose(2, 70), "s")]
+    want = collections.defaultdict(list)
+    for (i, t), words in passages_expected(rows, 8, size).items():
+        want[i].append(words)
+    got = line_dedup.drop_passages(frame(spark, rows), size=size).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        assert (x.text or "").encode().lower().split() in want[x.doc_id]
+
+
+def test_passages_of_nothing(empty):
+    assert line_dedup.drop_passages(empty).collect() == []
+    assert "passage_dedup" in __import__("__spark_entry__").queries()

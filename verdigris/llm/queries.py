@@ -8,6 +8,8 @@ from . import block_names, chat_format, line_crf, line_dedup, minhash, mixing, p
 from .common import table
 
 QUERIES, ORACLES = {}, {}
+#: Queries beside the ten, which are one per number.
+FURTHER = {}
 
 
 def query(name: str, oracle: str | None = None):
@@ -68,6 +70,19 @@ def op4_line_dedup(spark, sf_dir):
                       F.concat_ws(",", spans).alias("spans"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def passage_dedup(spark, sf_dir):
+    """op4's line removal, then that of passages inside and across lines."""
+    out = line_dedup.drop_passages(table(spark, sf_dir, "documents"))
+    length = lambda name: F.aggregate(name, F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return out.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.size("passages").cast("long").alias("n_passages"),
+                      length("lines").alias("line_chars"), length("passages").alias("passage_chars"),
+                      F.concat_ws(",", F.transform("passages", lambda x: F.concat_ws(":", x["start"], x["end"]))).alias("spans"),
+                      F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+FURTHER["passage_dedup"] = passage_dedup
+
+
 @query("op8_mixing")
 def op8_mixing(spark, sf_dir):
     plan = mixing.plan(table(spark, sf_dir, "documents"))
