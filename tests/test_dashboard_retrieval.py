@@ -103,6 +103,47 @@ def test_index_is_written_once(spark):
     assert files() == files() and path == retrieval.index_path(spark.read.parquet(f"{SF0001}/documents.parquet"))
 
 
+def _indexed(spark, folder, rows):
+    """documents.parquet of ``folder`` replaced by ``rows``; the ids that the stored index finds for one query."""
+    import pandas as pd
+
+    from verdigris.sources.fixtures import inputs
+    pd.DataFrame(rows, columns=["doc_id", "lang", "text"]).to_parquet(f"{folder}/documents.parquet")
+    queries = spark.createDataFrame([(1, "harbour wind")], "query_id long, query_text string")
+    docs = inputs(spark, folder).raw("documents")
+    hits = retrieval.bm25_topk(queries, retrieval.index_of(docs), 5).orderBy("rank").collect()
+    return docs, [r.doc_id for r in hits]
+
+
+def test_replaced_documents_are_indexed_anew(spark, tmpdir_run):
+    import os
+    old = [(1, "en", "harbour wind"), (2, "en", "nothing here"), (3, "en", "more words")]
+    assert _indexed(spark, tmpdir_run, old)[1] == [1]
+    first = os.stat(f"{tmpdir_run}/documents.parquet")
+    new = [(1, "en", "nothing here"), (2, "en", "harbour wind"), (3, "en", "more words")]
+    assert _indexed(spark, tmpdir_run, new)[1] == [2]
+    assert os.stat(f"{tmpdir_run}/documents.parquet").st_size == first.st_size   # told apart by time alone
+
+
+def test_an_incomplete_build_is_not_read(spark, tmpdir_run):
+    import glob
+    import os
+
+    import pytest
+    docs, hits = _indexed(spark, tmpdir_run, [(1, "en", "harbour wind"), (2, "en", "x y")])
+    path = retrieval.index_path(docs)
+    whole = retrieval._latest_build(spark, path)
+    other = docs.withColumn("text", F.lit("lost"))
+    retrieval.write_index(other, path)
+    lost = retrieval._latest_build(spark, path)
+    assert lost != whole and len(glob.glob(f"{path}/build-*")) == 2   # the first build is left as it was
+    os.remove(f"{lost.removeprefix('file:')}/stats/_SUCCESS")           # as if the rewrite had ended before its last table
+    assert retrieval._latest_build(spark, path) == whole
+    assert retrieval.index_of(docs).postings.where("term = 'harbour'").count() == 1
+    with pytest.raises(FileNotFoundError):
+        retrieval.read_index(spark, f"{tmpdir_run}/none")
+
+
 def test_fusion_and_routes(spark):
     rank = lambda rows: spark.createDataFrame(rows, "query_id int, doc_id int, rank int")
     got = retrieval.fuse(rank([(1, 7, 1), (1, 8, 2)]), rank([(1, 9, 1), (1, 8, 2)]))

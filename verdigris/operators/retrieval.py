@@ -15,6 +15,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -86,37 +87,62 @@ def _bucket(term) -> Column:
 
 
 def write_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", meta: tuple[str, ...] = ("lang",)) -> None:
-    """KB-04: write the index of ``docs`` to ``path`` (one tokenising pass; df and size come from the postings)."""
+    """KB-04: write the index of ``docs`` under ``path`` (one tokenising pass; df and size come from the postings).
+
+    Each build has a folder of its own, never written to again; it counts once its last table is complete.
+    """
+    path = f"{path}/build-{uuid.uuid4().hex}"
     toks = docs.select(key, *meta, F.regexp_extract_all(F.lower(F.col(text)), F.lit(TOKEN), 0).alias("toks"))
     post = (toks.select(key, *meta, F.size("toks").alias("dl"), F.explode_outer("toks").alias("term"))
             .groupBy(key, *meta, "dl", "term").agg(F.count(F.lit(1)).alias("tf")).withColumn("bucket", _bucket("term")))
     # documents without a term keep one row (bucket NULL), for the corpus's size
-    post.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    post.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{path}/postings")
     post = docs.sparkSession.read.parquet(f"{path}/postings")
     (post.where("term IS NOT NULL").groupBy("bucket", "term", *meta).agg(F.count(F.lit(1)).alias("df"))
-     .hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms"))
+     .hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{path}/terms"))
     # one row per document and length is enough for both figures
     per_doc = post.groupBy(key, *meta).agg(F.max("dl").alias("dl"))
     (per_doc.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.greatest("dl", F.lit(0))).alias("avgdl"))
-     .write.mode("overwrite").parquet(f"{path}/stats"))
+     .write.parquet(f"{path}/stats"))
+
+
+def _latest_build(spark: SparkSession, path: str) -> str | None:
+    """The newest complete build under ``path``."""
+    kind = spark._jvm.org.apache.hadoop.fs.Path
+    fs = kind(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.globStatus(kind(f"{path}/build-*/stats/_SUCCESS")) or []
+    done = max(((x.getModificationTime(), x.getPath().getParent().getParent().toString()) for x in found), default=None)
+    return done and done[1]
 
 
 def read_index(spark: SparkSession, path: str, key: str = "doc_id", meta: tuple[str, ...] = ("lang",)) -> Index:
+    """The newest complete index under ``path``."""
+    build = _latest_build(spark, path)
+    if build is None:
+        raise FileNotFoundError(f"no complete index under {path}")
+    path = build
     post, terms_, stats = (spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "stats"))
     return Index(post.where("term IS NOT NULL"), terms_, stats, key, meta)
 
 
 def index_path(docs: DataFrame) -> str:
-    """Where the index of a stored table is kept: a folder of the shared one, named by the table's files."""
-    names = hashlib.sha256("\n".join(sorted(docs.inputFiles())).encode()).hexdigest()[:16]
+    """Where the index of a stored table is kept: a folder of the shared one, named by the table's files as they are now.
+
+    A file counts by its name, length and modification time, so a replaced one makes another folder.
+    """
+    jvm, conf, files = docs.sparkSession._jvm, docs.sparkSession._jsc.hadoopConfiguration(), []
+    for name in sorted(docs.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
+        status = path.getFileSystem(conf).getFileStatus(path)
+        files.append(f"{name} {status.getLen()} {status.getModificationTime()}")
+    names = hashlib.sha256("\n".join(files).encode()).hexdigest()[:16]
     return f"{shared_dir(docs.sparkSession).rstrip('/')}/indexes/bm25-{names}"
 
 
 def index_of(docs: DataFrame) -> Index:
-    """The index of a stored table: read where the batch has written it, else written once, now."""
+    """The index of a stored table as it is now: read where the batch has written it, else written once, now."""
     spark, path = docs.sparkSession, index_path(docs)
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/stats/_SUCCESS")
-    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+    if _latest_build(spark, path) is None:
         write_index(docs, path)
     return read_index(spark, path)
 
