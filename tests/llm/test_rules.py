@@ -205,6 +205,34 @@ def test_packing(spark, odd, empty):
     assert packing.packed_pieces(empty).collect() == []
 
 
+@pytest.mark.parametrize("long_text", [1_000_000, 10])
+def test_added_tokens_have_their_ids(monkeypatch, long_text):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    monkeypatch.setattr(packing, "LONG_TEXT", long_text)
+    plain, encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.encoder(added=True)
+    assert encode("a <|endoftext|> b") == [64, 220, 50256, 275]
+    r = np.random.default_rng(3)
+    texts = [prose(9, 300), "", "<|endoftext|>", "<|endoftext|" + "<|endoftext|>" * 3 + "\n\n x", "<|ENDOFTEXT|> <|endoftext |>"]
+    texts += ["".join(r.choice(["<|endoftext|>", "<|", "endoftext", "|>", " ", "\n", "é🙂", "don't", "12"], 30)) for _ in range(200)]
+    for text in texts:
+        assert encode(text) == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_stages_give_added_tokens_their_ids(spark, tmpdir_run):
+    import corpus_pipeline
+
+    rows = [(1, "a <|endoftext|> b", "s"), (2, "plain words", "s")]
+    frame(spark, rows).write.parquet(f"{tmpdir_run}/documents.parquet")
+    docs = spark.read.parquet(f"{tmpdir_run}/documents.parquet")
+    want = zlib.crc32(struct.pack("<5I", 64, 220, 50256, 275, 1))
+    for out in (queries.QUERIES["op10_packing"](spark, tmpdir_run), corpus_pipeline.pack_sequences(spark, docs, tmpdir_run)):
+        got = {r.doc_id: r for r in out.collect()}
+        assert (got[1].doc_tokens, got[1].ids_crc32) == (5, want)
+
+
 def test_long_texts_take_the_other_library(monkeypatch):
     text = prose(8, 500) + " " * 50 + "é🙂"
     quick = packing.encoder()(text)

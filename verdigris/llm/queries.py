@@ -91,7 +91,7 @@ def op8_mixing(spark, sf_dir):
 
 @query("op10_packing")
 def op10_packing(spark, sf_dir):
-    return packing.packed_pieces(table(spark, sf_dir, "documents"))
+    return packing.packed_pieces(table(spark, sf_dir, "documents"), added=True)
 
 
 def _span_columns(found, counted, base):
