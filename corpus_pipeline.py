@@ -43,7 +43,7 @@ STAGES = [
     ("pack_sequences", pack_sequences),
 ]
 
-#: A trained field and drawn documents have no SQL; tests hold each stage against a brute-force version.
+#: A trained field and drawn documents have no SQL; a test holds run()'s stages against plain versions.
 ORACLE_SQL = None
 
 

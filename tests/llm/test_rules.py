@@ -418,5 +418,84 @@ def test_pipeline_stages(spark):
     assert "pipeline" in __import__("__spark_entry__").queries()
 
 
+def test_run_equals_plain_stages(spark, tmpdir_run, monkeypatch):
+    """run() on sf0.001 with planted copies; each stage's rows against a plain version on what its predecessor left."""
+    import corpus_pipeline
+    import public_tokenizers
+    from llm.test_dedup import edited, exact_expected, near_expected
+    from tokenizers import Tokenizer
+
+    given = spark.read.parquet(f"{SF0001}/documents.parquet")
+    rows = given.orderBy("doc_id").collect()
+    last = max(r.doc_id for r in rows)
+    long = [r for r in rows if len(r.text.split()) > 100][:60]
+    planted = [(r, r.text.replace(" ", "  ") if n % 2 else r.text) for n, r in enumerate(long[:30])]
+    planted += [(r, edited(n, r.text.split(), 2)) for n, r in enumerate(long[30:])] + [(long[0], long[0].text + " <|endoftext|> end")]
+    rows += [type(r)(**(r.asDict() | {"doc_id": last + 1 + n, "text": t})) for n, (r, t) in enumerate(planted)]
+    spark.createDataFrame(rows, given.schema).repartition(3).write.parquet(f"{tmpdir_run}/documents.parquet")
+    labels = spark.read.parquet(f"{SF0001}/labels.parquet")
+    labels.write.parquet(f"{tmpdir_run}/labels.parquet")
+
+    out, keep = {}, corpus_pipeline.materialize
+
+    def recorded(df, name):
+        stored = keep(df, name)
+        out[name.removeprefix("stage-")] = [r.asDict() for r in stored.collect()]
+        return stored
+
+    monkeypatch.setattr(corpus_pipeline, "materialize", recorded)
+    result = [r.asDict() for r in corpus_pipeline.run(spark, tmpdir_run).collect()]
+    assert list(out) == [n for n, _ in corpus_pipeline.STAGES]
+    assert sorted(map(str, result)) == sorted(map(str, out["pack_sequences"]))
+
+    def same(stage, expected):
+        assert sorted(map(str, out[stage])) == sorted(str(r) for r in expected)
+
+    triples = lambda found: [(r["doc_id"], r["text"], r["source"]) for r in found]
+    rows = [r.asDict() for r in rows]
+    field = line_crf.train(spark.read.parquet(f"{tmpdir_run}/documents.parquet"), labels)
+    good = [r for r in rows if not base_counts(r["text"])[-1] and line_crf.judge(r["text"].encode(), field)[-1]]
+    same("quality_rules", good)
+    exact = {i for i, _, _, kept in exact_expected(triples(good)) if kept}
+    unlike = [r for r in good if r["doc_id"] in exact]
+    assert len(unlike) < len(good) < len(rows)
+    same("exact_dedup", unlike)
+    near = {i for i, _, first in near_expected(triples(unlike), 5, 80) if i == first}
+    single = [r for r in unlike if r["doc_id"] in near]
+    assert len(single) < len(unlike)
+    same("near_dedup", single)
+
+    by_id, sizes, taken = {r["doc_id"]: r for r in single}, collections.Counter(), collections.Counter()
+    for r in single:
+        sizes[r["source"]] += len(r["text"].encode().split())
+    times = collections.Counter(r["doc_id"] for r in out["mix_sources"])
+    assert all(r == by_id[r["doc_id"]] for r in out["mix_sources"]) and max(times.values()) <= 2
+    for r in out["mix_sources"]:
+        taken[r["source"]] += len(r["text"].encode().split())
+    for s, want in water_fill(sizes).items():   # whole rounds of the source, then the best sum of documents below the rest
+        whole, reach = int(want // sizes[s]), 1
+        for r in single:
+            if r["source"] == s:
+                reach |= reach << len(r["text"].encode().split())
+        rest = round(want - whole * sizes[s])
+        assert taken[s] == whole * sizes[s] + (reach & ((1 << (rest + 1)) - 1)).bit_length() - 1
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    expected, windows = collections.Counter(), collections.defaultdict(list)
+    for i, n in times.items():
+        ids = plain.encode(by_id[i]["text"], add_special_tokens=False).ids + [1]
+        for start, length in packing.cut(len(ids), packing.CAPACITY, packing.PART):
+            expected[i, start, length, len(ids), zlib.crc32(struct.pack(f"<{length}I", *ids[start : start + length]))] += n
+    assert expected == collections.Counter((r["doc_id"], r["start"], r["length"], r["doc_tokens"], r["ids_crc32"]) for r in result)
+    for r in result:
+        windows[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in windows.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= packing.CAPACITY
+
+
 def test_every_query_is_registered():
     assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
