@@ -153,3 +153,18 @@ def test_fusion_and_routes(spark):
     sections = spark.createDataFrame([(1, "scope1", "A"), (2, "scope1", "B"), (3, "social", "A"), (4, "x", "A")],
                                      "section_key int, section_type string, framework string")
     assert {(r.section_key, r.query_text, r.cap) for r in retrieval.route(routes, sections).collect()} == {(1, "q1", 3), (2, "q2", 5), (3, "q3", 1)}
+
+
+def test_every_fiftieth_vector_is_a_query(spark):
+    from conftest import SF0001
+    from verdigris.plans import registry
+    rows = spark.read.parquet(f"{SF0001}/embeddings.parquet").collect()
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+    want = set()
+    for q in rows:
+        if q.vec_id % 50 == 0:
+            found = sorted((-round(cos(q.embedding, r.embedding), 6), r.vec_id) for r in rows if r.label == q.label)[:5]
+            want |= {(q.vec_id, v, n + 1) for n, (_, v) in enumerate(found)}
+    got = registry.queries()["vector_ids_top5"](spark, SF0001).collect()
+    assert {(r.query_id, r.vec_id, r.rank) for r in got} == want and len(got) == len(want)
+    assert {r.query_id for r in got} == {r.vec_id for r in rows if r.vec_id % 50 == 0}

@@ -229,6 +229,16 @@ def label_centroids(vectors: DataFrame, label: str = "label", vec: str = "embedd
                     F.transform("v", lambda s: s["x"]).alias("query_vec"))
 
 
+#: Every vector whose id this divides is a query.
+QUERY_EVERY = 50
+
+
+def sampled_vectors(vectors: DataFrame, every: int = QUERY_EVERY, label: str = "label", key: str = "vec_id", vec: str = "embedding") -> DataFrame:
+    """Query vectors: the vectors with an id divisible by ``every``, each within its own label."""
+    v = vectors.where(F.col(key) % every == 0)
+    return v.select(F.col(key).alias("query_id"), F.col(label).alias("filter_label"), F.col(vec).cast("array<double>").alias("query_vec"))
+
+
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, label: str = "label",
                 key: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """KB-02 / KB-03: cosine top-k within the query's framework label (equi-join)."""

@@ -73,6 +73,11 @@ def q_vector_top5(spark, d):
     return retrieval.vector_topk(retrieval.label_centroids(emb), emb, 5)
 
 
+def q_vector_ids_top5(spark, d):
+    emb = inputs(spark, d).raw("embeddings")
+    return retrieval.vector_topk(retrieval.sampled_vectors(emb), emb, 5)
+
+
 def q_retrieval_with_fallback(spark, d):
     return retrieval.with_fallback(_benchmark_queries(spark, d), _index(spark, d), F.col("lang") == FALLBACK_LANG,
                                    retrieval.SCORE_THRESHOLD)
@@ -173,6 +178,7 @@ def queries() -> dict:
         "bm25_two_languages": q_bm25_two_languages,
         "hybrid_top5": q_hybrid_top5,
         "vector_top5": q_vector_top5,
+        "vector_ids_top5": q_vector_ids_top5,
         "peer_retrieval": q_peer_retrieval,
         "routed_queries": q_routed_queries,
         "retrieval_with_fallback": q_retrieval_with_fallback,

@@ -163,6 +163,15 @@ s AS (SELECT c.label AS query_id, e.vec_id,
 SELECT query_id, vec_id, rank, score FROM (
   SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
   FROM (SELECT query_id, vec_id, {R('score', 6)} AS score FROM s) s2) r
+WHERE rank <= 5"""
+    q["vector_ids_top5"] = f"""
+WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT c.vec_id AS query_id, e.vec_id,
+             list_dot_product(c.v, e.v) / (sqrt(list_dot_product(c.v, c.v)) * sqrt(list_dot_product(e.v, e.v))) AS score
+      FROM e c JOIN e ON e.label = c.label WHERE c.vec_id % 50 = 0)
+SELECT query_id, vec_id, rank, score FROM (
+  SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+  FROM (SELECT query_id, vec_id, {R('score', 6)} AS score FROM s) s2) r
 WHERE rank <= 5"""
     q["context_pack"] = with_ctes("""
 SELECT query_id, doc_id, rank, CAST(length(used) AS INTEGER) AS chars_used, length(used) < len AS truncated,
