@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import block_names, chat_format, line_crf, line_dedup, minhash, mixing, packing, pii, secret_scan, warc
+from . import (
+    block_names,
+    chat_format,
+    language,
+    line_crf,
+    line_dedup,
+    minhash,
+    mixing,
+    packing,
+    periodic,
+    pii,
+    secret_scan,
+    spelling,
+    warc,
+)
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -133,3 +147,46 @@ FROM p JOIN g ON p.html = g.html
 def op3_warc_bundles(spark, sf_dir):
     index = warc.write_archives(table(spark, sf_dir, "pages"), warc.archive_folder(spark))
     return warc.resolved(warc.read_archives(index.select("archive").distinct()))
+
+
+#: Documents with this remainder of crc32(doc_id as text) by 3 are held out from training.
+HELD_OUT = 1
+
+
+@query("op11_language_id")
+def op11_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == HELD_OUT
+    found = language.predict(docs, language.train(docs, ~held_out))
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def with_repeats(docs):
+    """doc_id and text; where crc32 h of the doc_id ends in 0, words from a on repeat with period p (a, p by h and the word count)."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    d = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, F.filter(
+        F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("words"))
+    d = d.withColumn("n", F.size("words")).withColumn("g", F.floor(F.col("h") / 10))
+    d = d.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n"))).withColumn(
+        "p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    source = lambda i: F.when(i >= F.col("a"), F.col("a") + (i - F.col("a")) % F.col("p")).otherwise(i).cast("int")
+    again = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1), lambda i: F.get("words", source(i)))
+    return d.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark, sf_dir):
+    found = periodic.periodic_runs(with_repeats(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                        F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+                        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+#: Words whose crc32 this divides lose a code point, so that there are misspellings to find.
+SPOILT = 97
+
+
+@query("op13_spelling_variants")
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), spoil=SPOILT))
