@@ -50,3 +50,22 @@ def test_facility_ids_beyond_the_padding(spark):
     keys = spark.createDataFrame([(k,) for k in (0, 999, 9998, 9999, 10_000, 99_999)], "s_suppkey long")
     ids = [r.facility_id for r in spark.sql(FACILITY_DIM_SQL, supplier=keys).collect()]
     assert len(set(ids)) == 6 and "FAC-10000" in ids and "greatest" in ORACLE_INPUT_CTES["facility_dim"]
+
+
+def test_entry_works_without_corpus_operators(monkeypatch):
+    """With an empty folder left behind, or a package that they need missing, the other queries stay."""
+    import sys
+    import types
+
+    import __spark_entry__ as entry
+    from verdigris.plans import registry
+
+    empty = types.ModuleType("verdigris.llm")
+    empty.__path__ = []
+    for name in [m for m in sys.modules if m.startswith("verdigris.llm")] + ["corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name, raising=False)
+    monkeypatch.setitem(sys.modules, "verdigris.llm", empty)
+    import verdigris
+    monkeypatch.setattr(verdigris, "llm", empty, raising=False)
+    assert entry.queries().keys() == registry.queries().keys()
+    assert entry.oracle_sql().keys() == registry.oracle_sql().keys()
