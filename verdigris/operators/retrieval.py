@@ -1,7 +1,7 @@
 """Batch retrieval behind report evidence: chunking, BM25, cosine top-k, packing.
 
-* Chunks are token windows cut with array functions (``sequence`` + ``slice``),
-  one row per chunk, whole texts.
+* Windows are cut with array functions (``sequence`` + ``slice``), one row per
+  window, whole texts; chunks by paragraph and sentence are in ``chunks``.
 * BM25 reads a stored index, written once per table, and prunes: common terms
   are looked up only for documents that can still reach a query's top k. Top-k per query is
   ``row_number() <= k``, which Catalyst plans with a partial WindowGroupLimit
@@ -48,7 +48,7 @@ def tokens(text: Column) -> Column:
 
 def chunk(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = CHUNK_TOKENS,
           overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """KB-01: windows of ``size`` tokens, stepping ``size - overlap``.
+    """Windows of ``size`` tokens, stepping ``size - overlap``, wherever sentences end.
 
     A window is emitted at 0 and at every step that still adds tokens past
     the previous window; every token of every text lands in some chunk.
@@ -125,18 +125,18 @@ def read_index(spark: SparkSession, path: str, key: str = "doc_id", meta: tuple[
     return Index(post.where("term IS NOT NULL"), terms_, stats, key, meta)
 
 
-def index_path(docs: DataFrame) -> str:
-    """Where the index of a stored table is kept: a folder of the shared one, named by the table's files as they are now.
+def index_path(docs: DataFrame, kind: str = "bm25") -> str:
+    """Where an index of a stored table is kept: a folder of the shared one, named by the table's files as they are now.
 
-    A file counts by its name, length and modification time, so a replaced one makes another folder.
+    A file counts by its name, length and modification time, so a replaced one
+    makes another folder. The tasks that scan a file report these; what
+    reaches the driver is one row of two numbers, however many files there are.
     """
-    jvm, conf, files = docs.sparkSession._jvm, docs.sparkSession._jsc.hadoopConfiguration(), []
-    for name in sorted(docs.inputFiles()):
-        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
-        status = path.getFileSystem(conf).getFileStatus(path)
-        files.append(f"{name} {status.getLen()} {status.getModificationTime()}")
-    names = hashlib.sha256("\n".join(files).encode()).hexdigest()[:16]
-    return f"{shared_dir(docs.sparkSession).rstrip('/')}/indexes/bm25-{names}"
+    file = [F.col(f"_metadata.{x}").alias(x) for x in ("file_path", "file_size", "file_modification_time")]
+    files = docs.select(*file).distinct().agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("file_path", "file_size", "file_modification_time")
+                                                                                  .cast("decimal(38,0)")).alias("hashes")).first()
+    name = hashlib.sha256(f"{files.n} {files.hashes}".encode()).hexdigest()[:16]
+    return f"{shared_dir(docs.sparkSession).rstrip('/')}/indexes/{kind}-{name}"
 
 
 def index_of(docs: DataFrame) -> Index:
@@ -310,9 +310,14 @@ def pack(hits: DataFrame, passages: DataFrame, cap_tokens: int, qkey: str = "que
     length fits; the first passage that does not fit is cut to the remaining
     room if more than 100 characters remain, and packing stops there.
     """
-    budget = cap_tokens * CHARS_PER_TOKEN
     h = hits.join(passages.select(dkey, F.col(text).alias("passage")), dkey) \
         .filter(F.length("passage") > 0)
+    return pack_ranked(h, cap_tokens, qkey, [dkey])
+
+
+def pack_ranked(h: DataFrame, cap_tokens: int, qkey: str, keep: list[str]) -> DataFrame:
+    """``pack`` for hits that hold their ``passage``; ``keep`` names the columns that go along."""
+    budget = cap_tokens * CHARS_PER_TOKEN
     w = Window.partitionBy(qkey).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     h = (h.withColumn("len", F.length("passage"))
           .withColumn("cum", F.sum("len").over(w))
@@ -323,7 +328,7 @@ def pack(hits: DataFrame, passages: DataFrame, cap_tokens: int, qkey: str = "que
     first_over = F.min(F.when(F.col("cum") > budget, F.col("rank"))).over(Window.partitionBy(qkey))
     return (h.withColumn("used", used).withColumn("first_over", first_over)
              .filter(F.col("used").isNotNull() & (F.col("first_over").isNull() | (F.col("rank") <= F.col("first_over"))))
-             .select(qkey, dkey, "rank", F.length("used").alias("chars_used"),
+             .select(qkey, *keep, "rank", F.length("used").alias("chars_used"),
                      (F.length("used") < F.col("len")).alias("truncated"),
                      F.when(F.length("used") < F.col("len"), F.concat("used", F.lit(TRUNCATION_MARK)))
                       .otherwise(F.col("used")).alias("context")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..operators import audit, reports, retrieval
+from ..operators import audit, chunks, reports, retrieval
 from ..sources import sections, synth, zones
 from ..sources.fixtures import inputs
 from .catalog_core import core
@@ -40,6 +40,28 @@ def q_bm25_top5(spark, d):
     return retrieval.bm25_topk(_benchmark_queries(spark, d), _index(spark, d), 5)
 
 
+def _chunk_index(spark, d):
+    return chunks.index_of(inputs(spark, d).raw("documents"))
+
+
+def q_bm25_chunks_top5(spark, d):
+    index = _chunk_index(spark, d)
+    hits = chunks.bm25_topk(chunks.search(_benchmark_queries(spark, d), index, 5), index, 5)
+    return chunks.with_text(hits, index).drop("chunk_text")
+
+
+def q_bm25_chunk_blocks(spark, d):
+    """KB-08: blocks that a search has read, of all blocks of its terms."""
+    index = _chunk_index(spark, d)
+    return chunks.blocks_read(chunks.search(_benchmark_queries(spark, d), index, 5), index)
+
+
+def q_chunk_context(spark, d):
+    index = _chunk_index(spark, d)
+    hits = chunks.bm25_topk(chunks.search(_benchmark_queries(spark, d), index, 5), index, 5)
+    return chunks.pack(hits, index, PACK_CAP_TOKENS)
+
+
 def q_bm25_two_languages(spark, d):
     either = F.col("lang").isin("en", "de")   # KB-02: a filter of alternatives
     return retrieval.bm25_topk(_benchmark_queries(spark, d), _index(spark, d), 5, visible=either)
@@ -173,7 +195,12 @@ def queries() -> dict:
             "turn_key", audit.recover_json("text").isNotNull().alias("has_json")),
         "section_json_recovery": q_section_json_recovery,
         # retrieval
-        "doc_chunks": lambda s, d: retrieval.chunk(inputs(s, d).raw("documents")),
+        "doc_chunks": lambda s, d: chunks.chunk(inputs(s, d).raw("documents")),
+        "doc_windows": lambda s, d: retrieval.chunk(inputs(s, d).raw("documents")),
+        "bm25_chunks_top5": q_bm25_chunks_top5,
+        "bm25_chunk_blocks": q_bm25_chunk_blocks,
+        "chunk_context": q_chunk_context,
+        "chunk_context_text": lambda s, d: retrieval.context_text(q_chunk_context(s, d)),
         "bm25_top5": q_bm25_top5,
         "bm25_two_languages": q_bm25_two_languages,
         "hybrid_top5": q_hybrid_top5,

@@ -47,6 +47,51 @@ SELECT query_id, doc_id, rank, score FROM (
          CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
   FROM (SELECT query_id, doc_id, {R('score', 6)} AS score FROM bm25_scores) s) r WHERE rank <= 5""", ["bm25_scores"])
 
+# chunks: from each start, the last paragraph's end that fills half, else the last sentence's, else a window
+_PIECES = "regexp_extract_all(text, '[^\\t\\n\\x0B\\f\\r ]+[\\t\\n\\x0B\\f\\r ]*')"
+fragment("chunk_toks", f"""
+SELECT doc_id, list_transform(p, lambda x: regexp_extract(x, '^[^\\t\\n\\x0B\\f\\r ]+')) AS toks, len(p) AS n,
+       list_filter(range(1, len(p) + 1), lambda i: i = len(p) OR regexp_matches(p[i], '\\n[\\t\\x0B\\f\\r ]*\\n')) AS pars,
+       list_filter(range(1, len(p) + 1), lambda i: i = len(p) OR regexp_matches(p[i], '\\n[\\t\\x0B\\f\\r ]*\\n')
+                   OR regexp_matches(p[i], '[.!?]["'')\\]]*[\\t\\n\\x0B\\f\\r ]*$')) AS ends
+FROM (SELECT doc_id, {_PIECES} AS p FROM documents) x WHERE len(p) > 0""")
+fragment("chunk_walk", """
+SELECT * FROM (
+  WITH RECURSIVE walk(doc_id, chunk_no, s, e) AS (
+    SELECT doc_id, 0, CAST(0 AS BIGINT),
+           coalesce(list_max(list_filter(pars, lambda x: x >= 150 AND x <= 300)), list_max(list_filter(ends, lambda x: x <= 300)), 300)
+    FROM chunk_toks
+    UNION ALL
+    SELECT doc_id, chunk_no + 1, t, coalesce(list_max(list_filter(pars, lambda x: x >= t + 150 AND x <= t + 300)),
+                                             list_max(list_filter(ends, lambda x: x > t AND x <= t + 300)), t + 300)
+    FROM (SELECT doc_id, chunk_no, pars, ends,
+                 CASE WHEN len(list_filter(ends, lambda x: x > s AND x <= s + 300)) = 0 THEN e - 50
+                      ELSE coalesce(list_min(list_filter(ends, lambda x: x > s AND x >= e - 50 AND x <= e
+                                                                 AND list_min(list_filter(ends, lambda y: y > e)) - x <= 300)), e) END AS t
+          FROM walk JOIN chunk_toks USING (doc_id) WHERE e < n) y)
+  SELECT * FROM walk) w""", ["chunk_toks"])
+fragment("text_chunks", """
+SELECT w.doc_id, chunk_no, CAST(s AS INTEGER) AS first_token, CAST(e - s AS INTEGER) AS n_tokens,
+       array_to_string(list_slice(toks, s + 1, e), ' ') AS chunk_text
+FROM chunk_walk w JOIN chunk_toks t ON t.doc_id = w.doc_id""", ["chunk_walk", "chunk_toks"])
+fragment("bc_toks", f"SELECT doc_id, chunk_no, regexp_extract_all(lower(chunk_text), '{TOKEN}') AS t FROM text_chunks", ["text_chunks"])
+fragment("bc_stats", "SELECT COUNT(*) AS n_docs, AVG(len(t)) AS avgdl FROM bc_toks", ["bc_toks"])
+fragment("bc_post", """
+SELECT doc_id, chunk_no, dl, term, COUNT(*) AS tf FROM (SELECT doc_id, chunk_no, len(t) AS dl, UNNEST(t) AS term FROM bc_toks) x
+WHERE term IN (SELECT term FROM bm_qt) GROUP BY doc_id, chunk_no, dl, term""", ["bc_toks", "bm_qt"])
+fragment("bc_idf", """
+SELECT term, ln(1e0 + ((SELECT n_docs FROM bc_stats) - df + 5e-1) / (df + 5e-1)) AS idf
+FROM (SELECT term, COUNT(*) AS df FROM bc_post GROUP BY term) d""", ["bc_post", "bc_stats"])
+fragment("bm25_chunks_top5", f"""
+SELECT r.query_id, r.doc_id, r.chunk_no, rank, score, first_token, n_tokens FROM (
+  SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_no) AS INTEGER) AS rank
+  FROM (SELECT query_id, doc_id, chunk_no, {R('SUM(part)', 6)} AS score FROM (
+          SELECT qt.query_id, p.doc_id, p.chunk_no,
+                 i.idf * p.tf * 2.2e0 / (p.tf + 1.2e0 * (2.5e-1 + 7.5e-1 * p.dl / (SELECT avgdl FROM bc_stats))) AS part
+          FROM bm_qt qt JOIN bc_post p ON p.term = qt.term JOIN bc_idf i ON i.term = qt.term) x
+        GROUP BY query_id, doc_id, chunk_no) s) r
+JOIN text_chunks c ON c.doc_id = r.doc_id AND c.chunk_no = r.chunk_no WHERE rank <= 5""", ["bm_qt", "bc_post", "bc_idf", "bc_stats", "text_chunks"])
+
 # ------------------------------------------------------------------ reports
 fragment("rp_energy", f"""
 SELECT reporting_year, {R('SUM(total_consumption_mwh)', 3)} AS total_energy_mwh,
@@ -141,7 +186,9 @@ SELECT doc_id, CAST(claim_no AS INTEGER) AS claim_no, raw, TRY_CAST(replace(raw,
 FROM (SELECT doc_id, UNNEST(generate_series(0, len(v) - 1)) AS claim_no, UNNEST(v) AS raw, UNNEST(u) AS unit
       FROM (SELECT doc_id, regexp_extract_all(text, '{CLAIM_RE2}', 1) AS v,
                    regexp_extract_all(text, '{CLAIM_RE2}', 2) AS u FROM documents) a) b"""
-    q["doc_chunks"] = f"""
+    q["doc_chunks"] = with_ctes("SELECT doc_id, chunk_no, first_token, n_tokens, chunk_text FROM text_chunks", ["text_chunks"])
+    q["bm25_chunks_top5"] = with_ctes("SELECT * FROM bm25_chunks_top5", ["bm25_chunks_top5"])
+    q["doc_windows"] = f"""
 SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, CAST(len(body) AS INTEGER) AS n_tokens,
        array_to_string(body, ' ') AS chunk_text
 FROM (SELECT doc_id, chunk_no, list_slice(toks, s + 1, s + 300) AS body
@@ -184,6 +231,20 @@ FROM (SELECT *, CASE WHEN cum <= 2000 THEN passage
                      SUM(length(d.text)) OVER (PARTITION BY h.query_id ORDER BY h.rank ROWS UNBOUNDED PRECEDING) AS cum
               FROM bm25_top5 h JOIN documents d ON d.doc_id = h.doc_id WHERE length(d.text) > 0) a) b) c
 WHERE used IS NOT NULL AND (first_over IS NULL OR rank <= first_over)""", ["bm25_top5"])
+    q["chunk_context"] = with_ctes("""
+SELECT query_id, doc_id, chunk_no, first_token, n_tokens, rank, CAST(length(used) AS INTEGER) AS chars_used, length(used) < len AS truncated,
+       CASE WHEN length(used) < len THEN used || '...' ELSE used END AS context
+FROM (SELECT *, CASE WHEN cum <= 2000 THEN passage
+                     WHEN prev < 2000 AND 2000 - prev > 100 THEN substring(passage, 1, CAST(2000 - prev AS INTEGER)) END AS used,
+             MIN(CASE WHEN cum > 2000 THEN rank END) OVER (PARTITION BY query_id) AS first_over
+      FROM (SELECT *, cum - len AS prev FROM (
+              SELECT h.*, c.chunk_text AS passage, length(c.chunk_text) AS len,
+                     SUM(length(c.chunk_text)) OVER (PARTITION BY h.query_id ORDER BY h.rank ROWS UNBOUNDED PRECEDING) AS cum
+              FROM bm25_chunks_top5 h JOIN text_chunks c ON c.doc_id = h.doc_id AND c.chunk_no = h.chunk_no) a) b) c
+WHERE used IS NOT NULL AND (first_over IS NULL OR rank <= first_over)""", ["bm25_chunks_top5", "text_chunks"])
+    q["chunk_context_text"] = (f"SELECT query_id, string_agg(context, chr(10) || chr(10) || '---' || chr(10) || chr(10) "
+                               f"ORDER BY rank) AS context, SUM(chars_used) AS chars_used FROM ({q['chunk_context']}) p "
+                               f"GROUP BY query_id")
     q["context_text"] = (f"SELECT query_id, string_agg(context, chr(10) || chr(10) || '---' || chr(10) || chr(10) "
                          f"ORDER BY rank) AS context, SUM(chars_used) AS chars_used FROM ({q['context_pack']}) p "
                          f"GROUP BY query_id")
