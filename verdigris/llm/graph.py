@@ -8,33 +8,48 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
+def _small_star(e: DataFrame) -> DataFrame:
+    """Each node keeps its smallest smaller neighbour and hands the others on to it.
+
+    A node's smaller neighbours are as few as the links found for it.
+    """
+    low = e.groupBy("v").agg(F.min("u").alias("m"))
+    return (e.join(low, "v")
+            .select(F.explode(F.array(F.struct(F.col("v"), F.col("m").alias("u")),
+                                      F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("x"))
+            .select("x.v", "x.u").where("v <> u").distinct())
+
+
+def _large_star(e: DataFrame) -> DataFrame:
+    """Each node's larger neighbours move to the smallest node beside it.
+
+    The smallest nodes are a table, so that the join splits a hub with very many
+    larger neighbours, which is never gathered.
+    """
+    both = e.select(F.col("u").alias("n"), F.col("v").alias("w")).unionByName(e.select(F.col("v").alias("n"), F.col("u").alias("w")))
+    least = materialize(both.groupBy("n").agg(F.least(F.col("n"), F.min("w")).alias("m")), "least")
+    return e.join(least, e["u"] == least["n"]).select("v", F.col("m").alias("u")).distinct()
+
+
+def _unfinished(e: DataFrame) -> bool:
+    """Whether some node has two parents, or a parent that has one itself."""
+    ends = e.select(F.col("v").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        e.select(F.col("u").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    seen = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not seen.where("up > 1 OR up = 1 AND down = 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b: long); root is the smallest node reachable.
 
-    First each node keeps its smallest neighbour among the smaller ones and
-    hands the others on to it, until every node has one parent at most; a
-    node's smaller neighbours are as few as the links found for it, so a hub
-    with very many larger neighbours is never gathered. Then parents are
-    replaced by their parents until all are roots. Every round is a table in
-    the shared folder, so nothing is held by an executor alone.
+    Small and large stars take turns until every node hangs on its root; the
+    number of rounds grows with the logarithm of a chain's length (a chain of 800
+    takes about 11). Every round is a table in the shared folder, so nothing is
+    held by an executor alone.
     """
-    e = materialize(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u"))
-                    .where("v <> u").distinct(), "edges")
-    while True:
-        low = e.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n"))
-        if low.where("n > 1").isEmpty():
-            break
-        handed = (e.join(low, "v")
-                  .select(F.explode(F.array(F.struct(F.col("v"), F.col("m").alias("u")),
-                                            F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("x"))
-                  .select("x.v", "x.u").where("v <> u").distinct())
-        e = materialize(handed, "edges")
-    while True:
-        up = e.select(F.col("v").alias("_v"), F.col("u").alias("_u"))
-        nxt = materialize(e.join(up, e["u"] == up["_v"], "left")
-                          .select("v", F.coalesce("_u", "u").alias("u"), F.col("_u").isNotNull().alias("moved")), "parents")
-        e = nxt.select("v", "u")
-        if nxt.where("moved").isEmpty():
-            break
+    e = edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("v <> u").distinct()
+    e = materialize(_small_star(materialize(e, "edges")), "edges")
+    while _unfinished(e):
+        e = materialize(_small_star(materialize(_large_star(e), "edges")), "edges")
     roots = e.select(F.col("u").alias("node")).distinct().withColumn("root", F.col("node"))
     return e.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(roots)
