@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,11 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def texts_of(column: pa.Array) -> list[str | None]:
+    """The texts of an Arrow column; bytes that are no UTF-8, which Spark lets pass in a string, read as U+FFFD."""
+    return [None if b is None else b.decode("utf-8", "replace") for b in column.cast(pa.binary()).to_pylist()]
+
+
 def without_white(col: Column) -> Column:
     """The text with every white-space character deleted."""
     return F.translate(col, WHITE, "")

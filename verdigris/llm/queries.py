@@ -146,7 +146,7 @@ FROM p JOIN g ON p.html = g.html
 """)
 def op3_warc_bundles(spark, sf_dir):
     index = warc.write_archives(table(spark, sf_dir, "pages"), warc.archive_folder(spark))
-    return warc.resolved(warc.read_archives(index.select("archive").distinct()))
+    return warc.resolved(warc.read_archives(index.select("archive").distinct()), index)
 
 
 #: Documents with this remainder of crc32(doc_id as text) by 3 are held out from training.

@@ -16,9 +16,10 @@ uses, to a folder that all executors share; the index rows of the attempt that
 counts are committed by Spark's writer, so an attempt that is lost or repeated
 leaves files that nothing refers to. Reading goes by what the archives hold:
 the seek tables give frames, frames are dealt over all tasks, and a revisit's
-payload is found through the record it refers to.
+payload is fetched by the id it refers to, with one seek to frame and offset.
 
-Defined results: a null html is an empty payload; a null page_id sorts last,
+Defined results: a null html is an empty payload, any other is stored byte by
+byte, UTF-8 or not; a null page_id sorts last,
 and its record has an id drawn from url and payload; rows that repeat the
 smallest page_id of a group are responses each; a null url gives no target
 line, line breaks in one are percent-encoded; an empty table gives an empty
@@ -37,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir
+from .common import materialize, shared_dir, texts_of
 
 LEAST = 100
 FRAME = 1 << 20
@@ -177,8 +178,10 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST, frame: int
         batch_of = lambda found: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], names=names)
         for batch in batches:
             found = []
-            for page_id, url, html, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
-                data = record(page_id, url, html.encode("utf-8", "surrogatepass"), digest, refers_to)
+            ids, url_, payload, *rest = batch.columns
+            for page_id, url, html, digest, refers_to in zip(
+                    ids.to_pylist(), texts_of(url_), payload.cast(pa.binary()).to_pylist(), *(c.to_pylist() for c in rest)):
+                data = record(page_id, url, html, digest, refers_to)
                 found += out.add(data, (record_id(page_id, url, digest), page_id))
             if found:
                 yield batch_of(found)
@@ -268,13 +271,19 @@ def archive_folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
 
 
-def resolved(records: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, each by the record that holds the payload."""
+def resolved(records: DataFrame, index: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, each by the record that holds the payload.
+
+    A revisit's target is fetched by its id: ``index`` gives archive, frame and the offset in it.
+    """
     lean = materialize(records.select("page_id", "record_id", "record_type", "payload_digest", "refers",
                                       F.octet_length("payload").cast("long").alias("payload_bytes")), "warc-read")
-    held = (lean.where("record_type = 'response'").groupBy("record_id")
-            .agg(F.min("page_id").alias("_page"), F.min("payload_bytes").alias("_bytes"), F.min("payload_digest").alias("_digest"))
-            .withColumnRenamed("record_id", "_id"))
+    # one row per referred-to id, however many revisits it has; rows that repeat a page_id share theirs
+    targets = lean.where("record_type = 'revisit'").select(F.col("refers").alias("record_id")).distinct()
+    held = (fetch(index, targets).groupBy(F.col("record_id").alias("_id"))
+            .agg(F.min("page_id").alias("_page"), F.min(F.octet_length("payload").cast("long")).alias("_bytes"),
+                 F.min("payload_digest").alias("_digest")))
+    held = materialize(held, "warc-targets")   # a table of its own: the join then splits a target of very many revisits
     first = lean.where("record_type = 'response'").select(
         "page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
     again = (lean.where("record_type = 'revisit'").join(held, F.col("refers") == F.col("_id"), "left")
