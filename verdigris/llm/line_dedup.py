@@ -10,7 +10,8 @@ Only digests and offsets are shuffled for the grouping, and their first
 occurrences are found by a partial aggregate, so a line in a third of all
 documents sends one row per task; the texts move once, to meet their spans.
 
-Defined results: a null text has no units and stays null; a null doc_id sorts
+Defined results: a null text has no units and stays null; bytes that are no
+UTF-8 read, and come back, as U+FFFD; a null doc_id sorts
 last; rows that repeat a doc_id with its text count as one document, each gets
 its result; a text that loses every line becomes empty; an empty table gives
 an empty result; further columns of the input are ignored.
@@ -26,6 +27,7 @@ that loses all its words goes with its line end.
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
@@ -34,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, text_key
+from .common import WORD, materialize, text_key, texts_of
 
 MIN_WORDS = 8
 PASSAGE_WORDS = 50
@@ -56,8 +58,8 @@ def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = [[] for _ in range(6)]
-            for row, value in enumerate(batch.column(2)):
-                for number, start, end, d in _units(value.as_py() or "", min_words):
+            for row, text in enumerate(texts_of(batch.column(2))):
+                for number, start, end, d in _units(text or "", min_words):
                     for column, x in zip(out, (row, number, start, end, (d >> 64) - 2**63, (d & (2**64 - 1)) - 2**63)):
                         column.append(x)
             rows = pa.array(out[0], pa.int64())
@@ -89,7 +91,7 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts, counts = [], []
-            for value, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for value, gone in zip(texts_of(batch.column(1)), batch.column(2).to_pylist()):
                 counts.append(sum(1 for _ in _units(value or "", min_words)))
                 if gone:
                     lost = {x["unit"] for x in gone}
@@ -174,8 +176,8 @@ def _anchors(marked: DataFrame, size: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows, places, grams = [], [], []
-            for row, (text, lost) in enumerate(zip(batch.column(2), batch.column(3).to_pylist())):
-                chosen, hashes = _chosen(_words(text.as_py() or "", lost), size)
+            for row, (text, lost) in enumerate(zip(texts_of(batch.column(2)), batch.column(3).to_pylist())):
+                chosen, hashes = _chosen(_words(text or "", lost), size)
                 chosen = np.unique(chosen)
                 rows.append(np.full(len(chosen), row))
                 places.append(chosen)
@@ -193,8 +195,8 @@ def _runs(held: DataFrame, size: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = [[] for _ in range(4)]
-            for row, (text, lost, places) in enumerate(zip(batch.column(2), *(batch.column(i).to_pylist() for i in (3, 4)))):
-                words = _words(text.as_py() or "", lost)
+            for row, (text, lost, places) in enumerate(zip(texts_of(batch.column(2)), *(batch.column(i).to_pylist() for i in (3, 4)))):
+                words = _words(text or "", lost)
                 for place in np.flatnonzero(np.isin(_chosen(words, size)[0], places)).tolist():
                     d = xxhash.xxh3_128_intdigest(b" ".join(words[place : place + size]))
                     for column, x in zip(out, (row, place, _signed(d >> 64), _signed(d & (2**64 - 1)))):
@@ -240,8 +242,25 @@ def _cut(text: str, lost: list[dict], gone: list[dict]):
     return "\n".join(kept), spans
 
 
+def _long(text: str, lost: list[dict], gone: list[dict], size: int) -> int:
+    """How many stretches of ``size`` words or more lie in lost lines and ``gone`` runs."""
+    units_, flags, kept = {x["unit"] for x in lost}, [], []
+    for number, line in enumerate(text.split("\n")):
+        n = len(line.encode().split())
+        flags += [number in units_] * n
+        if number not in units_:
+            kept += range(len(flags) - n, len(flags))
+    for x in gone:
+        for i in kept[x["from"] : x["to"]]:
+            flags[i] = True
+    return sum(on and sum(1 for _ in run) >= size for on, run in itertools.groupby(flags))
+
+
 def drop_passages(docs: DataFrame, min_words: int = MIN_WORDS, size: int = PASSAGE_WORDS) -> DataFrame:
-    """Per row: doc_id, text without repeated lines and runs of words, lines (unit, start, end) and passages (start, end) removed."""
+    """Per row: doc_id, text without repeated lines and runs of words, lines (unit, start, end) and passages (start, end) removed.
+
+    n_units counts the lines that are units, n_long the stretches of ``size`` words or more that went, by either step.
+    """
     kind = "array<struct<unit: bigint, start: bigint, end: bigint>>"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), F.col("text").cast("string").alias("text"))
     spans = repeated_spans(docs, min_words).groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(F.struct("unit", "start", "end"))).alias("lines"))
@@ -260,17 +279,20 @@ def drop_passages(docs: DataFrame, min_words: int = MIN_WORDS, size: int = PASSA
 
     def run(batches):
         for batch in batches:
-            texts, passages = [], []
-            for value, lost, words in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+            texts, passages, counts, long_ = [], [], [], []
+            for value, lost, words in zip(texts_of(batch.column(1)), *(batch.column(i).to_pylist() for i in (2, 3))):
                 found = []
+                counts.append(sum(1 for _ in _units(value or "", min_words)))
+                long_.append(_long(value, lost, words or [], size) if lost or words else 0)
                 if value is not None:
                     value, found = _cut(value, lost, words or [])
                 texts.append(value)
                 passages.append([{"start": a, "end": b} for a, b in found])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(texts, pa.string()), batch.column(2),
-                 pa.array(passages, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                names=["doc_id", "text", "lines", "passages"])
+                 pa.array(passages, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                 pa.array(counts, pa.int64()), pa.array(long_, pa.int64())],
+                names=["doc_id", "text", "lines", "passages", "n_units", "n_long"])
 
     return (_meet(marked, gone, "left").select("doc_id", "text", "lines", "gone")
-            .mapInArrow(run, f"doc_id long, text string, lines {kind}, passages array<struct<start: bigint, end: bigint>>"))
+            .mapInArrow(run, f"doc_id long, text string, lines {kind}, passages array<struct<start: bigint, end: bigint>>, n_units long, n_long long"))

@@ -62,26 +62,59 @@ def op2_line_crf(spark, sf_dir):
 
 
 @query("op4_line_dedup", r"""
-WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 u AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS unit FROM d),
 n AS (SELECT doc_id, unit, line,
              sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit) - length(line) - 1 AS starts,
              trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                  '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM u),
 q AS (SELECT *, len(regexp_extract_all(norm, '[^ ]+')) >= 8 AS counted FROM n),
-r AS (SELECT *, counted AND row_number() OVER (PARTITION BY norm, counted ORDER BY doc_id NULLS LAST, unit) > 1 AS gone FROM q)
-SELECT doc_id, CAST(count(*) FILTER (counted) AS BIGINT) AS n_units, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed,
-       CAST(coalesce(sum(length(line)) FILTER (gone), 0) AS BIGINT) AS removed_chars,
-       coalesce(string_agg(CAST(starts AS BIGINT) || ':' || CAST(starts + length(line) AS BIGINT), ',' ORDER BY unit) FILTER (gone), '') AS spans,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY unit) FILTER (NOT gone), '')) AS kept_sha256
-FROM r GROUP BY doc_id
+r AS (SELECT *, counted AND row_number() OVER (PARTITION BY norm, counted ORDER BY doc_id NULLS LAST, unit) > 1 AS gone FROM q),
+-- the words of every line, each with the white space behind it; places count those of the lines that stay
+w AS (SELECT doc_id, unit, starts, gone, unnest(regexp_extract_all(line, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*')) AS piece,
+             unnest(range(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*')))) AS i,
+             regexp_extract(line, '^[\x20\x09-\x0D]*') AS lead FROM r),
+p AS (SELECT *, count(*) FILTER (NOT gone) OVER (PARTITION BY doc_id ORDER BY unit, i) - 1 AS place,
+             starts + length(lead) + sum(length(piece)) OVER (PARTITION BY doc_id, unit ORDER BY i) AS ends,
+             translate(regexp_extract(piece, '^[^\x20\x09-\x0D]+'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS word FROM w),
+a AS (SELECT doc_id, list(word ORDER BY place) AS words FROM p WHERE NOT gone GROUP BY doc_id HAVING count(*) >= 50),
+h AS (SELECT doc_id, words, unnest(range(len(words) - 49)) AS place FROM a),
+g AS (SELECT doc_id, place, md5(array_to_string(list_slice(words, place + 1, place + 50), ' ')) AS run FROM h),
+f AS (SELECT *, first_value(doc_id) OVER runs AS doc, first_value(place) OVER runs AS earliest FROM g
+      WINDOW runs AS (PARTITION BY run ORDER BY doc_id NULLS LAST, place)),
+x AS (SELECT doc_id, CASE WHEN doc IS NOT DISTINCT FROM doc_id THEN greatest(place, earliest + 50) ELSE place END AS lo, place + 50 AS hi
+      FROM f WHERE doc IS DISTINCT FROM doc_id OR earliest < place),
+e AS (SELECT doc_id, place, sum(step) AS step FROM (SELECT doc_id, lo AS place, 1 AS step FROM x UNION ALL SELECT doc_id, hi, -1 FROM x) GROUP BY doc_id, place),
+m AS (SELECT p.*, NOT gone AND sum(CASE WHEN gone THEN 0 ELSE coalesce(step, 0) END) OVER (PARTITION BY p.doc_id ORDER BY unit, i) > 0 AS dropped
+      FROM p LEFT JOIN e ON p.doc_id IS NOT DISTINCT FROM e.doc_id AND p.place = e.place AND NOT gone),
+-- stretches of removed words, in the whole text and inside a line
+s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY unit, i) - row_number() OVER (PARTITION BY doc_id, gone OR dropped ORDER BY unit, i) AS stretch,
+             i - row_number() OVER (PARTITION BY doc_id, unit, dropped ORDER BY i) AS inner_stretch,
+             bool_and(dropped) OVER (PARTITION BY doc_id, unit) AS whole FROM m),
+long AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM s WHERE gone OR dropped GROUP BY doc_id, stretch HAVING count(*) >= 50) GROUP BY doc_id),
+cuts AS (SELECT doc_id, unit, min(ends - length(piece)) AS lo, max(ends) AS hi FROM s WHERE dropped AND NOT whole GROUP BY doc_id, unit, inner_stretch
+         UNION ALL SELECT DISTINCT s.doc_id, s.unit, r.starts, r.starts + length(r.line) FROM s JOIN r ON s.doc_id IS NOT DISTINCT FROM r.doc_id AND s.unit = r.unit WHERE whole),
+cut AS (SELECT doc_id, count(*) AS n, sum(hi - lo) AS chars, string_agg(CAST(lo AS BIGINT) || ':' || CAST(hi AS BIGINT), ',' ORDER BY lo) AS spans FROM cuts GROUP BY doc_id),
+l AS (SELECT doc_id, unit, lead || coalesce(string_agg(piece, '' ORDER BY i) FILTER (NOT dropped), '') AS line, whole FROM s GROUP BY doc_id, unit, lead, whole),
+k AS (SELECT r.doc_id, r.unit, r.line AS full_line, r.starts, counted, gone, coalesce(l.line, r.line) AS line, gone OR coalesce(l.whole, false) AS off
+      FROM r LEFT JOIN l ON r.doc_id IS NOT DISTINCT FROM l.doc_id AND r.unit = l.unit),
+t AS (SELECT doc_id, CAST(count(*) FILTER (counted) AS BIGINT) AS n_units, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed,
+             CAST(coalesce(sum(length(full_line)) FILTER (gone), 0) AS BIGINT) AS removed_chars,
+             coalesce(string_agg(CAST(starts AS BIGINT) || ':' || CAST(starts + length(full_line) AS BIGINT), ',' ORDER BY unit) FILTER (gone), '') AS spans,
+             sha256(coalesce(string_agg(line, chr(10) ORDER BY unit) FILTER (NOT off), '')) AS kept_sha256 FROM k GROUP BY doc_id)
+SELECT t.*, CAST(coalesce(cut.n, 0) AS BIGINT) AS n_passages, CAST(coalesce(cut.chars, 0) AS BIGINT) AS passage_chars,
+       coalesce(cut.spans, '') AS passage_spans, CAST(coalesce(long.n, 0) AS BIGINT) AS n_long
+FROM t LEFT JOIN cut ON t.doc_id IS NOT DISTINCT FROM cut.doc_id LEFT JOIN long ON t.doc_id IS NOT DISTINCT FROM long.doc_id
 """)
 def op4_line_dedup(spark, sf_dir):
-    out = line_dedup.drop_repeats(table(spark, sf_dir, "documents"))
-    spans = F.transform("removed", lambda x: F.concat_ws(":", x["start"], x["end"]))
-    chars = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
-    return out.select("doc_id", "n_units", F.size("removed").cast("long").alias("n_removed"), chars.alias("removed_chars"),
-                      F.concat_ws(",", spans).alias("spans"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    """Lines, then passages inside and across lines; all spans are code points of the original text."""
+    out = line_dedup.drop_passages(table(spark, sf_dir, "documents"))
+    spans = lambda name: F.concat_ws(",", F.transform(name, lambda x: F.concat_ws(":", x["start"], x["end"])))
+    chars = lambda name: F.aggregate(name, F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return out.select("doc_id", "n_units", F.size("lines").cast("long").alias("n_removed"), chars("lines").alias("removed_chars"),
+                      spans("lines").alias("spans"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+                      F.size("passages").cast("long").alias("n_passages"), chars("passages").alias("passage_chars"),
+                      spans("passages").alias("passage_spans"), "n_long")
 
 
 def passage_dedup(spark, sf_dir):
