@@ -6,9 +6,12 @@ shared again by weight until no target is above. A document's size is its
 number of words.
 
 Each source takes every document as many whole times as its target allows and
-fits the remaining budget from counts of documents by exact size: first the
-same share of each size, then a bounded-knapsack table over the sizes for what
-that leaves, which finds the largest sum not above the budget. Which documents
+fits the remaining budget from counts of documents by exact size: the same
+share of each size, then a bounded-knapsack table over the sizes for what that
+leaves. Where this doesn't meet the budget exactly, each size hands back one
+of its documents, then two, four and so on, and the table is solved again for
+the larger rest. Budgets of at most ``TABLE`` words so end with the largest sum
+of all that are not above the budget, larger ones with the best that was found. Which documents
 of a size are taken is drawn by a seeded hash, so reruns agree.
 
 Sizes are counted by partial aggregates and a source's fit reads one row per
@@ -34,8 +37,8 @@ from .common import WORD, columns_of, materialize, text_key, text_or_empty, unus
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
 SEED = 8
-RANGE = 20_000
-#: Largest rest (in words) that the knapsack table covers; the sizes above it are filled in whole steps before.
+RANGE = 1000
+#: Largest rest (in words) that the knapsack table covers; larger budgets have the part above it filled by shares and whole steps.
 TABLE = 1 << 16
 
 
@@ -66,28 +69,13 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
                           .alias("target"))
 
 
-def fit_counts(sizes: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many documents of each size to take so that their sum comes closest below ``budget``.
-
-    sizes ascending and distinct, budget at most the sum of all.
-    """
-    total = sum(s * c for s, c in zip(sizes, counts))
-    if budget >= total:
-        return list(counts)
-    take = [c * budget // total for c in counts]
-    rest = budget - sum(s * t for s, t in zip(sizes, take))
-    limit = max(TABLE, sizes[-1])
-    for i in range(len(sizes) - 1, -1, -1):  # what rounding down left, largest sizes first
-        if rest <= limit:
-            break
-        n = min(counts[i] - take[i], (rest - limit) // sizes[i] + 1, rest // sizes[i])
-        take[i] += n
-        rest -= n * sizes[i]
+def _knapsack(sizes: list[int], free: list[int], rest: int) -> tuple[int, list[int]]:
+    """The largest sum of at most ``rest`` from ``free`` documents of each size, and how many of each make it."""
     # reach: bit r is set if some choice among the items so far sums to r
-    items, reach, steps = [], 1, []
+    items, reach, steps, take = [], 1, [], [0] * len(sizes)
     mask = (1 << (rest + 1)) - 1
     for i, s in enumerate(sizes):
-        left, part = min(counts[i] - take[i], rest // s), 1
+        left, part = min(free[i], rest // s), 1
         while left and not reach >> rest & 1:
             n = min(part, left)
             wider = reach | reach << (n * s) & mask
@@ -98,12 +86,39 @@ def fit_counts(sizes: list[int], counts: list[int], budget: int) -> list[int]:
             left, part = left - n, part * 2
         if reach >> rest & 1:
             break
-    at = reach.bit_length() - 1
+    best = at = reach.bit_length() - 1
     for (i, n), before in zip(reversed(items), reversed(steps)):
         if not before >> at & 1:
             at -= n * sizes[i]
             take[i] += n
-    return take
+    return best, take
+
+
+def fit_counts(sizes: list[int], counts: list[int], budget: int) -> list[int]:
+    """How many documents of each size to take so that their sum comes close below ``budget``: closest, if that is at most ``TABLE``.
+
+    sizes ascending and distinct, budget at most the sum of all.
+    """
+    total = sum(s * c for s, c in zip(sizes, counts))
+    if budget >= total:
+        return list(counts)
+    limit, back, found = max(TABLE, sizes[-1]), 0, (-1, [])
+    while True:
+        take = [max(0, c * budget // total - back) for c in counts]
+        rest = budget - sum(s * t for s, t in zip(sizes, take))
+        if back and rest > limit:
+            return found[1]
+        for i in range(len(sizes) - 1, -1, -1):  # what the shares left beyond the table, largest sizes first
+            if rest <= limit:
+                break
+            n = min(counts[i] - take[i], (rest - limit) // sizes[i] + 1, rest // sizes[i])
+            take[i] += n
+            rest -= n * sizes[i]
+        got, more = _knapsack(sizes, [c - t for c, t in zip(counts, take)], rest)
+        found = max(found, (budget - rest + got, [t + m for t, m in zip(take, more)]), key=lambda x: x[0])
+        if got == rest or not any(take):
+            return found[1]
+        back = max(1, 2 * back)
 
 
 def _fit(rows: pd.DataFrame) -> pd.DataFrame:
