@@ -41,6 +41,8 @@ from pyspark.sql import functions as F
 BUCKETS, DIMENSIONS, SIZES = 1 << 16, 16, (2, 3, 4)
 TRAIN_DOCS, TRAIN_CHARS, PASSAGES, EPOCHS, RATE = 400, 20_000, 5, 4, 0.4
 REJECT_ERROR = 0.01
+#: Before the smallest hashes of a language are ranked, so many times as many rows are taken by their hash alone.
+THINNED = 4
 SLICE = 1 << 20
 UNKNOWN = "und"
 _UNIT = 1 << 20   # products are rounded to this part of one
@@ -212,11 +214,14 @@ def train(docs: DataFrame, usable: Column, lang: str = "lang", most: int = TRAIN
     At most ``most`` documents a language reach the driver, as texts of at most ``chars`` characters.
     """
     rows = docs.select("doc_id", F.make_valid_utf8(F.col("text").cast("string")).alias("text"), F.col(lang).cast("string").alias("lang"), usable.alias("usable"))
+    rows = rows.where(F.col("usable") & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.char_length("text").between(1, chars))
     rank = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")]
-    order = Window.partitionBy("lang").orderBy(*rank)   # Spark keeps `most` rows of every task before it shuffles
-    sample = (rows.where(F.col("usable") & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.char_length("text").between(1, chars))
-              .withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
-              .select("lang", "place", "text").collect())
+    # a language's rows are thinned by their hash to some times `most` before they meet, so few reach a task at any size
+    count = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("lang", "_lang")
+    share = F.shiftrightunsigned(F.xxhash64("doc_id").bitwiseXOR(F.lit(-(2**63))), 11).cast("double") / F.lit(float(2**53))
+    rows = rows.join(count, rows["lang"] == count["_lang"]).where(share * F.col("n") <= THINNED * most)
+    order = Window.partitionBy("lang").orderBy(*rank)
+    sample = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("lang", "place", "text").collect()
     texts = {}
     for lang_, _, text in sorted(sample, key=lambda r: (r[1], r[0])):
         if short := letters(text):
