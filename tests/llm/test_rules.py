@@ -307,7 +307,24 @@ def test_fit_finds_the_best_sum_for_small_budgets(counts, budget):
     total = sum(s * c for s, c in counts.items())
     budget = min(budget, total)
     take = mixing.fit_counts(sizes, [counts[s] for s in sizes], budget)
-    assert all(0 <= t <= counts[s] for s, t in zip(sizes, take)) and sum(s * t for s, t in zip(sizes, take)) <= budget
+    assert all(0 <= t <= counts[s] for s, t in zip(sizes, take))
+    sums = {0}
+    for s, c in counts.items():
+        sums = {x + s * k for x in sums for k in range(c + 1)}
+    assert sum(s * t for s, t in zip(sizes, take)) == max(x for x in sums if x <= budget)
+
+
+def test_fit_beyond_the_table_comes_close(monkeypatch):
+    monkeypatch.setattr(mixing, "TABLE", 64)
+    for seed in range(200):
+        r = np.random.default_rng(seed)
+        sizes = sorted({int(x) for x in r.integers(3, 90, 12)})
+        counts = [int(x) for x in r.integers(1, 40, len(sizes))]
+        total = sum(s * c for s, c in zip(sizes, counts))
+        budget = int(r.integers(total))
+        take = mixing.fit_counts(sizes, counts, budget)
+        got = sum(s * t for s, t in zip(sizes, take))
+        assert all(0 <= t <= c for t, c in zip(take, counts)) and budget - sizes[-1] < got <= budget
 
 
 texts = st.one_of(st.text(max_size=30), st.lists(st.sampled_from([*chat_format.CONTROL, "\\", "[", "<", "/s>", "INST]", "a", " ", "é🙂", "\n"]), max_size=12).map("".join))
@@ -372,7 +389,7 @@ def test_archives(spark, tmpdir_run):
     pages = spark.createDataFrame([(*r, "z", 1) for r in rows], "page_id long, url string, html string, archive string, `first` int").repartition(3)
     index = warc.write_archives(pages, f"{tmpdir_run}/warc", frame=4096, archive=20_000)
     archives = index.select("archive").distinct()
-    got = warc.resolved(warc.read_archives(archives)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    got = warc.resolved(warc.read_archives(archives), index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
     assert sorted(map(str, map(tuple, got))) == pages_expected(rows)
     # every record is found again by a seek, and frames are as the seek tables say
     by_id = {r.record_id: r for r in warc.read_archives(archives).collect()}
@@ -381,7 +398,7 @@ def test_archives(spark, tmpdir_run):
     places = {(r.archive, r.frame_offset, r.frame_size) for r in index.collect()}
     assert places == {(r.archive, r.offset, r.size) for r in warc.frames_of(archives).collect()} and len(places) > 5
     nothing = warc.write_archives(pages.limit(0), f"{tmpdir_run}/none")
-    assert warc.resolved(warc.read_archives(nothing.select("archive").distinct())).collect() == []
+    assert warc.resolved(warc.read_archives(nothing.select("archive").distinct()), nothing).collect() == []
 
 
 def test_archives_are_plain_zstandard(spark, tmpdir_run):

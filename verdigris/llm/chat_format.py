@@ -17,7 +17,8 @@ Turns come sorted to one task per conversation, by a shuffle on the
 conversation's id, and are read as a stream; one conversation at a time is in
 memory, as its string is encoded as a whole.
 
-Defined results: a null text or role is empty; turns order by turn (null
+Defined results: a null text or role is empty; bytes that are no UTF-8 read as
+U+FFFD; turns order by turn (null
 first), then role and text, repeated rows are turns of their own; a null
 conversation id is a conversation; an empty table gives an empty result;
 further columns of the input are ignored.
@@ -33,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import texts_of
+
 OPEN, CLOSE = "<s>", "</s>"
 MARKS = {"system": ("[SYS]", "[/SYS]"), "user": ("[INST]", "[/INST]")}
 ROLE = ("[ROLE]", "[/ROLE]")
@@ -154,7 +157,7 @@ def format_chats(rows: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
         conv, turns, ready, size = None, [], [], 0
         for batch in batches:
-            for c, role, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for c, role, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), texts_of(batch.column(2))):
                 if turns and c != conv:
                     ready.append(done(conv, turns))
                     size += len(ready[-1][1])

@@ -16,6 +16,7 @@ are labelled anew by the field, as they hold good lines too. Without labels of
 both kinds the field has the plain weights of ``PRIOR``.
 
 Defined results: a null or empty text has no words and fails the base rules;
+texts are read as bytes, so those that are no UTF-8 count as they are;
 rows are judged one by one, so repeated rows share a result; lines of any
 length are counted in slices of 1 MB; an empty table gives an empty result;
 further columns of the input are ignored, or passed on by ``keep_good``.
@@ -279,7 +280,7 @@ def keep_good(docs: DataFrame, field: Field, share: float = CONTENT_SHARE) -> Da
 
     def run(batches):
         for batch in batches:
-            kept = [judge((v.as_py() or "").encode(), field, share)[3] for v in batch.column(where)]
+            kept = [judge(text, field, share)[3] for text in batch.column(where).cast(pa.binary()).to_pylist()]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

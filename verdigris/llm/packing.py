@@ -14,7 +14,8 @@ count rises and the group is differenced again.
 Texts are read once and ids are never shuffled: checksums, lengths and starts
 of the pieces are written as a table, and only lengths meet in the groups.
 
-Defined results: a null or empty text is the end id alone; repeated rows are
+Defined results: a null or empty text is the end id alone; bytes that are no
+UTF-8 count as U+FFFD; repeated rows are
 packed as documents of their own; a text of any length is cut the same way;
 an empty table gives an empty result; further columns of the input are
 ignored.
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, texts_of
 
 CAPACITY = 2048
 PART = 512
@@ -99,8 +100,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, part: int = PART, end_id:
         encode = encoder(vocabulary, added)
         for batch in batches:
             rows, starts, lengths, sizes, ids = [], [], [], [], []
-            for row, value in enumerate(batch.column(1)):
-                got = np.array([*encode(value.as_py() or ""), end_id], "<u4")
+            for row, text in enumerate(texts_of(batch.column(1))):
+                got = np.array([*encode(text or ""), end_id], "<u4")
                 for start, length in cut(len(got), capacity, part):
                     rows.append(row)
                     starts.append(start)

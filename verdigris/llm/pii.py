@@ -13,7 +13,8 @@ every match, each kind's characters left of the anchor lead back to the
 leftmost start, and the next anchor of the kind inside a taken span is passed
 over.
 
-Positions count code points. Defined results: a null text is empty; rows are
+Positions count code points. Defined results: a null text is empty; bytes that
+are no UTF-8 count as U+FFFD; rows are
 read one by one, so repeated rows share a result; texts of any length are read
 whole; an empty table gives an empty result; further columns of the input are
 ignored.
@@ -28,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import texts_of
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account")
 SCHEMES = ("http://", "https://", "ftp://", "mailto:")
@@ -143,8 +146,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             found = []
-            for value in batch.column(1):
-                text = value.as_py()
+            for text in texts_of(batch.column(1)):
                 found.append([{"kind": k, "start": s, "end": e} for k, of in zip(KINDS, spans(text, auto)) for s, e in of]
                              if text else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], names=["doc_id", "spans"])
