@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..operators import audit, chunks, reports, retrieval
+from ..operators import audit, chunks, reports, retrieval, vectors
 from ..sources import sections, synth, zones
 from ..sources.fixtures import inputs
 from .catalog_core import core
@@ -97,7 +97,7 @@ def q_vector_top5(spark, d):
 
 def q_vector_ids_top5(spark, d):
     emb = inputs(spark, d).raw("embeddings")
-    return retrieval.vector_topk(retrieval.sampled_vectors(emb), emb, 5)
+    return vectors.vector_topk(retrieval.sampled_vectors(emb), emb, 5)
 
 
 def q_retrieval_with_fallback(spark, d):
