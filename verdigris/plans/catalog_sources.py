@@ -1,12 +1,13 @@
 """Registered queries of sources and sinks: each writes a table of the zones, reads it back and aggregates it.
 
-The zones of one input folder live at one place in the shared folder and are
-replaced on every run, so nothing piles up.
+Every run has zones of its own in the shared folder, so runs over one input don't
+meet. The folder is scratch space, to be cleared after a job.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,8 @@ from .sqltext import R, with_ctes
 
 
 def zone_root(spark: SparkSession, sf_dir: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/zones/{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    """A folder of this call's own."""
+    return f"{shared_dir(spark).rstrip('/')}/zones/{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}-{uuid.uuid4().hex}"
 
 
 def q_zone_two_levels(spark: SparkSession, d: str) -> DataFrame:
@@ -48,11 +50,9 @@ def q_zone_by_name(spark: SparkSession, d: str) -> DataFrame:
     """SRC-03 / SRC-04: tables are created over the zones, read by name, and dropped; their data stay."""
     root = zone_root(spark, d)
     zones.write_zone(core(spark, d).summary(), root, "aggregated", "ghg_summary_annual", replace="table")
-    ddl.create_all(spark, root, {"ghg_summary_annual"})
-    try:  # what the names gave is kept, as they are gone when the result is read
-        ddl.summary_by_name(spark, C.CURRENT_YEAR, C.BANK_ID).write.mode("overwrite").parquet(f"{root}/by_name")
-    finally:
-        ddl.drop_all(spark)
+    with ddl.Catalog(spark, root) as catalog:   # what the names gave is kept, as they are gone when the result is read
+        catalog.create({"ghg_summary_annual"})
+        ddl.summary_by_name(catalog, C.CURRENT_YEAR, C.BANK_ID).write.parquet(f"{root}/by_name")
     return spark.read.parquet(f"{root}/by_name")
 
 

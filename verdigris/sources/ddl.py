@@ -3,14 +3,20 @@
 Three databases (raw, curated, aggregated) with parquet tables partitioned by
 INT columns kept in the path; column comments carry units and rules, as the
 original DDL does. Tables point at the zone folders written by
-``sources.zones``; partitions are recovered from the folders.
+``sources.zones``, their partitions at the folders of the newest version.
+
+The names belong to one ``Catalog``: its databases carry a token that no other
+session or root has, are made by it alone (never taken over), and only what it
+made is dropped. Queries get table names through ``IDENTIFIER(:name)``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
-from . import zones
+from . import snapshots, zones
 
 DATABASES = {"raw": "esg_raw", "curated": "esg_curated", "aggregated": "esg_aggregated"}
 
@@ -87,40 +93,67 @@ def _q(s: str) -> str:
     return s.replace("'", "\\'")
 
 
-def create_all(spark: SparkSession, root: str, only: set[str] | None = None) -> list[str]:
-    """CREATE DATABASE / CREATE TABLE ... USING parquet PARTITIONED BY ... LOCATION for every zone table, or those of ``only``."""
-    names = []
-    for db in DATABASES.values():
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS {db}")
-    for zone, table, cols, parts in TABLES:
-        if only is not None and table not in only:
-            continue
-        full = f"{DATABASES[zone]}.{table}"
+class Catalog:
+    """The databases and tables of one root, under names of their own."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root, self.token = spark, root, uuid.uuid4().hex[:16]
+        self.databases: list[str] = []
+        self.tables: list[str] = []
+
+    def database(self, zone: str) -> str:
+        return f"{DATABASES[zone]}_{self.token}"
+
+    def name(self, zone: str, table: str) -> str:
+        return f"{self.database(zone)}.{table}"
+
+    def create(self, only: set[str] | None = None) -> list[str]:
+        """CREATE DATABASE / CREATE TABLE ... USING parquet PARTITIONED BY ... LOCATION for every zone table, or those of ``only``."""
+        for zone in DATABASES:
+            self.spark.sql("CREATE DATABASE IDENTIFIER(:name)", args={"name": self.database(zone)})
+            self.databases.append(self.database(zone))
+        for zone, table, cols, parts in TABLES:
+            if only is None or table in only:
+                self._table(zone, table, cols, parts)
+        return list(self.tables)
+
+    def _table(self, zone: str, table: str, cols, parts) -> None:
+        full, path = self.name(zone, table), zones.table_path(self.root, zone, table)
         body = ",\n  ".join(f"`{c}` {t} COMMENT '{_q(cm)}'" for c, t, cm in cols)
         pcols = ",\n  ".join(f"`{c}` {t}" for c, t in parts)
-        spark.sql(f"""CREATE TABLE IF NOT EXISTS {full} (
+        self.spark.sql(f"""CREATE TABLE {full} (
   {body},
   {pcols})
 USING parquet
 PARTITIONED BY ({", ".join(c for c, _ in parts)})
-LOCATION '{zones.table_path(root, zone, table)}'""")
-        spark.sql(f"ALTER TABLE {full} RECOVER PARTITIONS")
-        names.append(full)
-    return names
+LOCATION '{_q(path)}'""")
+        self.tables.append(full)
+        now = snapshots.newest(self.spark, path)
+        if now is None:
+            self.spark.sql(f"ALTER TABLE {full} RECOVER PARTITIONS")
+            return
+        for folder in now["partitions"]:   # as many as the calendar has
+            values = dict(x.split("=", 1) for x in folder.split("/")[1:])
+            spec = ", ".join(f"`{c}` = '{_q(values[c])}'" for c, _ in parts)
+            self.spark.sql(f"ALTER TABLE {full} ADD PARTITION ({spec}) LOCATION '{_q(f'{path}/{folder}')}'")
+
+    def drop(self) -> None:
+        """Drop the tables that were created here (data stays: they are external) and the databases, which are empty then."""
+        while self.tables:
+            self.spark.sql("DROP TABLE IDENTIFIER(:name)", args={"name": self.tables.pop()})
+        while self.databases:
+            self.spark.sql("DROP DATABASE IDENTIFIER(:name) RESTRICT", args={"name": self.databases.pop()})
 
+    def __enter__(self) -> "Catalog":
+        return self
 
-def drop_all(spark: SparkSession) -> None:
-    """Drop the tables (data stays: they are external) and the databases."""
-    for zone, table, _, _ in TABLES:
-        spark.sql(f"DROP TABLE IF EXISTS {DATABASES[zone]}.{table}")
-    for db in DATABASES.values():
-        spark.sql(f"DROP DATABASE IF EXISTS {db}")
+    def __exit__(self, *failure) -> None:
+        self.drop()
 
 
-def summary_by_name(spark: SparkSession, year: int, bank_id: str):
+def summary_by_name(catalog: Catalog, year: int, bank_id: str) -> DataFrame:
     """SRC-03 / SRV-01 through SQL by table name, with named parameters (no string formatting)."""
-    return spark.sql(
+    return catalog.spark.sql(
         "SELECT metric_key, scope1_tco2e, scope2_location_tco2e, scope2_market_tco2e, scope3_cat15_gross_tco2e, "
-        "yoy_change_pct FROM esg_aggregated.ghg_summary_annual "
-        "WHERE reporting_year = :year AND startswith(metric_key, :prefix)",
-        args={"year": year, "prefix": bank_id + "_"})
+        "yoy_change_pct FROM IDENTIFIER(:table) WHERE reporting_year = :year AND startswith(metric_key, :prefix)",
+        args={"table": catalog.name("aggregated", "ghg_summary_annual"), "year": year, "prefix": bank_id + "_"})

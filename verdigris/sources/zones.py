@@ -1,9 +1,9 @@
 """Lakehouse zones: partitioned parquet tables, reject sinks, presence and freshness.
 
 Tables are Hive-style partitioned parquet (``reporting_year[/reporting_month]``)
-with partition columns kept only in the path. Writes use dynamic partition
-overwrite, so re-running one year replaces that year and leaves the others;
-whole-table writes and named values also remove what has no rows any more.
+with partition columns kept only in the path. Re-running one year replaces that
+year and leaves the others; whole-table writes and named values also remove
+what has no rows any more. Each replacement is seen whole or not at all.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import snapshots
+
 ZONES = ("raw", "curated", "aggregated")
 
 
@@ -25,10 +27,12 @@ def read_zone(spark: SparkSession, root: str, zone: str, table: str,
               schema: T.StructType | str | None = None) -> DataFrame:
     """SRC-01/02: scan a partitioned table; partition columns come from the path.
 
-    Filters on partition columns prune directories; other filters and the
+    A table with snapshots is read at its newest complete version, any other folder as it is. Filters on partition columns prune directories; other filters and the
     projection are pushed into the parquet scan by Catalyst.
     """
     path = table_path(root, zone, table)
+    if (found := snapshots.read(spark, path, schema)) is not None:
+        return found
     r = spark.read.option("basePath", path)
     if schema is not None:
         r = r.schema(schema)
@@ -37,31 +41,29 @@ def read_zone(spark: SparkSession, root: str, zone: str, table: str,
 
 def write_zone(df: DataFrame, root: str, zone: str, table: str, columns: list[str] | None = None,
                partition_by: tuple[str, ...] = ("reporting_year",), replace: str | list | None = None) -> str:
-    """SRC-05 / GOV-15: ordered projection to the contract, partition overwrite.
+    """SRC-05 / GOV-15: ordered projection to the contract, partition replacement at one moment (see ``snapshots``).
 
     The REBALANCE hint brings the rows of a partition value together, so each
     is written by few tasks, and splits a value that is too large for one.
-    ``replace``: None overwrites the partitions that ``df`` has rows for;
+    ``replace``: None replaces the partitions that ``df`` has rows for;
     ``"table"`` replaces the whole table; a list of values of the first
-    partition column removes those values first, so that partitions that have
-    no rows any more don't stay.
+    partition column replaces these, so that partitions that have no rows any
+    more don't stay.
     """
     path = table_path(root, zone, table)
     out = df.select(*columns) if columns else df
-    if isinstance(replace, list):
-        drop_partitions(df.sparkSession, path, partition_by[0], replace)
-    (out.hint("rebalance", *partition_by)
-        .write.mode("overwrite").option("partitionOverwriteMode", "static" if replace == "table" else "dynamic")
-        .partitionBy(*partition_by).parquet(path))
+    snapshots.write(out.hint("rebalance", *partition_by), path, partition_by, replace)
     return path
 
 
-def drop_partitions(spark: SparkSession, path: str, column: str, values: list) -> None:
-    """Remove ``column=value`` folders of a table, in whatever store it is."""
-    jvm = spark._jvm
-    for v in values:
-        p = jvm.org.apache.hadoop.fs.Path(f"{path}/{column}={v}")
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def land(df: DataFrame, root: str, zone: str, table: str, partition_by: tuple[str, ...]) -> str:
+    """Rows into plain partition folders, each written by one batch alone and overwritten when that batch runs again."""
+    path = table_path(root, zone, table)
+    if snapshots.newest(df.sparkSession, path):
+        raise ValueError(f"{path} has snapshots; rows can't land beside them")
+    (df.hint("rebalance", *partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*partition_by).parquet(path))
+    return path
 
 
 REJECT_PARTITIONS = ("reporting_year", "reject_reason")

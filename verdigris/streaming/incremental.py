@@ -66,7 +66,7 @@ def refresh_years(spark: SparkSession, root: str, years: list[int], facilities:
 def on_batch(batch: DataFrame, batch_id: int, root: str, facilities: DataFrame | None = None) -> None:
     """One micro-batch; a replay writes the same partitions again and changes nothing."""
     spark = batch.sparkSession
-    zones.write_zone(batch.withColumn("batch_id", F.lit(batch_id).cast("long")), root, "raw", "energy_consumption", None, RAW_PARTITIONS)
+    zones.land(batch.withColumn("batch_id", F.lit(batch_id).cast("long")), root, "raw", "energy_consumption", RAW_PARTITIONS)
     # the years of one batch: bounded by the calendar
     years = sorted(r[0] for r in batch.where("reporting_year IS NOT NULL").select("reporting_year").distinct().collect())
     if years:
