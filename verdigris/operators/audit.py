@@ -225,6 +225,33 @@ def match_tolerance(left: DataFrame, right: DataFrame, keys: list[str], left_val
     return lb.join(rb, cond, how).drop("_bucket")
 
 
+def tolerance_matched(claims: DataFrame, metrics: DataFrame, value: str = "value", tol: float = TOLERANCE_TCO2E, key: str = "metrics_key") -> DataFrame:
+    """VA-12 over all claims: adds ``nearest``, the allowed value closest to each claim, and ``matched`` (within ``tol``).
+
+    A report's allowed values are one sorted array (the metric catalogue bounds
+    it); a claim finds its neighbours by binary search and meets one value at
+    most, so nothing multiplies, and a report with very many claims is split
+    by the adaptive skew join, as the claims are never grouped.
+    """
+    held = report_metrics(metrics, key).select(key, F.array_sort("allowed").alias("_allowed"))
+    j = claims.join(held, key, "left")
+    a, x = F.col("_allowed"), F.col(value)
+    first = F.struct(F.lit(0).alias("low"), F.size(a).alias("high"))
+
+    def step(s: Column, _: Column) -> Column:   # values before `low` are at most x, those from `high` on are larger
+        mid = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        up = F.get(a, mid) <= x
+        return F.when(s["low"] >= s["high"], s).otherwise(F.struct(F.when(up, mid + 1).otherwise(s["low"]).alias("low"),
+                                                                   F.when(up, s["high"]).otherwise(mid).alias("high")))
+
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(a) + 1)).cast("int") + 1)
+    j = j.withColumn("_below", F.when(a.isNotNull() & x.isNotNull(), F.aggregate(steps, first, step, lambda s: s["low"])))
+    under, over = F.get(a, F.col("_below") - 1), F.get(a, F.col("_below"))
+    nearest = F.when(over.isNull() | (x - under <= over - x), under).otherwise(over)
+    return (j.withColumn("nearest", nearest).withColumn("matched", F.coalesce(F.abs(F.col("nearest") - x) <= tol, F.lit(False)))
+            .drop("_allowed", "_below"))
+
+
 def report_metrics(metrics: DataFrame, key: str = "metrics_key") -> DataFrame:
     """One row per report: its allowed-value array (VA-11) and a metric -> value map.
 

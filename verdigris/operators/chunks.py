@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import dround
 from ..session import materialize
-from . import retrieval
+from . import docmeta, retrieval
 from .retrieval import BM25_B, BM25_K1, CHUNK_OVERLAP, CHUNK_TOKENS, COMMON_SHARE, TOKEN, TOP_K
 
 WHITE = r"\t\n\x0B\f\r "
@@ -190,9 +190,12 @@ class Search:
     terms: DataFrame
 
 
-def search(queries: DataFrame, index: ChunkIndex, k: int = TOP_K, margin: float = 1e-5) -> Search:
+def search(queries: DataFrame, index: ChunkIndex, k: int = TOP_K, margin: float = 1e-5, allowed: DataFrame | None = None) -> Search:
     """Exact scores of all chunks in blocks that can hold one of a query's best ``k``.
 
+    ``allowed`` (bitmaps of documents, see ``docmeta``) leaves out all others:
+    blocks without an allowed chunk are not looked at. Weights stay those of the whole corpus.
+
     1. Blocks of a query's rarer terms get a bound, the sum of their maxima. The
        ``PROBED`` blocks of the highest bounds are unpacked; the k-th best score
        in them is at most the true k-th score.
@@ -211,14 +214,17 @@ def search(queries: DataFrame, index: ChunkIndex, k: int = TOP_K, margin: float
         "query_id", "bucket", "term", "df", idf.alias("idf"), (idf * F.col("max_part")).alias("most"), (F.col("df") > n * COMMON_SHARE).alias("common")),
         "chunk-terms")
     blocks = index.blocks.select("bucket", "term", "block", "max_part")   # the postings' column stays unread
+    if allowed is not None:
+        blocks = blocks.join(materialize(docmeta.passing(index.chunks.select("block", key), allowed, key).select("block").distinct(), "chunk-allowed"), "block", "left_semi")
 
     def scored(of: DataFrame, within: DataFrame) -> DataFrame:
         """Sums of the terms ``of`` over the chunks of the blocks ``within`` (query_id, block)."""
         part = F.col("idf") * _part(F.col("p.tf"), F.col("p.dl"), avgdl)
         needed = within.join(of.select("query_id", "bucket", "term", "idf"), "query_id")
         read = needed.join(index.blocks.select("bucket", "term", "block", "postings"), ["bucket", "term", "block"])
-        return (read.select("query_id", "idf", F.explode("postings").alias("p")).groupBy("query_id", f"p.{key}", "p.chunk_no")
-                .agg(F.sum(part).alias("score")))
+        rows = read.select("query_id", "idf", F.explode("postings").alias("p")).select("query_id", "idf", f"p.{key}", "p.chunk_no", "p")
+        rows = rows if allowed is None else docmeta.passing(rows, allowed, key)
+        return rows.groupBy("query_id", key, "chunk_no").agg(F.sum(part).alias("score"))
 
     rare = terms.where("NOT common")
     bound = F.sum(F.col("idf") * F.col("max_part")).alias("bound")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.exprs import dround
+from ..functions.quantiles import exact_quantile
 
 
 @dataclass(frozen=True)
@@ -160,15 +161,10 @@ def pcaf_distribution(loans: DataFrame, tolerance_points: float = 5.0) -> DataFr
                                 F.lit(False)).alias("within_tolerance")))
 
 
-#: Ranks of the median are right to one part in so many; below as many rows it is exact.
-MEDIAN_ACCURACY = 1_000_000
-
-
-def profile(df: DataFrame, numeric: list[str], table: str, approx_median: bool = False) -> DataFrame:
+def profile(df: DataFrame, numeric: list[str], table: str, median: bool = False) -> DataFrame:
     """DQ-13: count, nulls, mean, min, max per numeric column, one pass.
 
-    ``approx_median`` adds a ``percentile_approx`` median (bounded memory per
-    column, unlike an exact median that buffers all values).
+    ``median`` adds the exact one, found by counts (see ``quantiles``).
     """
     aggs = [F.count(F.lit(1)).alias("rows")]
     types = dict(df.dtypes)
@@ -178,8 +174,7 @@ def profile(df: DataFrame, numeric: list[str], table: str, approx_median: bool =
                  else F.sum(c)).cast("double")
         aggs += [F.count(c).alias(f"{c}__n"), F.try_divide(total, F.count(c)).alias(f"{c}__mean"),
                  F.min(c).cast("double").alias(f"{c}__min"), F.max(c).cast("double").alias(f"{c}__max")]
-        if approx_median:
-            aggs.append(F.percentile_approx(c, 0.5, MEDIAN_ACCURACY).cast("double").alias(f"{c}__med"))
+    medians = exact_quantile(df, numeric) if median else {}
     a = df.agg(*aggs)
     items = []
     for c in numeric:
@@ -187,8 +182,8 @@ def profile(df: DataFrame, numeric: list[str], table: str, approx_median: bool =
                   F.col("rows").alias("rows"), (F.col("rows") - F.col(f"{c}__n")).alias("nulls"),
                   dround(f"{c}__mean", 4).alias("mean"), F.col(f"{c}__min").alias("min_value"),
                   F.col(f"{c}__max").alias("max_value")]
-        if approx_median:
-            fields.append(F.col(f"{c}__med").alias("median"))
+        if median:
+            fields.append(F.lit(medians[c]).cast("double").alias("median"))
         items.append(F.struct(*fields))
     return a.select(F.explode(F.array(*items)).alias("r")).select("r.*")
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.exprs import dround, pct_change, trend_class
-from .scope3 import validated, with_reject_reason
+from .scope3 import loan_emissions, validated, with_reject_reason
 
 # FIXED VALUES: regulator indicator rows (number, indicator, unit, shown metric, metric judged, its change or value,
 # condition, target, state when the condition holds)
@@ -227,6 +227,47 @@ def portfolio_composition(loans: DataFrame) -> DataFrame:
                     .alias("pct_included"), (F.col("excluded_loans") == 0).alias("fully_included"), "exclusion_reasons")
 
 
+# FIXED VALUES: asset class of each loan type
+ASSET_CLASSES = {"term_loan": "Business Loans", "revolving_credit": "Business Loans", "syndicated_loan": "Business Loans", "leasing": "Business Loans",
+                 "project_finance": "Project Finance", "mortgage": "Retail Mortgages"}
+REJECT_REASONS = ("ev_null", "ev_nonpositive", "emissions_null", "emissions_nonpositive")
+
+
+def portfolio_by_asset_class(loans: DataFrame) -> DataFrame:
+    """RP-10: outstanding by asset class and loan type, with sub-totals and the year's total, from one aggregate.
+
+    ``level`` is 0 for a loan type, 1 for an asset class, 3 for the year; what is
+    left out of financed emissions is counted by reason.
+    """
+    r = with_reject_reason(loans)
+    kind = F.create_map(*[F.lit(x) for pair in ASSET_CLASSES.items() for x in pair])
+    r = r.withColumn("asset_class", F.coalesce(F.try_element_at(kind, F.col("loan_type")), F.lit("Other")))
+    out = F.col("outstanding_idr").cast("decimal(38,0)")
+    keys = ["reporting_year", "asset_class", "loan_type"]
+    g = r.groupingSets([keys, keys[:2], keys[:1]], *keys).agg(
+        F.grouping_id(*keys).cast("int").alias("level"), F.count(F.lit(1)).alias("loans"), F.sum(out).alias("_out"),
+        F.sum(F.when(F.col("reject_reason").isNull(), out).otherwise(F.lit(0).cast("decimal(38,0)"))).alias("_inc"),
+        *[F.count_if(F.col("reject_reason") == x).alias(f"excluded_{x}") for x in REJECT_REASONS])
+    total = F.max(F.when(F.col("level") == 3, F.col("_out"))).over(Window.partitionBy("reporting_year"))   # a few rows a year
+    return g.select(*keys, "level", "loans", dround(F.col("_out").cast("double") / 1e12, 6).alias("outstanding_idr_trillion"),
+                    dround(F.col("_out").cast("double") / total.cast("double") * 100, 2).alias("pct_of_portfolio"),
+                    dround(F.col("_inc").cast("double") / F.col("_out").cast("double") * 100, 2).alias("pct_included"),
+                    *[f"excluded_{x}" for x in REJECT_REASONS])
+
+
+def what_if_gap(loans: DataFrame, k: int = 50, from_score: float = 4.0, to_score: float = 3.0) -> DataFrame:
+    """RP-11: confidence gap (share of financed emissions that the confidence takes away) now, and with the top-k borrowers' scores improved."""
+    b = validated(loans).groupBy("reporting_year", "borrower_id").agg(F.sum(F.col("outstanding_idr").cast("double")).alias("b_out"))
+    w = Window.partitionBy("reporting_year").orderBy(F.desc("b_out"), F.asc("borrower_id"))
+    top = b.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).select("reporting_year", "borrower_id", F.lit(True).alias("top"))
+    # at most k borrowers per reporting year: bounded by k x years
+    j = loan_emissions(loans)[0].join(F.broadcast(top), ["reporting_year", "borrower_id"], "left")
+    gross = F.col("financed_emissions_loan_tco2e")
+    moved = F.when(F.col("top") & (F.col("pcaf_data_quality_score") == from_score), F.lit(C.PCAF_CONFIDENCE[to_score])).otherwise(F.col("confidence_factor"))
+    gap = lambda conf: dround((F.lit(1.0) - F.sum(gross * conf) / F.sum(gross)) * 100, 4)
+    return j.groupBy("reporting_year").agg(gap(F.col("confidence_factor")).alias("confidence_gap_pct"), gap(moved).alias("projected_gap_pct"))
+
+
 def score_what_if(loans: DataFrame, k: int = 50, from_score: float = 4.0, to_score: float = 3.0) -> DataFrame:
     """RP-11: move the top-k borrowers (by outstanding) from score 4 to 3; new weighted score."""
     v = validated(loans)
@@ -308,6 +349,28 @@ def disclosure_map(spark: SparkSession) -> DataFrame:
                                        "disclosure_id string")
 
 
+# FIXED VALUES: how a section's framework is written in the disclosure table
+FRAMEWORK_COLUMNS = {"GRI_305": "GRI 305", "IFRS_S2": "IFRS S2", "CSRD_ESRS_E1": "ESRS E1", "OJK_PSPK": "OJK PSPK"}
+
+
+def nested_disclosures(spark: SparkSession) -> DataFrame:
+    """section_type, requirement, references (array of framework and disclosure_id): the mapping as a template keeps it."""
+    rows = [(st, req, [(fw, ref) for fw, ref in zip(FRAMEWORKS, refs)]) for req, st, refs in DISCLOSURES]
+    return spark.createDataFrame(rows, "section_type string, requirement string, references array<struct<framework: string, disclosure_id: string>>")
+
+
+def section_disclosures(sections: DataFrame, nested: DataFrame) -> DataFrame:
+    """RP-09: flat (section_key, requirement, framework, disclosure_id) of ``sections`` (section_key, section_type, framework).
+
+    A section of one framework takes that one's reference; one of several (any other name) takes all.
+    """
+    named = F.create_map(*[F.lit(x) for pair in FRAMEWORK_COLUMNS.items() for x in pair])
+    j = sections.select("section_key", "section_type", F.try_element_at(named, F.col("framework")).alias("own")).join(nested, "section_type")
+    flat = j.select("section_key", "own", "requirement", F.explode("references").alias("r"))
+    return flat.where((F.col("own").isNull() | (F.col("own") == F.col("r.framework"))) & F.col("r.disclosure_id").isNotNull()).select(
+        "section_key", "requirement", "r.framework", "r.disclosure_id")
+
+
 def compliance_matrix(spark: SparkSession, outcomes: DataFrame) -> DataFrame:
     """RP-09: requirement x framework status from the audited sections.
 

@@ -7,7 +7,7 @@ into the parquet scan when the tables are read from the aggregated zone.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
@@ -155,3 +155,41 @@ def data_input_bundle(summary: DataFrame, sector: DataFrame, top_fac: DataFrame,
         F.coalesce(pick["pcaf_sectors"], F.lit("[]")).alias("pcaf_sectors_json"),
         F.coalesce(pick["scope1_facilities"], F.lit("[]")).alias("scope1_facilities_json"),
         F.coalesce(pick["hr_metrics"], F.lit("[]")).alias("hr_metrics_json"))
+
+
+def data_input(summary: DataFrame, sector: DataFrame, top_fac: DataFrame, hr: DataFrame, year: int, bank_id: str = C.BANK_ID) -> DataFrame:
+    """SRV-08: one row with the five serving results as typed columns: structs, and arrays of structs in rank order.
+
+    Lists are top-k or two-row results, so they are bounded; a list without rows is empty, a struct without a row NULL.
+    """
+    by = {"pcaf_sectors": (sector_top(sector, year), SECTOR_FIELDS, (F.desc("financed_emissions_gross_tco2e"), F.asc("sector_nace"))),
+          "scope1_facilities": (facility_top(top_fac, year), FACILITY_FIELDS, (F.desc("scope1_tco2e"), F.asc("facility_id"))),
+          "hr_metrics": (hr_metrics(hr, year), None, (F.desc("reporting_year"),))}
+    parts = [summary_for(summary, year, bank_id).select(F.struct("*").alias("ghg_summary")),
+             prior_summary(summary, year, bank_id).select(F.struct("*").alias("prior_year"))]
+    for name, (rows, fields, order) in by.items():
+        ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))   # ten rows at most
+        parts.append(ranked.agg(F.array_sort(F.collect_list(F.struct("rank", *(fields or [c for c in rows.columns])))).alias(name)))
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p, allowMissingColumns=True)
+    one = u.agg(*(F.first(c, ignorenulls=True).alias(c) for c in u.columns))
+    return one.select(F.lit(year).alias("reporting_year"), F.lit(bank_id).alias("bank_id"), "ghg_summary", "prior_year",
+                      *(F.coalesce(n, F.array().cast(one.schema[n].dataType)).alias(n) for n in by))
+
+
+def bundle_rows(bundle: DataFrame) -> DataFrame:
+    """reporting_year, bank_id, part, pos, label, amount, change: the bundle's parts as flat rows."""
+    item = lambda part, pos, label, amount, change: F.struct(
+        F.lit(part).alias("part"), pos.cast("int").alias("pos"), label.cast("string").alias("label"),
+        amount.cast("double").alias("amount"), change.cast("double").alias("change"))
+    of = lambda name, f: F.transform(name, f)
+    year, none = F.col("reporting_year"), F.lit(None)
+    found = F.concat(
+        F.array_compact(F.array(
+            F.when(F.col("ghg_summary").isNotNull(), item("ghg_summary", F.lit(1), year, F.col("ghg_summary.scope1_tco2e"), F.col("ghg_summary.yoy_change_pct"))),
+            F.when(F.col("prior_year").isNotNull(), item("prior_year", F.lit(1), year - 1, F.col("prior_year.scope1_tco2e"), none)))),
+        of("pcaf_sectors", lambda r: item("pcaf_sectors", r["rank"], r["sector_nace"], r["financed_emissions_gross_tco2e"], r["yoy_change_emissions_pct"])),
+        of("scope1_facilities", lambda r: item("scope1_facilities", r["rank"], r["facility_id"], r["scope1_tco2e"], none)),
+        of("hr_metrics", lambda r: item("hr_metrics", r["rank"], r["reporting_year"], r["fte_total"], r["hiring_rate_pct"])))
+    return bundle.select("reporting_year", "bank_id", F.explode(found).alias("r")).select("reporting_year", "bank_id", "r.*")

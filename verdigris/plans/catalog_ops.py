@@ -88,6 +88,15 @@ def q_data_input_bundle(spark, d):
     return serving.data_input_bundle(c.summary(), c.sector, scope1.top_facilities(c.s1), c.inp.hr, YEAR)
 
 
+def q_data_bundle_rows(spark, d):
+    """SRV-08: the nested bundle, written and read back by its schema, as flat rows."""
+    from ..sources import zones
+    from .catalog_sources import zone_root
+    c = core(spark, d)
+    b = serving.data_input(c.summary(), c.sector, scope1.top_facilities(c.s1), c.inp.hr, YEAR)
+    return serving.bundle_rows(zones.read_bundle_json(spark, zones.write_bundle_json(b, f"{zone_root(spark, d)}/bundle"), b.schema))
+
+
 def queries() -> dict:
     return {
         # governance gates
@@ -128,6 +137,7 @@ def queries() -> dict:
         "available_years": lambda s, d: serving.available_years(core(s, d).summary()),
         "typed_values": q_typed_values,
         "data_input_bundle": q_data_input_bundle,
+        "data_bundle_rows": q_data_bundle_rows,
         # dashboard frames
         "total_kpi": lambda s, d: dashboard.total_kpi(core(s, d).summary()),
         "scope_breakdown": lambda s, d: dashboard.breakdown(core(s, d).summary()),

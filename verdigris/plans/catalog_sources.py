@@ -92,10 +92,20 @@ def q_null_months(spark: SparkSession, d: str) -> DataFrame:
     return gates.null_month_gate(inputs(spark, d).energy)
 
 
+def q_observed_rows(spark: SparkSession, d: str) -> DataFrame:
+    """GOV-14: rows observed while each curated table was written, and rows read back."""
+    c, out, found = core(spark, d), batch._Writer(spark, zone_root(spark, d)), None
+    for table, df in (("ghg_scope1", c.s1), ("ghg_scope2", c.s2), ("ghg_scope3_financed", c.s3)):
+        back = out.write(df, "curated", table).agg(F.lit(table).alias("table_name"), F.count(F.lit(1)).alias("rows_read"))
+        back = back.withColumn("rows_written", F.lit(out.rows[table]).cast("long"))
+        found = back if found is None else found.unionByName(back)
+    return found.withColumn("equal", F.col("rows_read") == F.col("rows_written"))
+
+
 def queries() -> dict:
     return {"zone_two_levels": q_zone_two_levels, "zone_one_level": q_zone_one_level, "zone_by_name": q_zone_by_name,
             "zone_rejects": q_zone_rejects, "csv_round_trip": q_csv_round_trip, "json_round_trip": q_json_round_trip,
-            "run_summaries": q_run_summaries, "gate_null_months": q_null_months}
+            "run_summaries": q_run_summaries, "observed_rows": q_observed_rows, "gate_null_months": q_null_months}
 
 
 def _row_text(columns: dict[str, str]) -> str:
@@ -144,6 +154,9 @@ FROM s1_annual WHERE data_quality_score = 4 GROUP BY 1""", ["s1_annual"])
     parts = [f"SELECT '{t}' AS table_name, COUNT(*) AS rows, '{m}' AS measure, {R(f'SUM({m})', 4)} AS total, {R(f'AVG({m})', 6)} AS mean, "
              f"MAX({m}) AS maximum FROM {names.get(t, t)}" for _, t, measures in batch.RUN_MEASURES for m in measures]
     q["run_summaries"] = with_ctes(" UNION ALL ".join(parts), ["ghg_scope1", "ghg_scope2", "ghg_scope3", "ghg_summary_annual"])
+    q["observed_rows"] = with_ctes(" UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, COUNT(*) AS rows_read, COUNT(*) AS rows_written, true AS equal FROM {names.get(t, t)}"
+        for t in ("ghg_scope1", "ghg_scope2", "ghg_scope3_financed")), ["ghg_scope1", "ghg_scope2", "ghg_scope3"])
     q["gate_null_months"] = with_ctes("""
 SELECT facility_id, reporting_year, COUNT(*) FILTER (WHERE electricity_kwh IS NULL) AS null_months
 FROM energy_consumption GROUP BY 1, 2 HAVING COUNT(*) FILTER (WHERE electricity_kwh IS NULL) > 6""", ["energy_consumption"])

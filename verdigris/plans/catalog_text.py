@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..operators import audit, chunks, reports, retrieval, vectors
+from ..operators import audit, chunks, docmeta, reports, retrieval, vectors
+from ..session import materialize
 from ..sources import sections, synth, zones
 from ..sources.fixtures import inputs
 from .catalog_core import core
@@ -14,17 +15,70 @@ PACK_CAP_TOKENS = 500
 FALLBACK_LANG = "en"
 
 
-def _sections(spark, d):
-    c = core(spark, d)
-    return sections.sections_from_documents(c.inp.raw("documents"), c.summary())
+def _summary(spark, d):
+    """The summary as a table of its own: a query that audits derives it once, for sections and metrics alike."""
+    return materialize(core(spark, d).summary(), "audit-summary")
+
+
+def _sections(spark, d, summary=None):
+    return sections.sections_from_documents(inputs(spark, d).raw("documents"), summary or _summary(spark, d))
+
+
+def _parsed(spark, d, summary=None):
+    return audit.parse_sections(_sections(spark, d, summary))
+
+
+def _with_metrics(of, made):
+    """A query of (sections or what ``of`` makes of them, metrics), both from one summary."""
+    def run(spark, d):
+        summary = _summary(spark, d)
+        return made(of(spark, d, summary), sections.report_metrics(summary))
+    return run
+
+
+def _outcomes(spark, d):
+    return _with_metrics(_sections, audit.audit)(spark, d)
+
+
+def _claims(matched: bool):
+    """VA-12: the claims of all sections with (semi) or without (anti) an allowed value in reach."""
+    def made(parsed, metrics):
+        claims = audit.extract_claims(parsed, "section_key", "all_text").where("value IS NOT NULL")
+        keyed = claims.join(parsed.select("section_key", "metrics_key"), "section_key")
+        found = audit.tolerance_matched(keyed, metrics)
+        return found.where(F.col("matched") == matched).select("section_key", "claim_no", "raw", "value", "unit")
+    return _with_metrics(_parsed, made)
 
 
-def _parsed(spark, d):
-    return audit.parse_sections(_sections(spark, d))
+def _section_placeholders(spark, d):
+    """VA-25: placeholders left in the sections' texts."""
+    hits = audit.prohibited_hits(_parsed(spark, d), "section_key", "all_text")
+    return hits.where("rule = 'VAL-PLACEHOLDER'").select("section_key", F.col("hits").cast("int").alias("hits"), "sample")
 
 
-def _metrics(spark, d):
-    return sections.report_metrics(core(spark, d).summary())
+def _section_disclosures(spark, d):
+    s = _parsed(spark, d).withColumn("framework", audit.framework_of("section_id"))
+    return reports.section_disclosures(s, reports.nested_disclosures(spark))
+
+
+#: A filter as a knowledge base takes it: either framework, some categories, one of two languages, no numeric data.
+FILTER = {"framework": ("GRI_305", "IFRS_S2"), "language": ("en", "de"), "contains_numeric_data": ("false",)}
+
+
+def _allowed(spark, d):
+    docs = inputs(spark, d).raw("documents")
+    return materialize(docmeta.allowed(docmeta.bitmaps(docmeta.doc_meta(docs)), FILTER), "doc-allowed")
+
+
+def q_filtered_documents(spark, d):
+    """KB-02: the documents that pass the filter, by their bits."""
+    return docmeta.passing(docmeta.doc_meta(inputs(spark, d).raw("documents")), _allowed(spark, d)).select("doc_id", "language", "category", "framework")
+
+
+def q_bm25_filtered_chunks_top5(spark, d):
+    """KB-02 / KB-04: keyword search over the chunks of documents that pass the filter."""
+    index = _chunk_index(spark, d)
+    return chunks.bm25_topk(chunks.search(_benchmark_queries(spark, d), index, 5, allowed=_allowed(spark, d)), index, 5)
 
 
 def _benchmark_queries(spark, d):
@@ -168,10 +222,13 @@ def q_table_fingerprint(spark, d):
 
 
 def q_bundle_digest(spark, d):
-    from .catalog_ops import q_data_input_bundle
-    b = q_data_input_bundle(spark, d)
-    return b.select("reporting_year", "bank_id",
-                    zones.payload_digest(F.struct(*[c for c in b.columns if c.endswith("_json")])).alias("digest"))
+    """SRC-12: 16 hex digits over the bundle's flat rows, in their order."""
+    from .catalog_ops import q_data_bundle_rows
+    rows = q_data_bundle_rows(spark, d)
+    text = zones.row_text(rows.select("part", "pos", "label", "amount", "change"))
+    lines = F.sort_array(F.collect_list(F.struct("part", "pos", text.alias("text"))))   # a few top-k lists
+    return rows.groupBy("reporting_year", "bank_id").agg(
+        F.substring(F.sha2(F.array_join(F.transform(lines, lambda x: x["text"]), "\n"), 256), 1, 16).alias("digest"))
 
 
 def queries() -> dict:
@@ -180,11 +237,16 @@ def queries() -> dict:
         "audit_structure": lambda s, d: audit.section_structure(_parsed(s, d)),
         "audit_claims": lambda s, d: audit.extract_claims(_parsed(s, d), "section_key", "all_text"),
         "audit_claims_strict": lambda s, d: audit.extract_claims(_parsed(s, d), "section_key", "all_text", True),
-        "audit_numeric": lambda s, d: audit.numeric_findings(_parsed(s, d), _metrics(s, d)),
+        "audit_numeric": _with_metrics(_parsed, audit.numeric_findings),
         "audit_prohibited": lambda s, d: audit.prohibited_findings(_parsed(s, d)),
-        "audit_outcome": lambda s, d: audit.audit(_sections(s, d), _metrics(s, d)),
-        "audit_included": lambda s, d: audit.included_summary(audit.audit(_sections(s, d), _metrics(s, d))),
-        "audit_unmatched": lambda s, d: audit.failure_detail(audit.numeric_findings(_parsed(s, d), _metrics(s, d))),
+        "audit_outcome": _outcomes,
+        "audit_included": lambda s, d: audit.included_summary(_outcomes(s, d)),
+        "audit_unmatched": _with_metrics(_parsed, lambda p, m: audit.failure_detail(audit.numeric_findings(p, m))),
+        "audit_unmatched_first10": _with_metrics(_parsed, lambda p, m: audit.failure_detail(audit.numeric_findings(p, m), 10)),
+        "tolerance_semi": _claims(True),
+        "tolerance_anti": _claims(False),
+        "section_placeholders": _section_placeholders,
+        "section_disclosures": _section_disclosures,
         "audit_footnotes": lambda s, d: audit.footnote_index(_sections(s, d)),
         "audit_footnote_places": lambda s, d: audit.footnote_places(_sections(s, d)),
         # text rules on whole documents and conversations
@@ -199,6 +261,8 @@ def queries() -> dict:
         "doc_windows": lambda s, d: retrieval.chunk(inputs(s, d).raw("documents")),
         "bm25_chunks_top5": q_bm25_chunks_top5,
         "bm25_chunk_blocks": q_bm25_chunk_blocks,
+        "filtered_documents": q_filtered_documents,
+        "bm25_filtered_chunks_top5": q_bm25_filtered_chunks_top5,
         "chunk_context": q_chunk_context,
         "chunk_context_text": lambda s, d: retrieval.context_text(q_chunk_context(s, d)),
         "bm25_top5": q_bm25_top5,
@@ -221,17 +285,18 @@ def queries() -> dict:
         "target_pathway": lambda s, d: reports.target_pathway(_wide(s, d)),
         "kpi_cards": lambda s, d: reports.kpi_cards(_long(s, d)),
         "portfolio_composition": lambda s, d: reports.portfolio_composition(inputs(s, d).loans),
+        "portfolio_by_asset_class": lambda s, d: reports.portfolio_by_asset_class(inputs(s, d).loans),
+        "what_if_gap": lambda s, d: reports.what_if_gap(inputs(s, d).loans),
         "score_what_if": lambda s, d: reports.score_what_if(inputs(s, d).loans),
         "score_concentration": lambda s, d: reports.score_concentration(inputs(s, d).loans),
         "imputation_note": lambda s, d: reports.imputation_note(core(s, d).s1),
         "peer_gap": lambda s, d: reports.peer_gap(_long(s, d), inputs(s, d).peers),
-        "compliance_matrix": lambda s, d: reports.compliance_matrix(
-            s, audit.audit(_sections(s, d), _metrics(s, d))),
+        "compliance_matrix": lambda s, d: reports.compliance_matrix(s, _outcomes(s, d)),
         "section_order": lambda s, d: audit.section_order(
             _parsed(s, d).withColumn("framework", audit.framework_of("section_id"))),
         "section_summary_context": lambda s, d: audit.summary_context(_parsed(s, d)),
         "audit_provenance": lambda s, d: audit.provenance_check(_parsed(s, d)),
-        "audit_claim_mapping": lambda s, d: audit.claim_metric_mapping(_parsed(s, d), _metrics(s, d)),
+        "audit_claim_mapping": _with_metrics(_parsed, audit.claim_metric_mapping),
         # sources
         "partition_presence": q_partition_presence,
         "data_freshness": lambda s, d: zones.freshness(inputs(s, d).raw("lineitem"), "lineitem").unionByName(

@@ -15,9 +15,8 @@ from .sqltext import fragment, with_ctes
 
 WHITE = ", ".join(f"{float(x)!r}" for x in [*range(2020, 2031), 2035, 2050, 2060, 29.8, 273, 1, 1.5, 2, 3, 4, 5, 0.45, 0.6, 0.75, 0.9, 100, 0, 0.7886])
 
-fragment("sec_n", f"SELECT CAST(unnest(range(0, {sections.SLOTS})) AS INTEGER) AS slot")
-fragment("sec_slots", sections.slots_sql("ghg_summary_annual", "sec_n"), ["ghg_summary_annual", "sec_n"])
-fragment("sec_raw", sections.sections_sql("documents", "sec_slots", "CAST(to_json({text}) AS VARCHAR)"), ["sec_slots"])
+fragment("sec_slots", sections.slots_sql("ghg_summary_annual"), ["ghg_summary_annual"])
+fragment("sec_raw", sections.sections_sql("documents", "sec_slots", "CAST(to_json({text}) AS VARCHAR)", "(SELECT count(*) FROM sec_slots)"), ["sec_slots"])
 fragment("sec_long", " UNION ALL ".join(f"SELECT metric_key, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM ghg_summary_annual" for m in sections.METRICS),
          ["ghg_summary_annual"])
 fragment("sec_metrics", sections.METRICS_SQL.format(long="sec_long"), ["sec_long"])
@@ -179,6 +178,15 @@ def oracles() -> dict[str, str]:
          "audit_footnote_places": with_ctes("""
 SELECT n.metrics_key, n.section_key, string_agg(CAST(f.footnote_no AS VARCHAR), ',' ORDER BY n.pos, f.footnote_no) AS footnote_nos
 FROM sec_notes n JOIN sec_numbered f ON f.metrics_key = n.metrics_key AND f.footnote = n.footnote GROUP BY 1, 2""", ["sec_notes", "sec_numbered"])}
+    q["audit_unmatched_first10"] = with_ctes("""
+SELECT * FROM sec_numeric WHERE rule = 'VAL-NUM-01'
+QUALIFY row_number() OVER (PARTITION BY section_key ORDER BY detail) <= 10""", ["sec_numeric"])
+    near = "EXISTS (SELECT 1 FROM sec_allowed a WHERE a.metrics_key = c.metrics_key AND abs(a.a - c.value) <= 1e-3)"
+    for name, what in (("tolerance_semi", near), ("tolerance_anti", f"NOT {near}")):
+        q[name] = with_ctes(f"SELECT section_key, claim_no, raw, value, unit FROM sec_claims c WHERE value IS NOT NULL AND {what}", ["sec_claims", "sec_allowed"])
+    q["section_placeholders"] = with_ctes(r"""
+SELECT section_key, CAST(len(h) AS INTEGER) AS hits, h[1] AS sample
+FROM (SELECT section_key, regexp_extract_all(all_text, '\{[a-z_]+\}') AS h FROM sec_parsed) x WHERE len(h) > 0""", ["sec_parsed"])
     order = ", ".join(f"('{f}', '{t}', {i})" for f, ts in _ORDER.items() for i, t in enumerate(ts))
     framework = "CASE " + " ".join(f"WHEN starts_with(section_id, '{f}_') THEN '{f}'" for f in _ORDER if f != "MULTI_FRAMEWORK") + " ELSE 'MULTI_FRAMEWORK' END"
     q["section_order"] = with_ctes(f"""
@@ -224,6 +232,21 @@ SELECT * FROM rq_own UNION ALL
 SELECT s.section_type, s.framework, s.section_key, r.query_id, r.cap
 FROM rq_sections s JOIN rq_routes r ON r.section_type = s.section_type AND r.framework IS NULL
 WHERE s.section_key NOT IN (SELECT section_key FROM rq_own)""", ["rq_sections", "rq_routes", "rq_own"])
+    refs = [("Scope 1 Emissions", "scope1", ["305-1 (a-g)", "Para 29(a)(i)", "DR E1-6 §44", "Lampiran II.A.1"]),
+            ("Scope 2 Emissions", "scope2", ["305-2 (a-e)", "Para 29(a)(ii)", "DR E1-6 §47-48", "Lampiran II.A.2"]),
+            ("Scope 3 / Financed", "scope3_pcaf", ["305-3 (a-f)", "Para 29(a)(iv)", "DR E1-6 §51-54", "Lampiran II.A.3"]),
+            ("Intensity", "intensity", ["305-4 (a-d)", "Para 29(b)", "DR E1-6 §55-56", "Lampiran II.B"]),
+            ("Reduction Targets", "targets", ["305-5 (a-e)", "Para 33-36", "DR E1-4 §34-42", "Lampiran II.C"]),
+            ("Governance", "governance", [None, "Para 5-9", "ESRS 2 GOV-1", "Lampiran I"]),
+            ("Transition Plan", "transition", [None, "Para 14-15", "DR E1-1 §14-19", "Lampiran III"]),
+            ("Social Metrics", "social", ["401/404/405/406", None, "ESRS S1", "Lampiran IV"])]
+    flat = ", ".join(f"('{r}', '{t}', '{fw}', '{x}')" for r, t, xs in refs for fw, x in zip(_COLUMNS, xs) if x)
+    own = "CASE framework WHEN 'GRI_305' THEN 'GRI 305' WHEN 'IFRS_S2' THEN 'IFRS S2' WHEN 'CSRD_ESRS_E1' THEN 'ESRS E1' WHEN 'OJK_PSPK' THEN 'OJK PSPK' END"
+    q["section_disclosures"] = with_ctes(f"""
+SELECT s.section_key, d.requirement, d.framework, d.disclosure_id
+FROM (SELECT section_key, section_type, {own} AS own FROM rq_sections) s
+JOIN (VALUES {flat}) d(requirement, section_type, framework, disclosure_id)
+  ON d.section_type = s.section_type AND (s.own IS NULL OR s.own = d.framework)""", ["rq_sections"])
     rows = ", ".join(f"('{r}', '{t}', " + ", ".join("true" if f == "1" else "false" for f in has) + ")" for r, t, has in _DISCLOSED)
     cell = lambda i: (f"CASE WHEN NOT d.f{i} THEN 'n/a' WHEN s.level = 2 THEN 'disclosed' WHEN s.level = 1 THEN 'partial' ELSE 'gap' END "
                       f"AS \"{_COLUMNS[i]}\"")

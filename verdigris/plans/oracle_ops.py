@@ -180,6 +180,21 @@ SELECT reporting_year, fte_total, fte_female_pct, fte_management_female_pct, new
        CAST({R('CAST(fte_total AS DOUBLE) * (fte_female_pct / 100e0)', 0)} AS INTEGER) AS female_headcount,
        CAST({R('CAST(fte_total AS DOUBLE) * (1e0 - fte_female_pct / 100e0)', 0)} AS INTEGER) AS male_headcount
 FROM hr_metrics WHERE reporting_year IN ({Y}, {Y - 1})""", ["hr_metrics"])
+    bundle = with_ctes(f"""
+SELECT {Y} AS reporting_year, '{C.BANK_ID}' AS bank_id, x.* FROM (
+  SELECT 'ghg_summary' AS part, 1 AS pos, '{Y}' AS label, scope1_tco2e AS amount, yoy_change_pct AS change FROM ghg_summary_annual WHERE reporting_year = {Y} AND {bank}
+  UNION ALL SELECT 'prior_year', 1, '{Y - 1}', scope1_tco2e, NULL FROM ghg_summary_annual WHERE reporting_year = {Y - 1} AND {bank}
+  UNION ALL SELECT 'pcaf_sectors', CAST(row_number() OVER (ORDER BY financed_emissions_gross_tco2e DESC, sector_nace) AS INTEGER), sector_nace,
+                   financed_emissions_gross_tco2e, yoy_change_emissions_pct FROM pcaf_by_sector WHERE reporting_year = {Y} QUALIFY row_number() OVER (ORDER BY financed_emissions_gross_tco2e DESC, sector_nace) <= 10
+  UNION ALL SELECT 'scope1_facilities', CAST(row_number() OVER (ORDER BY scope1_tco2e DESC, facility_id) AS INTEGER), facility_id, scope1_tco2e, NULL
+            FROM top_fac WHERE reporting_year = {Y} QUALIFY row_number() OVER (ORDER BY scope1_tco2e DESC, facility_id) <= 10
+  UNION ALL SELECT 'hr_metrics', CAST(row_number() OVER (ORDER BY reporting_year DESC) AS INTEGER), CAST(reporting_year AS VARCHAR), CAST(fte_total AS DOUBLE),
+                   {R('CAST(new_hire_count AS DOUBLE) / CAST(fte_total AS DOUBLE) * 100e0', 2)} FROM hr_metrics WHERE reporting_year IN ({Y}, {Y - 1})) x""",
+                       ["ghg_summary_annual", "pcaf_by_sector", "top_fac", "hr_metrics"])
+    q["data_bundle_rows"] = bundle
+    six = lambda c: f"coalesce(CAST(CAST(CAST({c} AS VARCHAR) AS DECIMAL(38,6)) AS VARCHAR), '~')"
+    q["bundle_digest"] = (f"SELECT reporting_year, bank_id, substr(sha256(string_agg(part || '|' || pos || '|' || label || '|' || {six('amount')} || '|' || {six('change')}, "
+                          f"chr(10) ORDER BY part, pos)), 1, 16) AS digest FROM ({bundle}) b GROUP BY 1, 2")
     q["hr_yoy"] = with_ctes(f"""
 SELECT c.reporting_year,
        {R('CASE WHEN CAST(p.fte_total AS DOUBLE) <> 0 THEN (CAST(c.fte_total AS DOUBLE) - CAST(p.fte_total AS DOUBLE)) / CAST(p.fte_total AS DOUBLE) * 100e0 END', 2)} AS yoy_headcount_change_pct,

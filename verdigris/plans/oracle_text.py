@@ -322,6 +322,40 @@ FROM (SELECT reporting_year, loan_type, COUNT(*) AS loans,
              COUNT(*) FILTER (WHERE reject_reason IS NOT NULL) AS excluded_loans,
              COALESCE(string_agg(DISTINCT reject_reason, ',' ORDER BY reject_reason), '') AS exclusion_reasons
       FROM s3_checked GROUP BY 1, 2) g""", ["s3_checked"])
+    reasons = ("ev_null", "ev_nonpositive", "emissions_null", "emissions_nonpositive")
+    held = ", ".join(f"COUNT(*) FILTER (WHERE reject_reason = '{x}') AS excluded_{x}" for x in reasons)
+    q["portfolio_by_asset_class"] = with_ctes(f"""
+SELECT reporting_year, asset_class, loan_type, level, loans, {R('CAST(o AS DOUBLE) / 1e12', 6)} AS outstanding_idr_trillion,
+       {R('CAST(o AS DOUBLE) / CAST(MAX(CASE WHEN level = 3 THEN o END) OVER (PARTITION BY reporting_year) AS DOUBLE) * 100', 2)} AS pct_of_portfolio,
+       {R('CAST(inc AS DOUBLE) / CAST(o AS DOUBLE) * 100', 2)} AS pct_included, {", ".join(f"excluded_{x}" for x in reasons)}
+FROM (SELECT reporting_year, asset_class, loan_type, CAST(GROUPING(reporting_year, asset_class, loan_type) AS INTEGER) AS level, COUNT(*) AS loans,
+             SUM(CAST(outstanding_idr AS DECIMAL(38,0))) AS o,
+             SUM(CASE WHEN reject_reason IS NULL THEN CAST(outstanding_idr AS DECIMAL(38,0)) ELSE 0 END) AS inc, {held}
+      FROM (SELECT *, CASE loan_type WHEN 'project_finance' THEN 'Project Finance' WHEN 'mortgage' THEN 'Retail Mortgages'
+                                     WHEN 'term_loan' THEN 'Business Loans' WHEN 'revolving_credit' THEN 'Business Loans'
+                                     WHEN 'syndicated_loan' THEN 'Business Loans' WHEN 'leasing' THEN 'Business Loans' ELSE 'Other' END AS asset_class
+            FROM s3_checked) c
+      GROUP BY GROUPING SETS ((reporting_year, asset_class, loan_type), (reporting_year, asset_class), (reporting_year))) g""", ["s3_checked"])
+    q["what_if_gap"] = with_ctes(f"""
+SELECT reporting_year, {R('(1e0 - SUM(g * confidence_factor) / SUM(g)) * 100', 4)} AS confidence_gap_pct,
+       {R('(1e0 - SUM(g * CASE WHEN top AND pcaf_data_quality_score = 4e0 THEN 7.5e-1 ELSE confidence_factor END) / SUM(g)) * 100', 4)} AS projected_gap_pct
+FROM (SELECT l.*, financed_emissions_loan_tco2e AS g, t.borrower_id IS NOT NULL AS top FROM s3_loan l
+      LEFT JOIN (SELECT reporting_year, borrower_id FROM loan_portfolio WHERE record_status = 'validated' GROUP BY 1, 2
+                 QUALIFY ROW_NUMBER() OVER (PARTITION BY reporting_year ORDER BY SUM(CAST(outstanding_idr AS DOUBLE)) DESC, borrower_id) <= 50) t
+        ON t.reporting_year = l.reporting_year AND t.borrower_id = l.borrower_id) x GROUP BY 1""", ["s3_loan", "loan_portfolio"])
+    fragment("doc_filtered", """
+SELECT doc_id, lang AS language, source AS category, ['GRI_305', 'IFRS_S2', 'CSRD_ESRS_E1', 'OJK_PSPK'][CAST(doc_id % 4 AS INTEGER) + 1] AS framework
+FROM documents WHERE doc_id % 4 IN (0, 1) AND lang IN ('en', 'de') AND NOT coalesce(regexp_matches(text, '[0-9]'), false)""")
+    q["filtered_documents"] = with_ctes("SELECT * FROM doc_filtered", ["doc_filtered"])
+    q["bm25_filtered_chunks_top5"] = with_ctes(f"""
+SELECT query_id, doc_id, chunk_no, rank, score FROM (
+  SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_no) AS INTEGER) AS rank
+  FROM (SELECT query_id, doc_id, chunk_no, {R('SUM(part)', 6)} AS score FROM (
+          SELECT qt.query_id, p.doc_id, p.chunk_no,
+                 i.idf * p.tf * 2.2e0 / (p.tf + 1.2e0 * (2.5e-1 + 7.5e-1 * p.dl / (SELECT avgdl FROM bc_stats))) AS part
+          FROM bm_qt qt JOIN bc_post p ON p.term = qt.term JOIN bc_idf i ON i.term = qt.term
+          WHERE p.doc_id IN (SELECT doc_id FROM doc_filtered)) x
+        GROUP BY query_id, doc_id, chunk_no) s) r WHERE rank <= 5""", ["bm_qt", "bc_post", "bc_idf", "bc_stats", "doc_filtered"])
     q["score_what_if"] = with_ctes(f"""
 SELECT reporting_year,
        {R('SUM(o * pcaf_data_quality_score) / SUM(o)', 4)} AS weighted_score,

@@ -7,7 +7,7 @@ references follow from the same figures. Thirteen variants by document id
 plant the faults that the audit looks for: a figure off by a tenth, a changed
 percentage, a wrong intensity, a table figure the text doesn't have, banned
 wording, missing keys, a ragged table, broken JSON, and drafts whose own
-metrics contradict each other; variants 0 and 1 have none.
+metrics contradict each other, placeholders that nothing has replaced; variant 0 has none.
 
 The generator is SQL text that runs in Spark and in DuckDB alike (the one
 difference is how a string becomes JSON), so both start from the same JSON.
@@ -26,7 +26,6 @@ FRAMEWORKS = ("GRI_305", "IFRS_S2", "CSRD_ESRS_E1", "OJK_PSPK", "UNIFIED")
 TYPE_PARTS = ("SCOPE1", "SUMMARY", "SCOPE2", "SCOPE3_PCAF", "INTENSITY", "REDUCTION", "S3_SUPPLY", "SOCIAL", "GOVERNANCE",
               "TARGETS", "MATERIALITY", "ANNEX")
 VARIANTS = 13
-SLOTS = 420
 
 #: Metrics that a section may be asked about.
 METRICS = ("scope1_tco2e", "scope1_natgas_tco2e", "scope1_diesel_tco2e", "scope2_location_tco2e", "scope2_market_tco2e",
@@ -55,7 +54,7 @@ SELECT d.doc_id AS k, d.text AS doc_text, s.reporting_year AS y, s.metric_key,
        coalesce({_fixed('s.yoy_change_pct', 2)}, '') AS yoy,
        {_fixed('(s.scope1_tco2e * 1.1e0)', 3)} AS s1_off,
        {_fixed('(s.intensity_tco2e_per_idr_bn + 1e0)', 6)} AS per_idr_off
-FROM {{documents}} d JOIN {{slots}} s ON s.slot = CAST(d.doc_id % {SLOTS} AS INT)
+FROM {{documents}} d JOIN {{slots}} s ON s.slot = CAST(d.doc_id % {{years}} AS INT)
 """
 
 _SENTENCES = """
@@ -75,6 +74,7 @@ SELECT f.*,
   || CASE v WHEN 3 THEN ' We present our results as a world-class effort.'
             WHEN 6 THEN ' The total was calculated as a sum, divided by sites.'
             WHEN 11 THEN ' According to the registry, see https://example.org/data for more.'
+            WHEN 1 THEN ' The figures are in {{figure_table}} and {{annex_note}}.'
             WHEN 12 THEN ' Some 61.37 % of sites took part.'
             WHEN 0 THEN ' KEY INSIGHT: the figures above are final.' ELSE '' END AS said,
   CASE WHEN part IN ('SCOPE1', 'SUMMARY') THEN CASE WHEN v = 2 THEN s1_off ELSE s1 END WHEN part = 'SCOPE2' THEN s2l
@@ -105,32 +105,28 @@ FROM ({sentences}) s
 """
 
 
-def sections_sql(documents: str, slots: str, quoted: str) -> str:
-    """The generator over named tables; ``quoted`` makes a JSON string of {text}."""
-    facts = _FACTS.format(documents=documents, slots=slots)
+def sections_sql(documents: str, slots: str, quoted: str, years: str) -> str:
+    """The generator over named tables; ``quoted`` makes a JSON string of {text}, ``years`` is the number of bank-years."""
+    facts = _FACTS.format(documents=documents, slots=slots, years=years)
     return _JSON.format(sentences=_SENTENCES.format(facts=facts), quoted=quoted.format(text="coalesce(doc_text, '') || ' ' || said"))
 
 
-def slots_sql(summary: str, numbers: str) -> str:
-    """One row per document slot: each bank-year takes every n-th. ``numbers``: a table of slot 0..SLOTS-1."""
-    return (f"SELECT n.slot, s.* FROM (SELECT *, row_number() OVER (ORDER BY metric_key) - 1 AS i, count(*) OVER () AS n FROM {summary}) s "
-            f"JOIN {numbers} n ON n.slot % s.n = s.i")
+def slots_sql(summary: str) -> str:
+    """The bank-years, numbered from 0; a document takes the one that its id leaves as remainder."""
+    return f"SELECT CAST(row_number() OVER (ORDER BY metric_key) - 1 AS INT) AS slot, * FROM {summary}"
 
 
 def sections_from_documents(docs: DataFrame, summary: DataFrame) -> DataFrame:
     """section_key, metrics_key, retry_count, section_id, content_json of every document.
 
-    The slot table (``SLOTS`` rows, however many bank-years there are) is joined by broadcast.
+    ``summary`` should be a stored table, as it is counted first. Every bank-year has sections, however many there are.
     """
     spark = docs.sparkSession
-    order = Window.partitionBy(F.lit(0)).orderBy("metric_key")   # one row per bank and year
-    years = summary.withColumns({"i": F.row_number().over(order) - 1, "n": F.count("*").over(Window.partitionBy(F.lit(0)))})
-    slots = (years.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1)))).where("slot % n = i")
-             .withColumn("slot", F.col("slot").cast("int")))
-    sql = sections_sql("@docs", "@slots", "substr(to_json(array({text})), 2, length(to_json(array({text}))) - 2)")
+    slots = summary.withColumn("slot", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("metric_key")) - 1)   # one row per bank and year
+    sql = sections_sql("@docs", "@slots", "substr(to_json(array({text})), 2, length(to_json(array({text}))) - 2)", str(max(1, summary.count())))
     for plain, named in (("{", "{{"), ("}", "}}"), ("@docs", "{docs}"), ("@slots", "{slots}")):
         sql = sql.replace(plain, named)
-    return settled(spark.sql(sql, docs=docs.select("doc_id", "text"), slots=F.broadcast(slots)))
+    return settled(spark.sql(sql, docs=docs.select("doc_id", "text"), slots=slots))
 
 
 METRICS_SQL = """
