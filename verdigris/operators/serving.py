@@ -27,8 +27,8 @@ FACILITY_FIELDS = ["facility_id", "scope1_tco2e", "scope1_natgas_tco2e", "scope1
 
 
 def _bank(bank_id: str):
-    # D-08: a literal prefix test; LIKE would treat '_' in the bank id as a wildcard
-    return F.col("metric_key").startswith(F.lit(bank_id + "_"))
+    """Rows of exactly this bank: a key is the bank's id, an underscore and the year (D-08: no LIKE, and no prefix that a longer id shares)."""
+    return F.col("metric_key") == F.concat(F.lit(bank_id + "_"), F.col("reporting_year").cast("string"))
 
 
 def summary_for(summary: DataFrame, year: int, bank_id: str = C.BANK_ID) -> DataFrame:
@@ -40,8 +40,8 @@ def summary_for_sql(spark, summary: DataFrame, year: int, bank_id: str = C.BANK_
     """SRV-01 through the SQL API: named parameters instead of formatted strings (D-08)."""
     return spark.sql(
         "SELECT " + ", ".join(SUMMARY_FIELDS) + " FROM {summary} "
-        "WHERE reporting_year = :year AND startswith(metric_key, :prefix)",
-        args={"year": year, "prefix": bank_id + "_"}, summary=summary)
+        "WHERE reporting_year = :year AND metric_key = :key",
+        args={"year": year, "key": f"{bank_id}_{year}"}, summary=summary)
 
 
 def prior_summary(summary: DataFrame, year: int, bank_id: str = C.BANK_ID) -> DataFrame:

@@ -155,5 +155,5 @@ def summary_by_name(catalog: Catalog, year: int, bank_id: str) -> DataFrame:
     """SRC-03 / SRV-01 through SQL by table name, with named parameters (no string formatting)."""
     return catalog.spark.sql(
         "SELECT metric_key, scope1_tco2e, scope2_location_tco2e, scope2_market_tco2e, scope3_cat15_gross_tco2e, "
-        "yoy_change_pct FROM IDENTIFIER(:table) WHERE reporting_year = :year AND startswith(metric_key, :prefix)",
-        args={"table": catalog.name("aggregated", "ghg_summary_annual"), "year": year, "prefix": bank_id + "_"})
+        "yoy_change_pct FROM IDENTIFIER(:table) WHERE reporting_year = :year AND metric_key = :key",
+        args={"table": catalog.name("aggregated", "ghg_summary_annual"), "year": year, "key": f"{bank_id}_{year}"})
