@@ -23,7 +23,7 @@ HEADLINE = [
     "scope1_top_facilities", "yoy_by_measure", "gates_scope1", "gates_agg", "dq_ranges", "dq_profile",
     "sector_top10", "hr_yoy", "waterfall", "run_log_rollup", "run_log_latest",
     "audit_outcome", "doc_numeric_claims", "doc_prohibited_hits", "doc_chunks", "bm25_index", "bm25_top5",
-    "vector_top5", "hybrid_top5", "retrieval_with_fallback", "retrieval_stats", "context_pack", "context_text", "indicator_table",
+    "vector_top5", "vector_ids_top5", "bm25_chunks_top5", "tolerance_anti", "hybrid_top5", "retrieval_with_fallback", "retrieval_stats", "context_pack", "context_text", "indicator_table",
 ]
 #: Timed a second time over the zones that the batch refresh has written, as a dashboard reads them.
 SERVED = ["summary_for_year", "prior_year_summary", "sector_top10", "facility_top10", "hr_yoy"]

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import dround
-from ..session import shared_dir
+from ..session import materialize, shared_dir
 
 # FIXED VALUES: retrieval parameters of the reference
 CHUNK_TOKENS = 300
@@ -67,9 +67,10 @@ class Index:
     """Stored postings of a corpus: who holds a term and how often, how many hold it, and the corpus's size.
 
     postings: bucket, term, key, dl, tf and the metadata columns; terms: bucket,
-    term, metadata, df; stats: n_docs, avgdl. Postings and terms are laid out by
-    ``bucket``, a hash of the term, so a query reads its terms' buckets only; a
-    term that very many documents hold is spread over files like any other rows.
+    term, metadata, df; stats: n_docs, avgdl, buckets. Postings and terms are laid out
+    by ``bucket``, a hash of the term, and in the order of terms inside it, so a query reads its terms'
+    buckets only, and of these the row groups that can hold them; a term that very many
+    documents hold is spread over files like any other rows.
     """
 
     postings: DataFrame
@@ -79,11 +80,12 @@ class Index:
     meta: tuple[str, ...]
 
 
-INDEX_BUCKETS = 64
+#: Bytes of text to an index bucket: the number of buckets grows with the corpus.
+BUCKET_BYTES = 32 << 20
 
 
-def _bucket(term) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(INDEX_BUCKETS)).cast("int")
+def _bucket(term, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 def write_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", meta: tuple[str, ...] = ("lang",)) -> None:
@@ -92,17 +94,19 @@ def write_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
     Each build has a folder of its own, never written to again; it counts once its last table is complete.
     """
     path = f"{path}/build-{uuid.uuid4().hex}"
+    buckets = 1 + (docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0) // BUCKET_BYTES
     toks = docs.select(key, *meta, F.regexp_extract_all(F.lower(F.col(text)), F.lit(TOKEN), 0).alias("toks"))
     post = (toks.select(key, *meta, F.size("toks").alias("dl"), F.explode_outer("toks").alias("term"))
-            .groupBy(key, *meta, "dl", "term").agg(F.count(F.lit(1)).alias("tf")).withColumn("bucket", _bucket("term")))
+            .groupBy(key, *meta, "dl", "term").agg(F.count(F.lit(1)).alias("tf")).withColumn("bucket", _bucket("term", buckets)))
     # documents without a term keep one row (bucket NULL), for the corpus's size
-    post.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{path}/postings")
+    post.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
     post = docs.sparkSession.read.parquet(f"{path}/postings")
     (post.where("term IS NOT NULL").groupBy("bucket", "term", *meta).agg(F.count(F.lit(1)).alias("df"))
-     .hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{path}/terms"))
+     .hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms"))
     # one row per document and length is enough for both figures
     per_doc = post.groupBy(key, *meta).agg(F.max("dl").alias("dl"))
-    (per_doc.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.greatest("dl", F.lit(0))).alias("avgdl"))
+    (per_doc.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.greatest("dl", F.lit(0))).alias("avgdl"),
+                 F.lit(buckets).cast("int").alias("buckets"))
      .write.parquet(f"{path}/stats"))
 
 
@@ -125,7 +129,7 @@ def read_index(spark: SparkSession, path: str, key: str = "doc_id", meta: tuple[
     return Index(post.where("term IS NOT NULL"), terms_, stats, key, meta)
 
 
-def index_path(docs: DataFrame, kind: str = "bm25") -> str:
+def index_path(docs: DataFrame, kind: str = "bm25-sorted") -> str:
     """Where an index of a stored table is kept: a folder of the shared one, named by the table's files as they are now.
 
     A file counts by its name, length and modification time, so a replaced one
@@ -172,12 +176,13 @@ def bm25_candidates(queries: DataFrame, index: Index, k: int = TOP_K, keys: tupl
     keys = list(keys)
     shown = [c for c in queries.columns if c not in (*keys, text)]
     qt = queries.select(*keys, *shown, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TOKEN), 0))).alias("term"))
-    qt = qt.withColumn("bucket", _bucket("term"))
-    size = index.stats.first()   # one stored row of two numbers
+    size = index.stats.first()   # one stored row of three numbers
+    qt = qt.withColumn("bucket", _bucket("term", size.buckets))
     n_docs, avgdl = F.lit(size.n_docs), F.lit(size.avgdl)
     weighed = (qt.join(index.terms, ["bucket", "term"]).groupBy(*keys, *shown, "bucket", "term").agg(F.sum("df").alias("df"))
                .withColumn("idf", F.log(F.lit(1.0) + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)))
                .withColumn("common", F.col("df") > n_docs * COMMON_SHARE))
+    weighed = materialize(weighed, "bm25-terms")   # this and what follows are read several times, and computed once
 
     def scored(terms_: DataFrame, among: DataFrame | None = None) -> DataFrame:
         part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
@@ -187,12 +192,12 @@ def bm25_candidates(queries: DataFrame, index: Index, k: int = TOP_K, keys: tupl
             held = among.select(*keys, key).join(terms_, keys).join(index.postings, ["bucket", "term", key])
         return held.where(seen).groupBy(*keys, key).agg(F.sum(part).alias("score"))
 
-    rare = scored(weighed.where("NOT common"))
+    rare = materialize(scored(weighed.where("NOT common")), "bm25-rare")
     best = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc(key))
     theta = (rare.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).groupBy(*keys)
              .agg(F.when(F.count(F.lit(1)) >= k, F.min("score") - margin).alias("theta")))
     bounds = weighed.groupBy(*keys).agg(F.sum(F.when(F.col("common"), F.col("idf") * (k1 + 1)).otherwise(F.lit(0.0))).alias("more"))
-    bounds = bounds.join(theta, keys, "left")
+    bounds = materialize(bounds.join(theta, keys, "left"), "bm25-bounds")
     split, whole = bounds.where("more < theta"), bounds.where("theta IS NULL OR more >= theta")
     able = rare.join(split, keys).where(F.col("score") + F.col("more") >= F.col("theta")).select(*keys, key, "score")
     added = scored(weighed.where("common"), able).withColumnRenamed("score", "added")
