@@ -20,7 +20,11 @@ an empty result; further columns of the input are ignored.
 lines, every run of ``size`` words (across line ends) that occurs earlier in
 (doc_id, word) order loses its words, wherever in a line it starts. Half-size
 grams are winnowed, so that each such run holds a chosen gram, the same one in
-every copy; only runs whose chosen gram repeats are digested and grouped. A run
+every copy; only runs whose chosen gram repeats are digested and grouped.
+Neighbouring runs with one chosen gram are first grouped as a whole, by the
+digest of all their words: copies of the first such context in another
+document are settled by that one row, and only the first ones have their runs
+digested one by one. A run
 that overlaps its own first occurrence loses the words beyond that one. A line
 that loses all its words goes with its line end.
 """
@@ -189,25 +193,54 @@ def _anchors(marked: DataFrame, size: int) -> DataFrame:
     return marked.select("doc_id", "text_key", "text", "lines").mapInArrow(run, "doc_id long, text_key long, place long, gram long")
 
 
-def _runs(held: DataFrame, size: int) -> DataFrame:
-    """doc_id, text_key, place and digest (d1, d2) of every run whose chosen gram is among the text's ``places``."""
+def _digest(words: list[bytes]) -> tuple[int, int]:
+    d = xxhash.xxh3_128_intdigest(b" ".join(words))
+    return _signed(d >> 64), _signed(d & (2**64 - 1))
+
+
+def _rows_of(held: DataFrame, rest: list[str], found, names: list[str]) -> DataFrame:
+    """doc_id, text_key and ``names`` (long) of what ``found`` yields for each text's words and its columns ``rest``."""
 
     def run(batches):
         for batch in batches:
-            out = [[] for _ in range(4)]
-            for row, (text, lost, places) in enumerate(zip(texts_of(batch.column(2)), *(batch.column(i).to_pylist() for i in (3, 4)))):
-                words = _words(text or "", lost)
-                for place in np.flatnonzero(np.isin(_chosen(words, size)[0], places)).tolist():
-                    d = xxhash.xxh3_128_intdigest(b" ".join(words[place : place + size]))
-                    for column, x in zip(out, (row, place, _signed(d >> 64), _signed(d & (2**64 - 1)))):
+            out = [[] for _ in range(len(names) + 1)]
+            for row, (text, lost, given) in enumerate(zip(texts_of(batch.column(2)), *(batch.column(i).to_pylist() for i in (3, 4)))):
+                for values in found(_words(text or "", lost), given):
+                    for column, x in zip(out, (row, *values)):
                         column.append(x)
             rows = pa.array(out[0], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(rows), batch.column(1).take(rows), *(pa.array(c, pa.int64()) for c in out[1:])],
-                names=["doc_id", "text_key", "place", "d1", "d2"])
+                names=["doc_id", "text_key", *names])
+
+    return (held.select("doc_id", "text_key", "text", "lines", *rest)
+            .mapInArrow(run, "doc_id long, text_key long, " + ", ".join(f"{n} long" for n in names)))
+
+
+def _contexts(held: DataFrame, size: int) -> DataFrame:
+    """Neighbouring runs that share a chosen gram among the text's ``places``, as one row: first run, how many, digest of all their words."""
+
+    def found(words, places):
+        chosen = _chosen(words, size)[0]
+        at = np.flatnonzero(np.isin(chosen, places))
+        cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(chosen[at]) != 0)) + 1
+        for part in np.split(at, cut):
+            if len(part):
+                place, n = int(part[0]), len(part)
+                yield (place, n, *_digest(words[place : place + n - 1 + size]))
+
+    return _rows_of(held, ["places"], found, ["place", "n", "d1", "d2"])
+
+
+def _runs(held: DataFrame, size: int) -> DataFrame:
+    """Place and digest of every single run of the text's contexts ``parts`` (place, n)."""
+
+    def found(words, parts):
+        for part in parts:
+            for place in range(part["place"], part["place"] + part["n"]):
+                yield (place, *_digest(words[place : place + size]))
 
-    return (held.select("doc_id", "text_key", "text", "lines", "places")
-            .mapInArrow(run, "doc_id long, text_key long, place long, d1 long, d2 long"))
+    return _rows_of(held, ["parts"], found, ["place", "d1", "d2"])
 
 
 def _cut(text: str, lost: list[dict], gone: list[dict]):
@@ -271,11 +304,19 @@ def drop_passages(docs: DataFrame, min_words: int = MIN_WORDS, size: int = PASSA
     # a document's places are as many as its own words, here and below
     places = (anchors.join(_first(anchors, ["gram"], "passages-grams"), "gram").groupBy("doc_id", "text_key")
               .agg(F.collect_set("place").alias("places")))
-    runs = materialize(_runs(_meet(marked, places, "inner"), size), "passages-runs")
+    # contexts are told apart first: where another document has the whole context earlier, all its runs go at once
+    contexts = materialize(_contexts(_meet(marked, places, "inner"), size), "passages-contexts")
     own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    told = materialize(contexts.join(_first(contexts, ["d1", "d2", "n"], "passages-classes"), ["d1", "d2", "n"], "left")
+                       .select("doc_id", "text_key", "place", "n", (F.col("first").isNotNull() & ~own).alias("copied")), "passages-told")
+    parts = told.where("NOT copied").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("place", "n")).alias("parts"))
+    # every run's first occurrence lies in the first of equal contexts, so these and repeats inside a document are enough
+    runs = materialize(_runs(_meet(marked, parts, "inner"), size), "passages-runs")
     after = F.when(own, F.greatest("place", F.col("first.place") + size)).otherwise(F.col("place"))
-    gone = (runs.join(_first(runs, ["d1", "d2"], "passages-first"), ["d1", "d2"]).where(_rank() != F.col("first"))
-            .groupBy("doc_id", "text_key").agg(F.collect_set(F.struct(after.alias("from"), (F.col("place") + size).alias("to"))).alias("gone")))
+    single = (runs.join(_first(runs, ["d1", "d2"], "passages-first"), ["d1", "d2"]).where(_rank() != F.col("first"))
+              .select("doc_id", "text_key", F.struct(after.alias("from"), (F.col("place") + size).alias("to")).alias("x")))
+    whole = told.where("copied").select("doc_id", "text_key", F.struct(F.col("place").alias("from"), (F.col("place") + F.col("n") - 1 + size).alias("to")).alias("x"))
+    gone = single.unionByName(whole).groupBy("doc_id", "text_key").agg(F.collect_set("x").alias("gone"))
 
     def run(batches):
         for batch in batches:
