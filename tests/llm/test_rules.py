@@ -515,4 +515,4 @@ def test_run_equals_plain_stages(spark, tmpdir_run, monkeypatch):
 
 
 def test_every_query_is_registered():
-    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 14))
