@@ -42,7 +42,8 @@ MARGIN = 2e-6
 
 def fit_pivots(vectors: DataFrame, label: str, key: str, vec: str) -> dict:
     """label -> matrix of unit pivots, from the vectors of the smallest hashes of their keys: at most ``MOST_PIVOTS`` rows reach the driver."""
-    count = vectors.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("n"))
+    # a stored table, whose size Spark knows: small, it is broadcast, and no vector is shuffled by label
+    count = materialize(vectors.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("n")), "vector-counts")
     share = F.shiftrightunsigned(F.xxhash64(key).bitwiseXOR(F.lit(-(2**63))), 11).cast("double") / F.lit(float(2**53))
     rows = vectors.join(count, F.col(label) == F.col("_label")).where(share * F.col("n") <= 4 * PIVOTS)   # few rows of any label
     place = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(key), key))
