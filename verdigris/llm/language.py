@@ -38,6 +38,8 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 BUCKETS, DIMENSIONS, SIZES = 1 << 16, 16, (2, 3, 4)
 TRAIN_DOCS, TRAIN_CHARS, PASSAGES, EPOCHS, RATE = 400, 20_000, 5, 4, 0.4
 REJECT_ERROR = 0.01
@@ -217,7 +219,8 @@ def train(docs: DataFrame, usable: Column, lang: str = "lang", most: int = TRAIN
     rows = rows.where(F.col("usable") & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.char_length("text").between(1, chars))
     rank = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")]
     # a language's rows are thinned by their hash to some times `most` before they meet, so few reach a task at any size
-    count = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("lang", "_lang")
+    # (a stored table, whose size Spark knows: small, it is broadcast, and no text is shuffled by language)
+    count = materialize(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("lang", "_lang"), "language-counts")
     share = F.shiftrightunsigned(F.xxhash64("doc_id").bitwiseXOR(F.lit(-(2**63))), 11).cast("double") / F.lit(float(2**53))
     rows = rows.join(count, rows["lang"] == count["_lang"]).where(share * F.col("n") <= THINNED * most)
     order = Window.partitionBy("lang").orderBy(*rank)
