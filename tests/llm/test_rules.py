@@ -256,10 +256,10 @@ def test_differencing_balances():
     assert 1 - sum(lengths) / (2048 * (max(packing.pack_group(lengths, 2048)) + 1)) < 0.03
 
 
-def water_fill(sizes):
+def water_fill(sizes, share=1.5):
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     weight = {n: (5, 2, 1)[i % 3] for i, n in enumerate(names)}
-    total, fixed, free = 1.5 * sum(sizes.values()), {}, set(names)
+    total, fixed, free = share * sum(sizes.values()), {}, set(names)
     while True:
         rest, w = total - sum(fixed.values()), sum(weight[n] for n in free)
         over = [n for n in free if rest * weight[n] / w > 2 * sizes[n]]
@@ -289,6 +289,22 @@ def test_mixing(spark, odd, empty):
     assert mixing.plan(empty).collect() == [] and mixing.mixed(empty).collect() == []
 
 
+@pytest.mark.parametrize("share", [1.5, 0.2, 2.0])
+def test_targets_of_many_sources_by_ranges(spark, share):
+    sizes = {None if i == 7 else f"host{i}\U0001f642": (i * i) % 97 * (1000 if i % 50 == 0 else 1) for i in range(3000)}
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")
+    try:
+        got = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"), share=share).collect()
+    finally:
+        spark.conf.set(coalesce, before)
+    want = water_fill(sizes, share)
+    assert {r.source: r.source_size for r in got} == sizes
+    assert all(abs(r.target - want[r.source]) <= 1e-9 * want[r.source] + 1e-9 for r in got)
+    assert abs(sum(r.target for r in got) - share * sum(sizes.values())) < 1e-3
+
+
 def test_mixing_ranks_in_ranges(spark, monkeypatch):
     rows = [(i, "one two three", "a" if i % 3 else "b") for i in range(3000)]
     whole = sum(r.times for r in mixing.plan(frame(spark, rows)).collect())

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verdigris.session import materialize, shared_dir  # noqa: F401  (re-used by the operators)
@@ -71,3 +71,18 @@ def _by_row(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, Column]:
     r = rows.select(F.col("doc_id").alias(i), F.col("text_key").alias(k)).distinct()
     key = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
     return r, docs["doc_id"].eqNullSafe(r[i]) & (key == r[k])
+
+
+def sums_before(df: DataFrame, order: list[Column], sums: dict[str, str], name: str) -> DataFrame:
+    """``df`` with a column for each of ``sums``: its expression summed over all rows earlier in ``order``.
+
+    Rows are written by range of the order; only the ranges' totals, a row per range, meet in one task.
+    ``order`` should tell all rows apart: else equal rows come in any order.
+    """
+    ranged = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), name)
+    totals = ranged.groupBy("_range").agg(*(F.sum(F.expr(e)).alias(n) for n, e in sums.items()))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_range", *(F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_{n}") for n in sums))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.join(totals, "_range").select(*df.columns, *(
+        (F.col(f"_{n}") + F.coalesce(F.sum(F.expr(e)).over(inside), F.lit(0))).alias(n) for n, e in sums.items()))

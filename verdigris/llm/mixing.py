@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, columns_of, materialize, text_key, text_or_empty, unused
+from .common import WORD, columns_of, materialize, sums_before, text_key, text_or_empty, unused
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
@@ -51,22 +51,20 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
 
     Sharing the excess again until none is above ends at min(most * size,
     level * weight) for one level; sorted by the level at which a source is
-    full, the level follows from running sums.
+    full, the level follows from the sums over earlier sources. Places and sums
+    are made by ranges, so sources may be as many as hosts.
     """
-    everything = Window.partitionBy(F.lit(0))  # one short row per source
-    order = everything.orderBy(F.col("source").isNull(), "source")
-    full = everything.orderBy("full_at", F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
-    weighed = (sizes.withColumn("i", F.row_number().over(order) - 1)
+    by_name = [F.col("source").isNull(), F.col("source")]
+    weighed = (sums_before(sizes.select("source", "source_size"), by_name, {"i": "1"}, "mix-places")
                .withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("i") % len(weights) + 1).cast("int")))
                .withColumn("cap", most * F.col("source_size"))
                .withColumn("full_at", F.col("cap") / F.col("weight")))
-    level = ((share * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(full), F.lit(0.0)))
-             / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(full), F.lit(0))))
+    filled = sums_before(weighed, [F.col("full_at"), *by_name], {"cap_before": "cap", "weight_before": "weight"}, "mix-levels")
+    whole = filled.agg(F.sum("source_size"), F.sum("weight")).first()   # one row
+    level = (F.lit(share * (whole[0] or 0)) - F.col("cap_before")) / (F.lit(whole[1] or 0) - F.col("weight_before"))
     # the level is the one at the first source that it doesn't fill; those after it come out lower
-    leveled = weighed.withColumn("try", level).withColumn("level", F.max(F.when(F.col("try") <= F.col("full_at"), F.col("try")))
-                                                         .over(everything))
-    return leveled.select("source", "source_size", F.least("cap", F.coalesce("level", F.lit(float("inf"))) * F.col("weight"))
-                          .alias("target"))
+    top = filled.select(level.alias("try"), "full_at").where("try <= full_at").agg(F.max("try")).first()[0]
+    return filled.select("source", "source_size", F.least("cap", F.lit(float("inf") if top is None else top) * F.col("weight")).alias("target"))
 
 
 def _knapsack(sizes: list[int], free: list[int], rest: int) -> tuple[int, list[int]]:
