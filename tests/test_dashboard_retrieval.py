@@ -168,3 +168,18 @@ def test_every_fiftieth_vector_is_a_query(spark):
     got = registry.queries()["vector_ids_top5"](spark, SF0001).collect()
     assert {(r.query_id, r.vec_id, r.rank) for r in got} == want and len(got) == len(want)
     assert {r.query_id for r in got} == {r.vec_id for r in rows if r.vec_id % 50 == 0}
+
+
+def test_copies_do_not_leave_their_segment(spark, tmpdir_run):
+    """Of 400 equal documents a search sends on the few that can be in the top k; rows that share an id are one document."""
+    rows = [(i, "en", "harbour wind and rain") for i in range(400)] + [(900, "en", "harbour"), (900, "de", "harbour harbour wind"), (901, None, "wind"), (902, "en", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    retrieval.write_index(docs, f"{tmpdir_run}/index")
+    index = retrieval.read_index(spark, f"{tmpdir_run}/index")
+    assert index.stats.first().n_docs == 404
+    queries = spark.createDataFrame([(1, "harbour wind"), (2, "rain"), (None, "wind")], "query_id long, query_text string")
+    assert retrieval.bm25_candidates(queries, index, 5).count() <= 14
+    got = sorted((r.query_id, r.rank, r.doc_id) for r in retrieval.bm25_topk(queries, index, 5).collect())
+    assert got == [(1, 1, 900), *((1, n + 2, n) for n in range(4)), *((2, n + 1, n) for n in range(5))]
+    hidden = retrieval.bm25_topk(queries.limit(2), index, 5, visible=F.col("lang").isNull()).collect()
+    assert [(r.query_id, r.doc_id) for r in hidden] == [(1, 901)]

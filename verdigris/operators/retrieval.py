@@ -2,11 +2,9 @@
 
 * Windows are cut with array functions (``sequence`` + ``slice``), one row per
   window, whole texts; chunks by paragraph and sentence are in ``chunks``.
-* BM25 reads a stored index, written once per table, and prunes: common terms
-  are looked up only for documents that can still reach a query's top k. Top-k per query is
-  ``row_number() <= k``, which Catalyst plans with a partial WindowGroupLimit
-  before the shuffle, so a query matching a third of the corpus never sends
-  all its candidates to one task.
+* BM25 reads a stored index, written once per table, in segments of whole documents. A segment is
+  scored by itself, with numpy, and sends on only documents that can still reach a query's top k, so a query matching a
+  third of the corpus never shuffles its candidates.
 * Vector search is filtered by the framework label (equi-join on the label),
   cosine computed JVM-side with ``zip_with``/``aggregate``.
 * Packing is a running sum over each query's ranked hits (a top-k group).
@@ -18,6 +16,9 @@ import hashlib
 import uuid
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -66,11 +67,10 @@ def chunk(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
 class Index:
     """Stored postings of a corpus: who holds a term and how often, how many hold it, and the corpus's size.
 
-    postings: bucket, term, key, dl, tf and the metadata columns; terms: bucket,
-    term, metadata, df; stats: n_docs, avgdl, buckets. Postings and terms are laid out
+    postings: bucket, term, segment (a hash of the key), the metadata columns, and as arrays keys, dls, tfs of the
+    term's postings there; terms: bucket, term, metadata, df; stats: n_docs, avgdl, buckets. Postings and terms are laid out
     by ``bucket``, a hash of the term, and in the order of terms inside it, so a query reads its terms'
-    buckets only, and of these the row groups that can hold them; a term that very many
-    documents hold is spread over files like any other rows.
+    buckets only; a term that very many documents hold is spread over as many rows as segments hold it.
     """
 
     postings: DataFrame
@@ -80,31 +80,90 @@ class Index:
     meta: tuple[str, ...]
 
 
-#: Bytes of text to an index bucket: the number of buckets grows with the corpus.
+#: Bytes of text to an index bucket, and to a segment: their numbers grow with the corpus.
 BUCKET_BYTES = 32 << 20
+SEGMENT_BYTES = 8 << 20
 
 
 def _bucket(term, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    """A number for every value, from 0, in the order of values; a null comes first."""
+    values = pa.concat_arrays(column.chunks)
+    named = values.dictionary_encode(null_encoding="encode")
+    order = pc.array_sort_indices(named.dictionary, null_placement="at_start").to_numpy()
+    place = np.empty(len(order), "i8")
+    place[order] = np.arange(len(order))
+    return place[named.indices.to_numpy()]
+
+
+def _words(joined: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """How many words each text of words joined by a space holds (null: no text), and all words."""
+    lists = pc.split_pattern(joined, " ")
+    found = lists.flatten()
+    return pc.if_else(pc.equal(joined, ""), pa.scalar(0, pa.int32()), pc.list_value_length(lists)), found.filter(pc.not_equal(found, ""))
+
+
+def _segment_postings(key: str, meta: tuple[str, ...]):
+    """segment, key, metadata, words (joined; null: no text) of a segment's rows -> segment, term, metadata, keys, dls, tfs, n.
+
+    Rows of one key, metadata and length count as one document. The term NULL holds all documents, for the corpus's size.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        dls, words = _words(pa.concat_arrays(t["words"].chunks).cast(pa.string()))
+        # documents in the order of metadata; what is told apart by it is told apart by the highest digits
+        number = np.zeros(t.num_rows, "i8")
+        for column in (*(t[m] for m in meta), t[key], pa.chunked_array([dls])):
+            code = _codes(column)
+            number = np.unique(number * (code.max() + 1) + code, return_inverse=True)[1]
+        _, at, doc = np.unique(number, return_index=True, return_inverse=True)
+        group = np.zeros(t.num_rows, "i8")
+        for m in meta:
+            code = _codes(t[m])
+            group = group * (code.max() + 1) + code
+        group = np.unique(group, return_inverse=True)[1][at]
+        n, named = len(at), words.dictionary_encode()
+        pair, tf = np.unique(named.indices.to_numpy().astype("i8") * n + np.repeat(doc, pc.fill_null(dls, 0).to_numpy()), return_counts=True)
+        pair, tf = np.append(pair, len(named.dictionary) * n + np.arange(n)), np.append(tf, np.ones(n, "i8"))
+        term, of = pair // n, pair % n
+        run_of = term * n + group[of]
+        first = np.flatnonzero(np.append(True, run_of[1:] != run_of[:-1]))
+        rows, ends = pa.array(at[of]), pa.array(np.append(first, len(pair)), pa.int32())
+        terms = pa.concat_arrays([named.dictionary, pa.nulls(1, named.dictionary.type)])
+        lists = (pa.ListArray.from_arrays(ends, x) for x in (pa.concat_arrays(t[key].chunks).take(rows), dls.take(rows), pa.array(tf, pa.int32())))
+        here = pa.array(at[of][first])
+        return pa.Table.from_arrays([pa.concat_arrays(t["segment"].chunks).take(here), terms.take(pa.array(term[first])), *(pa.concat_arrays(t[m].chunks).take(here) for m in meta),
+                                     *lists, pa.array(np.diff(np.append(first, len(pair))), pa.int64())], names=["segment", "term", *meta, "keys", "dls", "tfs", "n"])
+
+    return run
+
+
 def write_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", meta: tuple[str, ...] = ("lang",)) -> None:
     """KB-04: write the index of ``docs`` under ``path`` (one tokenising pass; df and size come from the postings).
 
+    Texts are shuffled once, to segments of whole documents, and postings once, as arrays, to their buckets.
     Each build has a folder of its own, never written to again; it counts once its last table is complete.
     """
     path = f"{path}/build-{uuid.uuid4().hex}"
-    buckets = 1 + (docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0) // BUCKET_BYTES
-    toks = docs.select(key, *meta, F.regexp_extract_all(F.lower(F.col(text)), F.lit(TOKEN), 0).alias("toks"))
-    post = (toks.select(key, *meta, F.size("toks").alias("dl"), F.explode_outer("toks").alias("term"))
-            .groupBy(key, *meta, "dl", "term").agg(F.count(F.lit(1)).alias("tf")).withColumn("bucket", _bucket("term", buckets)))
-    # documents without a term keep one row (bucket NULL), for the corpus's size
+    size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+    buckets, segments = 1 + size // BUCKET_BYTES, 1 + size // SEGMENT_BYTES
+    toks = docs.select(F.pmod(F.xxhash64(key), F.lit(segments)).cast("int").alias("segment"), key, *meta, F.col(text)).repartition("segment")
+    toks = toks.select("segment", key, *meta, F.array_join(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TOKEN), 0), " ").alias("words"))
+    kind = {f.name: f.dataType.simpleString() for f in toks.schema}
+    made = "segment int, term string, " + "".join(f"`{m}` {kind[m]}, " for m in meta) + f"keys array<{kind[key]}>, dls array<int>, tfs array<int>, n long"
+    post = toks.groupBy("segment").applyInArrow(_segment_postings(key, meta), made).withColumn("bucket", F.when(F.col("term").isNotNull(), _bucket("term", buckets)))
+    # the rows of no term (bucket NULL) hold all documents, for the corpus's size
     post.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
     post = docs.sparkSession.read.parquet(f"{path}/postings")
-    (post.where("term IS NOT NULL").groupBy("bucket", "term", *meta).agg(F.count(F.lit(1)).alias("df"))
+    (post.where("term IS NOT NULL").groupBy("bucket", "term", *meta).agg(F.sum("n").alias("df"))
      .hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms"))
     # one row per document and length is enough for both figures
-    per_doc = post.groupBy(key, *meta).agg(F.max("dl").alias("dl"))
+    every = post.where("term IS NULL").select(*meta, F.inline(F.arrays_zip("keys", "dls")))
+    per_doc = every.groupBy("keys", *meta).agg(F.max("dls").alias("dl"))
     (per_doc.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.greatest("dl", F.lit(0))).alias("avgdl"),
                  F.lit(buckets).cast("int").alias("buckets"))
      .write.parquet(f"{path}/stats"))
@@ -129,7 +188,7 @@ def read_index(spark: SparkSession, path: str, key: str = "doc_id", meta: tuple[
     return Index(post.where("term IS NOT NULL"), terms_, stats, key, meta)
 
 
-def index_path(docs: DataFrame, kind: str = "bm25-sorted") -> str:
+def index_path(docs: DataFrame, kind: str = "bm25-segments") -> str:
     """Where an index of a stored table is kept: a folder of the shared one, named by the table's files as they are now.
 
     A file counts by its name, length and modification time, so a replaced one
@@ -155,54 +214,105 @@ def index_of(docs: DataFrame) -> Index:
 COMMON_SHARE = 0.1
 
 
+#: Queries of a batch, about: a segment's sums are held for so many queries at once.
+BATCH = 1000
+
+
+def _segment_scores(k: int, margin: float, avgdl: float, k1: float, b: float):
+    """keys, dls, tfs, wanted (q, idf, common) of a segment's rows of the queries' terms -> q, key, rare, score.
+
+    Of each query: documents that can be among its best ``k`` of all segments, by all terms or by the rarer ones.
+    Of documents with equal scores, the first ``k`` in the order of keys are enough.
+    """
+
+    def best(scores: np.ndarray) -> np.ndarray:
+        hit = np.flatnonzero(scores > 0)   # in the order of keys
+        if len(hit) <= k:
+            return hit
+        hit = hit[scores[hit] >= np.partition(scores[hit], -k)[-k] - margin]
+        hit = hit[np.argsort(-scores[hit], kind="stable")]
+        new = np.append(True, np.diff(scores[hit]) != 0)
+        return hit[np.arange(len(hit)) - np.flatnonzero(new)[np.cumsum(new) - 1] < k]
+
+    def run(t: pa.Table) -> pa.Table:
+        of = {c: pa.concat_arrays(t[c].chunks) for c in ("keys", "dls", "tfs", "wanted")}
+        ends, wanted_ends = (np.append(0, np.cumsum(pc.list_value_length(of[c]).to_numpy())) for c in ("keys", "wanted"))
+        keys, entries = of["keys"].flatten(), of["wanted"].flatten()
+        code = _codes(pa.chunked_array([keys]))
+        first = np.unique(code, return_index=True)[1]
+        tf, dl = (of[c].flatten().to_numpy().astype("f8") for c in ("tfs", "dls"))
+        part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+        q, idf, common = (pc.struct_field(entries, c).to_numpy(zero_copy_only=False) for c in ("q", "idf", "common"))
+        queries, query = np.unique(q, return_inverse=True)
+        sums = np.zeros((2, len(queries), len(first)))   # of rarer terms, and of common ones
+        for r in range(t.num_rows):
+            held, given = code[ends[r] : ends[r + 1]], part[ends[r] : ends[r + 1]]
+            if len(held) > 1 and (held[1:] == held[:-1]).any():   # one key with several lengths
+                held, back = np.unique(held, return_inverse=True)
+                given = np.bincount(back, given)
+            for j in range(wanted_ends[r], wanted_ends[r + 1]):
+                sums[int(common[j]), query[j], held] += idf[j] * given
+        out = [[], [], [], []]
+        for i, x in enumerate(queries):
+            rare, score = sums[0, i], sums[0, i] + sums[1, i]
+            kept = np.union1d(best(rare), best(score))
+            for column, y in zip(out, (np.full(len(kept), x), first[kept], rare[kept], score[kept])):
+                column.append(y)
+        q, at, rare, score = (np.concatenate(c) if c else np.zeros(0, "i8") for c in out)
+        return pa.Table.from_arrays([pa.array(q, pa.int64()), keys.take(pa.array(at, pa.int64())), pa.array(rare, pa.float64()), pa.array(score, pa.float64())],
+                                    names=["q", "key", "rare", "score"])
+
+    return run
+
+
 def bm25_candidates(queries: DataFrame, index: Index, k: int = TOP_K, keys: tuple[str, ...] = ("query_id",), text: str = "query_text",
                     visible: Column | None = None, margin: float = 1e-5, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
     """Exact BM25 scores of every document within ``margin`` of a query's true top k, and of few others.
 
-    1. Documents are scored over the query's rarer terms: one join with their
-       postings and a partial aggregate. The k-th best of these sums bounds the
-       true k-th score from below (theta).
-    2. A common term adds idf * (k1 + 1) at most. Where the common terms'
-       bounds together stay below theta - margin, a document needs a rarer term
-       to be in the top k, and only those whose sum could still reach theta
-       are looked up among the common terms.
-    3. Other queries (few hits, or none but common words) are scored over all
-       their terms.
+    1. The rows of the queries' terms, arrays of postings, carry the queries along and come together by segment:
+       a segment holds whole documents, so it is scored by itself, and what leaves it is
+       the documents that can still be in a top k. No row is made for a pair of query and posting.
+    2. The k-th best sum over a query's rarer terms bounds its true k-th score from below (theta). Where the
+       common terms' bounds together (idf * (k1 + 1) each) stay below theta - margin, a document needs a rarer term.
 
     ``keys`` names a query; ``visible`` (of query and metadata columns) hides
     documents from it, so one pass serves a query under several filters.
+    A document without a key is scored by its rarer terms alone where these decide.
     """
     key, seen = index.key, F.lit(True) if visible is None else visible
-    keys = list(keys)
+    keys, meta = list(keys), list(index.meta)
     shown = [c for c in queries.columns if c not in (*keys, text)]
     qt = queries.select(*keys, *shown, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TOKEN), 0))).alias("term"))
     size = index.stats.first()   # one stored row of three numbers
     qt = qt.withColumn("bucket", _bucket("term", size.buckets))
-    n_docs, avgdl = F.lit(size.n_docs), F.lit(size.avgdl)
+    n_docs = F.lit(size.n_docs)
     weighed = (qt.join(index.terms, ["bucket", "term"]).groupBy(*keys, *shown, "bucket", "term").agg(F.sum("df").alias("df"))
                .withColumn("idf", F.log(F.lit(1.0) + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)))
                .withColumn("common", F.col("df") > n_docs * COMMON_SHARE))
     weighed = materialize(weighed, "bm25-terms")   # this and what follows are read several times, and computed once
-
-    def scored(terms_: DataFrame, among: DataFrame | None = None) -> DataFrame:
-        part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-        if among is None:
-            held = terms_.join(index.postings, ["bucket", "term"])
-        else:
-            held = among.select(*keys, key).join(terms_, keys).join(index.postings, ["bucket", "term", key])
-        return held.where(seen).groupBy(*keys, key).agg(F.sum(part).alias("score"))
-
-    rare = materialize(scored(weighed.where("NOT common")), "bm25-rare")
-    best = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc(key))
-    theta = (rare.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).groupBy(*keys)
-             .agg(F.when(F.count(F.lit(1)) >= k, F.min("score") - margin).alias("theta")))
-    bounds = weighed.groupBy(*keys).agg(F.sum(F.when(F.col("common"), F.col("idf") * (k1 + 1)).otherwise(F.lit(0.0))).alias("more"))
-    bounds = materialize(bounds.join(theta, keys, "left"), "bm25-bounds")
-    split, whole = bounds.where("more < theta"), bounds.where("theta IS NULL OR more >= theta")
-    able = rare.join(split, keys).where(F.col("score") + F.col("more") >= F.col("theta")).select(*keys, key, "score")
-    added = scored(weighed.where("common"), able).withColumnRenamed("score", "added")
-    able = able.join(added, [*keys, key], "left").select(*keys, key, (F.col("score") + F.coalesce("added", F.lit(0.0))).alias("score"))
-    return able.unionByName(scored(weighed.join(whole.select(*keys), keys, "left_semi")).select(*able.columns))
+    # a query without a name finds nothing
+    named = weighed.select(*keys).dropna().distinct()
+    named = materialize(named.withColumn("q", F.monotonically_increasing_id()), "bm25-queries")
+    batches = 1 + named.count() // BATCH
+    weighed = weighed.join(named, keys).withColumn("batch", F.pmod(F.xxhash64("q"), F.lit(batches)).cast("int"))
+    wanted = (weighed.join(index.terms.drop("df"), ["bucket", "term"]).where(seen).groupBy("batch", "bucket", "term", *meta)
+              .agg(F.collect_list(F.struct("q", "idf", "common")).alias("wanted")))   # as many as a batch's queries
+    wanted = materialize(wanted.withColumnsRenamed({c: f"_{c}" for c in ("bucket", "term", *meta)}), "bm25-wanted")
+    post = index.postings
+    same = [post[c] == wanted[f"_{c}"] for c in ("bucket", "term")] + [post[m].eqNullSafe(wanted[f"_{m}"]) for m in meta]
+    held = post.join(wanted, same).select("segment", "batch", "keys", "dls", "tfs", "wanted")
+    kind = index.postings.schema["keys"].dataType.elementType.simpleString()
+    found = held.groupBy("segment", "batch").applyInArrow(_segment_scores(k, margin, size.avgdl, k1, b), f"q long, `key` {kind}, rare double, score double")
+    found = materialize(found, "bm25-found")
+
+    best = Window.partitionBy("q").orderBy(F.desc("rare"))
+    theta = (found.where("rare > 0").withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).groupBy("q")
+             .agg(F.when(F.count(F.lit(1)) >= k, F.min("rare") - margin).alias("theta")))
+    bounds = weighed.groupBy("q").agg(F.sum(F.when(F.col("common"), F.col("idf") * (k1 + 1)).otherwise(F.lit(0.0))).alias("more"))
+    split = F.coalesce(F.col("more") < F.col("theta"), F.lit(False))
+    able = found.join(bounds.join(theta, "q", "left"), "q").where(~split | ((F.col("rare") > 0) & (F.col("rare") + F.col("more") >= F.col("theta"))))
+    score = F.when(split & F.col("key").isNull(), F.col("rare")).otherwise(F.col("score"))
+    return able.join(named, "q").select(*keys, F.col("key").alias(key), score.alias("score"))
 
 
 def bm25_topk(queries: DataFrame, index: Index, k: int = TOP_K, **how) -> DataFrame:
