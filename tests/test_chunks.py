@@ -126,3 +126,20 @@ def test_counted_terms(spark):
     got = spark.createDataFrame(rows, "t array<string>").select(chunks._counted(F.col("t")).alias("c")).collect()
     assert [[tuple(x) for x in r.c] for r in got] == [[("a", 1), ("b", 3), ("c", 1)], [("x", 1)]]
     assert retrieval.TOP_K == 5
+
+
+def test_equal_chunks_do_not_leave_their_segment(spark, tmpdir_run):
+    """Of 400 equal chunks a search sends on the few that can be in the top k; chunks that share key and number are one."""
+    rows = [(i, "en", "harbour wind and rain") for i in range(400)] + [(900, "de", "harbour and rain"), (900, "en", "harbour wind"), (901, None, "wind"), (902, "en", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    chunks.write_index(docs, f"{tmpdir_run}/index")
+    index = chunks.read_index(spark, f"{tmpdir_run}/index")
+    queries = spark.createDataFrame([(1, "harbour wind"), (2, "rain"), (None, "wind")], "query_id long, query_text string")
+    found = chunks.search(queries, index, 5)
+    assert found.hits.count() <= 5 * 2 * index.segments.count() + 4
+    got = sorted((r.query_id, r.rank, r.doc_id) for r in chunks.bm25_topk(found, index, 5).collect())
+    assert [x for x in got if x[0] == 1] == [(1, 1, 900), *((1, n + 2, n) for n in range(4))]
+    assert {x[2] for x in got if x[0] == 2} == {900, 0, 1, 2, 3}
+    held = index.blocks.collect()   # every block's postings, as rows
+    assert sum(r.n for r in held) == sum(len(r.postings) for r in held) and all(abs(max(p.part for p in r.postings) - r.max_part) < 1e-12 for r in held)
+    assert all(r.blocks_read <= r.blocks and r.postings_read <= r.postings for r in chunks.blocks_read(found, index).collect())

@@ -5,14 +5,18 @@
   sentence longer than a chunk is cut into windows. The next chunk repeats the last
   sentences of up to ``overlap`` tokens, as far as they leave room for a new one.
 * The index keeps a term's postings in blocks: a block is ``BLOCK`` neighbouring
-  chunks, in the order of metadata and documents, as those share words; its
-  row holds the largest contribution any posting of it makes, beside the
-  postings as an array. A search reads block maxima first, which are columns of their own, and
+  chunks, in the order of metadata and documents, as those share words, and has the
+  largest contribution any posting of it makes. ``SEGMENT`` neighbouring chunks are a
+  segment; a row of the index is a term in a segment, with its blocks, their maxima and their
+  postings as arrays. A search reads block maxima first, which are columns of their own, and
   unpacks only blocks that can reach a query's k-th score.
+* Segments are searched by themselves: the rows of a segment that hold the queries' terms
+  come together once, as arrays, and what leaves it is a few best chunks of each query. No row is
+  made for a pair of query and posting, or of query and block.
 * Contexts are packed from chunks; hits carry the chunk's place in its text.
 
-Everything is expressed with built-in functions. A step of a search is a table in
-the shared folder, so none is computed twice and plans stay small.
+Chunks are cut with built-in functions; a segment's arrays are made and added up with Arrow and numpy. A step of a search
+is a table in the shared folder, so none is computed twice and plans stay small.
 """
 
 from __future__ import annotations
@@ -20,6 +24,9 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +41,8 @@ SENTENCE_END = r"[.!?][\"')\]]*$"
 PARAGRAPH_END = r"\n[\t\x0B\f\r ]*\n"
 #: Chunks of a block at most. Small ones have maxima close to what a chunk reaches, so more of them are passed over.
 BLOCK = 8
+#: Chunks of a segment at most, a multiple of BLOCK.
+SEGMENT = 4096
 #: Blocks of a query that are unpacked first, to learn a score that its best chunks reach.
 PROBED = 20
 #: Tokens of an index bucket, about: a bucket is a folder of the stored index.
@@ -110,19 +119,30 @@ def chunk(docs: DataFrame, key: str = "doc_id", text: str = "text", meta: tuple[
 class ChunkIndex:
     """A stored index of chunks.
 
-    chunks: key, chunk_no, first_token, n_tokens, chunk_text, block, dl and metadata;
-    blocks: bucket, term, block, n, max_part, postings (key, chunk_no, tf, dl), in the order
-    of terms inside a bucket; terms: bucket, term, df, max_part; stats: n_chunks, avgdl, buckets.
+    chunks: key, chunk_no, first_token, n_tokens, chunk_text, block, segment, at (its place there), words (joined), dl and metadata;
+    rows: bucket, term, segment, and as arrays block, n, max_part of the term's blocks in the segment, at and part (the
+    contribution, but for idf) of its postings, block after block, in the order of terms inside a bucket; terms: bucket, term, df,
+    max_part; segments: segment, starts (first place of each run of equal metadata), again (places of chunks whose key and
+    number come more than once); stats: n_chunks, avgdl, buckets.
     """
 
     chunks: DataFrame
-    blocks: DataFrame
+    rows: DataFrame
     terms: DataFrame
+    segments: DataFrame
     stats: DataFrame
     key: str
 
+    @property
+    def blocks(self) -> DataFrame:
+        """bucket, term, block, n, max_part, postings (at, part): the rows, one for each block."""
+        before = F.aggregate(F.slice("n", 1, F.col("i")), F.lit(0), lambda s, x: s + x)
+        held = lambda c: F.slice(c, before + 1, F.get("n", "i"))
+        one = self.rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.size("block") - 1)))
+        return one.select("bucket", "term", *(F.get(c, "i").alias(c) for c in ("block", "n", "max_part")), F.arrays_zip(held("at").alias("at"), held("part").alias("part")).alias("postings"))
 
-def _part(tf: Column, dl: Column, avgdl, k1: float = BM25_K1, b: float = BM25_B) -> Column:
+
+def _part(tf, dl, avgdl, k1: float = BM25_K1, b: float = BM25_B):
     """A posting's contribution, but for the term's idf."""
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
 
@@ -135,27 +155,74 @@ def _counted(terms: Column) -> Column:
     return _let(F.array_sort(terms), lambda s: _let(change(s), lambda at: count(s, at)))
 
 
+def _lists(values, first, kind) -> pa.Array:
+    """``values`` cut into lists that begin at ``first``."""
+    return pa.ListArray.from_arrays(pa.array(np.append(first, len(values)), pa.int32()), pa.array(values, kind))
+
+
+def _changes(x: np.ndarray) -> np.ndarray:
+    """Where a run of equal values begins."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, "i8")
+
+
+ROWS = "term string, segment long, block array<long>, n array<int>, max_part array<double>, at array<int>, part array<double>"
+
+
+def _rows_of_segment(avgdl: float, block: int, size: int):
+    """segment, at, words of a segment's chunks -> its ``ROWS``."""
+
+    def run(t: pa.Table) -> pa.Table:
+        dl, words = retrieval._words(pa.concat_arrays(t["words"].chunks).cast(pa.string()))
+        dl = dl.to_numpy().astype("i8")
+        at = t["at"].to_numpy().astype("i8")
+        of = np.zeros(size, "i8")
+        of[at] = dl
+        named = words.dictionary_encode()
+        pair, tf = np.unique(named.indices.to_numpy().astype("i8") * size + np.repeat(at, dl), return_counts=True)
+        term, at = pair // size, pair % size
+        part = _part(tf.astype("f8"), of[at], avgdl)
+        first = _changes(pair // block)               # of every block of a term, as size is a multiple of block
+        outer = _changes(term[first])                  # of every term among the blocks
+        segment = t["segment"][0].as_py()
+        return pa.Table.from_arrays([
+            named.dictionary.take(pa.array(term[first][outer])), pa.array(np.full(len(outer), segment), pa.int64()),
+            _lists(segment * (size // block) + at[first] // block, outer, pa.int64()),
+            _lists(np.diff(np.append(first, len(pair))), outer, pa.int32()),
+            _lists(np.maximum.reduceat(part, first) if len(first) else part, outer, pa.float64()),
+            _lists(at, first[outer], pa.int32()), _lists(part, first[outer], pa.float64())],
+            names=["term", "segment", "block", "n", "max_part", "at", "part"])
+
+    return run
+
+
 def write_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", meta: tuple[str, ...] = ("lang",)) -> None:
     """KB-04: chunk ``docs`` and write their index under ``path``; a build has a folder of its own and counts once its last table is complete."""
     spark, path = docs.sparkSession, f"{path}/build-{uuid.uuid4().hex}"
     found = F.regexp_extract_all(F.lower("chunk_text"), F.lit(TOKEN), F.lit(0))
     # neighbours by metadata and document come together; a block is the next few rows of a partition
-    near = chunk(docs, key, text, meta).repartitionByRange(*meta, key, "chunk_no").sortWithinPartitions(*meta, key, "chunk_no")
-    numbered = near.withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK).cast("long"))
-    numbered.withColumn("dl", F.size(found)).write.parquet(f"{path}/chunks")
+    near = materialize(chunk(docs, key, text, meta), "chunks-cut")   # a table of its own: ranges are drawn from it, then it is read
+    near = near.repartitionByRange(*meta, key, "chunk_no").sortWithinPartitions(*meta, key, "chunk_no")
+    numbered = near.withColumn("_row", F.monotonically_increasing_id()).select(
+        *near.columns, F.floor(F.col("_row") / BLOCK).cast("long").alias("block"), F.floor(F.col("_row") / SEGMENT).cast("long").alias("segment"),
+        F.pmod(F.col("_row"), F.lit(SEGMENT)).cast("int").alias("at"))
+    # the words stay beside the text, as they are found once
+    numbered.withColumn("words", F.array_join(found, " ")).withColumn("dl", F.size(found)).write.parquet(f"{path}/chunks")
     chunks = spark.read.parquet(f"{path}/chunks")
     size = chunks.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), F.sum("dl").alias("tokens")).first()
     buckets = max(1, -(-(size.tokens or 0) // BUCKET_TOKENS))
-    # a chunk's terms are counted inside its row, so postings are shuffled once, to their blocks
-    posted = (chunks.where("dl > 0").select(key, "chunk_no", "block", "dl", F.explode(_counted(found)).alias("t"))
-              .select(key, "chunk_no", "block", "dl", "t.term", "t.tf"))
-    (posted.groupBy("term", "block").agg(
-        F.count(F.lit(1)).alias("n"), F.max(_part(F.col("tf"), F.col("dl"), F.lit(size.avgdl))).alias("max_part"),
-        F.collect_list(F.struct(key, "chunk_no", "tf", "dl")).alias("postings"))   # as many as the block's chunks at most
-     .withColumn("bucket", _bucket("term", buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "block")
-     .write.partitionBy("bucket").parquet(f"{path}/blocks"))
-    (spark.read.parquet(f"{path}/blocks").groupBy("bucket", "term").agg(F.sum("n").alias("df"), F.max("max_part").alias("max_part"))
+    # a segment's chunks come together as words; its postings are shuffled once more, as arrays, to their buckets
+    rows = (chunks.where("dl > 0").select("segment", "at", "words").groupBy("segment")
+            .applyInArrow(_rows_of_segment(size.avgdl, BLOCK, SEGMENT), ROWS))
+    (rows.withColumn("bucket", _bucket("term", buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "segment")
+     .write.partitionBy("bucket").parquet(f"{path}/rows"))
+    each = spark.read.parquet(f"{path}/rows").select("bucket", "term", F.aggregate("n", F.lit(0).cast("long"), lambda s, x: s + x).alias("df"), F.array_max("max_part").alias("max_part"))
+    (each.groupBy("bucket", "term").agg(F.sum("df").alias("df"), F.max("max_part").alias("max_part"))
      .hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms"))
+    starts = chunks.groupBy("segment", *meta).agg(F.min("at").alias("at")).groupBy("segment").agg(F.sort_array(F.collect_list("at")).alias("starts"))
+    twice = chunks.groupBy(key, "chunk_no").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").withColumnsRenamed({key: "_key", "chunk_no": "_no"})
+    again = (chunks.join(twice, chunks[key].eqNullSafe(twice["_key"]) & (chunks["chunk_no"] == twice["_no"]), "left_semi")
+             .groupBy("segment").agg(F.collect_list("at").alias("again")))   # lists of a segment's own chunks
+    starts.join(again, "segment", "left").withColumn("again", F.coalesce("again", F.array().cast("array<int>"))).write.parquet(f"{path}/segments")
     spark.createDataFrame([(size.n, size.avgdl, buckets)], "n_chunks long, avgdl double, buckets int").coalesce(1) \
         .write.parquet(f"{path}/stats")
 
@@ -169,12 +236,12 @@ def read_index(spark: SparkSession, path: str, key: str = "doc_id") -> ChunkInde
     build = retrieval._latest_build(spark, path)
     if build is None:
         raise FileNotFoundError(f"no complete index under {path}")
-    return ChunkIndex(*(spark.read.parquet(f"{build}/{t}") for t in ("chunks", "blocks", "terms", "stats")), key)
+    return ChunkIndex(*(spark.read.parquet(f"{build}/{t}") for t in ("chunks", "rows", "terms", "segments", "stats")), key)
 
 
 def index_of(docs: DataFrame) -> ChunkIndex:
     """The chunk index of a stored table as it is now, written once if it is missing; other sizes make another index."""
-    path = retrieval.index_path(docs, f"chunks-{CHUNK_TOKENS}-{CHUNK_OVERLAP}-{BLOCK}")
+    path = retrieval.index_path(docs, f"chunks-{CHUNK_TOKENS}-{CHUNK_OVERLAP}-{BLOCK}-{SEGMENT}")
     if retrieval._latest_build(docs.sparkSession, path) is None:
         write_index(docs, path)
     return read_index(docs.sparkSession, path)
@@ -183,15 +250,164 @@ def index_of(docs: DataFrame) -> ChunkIndex:
 # ------------------------------------------------------------------ search
 @dataclass(frozen=True)
 class Search:
-    """hits: query_id, key, chunk_no, score of all chunks of the blocks read; blocks: query_id, block of those; terms: the queries' terms."""
+    """hits: query_id, key, chunk_no, score of each query's best chunks; read: query_id, blocks, blocks_read, postings, postings_read."""
 
     hits: DataFrame
-    blocks: DataFrame
-    terms: DataFrame
+    read: DataFrame
+
+
+class _Segment:
+    """The rows of a segment that hold terms of a batch of queries, as flat arrays."""
+
+    def __init__(self, t: pa.Table):
+        of = lambda rows, c: pa.concat_arrays(rows[c].chunks)
+        rows = t.filter(pc.is_valid(t["wanted"]))
+        marks = t.filter(pc.is_null(t["wanted"])).to_pylist()
+        self.mark, self.size = marks[0] if marks else {}, rows.num_rows
+        if not self.size:
+            return
+        flat = lambda c: of(rows, c).flatten().to_numpy(zero_copy_only=False)
+        ends = lambda c: np.append(0, np.cumsum(pc.list_value_length(of(rows, c)).to_numpy()))
+        self.blocks, self.block = np.unique(flat("block"), return_inverse=True)
+        self.most, self.block_ends, self.wanted_ends = flat("max_part"), ends("block"), ends("wanted")
+        if "at" in rows.column_names:
+            self.n, self.at, self.part, self.at_ends = flat("n"), flat("at"), flat("part"), ends("at")
+            self.at_block = np.repeat(self.block, self.n)
+        entries = of(rows, "wanted").flatten()
+        entry = {f.name: pc.struct_field(entries, f.name).to_numpy(zero_copy_only=False) for f in entries.type}
+        self.queries, first, self.query = np.unique(entry["q"], return_index=True, return_inverse=True)
+        self.idf, self.common = entry["idf"], entry["common"].astype(bool)
+        self.plan = {c: entry[c][first] for c in entry if c not in ("q", "idf", "common")}
+        self.open = np.isin(self.blocks, self.mark["blocks"]) if self.mark.get("blocks") is not None else np.ones(len(self.blocks), bool)
+
+    def entries(self):
+        """Every row's blocks and postings, as slices, with its entries (query's place, idf, common)."""
+        for r in range(self.size):
+            blocks = slice(self.block_ends[r], self.block_ends[r + 1])
+            postings = slice(self.at_ends[r], self.at_ends[r + 1]) if hasattr(self, "at") else None
+            for j in range(self.wanted_ends[r], self.wanted_ends[r + 1]):
+                yield blocks, postings, self.query[j], self.idf[j], self.common[j]
+
+    def bounds(self):
+        """Sums of block maxima per query and block: of rarer terms, and of common ones."""
+        rare, common = np.zeros((2, len(self.queries), len(self.blocks)))
+        for blocks, _, q, idf, often in self.entries():
+            (common if often else rare)[q, self.block[blocks]] += idf * self.most[blocks]   # a row's blocks are distinct
+        return rare, common
+
+    def scores(self, chosen: np.ndarray) -> np.ndarray:
+        """Sums per query and place, over the postings of the ``chosen`` blocks (query, block)."""
+        out = np.zeros((len(self.queries), int(self.at.max()) + 1))
+        for _, postings, q, idf, _ in self.entries():
+            read = chosen[q, self.at_block[postings]]
+            out[q, self.at[postings][read]] += idf * self.part[postings][read]
+        if self.mark.get("allowed") is not None:
+            out[:, ~np.isin(np.arange(out.shape[1]), self.mark["allowed"])] = 0
+        return out
+
+    def best(self, scores: np.ndarray, k: int, margin: float):
+        """(query, places, scores) that can be among a query's best ``k`` of all segments, whatever the others hold.
+
+        Chunks whose key and number come again elsewhere are all of them, as their scores are yet to be added up.
+        Of chunks with equal scores, the first ``k`` in the order of ids are enough.
+        """
+        again = np.isin(np.arange(scores.shape[1]), self.mark["again"])
+        run = np.searchsorted(self.mark["starts"], np.arange(scores.shape[1]), "right")
+        for q, row in enumerate(scores):
+            hit = np.flatnonzero(row > 0)
+            kept = hit[~again[hit]]
+            if len(kept) > k:
+                kept = kept[row[kept] >= np.partition(row[kept], -k)[-k] - margin]
+                kept = kept[np.lexsort((kept, run[kept], -row[kept]))]
+                new = np.append(True, (np.diff(row[kept]) != 0) | (np.diff(run[kept]) != 0))
+                kept = kept[np.arange(len(kept)) - np.flatnonzero(new)[np.cumsum(new) - 1] < k]
+            kept = np.append(kept, hit[again[hit]])
+            yield q, kept, row[kept]
+
+
+def _table(schema: dict, columns: list) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0), kind) for c, kind in zip(columns, schema.values())], names=list(schema))
+
+
+_BOUND = {"q": pa.int64(), "segment": pa.int64(), "block": pa.int64(), "bound": pa.float64()}
+_HIT = {"q": pa.int64(), "segment": pa.int64(), "at": pa.int32(), "score": pa.float64()}
+_READ = {"blocks": pa.int64(), "blocks_read": pa.int64(), "postings": pa.int64(), "postings_read": pa.int64()}
+
+
+def _best_bounds(most: int):
+    """The ``most`` blocks of the highest bounds, for every query."""
+
+    def run(t: pa.Table) -> pa.Table:
+        s, out = _Segment(t), [[], [], [], []]
+        for q, row in enumerate(s.bounds()[0] if s.size else ()):
+            held = np.flatnonzero((row > 0) & s.open)
+            held = held[np.lexsort((s.blocks[held], -row[held]))][:most]
+            for column, x in zip(out, (np.full(len(held), s.queries[q]), np.full(len(held), t["segment"][0].as_py()), s.blocks[held], row[held])):
+                column.append(x)
+        return _table(_BOUND, out)
+
+    return run
+
+
+def _probe(k: int, margin: float):
+    """The best chunks of the probed blocks, for every query."""
+
+    def run(t: pa.Table) -> pa.Table:
+        s, out = _Segment(t), [[], [], [], []]
+        if s.size:
+            chosen = np.zeros((len(s.queries), len(s.blocks)), bool)
+            place = {q: i for i, q in enumerate(s.queries.tolist())}
+            for x in s.mark["probes"]:
+                if x["q"] in place:
+                    chosen[place[x["q"]]] |= s.blocks == x["block"]
+            for q, at, score in s.best(s.scores(chosen), k, margin):
+                for column, x in zip(out, (np.full(len(at), s.queries[q]), np.full(len(at), t["segment"][0].as_py()), at, score)):
+                    column.append(x)
+        return _table(_HIT, out)
+
+    return run
+
+
+def _chosen(s: _Segment) -> np.ndarray:
+    """Whether a query needs a block, by its bound."""
+    rare, common = s.bounds()
+    theta, more, split, named = (s.plan[c][:, None] for c in ("theta", "more", "split", "named"))
+    theta = np.where(np.isnan(theta.astype("f8")), -np.inf, theta.astype("f8"))
+    split = split.astype(bool)
+    needed = np.where(split, (rare > 0) & (rare + more >= theta), rare + common > 0)
+    return needed & (rare + common >= theta) & named.astype(bool) & s.open
+
+
+def _search(k: int, margin: float):
+    """The best chunks of the chosen blocks, and how much of the segment was read, for every query."""
+
+    def run(t: pa.Table) -> pa.Table:
+        s, out = _Segment(t), [[] for _ in range(8)]
+        if s.size:
+            chosen = _chosen(s)
+            read = np.zeros((4, len(s.queries)), "i8")
+            for blocks, _, q, _, _ in s.entries():
+                used, n = chosen[q, s.block[blocks]], s.n[blocks]
+                read[:, q] += (len(n), used.sum(), n.sum(), n[used].sum())
+            for q, at, score in s.best(s.scores(chosen), k, margin):
+                # the figures stand in a row of their own, at place -1
+                counts = (np.append(x, np.zeros(len(at), "i8")) for x in read[:, q : q + 1])
+                one = np.ones(len(at) + 1, "i8")
+                for column, x in zip(out, (one * s.queries[q], one * t["segment"][0].as_py(), np.append(-1, at), np.append(0.0, score), *counts)):
+                    column.append(x)
+        return _table(_HIT | _READ, out)
+
+    return run
+
+
+#: Queries of a batch, about: a segment's sums are held for so many queries at once.
+BATCH = 1000
+MARKS = {"starts": "array<int>", "again": "array<int>", "blocks": "array<long>", "allowed": "array<int>", "probes": "array<struct<q: bigint, block: bigint>>"}
+HITS = "q long, segment long, at int, score double"
 
 
 def search(queries: DataFrame, index: ChunkIndex, k: int = TOP_K, margin: float = 1e-5, allowed: DataFrame | None = None) -> Search:
-    """Exact scores of all chunks in blocks that can hold one of a query's best ``k``.
+    """Exact scores of every chunk that can be one of a query's best ``k``, and of few others.
 
     ``allowed`` (bitmaps of documents, see ``docmeta``) leaves out all others:
     blocks without an allowed chunk are not looked at. Weights stay those of the whole corpus.
@@ -203,53 +419,64 @@ def search(queries: DataFrame, index: ChunkIndex, k: int = TOP_K, margin: float
        rarer term, and only blocks of those are looked at. Others look at all
        blocks of all their terms.
     3. A block's bound gets the maxima of the common terms in that block; where it
-       stays below the k-th score, its postings are never read.
+       stays below the k-th score, its postings are passed over.
+
+    Each step is one pass over the segments' rows of the queries' terms, which carry the queries along as arrays.
     """
     key, stats = index.key, index.stats.first()   # one stored row
-    n, avgdl = F.lit(stats.n_chunks), F.lit(stats.avgdl)
+    n = F.lit(stats.n_chunks)
     words = F.array_distinct(F.regexp_extract_all(F.lower("query_text"), F.lit(TOKEN), F.lit(0)))
+    named = materialize(queries.select("query_id").distinct().withColumn("q", F.monotonically_increasing_id()), "chunk-queries")
+    batches = 1 + named.count() // BATCH
+    named = named.withColumn("batch", F.pmod(F.xxhash64("query_id"), F.lit(batches)).cast("int")).withColumnRenamed("query_id", "_id")
     qt = queries.select("query_id", F.explode(words).alias("term")).withColumn("bucket", _bucket("term", stats.buckets))
+    qt = qt.join(named, qt["query_id"].eqNullSafe(named["_id"])).drop("_id")
     idf = F.log(F.lit(1.0) + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     terms = materialize(qt.join(index.terms, ["bucket", "term"]).select(
-        "query_id", "bucket", "term", "df", idf.alias("idf"), (idf * F.col("max_part")).alias("most"), (F.col("df") > n * COMMON_SHARE).alias("common")),
-        "chunk-terms")
-    blocks = index.blocks.select("bucket", "term", "block", "max_part")   # the postings' column stays unread
+        "q", "batch", F.col("query_id").isNotNull().alias("named"), "bucket", "term", idf.alias("idf"), (idf * F.col("max_part")).alias("most"),
+        (F.col("df") > n * COMMON_SHARE).alias("common")), "chunk-terms")
+    every = index.segments.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))))
     if allowed is not None:
-        blocks = blocks.join(materialize(docmeta.passing(index.chunks.select("block", key), allowed, key).select("block").distinct(), "chunk-allowed"), "block", "left_semi")
-
-    def scored(of: DataFrame, within: DataFrame) -> DataFrame:
-        """Sums of the terms ``of`` over the chunks of the blocks ``within`` (query_id, block)."""
-        part = F.col("idf") * _part(F.col("p.tf"), F.col("p.dl"), avgdl)
-        needed = within.join(of.select("query_id", "bucket", "term", "idf"), "query_id")
-        read = needed.join(index.blocks.select("bucket", "term", "block", "postings"), ["bucket", "term", "block"])
-        rows = read.select("query_id", "idf", F.explode("postings").alias("p")).select("query_id", "idf", f"p.{key}", "p.chunk_no", "p")
-        rows = rows if allowed is None else docmeta.passing(rows, allowed, key)
-        return rows.groupBy("query_id", key, "chunk_no").agg(F.sum(part).alias("score"))
-
-    rare = terms.where("NOT common")
-    bound = F.sum(F.col("idf") * F.col("max_part")).alias("bound")
-    bounds = materialize(rare.join(blocks, ["bucket", "term"]).groupBy("query_id", "block").agg(bound), "chunk-bounds")
-    best = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
-    probed = bounds.withColumn("r", F.row_number().over(best)).where(F.col("r") <= PROBED).select("query_id", "block")
-    first = Window.partitionBy("query_id").orderBy(F.desc("score"))
-    seen = scored(terms, probed).withColumn("r", F.row_number().over(first)).where(F.col("r") <= k)
-    theta = seen.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score") - margin).alias("theta"))
-    more = terms.groupBy("query_id").agg(F.sum(F.when(F.col("common"), F.col("most")).otherwise(F.lit(0.0))).alias("more"))
-    plan = materialize(more.join(theta, "query_id", "left").withColumn("split", F.coalesce(F.col("more") < F.col("theta"), F.lit(False))), "chunk-plan")
-
-    able = (bounds.join(plan.where("split"), "query_id").where(F.col("bound") + F.col("more") >= F.col("theta"))
-            .select("query_id", "block", "bound", "theta"))
-    added = (able.select("query_id", "block").join(terms.where("common"), "query_id").join(blocks, ["bucket", "term", "block"])
-             .groupBy("query_id", "block").agg(F.sum(F.col("idf") * F.col("max_part")).alias("added")))
-    able = able.join(added, ["query_id", "block"], "left").withColumn("bound", F.col("bound") + F.coalesce("added", F.lit(0.0)))
-    whole = (terms.join(plan.where("NOT split"), "query_id").join(blocks, ["bucket", "term"]).groupBy("query_id", "block", "theta").agg(bound))
-    chosen = materialize(able.select("query_id", "block", "bound", "theta").unionByName(whole)
-                         .where("theta IS NULL OR bound >= theta").select("query_id", "block"), "chunk-blocks")
-    return Search(scored(terms, chosen), chosen, terms)
+        held = docmeta.passing(index.chunks.select("segment", "block", "at", key), allowed, key)
+        able = materialize(held.groupBy("segment").agg(F.collect_set("block").alias("blocks"), F.collect_set("at").alias("allowed")), "chunk-allowed")
+        every = every.join(able, "segment", "left").withColumn("blocks", F.coalesce("blocks", F.array().cast("array<long>"))) \
+            .withColumn("allowed", F.coalesce("allowed", F.array().cast("array<int>")))
+
+    def over(of: DataFrame, columns: list[str], marks: DataFrame, run, schema: str, name: str, *along: str) -> DataFrame:
+        """What ``run`` makes of every segment and batch: its rows of the terms ``of``, with their queries, and its marks."""
+        wanted = materialize(of.groupBy("batch", "bucket", "term").agg(F.collect_list(F.struct("q", "idf", "common", *along)).alias("wanted")), f"{name}-terms")
+        rows = index.rows.select("bucket", "term", "segment", *columns).join(wanted, ["bucket", "term"]).select("segment", "batch", *columns, "wanted")
+        rows = rows.join(marks.select("segment", "batch"), ["segment", "batch"], "left_semi") if "probes" in marks.columns else rows
+        both = rows.unionByName(marks, allowMissingColumns=True)
+        missing = [F.lit(None).cast(kind).alias(c) for c, kind in MARKS.items() if c not in both.columns]
+        return materialize(both.select("*", *missing).groupBy("segment", "batch").applyInArrow(run, schema), name)
+
+    def merged(hits: DataFrame) -> DataFrame:
+        """Scores by key and number of the chunks."""
+        held = index.chunks.select("segment", "at", key, "chunk_no")
+        return hits.join(held, ["segment", "at"]).groupBy("q", key, "chunk_no").agg(F.sum("score").alias("score"))
+
+    bounds = over(terms.where("NOT common"), ["block", "max_part"], every, _best_bounds(PROBED), "q long, segment long, block long, bound double", "chunk-bounds")
+    best = Window.partitionBy("q").orderBy(F.desc("bound"), "block")
+    probed = bounds.withColumn("r", F.row_number().over(best)).where(F.col("r") <= PROBED).join(named, "q")
+    probed = probed.groupBy("segment", "batch").agg(F.collect_list(F.struct("q", "block")).alias("probes"))   # as many as a batch's queries probe
+    postings = ["block", "n", "max_part", "at", "part"]
+    seen = over(terms, postings, every.join(materialize(probed, "chunk-probes"), ["segment", "batch"]), _probe(k, margin), HITS, "chunk-probed")
+    first = Window.partitionBy("q").orderBy(F.desc("score"))
+    seen = merged(seen).withColumn("r", F.row_number().over(first)).where(F.col("r") <= k)
+    theta = seen.groupBy("q").agg(F.when(F.count(F.lit(1)) >= k, F.min("score") - margin).alias("theta"))
+    more = terms.groupBy("q").agg(F.sum(F.when(F.col("common"), F.col("most")).otherwise(F.lit(0.0))).alias("more"))
+    plan = more.join(theta, "q", "left").withColumn("split", F.coalesce(F.col("more") < F.col("theta"), F.lit(False)))
+
+    found = over(terms.join(plan, "q"), postings, every, _search(k, margin), f"{HITS}, {', '.join(f'{c} long' for c in _READ)}", "chunk-found",
+                 "theta", "more", "split", "named")
+    ids = named.select("q", F.col("_id").alias("query_id"))
+    read = found.where("at < 0").groupBy("q").agg(*(F.sum(c).alias(c) for c in _READ))
+    return Search(merged(found.where("at >= 0")).join(ids, "q").select("query_id", key, "chunk_no", "score"), ids.join(read, "q").drop("q"))
 
 
 def bm25_topk(found: Search, index: ChunkIndex, k: int = TOP_K) -> DataFrame:
-    """KB-04: query_id, key, chunk_no, rank, score; ranks go by the published score, then by key and chunk."""
+    """KB-04: query_id, key, chunk_no, rank, score, up to the ``k`` of the search; ranks go by the published score, then by key and chunk."""
     s = found.hits.withColumn("score", dround("score", 6))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), index.key, "chunk_no")
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", index.key, "chunk_no", "rank", "score")
@@ -262,10 +489,7 @@ def with_text(hits: DataFrame, index: ChunkIndex) -> DataFrame:
 
 def blocks_read(found: Search, index: ChunkIndex) -> DataFrame:
     """KB-08: per query, how many blocks of postings its terms have and how many of them a search unpacked."""
-    held = found.terms.join(index.blocks.select("bucket", "term", "block", "n"), ["bucket", "term"])
-    read = held.join(found.blocks.withColumn("read", F.lit(1)), ["query_id", "block"], "left")
-    return read.groupBy("query_id").agg(F.count(F.lit(1)).alias("blocks"), F.count("read").alias("blocks_read"), F.sum("n").alias("postings"),
-                                        F.coalesce(F.sum(F.when(F.col("read") == 1, F.col("n"))), F.lit(0)).cast("long").alias("postings_read"))
+    return found.read.select("query_id", "blocks", "blocks_read", "postings", "postings_read")
 
 
 def pack(hits: DataFrame, index: ChunkIndex, cap_tokens: int) -> DataFrame:
