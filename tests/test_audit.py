@@ -145,6 +145,39 @@ def test_prohibited_hits_match_python_re(spark):
     assert got == want
 
 
+ODD = ["1.5% 12,345.678 tCO2e,1.2 % .5% 1,2.3% 7.25\n%", "0.12345tCO2e/IDR 0.1234 per FTE 10.00000\tper IDR 1.23 per IDR 0.99999 tCO2e/FTE", "I. AI I'm (I) _I I_ Ié éI 2I\nI",
+       "WE we, ourselves ourself hours bus us\u0301 US_ my.our", "Roughly\nwe Estimate we  estimate; approximately2 divided by multiplied by", "world-class worldXclass best in class Pioneering",
+       "3 per employee 4 per IDR billion 1,000,00 IDR 9GJ 1234,567MWh ١٢% 5\u00a0%", "x12.3% a1b2.5% 2.5%%"]
+
+
+def test_quick_patterns_find_what_the_rules_find(spark):
+    texts = CRAFTED + ODD + [r.text or "" for r in _texts(spark).limit(150).collect()]
+    whole = {audit.NUMERIC_PATTERN: 0, audit.PCT_PATTERN: 1, audit.INTENSITY_PATTERN: 1}
+    assert len(audit.QUICK) == 7 and set(audit.QUICK) <= {p for _, _, p in audit.PROHIBITED} | set(whole)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for plain, fast in audit.QUICK.items():
+        group = whole.get(plain, 0)
+        rows = df.select(F.regexp_extract_all("t", F.lit(plain), F.lit(group)).alias("a"), F.regexp_extract_all("t", F.lit(fast), F.lit(0)).alias("b")).collect()
+        assert any(r.a for r in rows) and [r.a for r in rows] == [r.b for r in rows], plain
+
+
+def test_audit_searches_a_text_once_per_rule(spark):
+    """Four patterns of numbers and the first hit of six rules; the raw lines are read once for the summary."""
+    from verdigris.plans import catalog_text
+    sec, metrics = _generated(spark)
+    plan = audit.audit(sec, metrics)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 4
+    made = []
+    keep = catalog_text.materialize
+    catalog_text.materialize = lambda df, name: made.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or keep(df, name)
+    try:
+        catalog_text._summary(spark, SF0001)
+    finally:
+        catalog_text.materialize = keep
+    assert [name for name, _ in made] == ["audit-energy", "audit-summary"]
+    assert sum(p.count("l_shipdate") > 0 for _, p in made) == 1
+
+
 def test_tolerance_join_equals_brute_force(spark):
     left = spark.createDataFrame([(1, "k", v) for v in [0.0, 0.0009, 0.0011, 1.0, 2.4995, 1e15, -3.0]],
                                  "id int, metrics_key string, value double").withColumn("id", F.monotonically_increasing_id())
