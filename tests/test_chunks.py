@@ -143,3 +143,28 @@ def test_equal_chunks_do_not_leave_their_segment(spark, tmpdir_run):
     held = index.blocks.collect()   # every block's postings, as rows
     assert sum(r.n for r in held) == sum(len(r.postings) for r in held) and all(abs(max(p.part for p in r.postings) - r.max_part) < 1e-12 for r in held)
     assert all(r.blocks_read <= r.blocks and r.postings_read <= r.postings for r in chunks.blocks_read(found, index).collect())
+
+
+def test_an_index_and_its_search_leave_little_on_disk(spark, tmpdir_run):
+    """The stored index takes about its texts' size, places and all; shuffles and tables between steps are not left beside it."""
+    import pathlib
+    import time
+
+    r = random.Random(5)
+    words = ["".join(r.choice("aeioulnrst") for _ in range(r.randrange(2, 9))) for _ in range(20_000)]
+    rows = [(i, "en", " ".join(r.choice(words) + r.choice(["", "", "."]) for _ in range(2_000))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {b.name() for b in (x.apply(i) for x in [disk.getAllBlocks()] for i in range(x.size())) if b.name().startswith("shuffle_")}
+    before = shuffles()
+    chunks.write_index(docs, f"{tmpdir_run}/index")
+    index = chunks.read_index(spark, f"{tmpdir_run}/index")
+    found = chunks.search(spark.createDataFrame([(1, rows[0][2][:200])], "query_id long, query_text string"), index, 5)
+    for _ in range(50):   # they go a moment after their query
+        if left := shuffles() - before:
+            time.sleep(0.2)
+    assert not left
+    size = lambda folder: sum(p.stat().st_size for p in pathlib.Path(tmpdir_run).rglob(f"{folder}/**/*.parquet"))
+    text = sum(len(t) for _, _, t in rows)
+    assert 0 < size("chunks") < 0.7 * text and 0 < size("rows") < 1.5 * text and not size("packed")
+    assert found.hits.where("doc_id = 0").count()

@@ -16,12 +16,15 @@
 * Contexts are packed from chunks; hits carry the chunk's place in its text.
 
 Chunks are cut with built-in functions; a segment's arrays are made and added up with Arrow and numpy. A step of a search
-is a table in the shared folder, so none is computed twice and plans stay small.
+is a table in the shared folder, so none is computed twice and plans stay small. Disk holds the stored tables (zstd) and the
+shuffle of one step: texts are shuffled once as documents and once as words, postings once, packed by segment and bucket.
 """
 
 from __future__ import annotations
 
 import uuid
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import dround
-from ..session import materialize
+from ..session import discard, freed_shuffles, materialize
 from . import docmeta, retrieval
 from .retrieval import BM25_B, BM25_K1, CHUNK_OVERLAP, CHUNK_TOKENS, COMMON_SHARE, TOKEN, TOP_K
 
@@ -39,6 +42,8 @@ WHITE = r"\t\n\x0B\f\r "
 PIECE = f"[^{WHITE}]+[{WHITE}]*"
 SENTENCE_END = r"[.!?][\"')\]]*$"
 PARAGRAPH_END = r"\n[\t\x0B\f\r ]*\n"
+#: Sentences that most chunks stay below.
+FEW = 40
 #: Chunks of a block at most. Small ones have maxima close to what a chunk reaches, so more of them are passed over.
 BLOCK = 8
 #: Chunks of a segment at most, a multiple of BLOCK.
@@ -56,7 +61,10 @@ def boundaries(docs: DataFrame, key: str = "doc_id", text: str = "text", meta: t
     p = docs.select(key, *meta, pieces.alias("pieces"))
     n = F.size("pieces")
     token = lambda x: F.rtrim(x, F.lit("\t\n\x0b\f\r "))
-    end = lambda x, i: F.when((i + 1 == n) | x.rlike(PARAGRAPH_END), 2 * i + 3).when(token(x).rlike(SENTENCE_END), 2 * i + 2)
+    # patterns are left to pieces that can match them, which are few
+    paragraph = lambda x: x.contains("\n") & x.rlike(PARAGRAPH_END)
+    sentence = lambda x: (x.contains(".") | x.contains("!") | x.contains("?")) & token(x).rlike(SENTENCE_END)
+    end = lambda x, i: F.when((i + 1 == n) | paragraph(x), 2 * i + 3).when(sentence(x), 2 * i + 2)
     return p.select(key, *meta, F.transform("pieces", token).alias("tokens"),
                     F.filter(F.transform("pieces", end), lambda e: e.isNotNull()).alias("ends"))
 
@@ -70,8 +78,8 @@ def spans(tokens: Column, ends: Column, size: int, overlap: int) -> Column:
     """Array of (start, end) of a text's chunks, in tokens.
 
     A running state walks the sentence ends: where the next chunk starts, the
-    first end behind that, and the chunks so far. Each step looks at ``size``
-    ends at most, as a chunk can't hold more.
+    first end behind that, and the chunks so far. Each step looks at ``FEW`` ends,
+    and where a chunk may hold more, at ``size``, as it can't hold more than these.
     """
     place = lambda e: F.shiftright(e, 1)
     last = lambda x: place(F.get(x, F.size(x) - 1))
@@ -89,7 +97,8 @@ def spans(tokens: Column, ends: Column, size: int, overlap: int) -> Column:
 
     def step(state: Column, _: Column) -> Column:
         start, at = state["start"], state["at"]
-        near = F.filter(F.slice(ends, at + 1, size), lambda e: place(e) <= start + size)   # ascending
+        reach = F.when(place(F.get(ends, at + FEW)) <= start + size, F.slice(ends, at + 1, size)).otherwise(F.slice(ends, at + 1, FEW))
+        near = F.filter(reach, lambda e: place(e) <= start + size)   # ascending
         half = lambda near: F.filter(near, lambda e: (e % 2 == 1) & (place(e) >= start + size // 2))
         cut = lambda near: F.coalesce(_let(half(near), last), last(near), start + size)
         behind = lambda near, cut: place(F.get(ends, at + F.size(F.filter(near, lambda e: place(e) <= cut))))
@@ -107,7 +116,7 @@ def chunk(docs: DataFrame, key: str = "doc_id", text: str = "text", meta: tuple[
 
     A text that is null or has no token has no chunk.
     """
-    b = boundaries(docs, key, text, meta).where(F.size("tokens") > 0)
+    b = boundaries(docs, key, text, meta)   # no filter on tokens, which would find them once more; without any there are no spans
     c = b.select(key, *meta, "tokens", F.posexplode(spans(F.col("tokens"), F.col("ends"), size, overlap)).alias("chunk_no", "c"))
     body = F.slice("tokens", F.col("c.start") + 1, F.col("c.end") - F.col("c.start"))
     return c.select(key, *meta, "chunk_no", F.col("c.start").alias("first_token"), (F.col("c.end") - F.col("c.start")).alias("n_tokens"),
@@ -119,11 +128,11 @@ def chunk(docs: DataFrame, key: str = "doc_id", text: str = "text", meta: tuple[
 class ChunkIndex:
     """A stored index of chunks.
 
-    chunks: key, chunk_no, first_token, n_tokens, chunk_text, block, segment, at (its place there), words (joined), dl and metadata;
-    rows: bucket, term, segment, and as arrays block, n, max_part of the term's blocks in the segment, at and part (the
-    contribution, but for idf) of its postings, block after block, in the order of terms inside a bucket; terms: bucket, term, df,
-    max_part; segments: segment, starts (first place of each run of equal metadata), again (places of chunks whose key and
-    number come more than once); stats: n_chunks, avgdl, buckets.
+    chunks: key, chunk_no, first_token, n_tokens, chunk_text, block, segment, at (its place there) and metadata;
+    rows: bucket, term, segment, and as arrays block (its place in the segment), n, max_part of the term's blocks in the segment,
+    place (in the block) and part (the contribution, but for idf) of its postings, block after block, in the order of terms inside
+    a bucket; terms: bucket, term, df, max_part; segments: segment, starts (first place of each run of equal metadata), again
+    (places of chunks whose key and number come more than once); stats: n_chunks, avgdl, buckets.
     """
 
     chunks: DataFrame
@@ -137,9 +146,14 @@ class ChunkIndex:
     def blocks(self) -> DataFrame:
         """bucket, term, block, n, max_part, postings (at, part): the rows, one for each block."""
         before = F.aggregate(F.slice("n", 1, F.col("i")), F.lit(0), lambda s, x: s + x)
-        held = lambda c: F.slice(c, before + 1, F.get("n", "i"))
-        one = self.rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.size("block") - 1)))
-        return one.select("bucket", "term", *(F.get(c, "i").alias(c) for c in ("block", "n", "max_part")), F.arrays_zip(held("at").alias("at"), held("part").alias("part")).alias("postings"))
+        held = lambda c: F.slice(c, before + 1, F.col("held"))
+        one = self.rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.size("block") - 1))).withColumns({
+            "inside": F.get("block", "i").cast("int"), "held": F.get("n", "i").cast("int"), "most": F.get("max_part", "i")})
+        at = F.transform(held("place"), lambda x: F.col("inside") * BLOCK + x.cast("int"))
+        one = one.withColumn("postings", F.arrays_zip(at.alias("at"), held("part").alias("part")))
+        whole = F.col("segment") * (SEGMENT // BLOCK) + F.col("inside")
+        return one.select("bucket", "term", "postings", whole.alias("_block"), "held", "most").select(
+            "bucket", "term", F.col("_block").alias("block"), F.col("held").alias("n"), F.col("most").alias("max_part"), "postings")
 
 
 def _part(tf, dl, avgdl, k1: float = BM25_K1, b: float = BM25_B):
@@ -165,11 +179,13 @@ def _changes(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, "i8")
 
 
-ROWS = "term string, segment long, block array<long>, n array<int>, max_part array<double>, at array<int>, part array<double>"
+ROWS = "bucket int, term string, segment long, block array<smallint>, n array<smallint>, max_part array<double>, place array<smallint>, part array<double>"
+PACKED = "bucket int, segment long, tokens long, size int, packed binary"
+_PACKED = pa.schema([("term", pa.string()), *((c, pa.list_(pa.int16())) for c in ("block", "n", "place")), *((c, pa.list_(pa.int32())) for c in ("tf", "dl"))])
 
 
-def _rows_of_segment(avgdl: float, block: int, size: int):
-    """segment, at, words of a segment's chunks -> its ``ROWS``."""
+def _packed_segment(buckets: int, block: int, size: int):
+    """segment, at, words of a segment's chunks -> its terms' postings, packed by bucket; the first row has the number of words."""
 
     def run(t: pa.Table) -> pa.Table:
         dl, words = retrieval._words(pa.concat_arrays(t["words"].chunks).cast(pa.string()))
@@ -178,57 +194,89 @@ def _rows_of_segment(avgdl: float, block: int, size: int):
         of = np.zeros(size, "i8")
         of[at] = dl
         named = words.dictionary_encode()
-        pair, tf = np.unique(named.indices.to_numpy().astype("i8") * size + np.repeat(at, dl), return_counts=True)
+        names = named.dictionary
+        # terms are numbered by bucket
+        bucket = np.fromiter((zlib.crc32(x) % buckets for x in names.cast(pa.binary()).to_pylist()), "i8", len(names))
+        order = np.argsort(bucket, kind="stable")
+        number = np.empty(len(order), "i8")
+        number[order] = np.arange(len(order))
+        pair, tf = np.unique(number[named.indices.to_numpy()] * size + np.repeat(at, dl), return_counts=True)
         term, at = pair // size, pair % size
-        part = _part(tf.astype("f8"), of[at], avgdl)
         first = _changes(pair // block)               # of every block of a term, as size is a multiple of block
         outer = _changes(term[first])                  # of every term among the blocks
-        segment = t["segment"][0].as_py()
+        held = pa.RecordBatch.from_arrays([
+            names.take(pa.array(order)), _lists(at[first] // block, outer, pa.int16()), _lists(np.diff(np.append(first, len(pair))), outer, pa.int16()),
+            _lists(at % block, first[outer], pa.int16()), _lists(tf, first[outer], pa.int32()), _lists(of[at], first[outer], pa.int32())], schema=_PACKED)
+        starts = _changes(bucket[order])
+        each = [held.slice(x, y - x).serialize() for x, y in zip(starts.tolist(), [*starts[1:].tolist(), len(order)])]
         return pa.Table.from_arrays([
-            named.dictionary.take(pa.array(term[first][outer])), pa.array(np.full(len(outer), segment), pa.int64()),
-            _lists(segment * (size // block) + at[first] // block, outer, pa.int64()),
-            _lists(np.diff(np.append(first, len(pair))), outer, pa.int32()),
-            _lists(np.maximum.reduceat(part, first) if len(first) else part, outer, pa.float64()),
-            _lists(at, first[outer], pa.int32()), _lists(part, first[outer], pa.float64())],
-            names=["term", "segment", "block", "n", "max_part", "at", "part"])
+            pa.array(bucket[order][starts], pa.int32()), pa.array(np.full(len(starts), t["segment"][0].as_py()), pa.int64()),
+            pa.array(np.append(len(words), np.zeros(len(starts), "i8"))[: len(starts)], pa.int64()), pa.array([x.size for x in each], pa.int32()), pa.array([pa.compress(x, codec="zstd", asbytes=True) for x in each], pa.binary())],
+            names=["bucket", "segment", "tokens", "size", "packed"])
+
+    return run
+
+
+def _unpacked(avgdl: float):
+    """``PACKED`` -> ``ROWS``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, segment, _, size, packed in (tuple(r.values()) for b in batches for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist()):
+            held = pa.ipc.read_record_batch(pa.py_buffer(pa.decompress(packed, size, codec="zstd", asbytes=True)), _PACKED)
+            flat = lambda c: held[c].flatten().to_numpy()  # noqa: B023, E731
+            part = _part(flat("tf").astype("f8"), flat("dl"), avgdl)
+            most = np.maximum.reduceat(part, np.append(0, np.cumsum(flat("n"), dtype="i8")[:-1]))
+            lists = lambda like, x: pa.ListArray.from_arrays(held[like].offsets, pa.array(x, pa.float64()))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(held.num_rows, bucket), pa.int32()), held["term"], pa.array(np.full(held.num_rows, segment), pa.int64()), held["block"], held["n"],
+                lists("block", most), held["place"], lists("place", part)], names=["bucket", "term", "segment", "block", "n", "max_part", "place", "part"])
 
     return run
 
 
 def write_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", meta: tuple[str, ...] = ("lang",)) -> None:
     """KB-04: chunk ``docs`` and write their index under ``path``; a build has a folder of its own and counts once its last table is complete."""
-    spark, path = docs.sparkSession, f"{path}/build-{uuid.uuid4().hex}"
-    found = F.regexp_extract_all(F.lower("chunk_text"), F.lit(TOKEN), F.lit(0))
-    # neighbours by metadata and document come together; a block is the next few rows of a partition
-    near = materialize(chunk(docs, key, text, meta), "chunks-cut")   # a table of its own: ranges are drawn from it, then it is read
-    near = near.repartitionByRange(*meta, key, "chunk_no").sortWithinPartitions(*meta, key, "chunk_no")
+    with freed_shuffles(docs.sparkSession):
+        _write_index(docs, f"{path}/build-{uuid.uuid4().hex}", key, text, meta)
+
+
+def _write_index(docs: DataFrame, path: str, key: str, text: str, meta: tuple[str, ...]) -> None:
+    spark = docs.sparkSession
+    # neighbours by metadata and document come together, while texts are whole; a block is the next few chunks of a partition
+    near = docs.select(key, *meta, text).repartitionByRange(*meta, key, F.xxhash64(text))
+    near = chunk(near, key, text, meta).sortWithinPartitions(*meta, key, "chunk_no")
     numbered = near.withColumn("_row", F.monotonically_increasing_id()).select(
         *near.columns, F.floor(F.col("_row") / BLOCK).cast("long").alias("block"), F.floor(F.col("_row") / SEGMENT).cast("long").alias("segment"),
         F.pmod(F.col("_row"), F.lit(SEGMENT)).cast("int").alias("at"))
-    # the words stay beside the text, as they are found once
-    numbered.withColumn("words", F.array_join(found, " ")).withColumn("dl", F.size(found)).write.parquet(f"{path}/chunks")
+    stored = lambda df: df.write.option("compression", "zstd")
+    stored(numbered).parquet(f"{path}/chunks")
     chunks = spark.read.parquet(f"{path}/chunks")
-    size = chunks.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), F.sum("dl").alias("tokens")).first()
-    buckets = max(1, -(-(size.tokens or 0) // BUCKET_TOKENS))
-    # a segment's chunks come together as words; its postings are shuffled once more, as arrays, to their buckets
-    rows = (chunks.where("dl > 0").select("segment", "at", "words").groupBy("segment")
-            .applyInArrow(_rows_of_segment(size.avgdl, BLOCK, SEGMENT), ROWS))
-    (rows.withColumn("bucket", _bucket("term", buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "segment")
-     .write.partitionBy("bucket").parquet(f"{path}/rows"))
+    n, pieces = chunks.agg(F.count(F.lit(1)), F.sum("n_tokens")).first()
+    buckets = max(1, -(-(pieces or 0) // BUCKET_TOKENS))
+    # a segment's chunks come together as words; its postings are shuffled once more to their buckets, packed. They are a table until
+    # then, as their contributions need the mean length
+    found = F.array_join(F.regexp_extract_all(F.lower("chunk_text"), F.lit(TOKEN), F.lit(0)), " ")
+    packed = chunks.select("segment", "at", found.alias("words")).groupBy("segment").applyInArrow(_packed_segment(buckets, BLOCK, SEGMENT), PACKED)
+    packed.write.option("compression", "none").parquet(f"{path}/packed")
+    packed = spark.read.schema(PACKED).parquet(f"{path}/packed")
+    avgdl = (packed.agg(F.sum("tokens")).first()[0] or 0) / n if n else None
+    rows = packed.hint("rebalance", "bucket").mapInArrow(_unpacked(avgdl), ROWS).sortWithinPartitions("bucket", "term", "segment")
+    stored(rows).partitionBy("bucket").parquet(f"{path}/rows")
+    discard(spark, f"{path}/packed")
     each = spark.read.parquet(f"{path}/rows").select("bucket", "term", F.aggregate("n", F.lit(0).cast("long"), lambda s, x: s + x).alias("df"), F.array_max("max_part").alias("max_part"))
-    (each.groupBy("bucket", "term").agg(F.sum("df").alias("df"), F.max("max_part").alias("max_part"))
-     .hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms"))
+    stored(each.groupBy("bucket", "term").agg(F.sum("df").alias("df"), F.max("max_part").alias("max_part"))
+           .hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")).partitionBy("bucket").parquet(f"{path}/terms")
     starts = chunks.groupBy("segment", *meta).agg(F.min("at").alias("at")).groupBy("segment").agg(F.sort_array(F.collect_list("at")).alias("starts"))
     twice = chunks.groupBy(key, "chunk_no").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").withColumnsRenamed({key: "_key", "chunk_no": "_no"})
     again = (chunks.join(twice, chunks[key].eqNullSafe(twice["_key"]) & (chunks["chunk_no"] == twice["_no"]), "left_semi")
              .groupBy("segment").agg(F.collect_list("at").alias("again")))   # lists of a segment's own chunks
     starts.join(again, "segment", "left").withColumn("again", F.coalesce("again", F.array().cast("array<int>"))).write.parquet(f"{path}/segments")
-    spark.createDataFrame([(size.n, size.avgdl, buckets)], "n_chunks long, avgdl double, buckets int").coalesce(1) \
+    spark.createDataFrame([(n, avgdl, buckets)], "n_chunks long, avgdl double, buckets int").coalesce(1) \
         .write.parquet(f"{path}/stats")
 
 
 def _bucket(term, buckets) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+    return F.pmod(F.crc32(term), F.lit(buckets)).cast("int")
 
 
 def read_index(spark: SparkSession, path: str, key: str = "doc_id") -> ChunkIndex:
@@ -241,7 +289,7 @@ def read_index(spark: SparkSession, path: str, key: str = "doc_id") -> ChunkInde
 
 def index_of(docs: DataFrame) -> ChunkIndex:
     """The chunk index of a stored table as it is now, written once if it is missing; other sizes make another index."""
-    path = retrieval.index_path(docs, f"chunks-{CHUNK_TOKENS}-{CHUNK_OVERLAP}-{BLOCK}-{SEGMENT}")
+    path = retrieval.index_path(docs, f"chunks-packed-{CHUNK_TOKENS}-{CHUNK_OVERLAP}-{BLOCK}-{SEGMENT}")
     if retrieval._latest_build(docs.sparkSession, path) is None:
         write_index(docs, path)
     return read_index(docs.sparkSession, path)
@@ -259,7 +307,7 @@ class Search:
 class _Segment:
     """The rows of a segment that hold terms of a batch of queries, as flat arrays."""
 
-    def __init__(self, t: pa.Table):
+    def __init__(self, t: pa.Table, block: int, size: int):
         of = lambda rows, c: pa.concat_arrays(rows[c].chunks)
         rows = t.filter(pc.is_valid(t["wanted"]))
         marks = t.filter(pc.is_null(t["wanted"])).to_pylist()
@@ -268,10 +316,14 @@ class _Segment:
             return
         flat = lambda c: of(rows, c).flatten().to_numpy(zero_copy_only=False)
         ends = lambda c: np.append(0, np.cumsum(pc.list_value_length(of(rows, c)).to_numpy()))
-        self.blocks, self.block = np.unique(flat("block"), return_inverse=True)
-        self.most, self.block_ends, self.wanted_ends = flat("max_part"), ends("block"), ends("wanted")
-        if "at" in rows.column_names:
-            self.n, self.at, self.part, self.at_ends = flat("n"), flat("at"), flat("part"), ends("at")
+        inside = flat("block").astype("i8")
+        self.blocks, self.block = np.unique(inside + t["segment"][0].as_py() * (size // block), return_inverse=True)
+        self.block_ends, self.wanted_ends = ends("block"), ends("wanted")
+        if "max_part" in rows.column_names:
+            self.most = flat("max_part")
+        if "place" in rows.column_names:
+            self.n, self.part, self.at_ends = flat("n"), flat("part"), ends("place")
+            self.at = np.repeat(inside * block, self.n) + flat("place")
             self.at_block = np.repeat(self.block, self.n)
         entries = of(rows, "wanted").flatten()
         entry = {f.name: pc.struct_field(entries, f.name).to_numpy(zero_copy_only=False) for f in entries.type}
@@ -334,11 +386,11 @@ _HIT = {"q": pa.int64(), "segment": pa.int64(), "at": pa.int32(), "score": pa.fl
 _READ = {"blocks": pa.int64(), "blocks_read": pa.int64(), "postings": pa.int64(), "postings_read": pa.int64()}
 
 
-def _best_bounds(most: int):
+def _best_bounds(most: int, block: int, size: int):
     """The ``most`` blocks of the highest bounds, for every query."""
 
     def run(t: pa.Table) -> pa.Table:
-        s, out = _Segment(t), [[], [], [], []]
+        s, out = _Segment(t, block, size), [[], [], [], []]
         for q, row in enumerate(s.bounds()[0] if s.size else ()):
             held = np.flatnonzero((row > 0) & s.open)
             held = held[np.lexsort((s.blocks[held], -row[held]))][:most]
@@ -349,11 +401,11 @@ def _best_bounds(most: int):
     return run
 
 
-def _probe(k: int, margin: float):
+def _probe(k: int, margin: float, block: int, size: int):
     """The best chunks of the probed blocks, for every query."""
 
     def run(t: pa.Table) -> pa.Table:
-        s, out = _Segment(t), [[], [], [], []]
+        s, out = _Segment(t, block, size), [[], [], [], []]
         if s.size:
             chosen = np.zeros((len(s.queries), len(s.blocks)), bool)
             place = {q: i for i, q in enumerate(s.queries.tolist())}
@@ -378,11 +430,11 @@ def _chosen(s: _Segment) -> np.ndarray:
     return needed & (rare + common >= theta) & named.astype(bool) & s.open
 
 
-def _search(k: int, margin: float):
+def _search(k: int, margin: float, block: int, size: int):
     """The best chunks of the chosen blocks, and how much of the segment was read, for every query."""
 
     def run(t: pa.Table) -> pa.Table:
-        s, out = _Segment(t), [[] for _ in range(8)]
+        s, out = _Segment(t, block, size), [[] for _ in range(8)]
         if s.size:
             chosen = _chosen(s)
             read = np.zeros((4, len(s.queries)), "i8")
@@ -423,6 +475,11 @@ def search(queries: DataFrame, index: ChunkIndex, k: int = TOP_K, margin: float
 
     Each step is one pass over the segments' rows of the queries' terms, which carry the queries along as arrays.
     """
+    with freed_shuffles(queries.sparkSession):
+        return _searched(queries, index, k, margin, allowed)
+
+
+def _searched(queries: DataFrame, index: ChunkIndex, k: int, margin: float, allowed: DataFrame | None) -> Search:
     key, stats = index.key, index.stats.first()   # one stored row
     n = F.lit(stats.n_chunks)
     words = F.array_distinct(F.regexp_extract_all(F.lower("query_text"), F.lit(TOKEN), F.lit(0)))
@@ -456,19 +513,19 @@ def search(queries: DataFrame, index: ChunkIndex, k: int = TOP_K, margin: float
         held = index.chunks.select("segment", "at", key, "chunk_no")
         return hits.join(held, ["segment", "at"]).groupBy("q", key, "chunk_no").agg(F.sum("score").alias("score"))
 
-    bounds = over(terms.where("NOT common"), ["block", "max_part"], every, _best_bounds(PROBED), "q long, segment long, block long, bound double", "chunk-bounds")
+    bounds = over(terms.where("NOT common"), ["block", "max_part"], every, _best_bounds(PROBED, BLOCK, SEGMENT), "q long, segment long, block long, bound double", "chunk-bounds")
     best = Window.partitionBy("q").orderBy(F.desc("bound"), "block")
     probed = bounds.withColumn("r", F.row_number().over(best)).where(F.col("r") <= PROBED).join(named, "q")
     probed = probed.groupBy("segment", "batch").agg(F.collect_list(F.struct("q", "block")).alias("probes"))   # as many as a batch's queries probe
-    postings = ["block", "n", "max_part", "at", "part"]
-    seen = over(terms, postings, every.join(materialize(probed, "chunk-probes"), ["segment", "batch"]), _probe(k, margin), HITS, "chunk-probed")
+    postings = ["block", "n", "place", "part"]
+    seen = over(terms, postings, every.join(materialize(probed, "chunk-probes"), ["segment", "batch"]), _probe(k, margin, BLOCK, SEGMENT), HITS, "chunk-probed")
     first = Window.partitionBy("q").orderBy(F.desc("score"))
     seen = merged(seen).withColumn("r", F.row_number().over(first)).where(F.col("r") <= k)
     theta = seen.groupBy("q").agg(F.when(F.count(F.lit(1)) >= k, F.min("score") - margin).alias("theta"))
     more = terms.groupBy("q").agg(F.sum(F.when(F.col("common"), F.col("most")).otherwise(F.lit(0.0))).alias("more"))
     plan = more.join(theta, "q", "left").withColumn("split", F.coalesce(F.col("more") < F.col("theta"), F.lit(False)))
 
-    found = over(terms.join(plan, "q"), postings, every, _search(k, margin), f"{HITS}, {', '.join(f'{c} long' for c in _READ)}", "chunk-found",
+    found = over(terms.join(plan, "q"), [*postings, "max_part"], every, _search(k, margin, BLOCK, SEGMENT), f"{HITS}, {', '.join(f'{c} long' for c in _READ)}", "chunk-found",
                  "theta", "more", "split", "named")
     ids = named.select("q", F.col("_id").alias("query_id"))
     read = found.where("at < 0").groupBy("q").agg(*(F.sum(c).alias(c) for c in _READ))
@@ -483,7 +540,8 @@ def bm25_topk(found: Search, index: ChunkIndex, k: int = TOP_K) -> DataFrame:
 
 
 def with_text(hits: DataFrame, index: ChunkIndex) -> DataFrame:
-    """Hits with the chunk's place and text."""
+    """Hits with the chunk's place and text. Hits are a table, whose size Spark knows: texts are shuffled only where hits are many."""
+    hits = materialize(hits, "chunk-hits")
     return hits.join(index.chunks.select(index.key, "chunk_no", "first_token", "n_tokens", "chunk_text"), [index.key, "chunk_no"])
 
 
